@@ -27,6 +27,7 @@ def local_session(cores: str = "8") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.log.level", "ERROR")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
@@ -100,7 +101,7 @@ def main() -> None:
             if name in oracles:
                 text = difference(got, duck_rows(con, oracles[name])) or "equal"
         except Exception as error:  # report and go on with the next query
-            took, text = time.time() - start, f"ERROR {str(error)[:1500]}"
+            took, text = time.time() - start, f"ERROR {str(error)[:300]}"
             got = ([], [])
         failed += text not in ("equal", "rows only")
         print(f"{name:34s} {len(got[1]):7d} rows {took:6.2f}s  {text}", flush=True)
