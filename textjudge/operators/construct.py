@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textjudge import fixed
+from textjudge.functions import terms as T
+from textjudge.functions.cleaning import truncate_sentence
+from textjudge.functions.columns import strip, text_or_empty
 from textjudge.operators.index import chunked_index
 
 META = ["category", "shape", "shape_type", "size"]
@@ -73,3 +76,192 @@ def number_repeats(
     return turns.withColumn(
         name, F.when(F.col("_turn") == 0, F.col(base)).otherwise(later)
     ).drop("_turn")
+
+
+# --- entries, sentences, prompts -------------------------------------------
+
+
+def enrich_sentences(sentences: DataFrame, entry_rows: DataFrame) -> DataFrame:
+    """Non-empty sentences with the triples of their entry, in prompt and list form."""
+    shown = entry_rows.select(
+        "eid",
+        "category",
+        "triple_count",
+        T.format_triples(F.col("triples"), prompt=True).alias("modified_triples"),
+        F.transform(
+            "triples", lambda x: T.format_triple(x["subject"], x["predicate"], x["object"], True)
+        ).alias("modified_triples_json"),
+    )
+    spoken = sentences.filter(strip(text_or_empty(F.col("sentence"))) != "")
+    return spoken.join(shown, "eid")
+
+
+def fill(template: Column, values: dict[str, Column]) -> Column:
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), text_or_empty(value.cast("string")))
+    return template
+
+
+def entry_prompts(entry_rows: DataFrame, templates: DataFrame) -> DataFrame:
+    """Generation prompts: every entry with every template of a small language table."""
+    rows = F.transform(
+        "triples",
+        lambda x: F.concat(
+            F.lit("  - "), T.format_triple(x["subject"], x["predicate"], x["object"], True)
+        ),
+    )
+    # a handful of templates (one per language), carried as an array on every entry
+    listed = templates.agg(F.collect_list(F.struct("language", "template")).alias("_t"))
+    each = entry_rows.join(F.broadcast(listed)).select(
+        "eid", "category", "size", rows.alias("_rows"), F.inline("_t")
+    )
+    prompt = fill(
+        F.col("template"),
+        {
+            "size": F.col("size"),
+            "category": F.col("category"),
+            "triples_str": F.array_join("_rows", "\n"),
+        },
+    )
+    return each.select("eid", "language", prompt.alias("prompt"))
+
+
+def judge_prompt(template: str, language: Column) -> Column:
+    """Faithfulness prompt of an enriched sentence row."""
+    return fill(
+        F.lit(template),
+        {
+            "eid": F.col("eid"),
+            "category": F.col("category"),
+            "target_language": language,
+            "sentence": truncate_sentence(T.display(F.col("sentence"))),
+            "modified_triples": T.display(F.col("modified_triples")),
+        },
+    )
+
+
+def fluency_prompt(template: str, language: Column, entity_language: Column, terms: Column) -> Column:
+    return fill(
+        F.lit(template),
+        {
+            "language": language,
+            "entity_language": entity_language,
+            "lexical_terms": T.format_terms(terms),
+            "sentence": T.display(F.col("sentence")),
+        },
+    )
+
+
+# --- members and tags ------------------------------------------------------
+
+
+def members(triples: DataFrame, keys: Sequence[str] = ("eid",)) -> DataFrame:
+    """Subjects and objects as rows, with type and equality form."""
+    has_type = "object_type" in triples.columns
+    subject_type = F.col("subject_type") if "subject_type" in triples.columns else F.lit(None)
+    object_type = F.col("object_type") if has_type else F.lit(None)
+    both = F.array(
+        F.struct(F.col("subject").alias("value"), subject_type.cast("string").alias("type")),
+        F.struct(F.col("object").alias("value"), object_type.cast("string").alias("type")),
+    )
+    rows = triples.select(*keys, F.inline(both))
+    return rows.withColumn("norm", T.normalize_member(F.col("value")))
+
+
+def unique_members(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per equality form; its smallest spelling stands for it."""
+    best = F.min(F.struct("value", "type")).alias("_m")
+    return rows.groupBy(*keys, "norm").agg(best).select(*keys, "norm", "_m.value", "_m.type")
+
+
+def unique_values(triples: DataFrame, keys: Sequence[str] = ("eid",)) -> DataFrame:
+    return (
+        triples.select(*keys, F.explode(F.array("subject", "object")).alias("member"))
+        .distinct()
+        .withColumn("type", F.lit(None).cast("string"))
+    )
+
+
+def update_tags(rows: DataFrame, updates: DataFrame, keys: Sequence[str] = ("eid",)) -> DataFrame:
+    """Exact-value tag update: ``updates`` holds (keys, value, type)."""
+    new = updates.select(
+        *keys, F.col("value").alias("member"), F.col("type").alias("_new"), F.lit(True).alias("_hit")
+    )
+    joined = rows.join(new, [*keys, "member"], "left")
+    return joined.withColumn(
+        "type", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("type"))
+    ).drop("_new", "_hit")
+
+
+def tag_members(triples: DataFrame, answers: DataFrame, types: Sequence[str]) -> DataFrame:
+    """Apply ``word: tag`` answers to the members of each entry by equality form.
+
+    The tag lines of one entry become a map on the entry row, so that both members of
+    every triple are tagged with a single join on the entry.
+    """
+    pairs = F.filter(T.tag_pairs(F.col("answer")), lambda p: p["tag"].isin(*types))
+    # a later line for the same word replaces the earlier one
+    tags = F.reverse(pairs)
+    keyed = answers.select("eid", tags.alias("_tags"))
+    joined = triples.join(keyed, "eid", "left")
+
+    def tag(member: str) -> Column:
+        norm = T.normalize_member(F.col(member))
+        hit = F.filter("_tags", lambda p: p["norm"] == norm)
+        return F.try_element_at(hit, F.lit(1))["tag"]
+
+    return joined.withColumns({"subject_type": tag("subject"), "object_type": tag("object")}).drop(
+        "_tags"
+    )
+
+
+def clean_assets(assets: DataFrame) -> DataFrame:
+    """Raw (type, value) assets to valid, distinct, normalised ones.
+
+    Types outside the cleaning rules pass unchanged.
+    """
+    kind, value = F.col("type"), F.col("value")
+    names = kind.isin(*fixed.NAME_TYPES)
+    jobs = kind.isin(*fixed.OCCUPATION_TYPES)
+    dates, numbers = kind == fixed.DATE_TYPE, kind == fixed.NUMBER_TYPE
+    bare = F.regexp_replace(value, " ", "")
+    clean = (
+        F.when(names, T.member_value(value))
+        .when(jobs, F.lower(T.member_value(value)))
+        .when(numbers, bare)
+        .otherwise(value)
+    )
+    keep = F.when(dates, T.valid_date(value)).when(numbers, T.valid_number(bare)).otherwise(True)
+    ruled = names | jobs | dates | numbers
+    shaped = assets.filter(keep).select("type", clean.alias("value"), ruled.alias("_ruled"))
+    distinct = shaped.filter("_ruled").select("type", "value").distinct()
+    return distinct.unionByName(shaped.filter(~F.col("_ruled")).select("type", "value"))
+
+
+def read_context(lines_df: DataFrame, column: str = "value") -> DataFrame:
+    """``keyword===context`` lines to a table with one context per keyword."""
+    pairs = lines_df.select(T.context_pair(F.col(column)).alias("p")).filter("p IS NOT NULL")
+    return pairs.select("p.keyword", "p.context")
+
+
+def keyword_context(rows: DataFrame, context: DataFrame, member: str = "member") -> DataFrame:
+    """Context of each member, ``none`` where there is no entry; both sides in display form."""
+    keyed = rows.withColumn("keyword", T.display(F.col(member)))
+    joined = keyed.join(context, "keyword", "left")
+    return joined.withColumn("context", F.coalesce("context", F.lit(fixed.CONTEXT_DEFAULT)))
+
+
+def enrich_judged(rows: DataFrame, entry_rows: DataFrame) -> DataFrame:
+    """Judged rows with the text, predicates and meta data of their source entry."""
+    text = F.transform(
+        "triples", lambda x: T.format_triple(x["subject"], x["predicate"], x["object"])
+    )
+    source = entry_rows.select(
+        "eid",
+        *META,
+        F.col("kind").alias("triple_kind"),
+        "triple_count",
+        F.array_join(text, "; ").alias("triples"),
+        F.array_join(F.transform("triples", lambda x: x["predicate"]), "; ").alias("predicates"),
+    )
+    return rows.join(source, "eid", "left")
