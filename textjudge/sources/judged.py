@@ -39,19 +39,20 @@ def _json_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .text(root)
-        .select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path"),
-                F.col("_metadata.file_block_start").alias("_block"))
+        .select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path"))
     )
     return lines.filter(F.col("line") != "")
 
 
-def read_judged(spark: SparkSession, root: str, score_key: str = "faithfulness_score") -> DataFrame:
+def read_judged(
+    spark: SparkSession, root: str, score_key: str = "faithfulness_score", glob: str = "*.jsonl"
+) -> DataFrame:
     """All judgment records below ``root`` with their key and the raw record as VARIANT.
 
     Sidecars with failed calls are skipped; malformed lines stay with a null record so
     that ``bad_lines`` can report them.
     """
-    lines = _json_lines(spark, root, "*.jsonl").filter(~F.endswith("path", F.lit(FAILURES)))
+    lines = _json_lines(spark, root, glob).filter(~F.endswith("path", F.lit(FAILURES)))
     rows = lines.withColumn("record", F.try_parse_json("line"))
     text = lambda name: F.try_variant_get("record", f"$.{name}", "string")
     label = F.coalesce(F.nullif(text("source_label"), F.lit("")), K.file_stem(F.col("path")))
@@ -101,9 +102,9 @@ def line_numbers(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataF
     )
 
 
-def read_failures(spark: SparkSession, root: str) -> DataFrame:
+def read_failures(spark: SparkSession, root: str, glob: str = "*" + FAILURES) -> DataFrame:
     """Failure sidecars as a table; ``details`` stays loose JSON."""
-    rows = _json_lines(spark, root, "*" + FAILURES).withColumn("r", F.try_parse_json("line"))
+    rows = _json_lines(spark, root, glob).withColumn("r", F.try_parse_json("line"))
     names = (
         "timestamp eid source_label source_id requested_judge_model error_type error"
     ).split()
