@@ -10,6 +10,7 @@ from textjudge.functions.columns import (
     IGNORE_CASE,
     collapse,
     find_all,
+    let,
     matches,
     null_if_empty,
     strip,
@@ -30,12 +31,10 @@ def lines(text: Column) -> Column:
     return F.split(text, _LINE_BREAK)
 
 
-def _wrapped(text: Column) -> Column:
-    pairs = None
-    for left, right in fixed.QUOTE_PAIRS:
-        hit = F.startswith(text, F.lit(left)) & F.endswith(text, F.lit(right))
-        pairs = hit if pairs is None else pairs | hit
-    return (F.length(text) >= 2) & pairs
+_UNWRAP = (
+    "(?s)^(?:" + "|".join(f"{left}(.*){right}" for left, right in fixed.QUOTE_PAIRS) + ")$"
+)
+_INNER = "".join(f"${i + 1}" for i in range(len(fixed.QUOTE_PAIRS)))
 
 
 def _repeat_until_stable(text: Column, step) -> Column:
@@ -44,25 +43,27 @@ def _repeat_until_stable(text: Column, step) -> Column:
     The number of rounds is bounded by the characters that a round consumes; rounds
     after the fixpoint is reached do nothing.
     """
-    rounds = F.length(F.regexp_replace(text, _ROUND_CHARS, "")) + 1
 
     def once(acc: Column, _i: Column) -> Column:
         after = F.when(acc["done"], acc["text"]).otherwise(step(acc["text"]))
-        return F.struct(after.alias("text"), (after == acc["text"]).alias("done"))
+        return let(after, lambda x: F.struct(x.alias("text"), (x == acc["text"]).alias("done")))
+
+    def run(base: Column) -> Column:
+        rounds = F.length(F.regexp_replace(base, _ROUND_CHARS, "")) + 1
+        start = F.struct(base.alias("text"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), rounds), start, once, lambda acc: acc["text"])
 
-    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), rounds), start, once, lambda acc: acc["text"])
+    return let(text, run)
 
 
 def _unwrap_once(text: Column) -> Column:
-    inner = strip(F.substring(text, F.lit(2), F.length(text) - 2))
-    return F.when(_wrapped(text), inner).otherwise(text)
+    """Trimmed text without its outer pair of quotes, if it has one."""
+    return strip(F.regexp_replace(text, _UNWRAP, _INNER))
 
 
 def strip_quotes(text: Column) -> Column:
     """Remove all nested pairs of wrapping quotes."""
-    base = strip(text)
-    return F.when(_wrapped(base), _repeat_until_stable(base, _unwrap_once)).otherwise(base)
+    return _repeat_until_stable(strip(text), _unwrap_once)
 
 
 def _trim_meta(text: Column) -> Column:

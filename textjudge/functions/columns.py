@@ -58,8 +58,24 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text_or_empty(text), r"(?U)\s+", " "))
 
 
+# white space that trimming removes
+SPACE = "".join(
+    chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACE))
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for a ``body`` that refers to it several times.
+
+    Inside higher-order functions repeated sub-expressions are evaluated repeatedly;
+    a one-element array makes the value a lambda variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def share(part: Column, whole: Column) -> Column:

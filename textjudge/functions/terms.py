@@ -11,22 +11,25 @@ from pyspark.sql import functions as F
 
 from textjudge import fixed
 from textjudge.functions.cleaning import lines, words
-from textjudge.functions.columns import collapse, null_if_empty, strip, text_or_empty
+from textjudge.functions.columns import collapse, let, null_if_empty, strip, text_or_empty
 
 # --- triples ---------------------------------------------------------------
 
 
 def parse_triple(text: Column) -> Column:
     """``subject | predicate | object``; null when there are fewer than three parts."""
-    parts = F.transform(F.split(text, r"\|", 3), strip)
-    return F.when(
-        F.size(parts) == 3,
-        F.struct(
-            F.get(parts, F.lit(0)).alias("subject"),
-            F.get(parts, F.lit(1)).alias("predicate"),
-            F.get(parts, F.lit(2)).alias("object"),
-        ),
-    )
+
+    def build(parts: Column) -> Column:
+        return F.when(
+            F.size(parts) == 3,
+            F.struct(
+                strip(F.get(parts, F.lit(0))).alias("subject"),
+                strip(F.get(parts, F.lit(1))).alias("predicate"),
+                strip(F.get(parts, F.lit(2))).alias("object"),
+            ),
+        )
+
+    return let(F.split(text, r"\|", 3), build)
 
 
 def parse_formatted_triple(line: Column) -> Column:
@@ -54,31 +57,32 @@ def format_triples(triples: Column, prompt: bool = False) -> Column:
     return F.array_join(rows, "\n")
 
 
+def _response_lines(response: Column) -> Column:
+    return F.filter(F.transform(lines(strip(response)), strip), lambda x: x != "")
+
+
 def response_triples(response: Column) -> Column:
     """Entry rows of a tagged response: lines after the first that hold a triple."""
-    kept = F.filter(F.transform(lines(strip(response)), strip), lambda x: x != "")
-    tail = F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0)))
     bare = F.transform(
-        F.filter(tail, lambda x: F.contains(x, F.lit("|"))),
-        lambda x: F.regexp_replace(F.regexp_replace(x, "^<mtriple>", ""), "</mtriple>$", ""),
-    )
-    split = F.filter(
-        F.transform(bare, lambda x: F.transform(F.split(x, r"\|"), strip)), lambda p: F.size(p) == 3
+        F.filter(
+            _response_lines(response), lambda x, i: (i > 0) & F.contains(x, F.lit("|"))
+        ),
+        lambda x: F.regexp_replace(x, "^<mtriple>|</mtriple>$", ""),
     )
+    split = F.filter(F.transform(bare, lambda x: F.split(x, r"\|")), lambda p: F.size(p) == 3)
     return F.transform(
         split,
         lambda p: F.struct(
-            member_value(F.get(p, F.lit(0))).alias("subject"),
-            F.get(p, F.lit(1)).alias("predicate"),
-            member_value(F.get(p, F.lit(2))).alias("object"),
+            member_value(strip(F.get(p, F.lit(0)))).alias("subject"),
+            strip(F.get(p, F.lit(1))).alias("predicate"),
+            member_value(strip(F.get(p, F.lit(2)))).alias("object"),
         ),
     )
 
 
 def response_phrase(response: Column) -> Column:
-    kept = F.filter(F.transform(lines(strip(response)), strip), lambda x: x != "")
-    second = F.get(kept, F.lit(1))
-    return F.regexp_replace(F.regexp_replace(second, "^<phrase>", ""), "</phrase>$", "")
+    second = F.get(_response_lines(response), F.lit(1))
+    return F.regexp_replace(second, "^<phrase>|</phrase>$", "")
 
 
 def lexical_terms(triples: Column) -> Column:
@@ -91,13 +95,17 @@ def lexical_terms(triples: Column) -> Column:
     return F.array_distinct(F.filter(both, lambda x: x != ""))
 
 
+_TRIPLES = "array<struct<subject:string,predicate:string,object:string>>"
+
+
 def row_triples(triples_json: Column, formatted: Column) -> Column:
     """Triples of a record: its JSON list, else its formatted text."""
     from_json = F.from_json(triples_json, "array<string>")
     parsed = F.array_compact(F.transform(from_json, parse_formatted_triple))
     from_text = F.array_compact(F.transform(lines(formatted), parse_formatted_triple))
-    return F.when(F.size(parsed) > 0, parsed).otherwise(
-        F.coalesce(from_text, F.array().cast("array<struct<subject:string,predicate:string,object:string>>"))
+    none = F.array().cast(_TRIPLES)
+    return let(
+        parsed, lambda p: F.when(F.size(p) > 0, p).otherwise(F.coalesce(from_text, none))
     )
 
 
@@ -124,7 +132,9 @@ def _accent_table() -> tuple[str, str]:
 
 def strip_accents(text: Column) -> Column:
     accented, plain = _accent_table()
-    return F.regexp_replace(F.translate(text, accented, plain), r"\p{Mn}", "")
+    folded = F.regexp_replace(F.translate(text, accented, plain), r"\p{Mn}", "")
+    # text with one byte per character has nothing to fold
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(folded)
 
 
 def member_value(text: Column) -> Column:
@@ -133,7 +143,7 @@ def member_value(text: Column) -> Column:
 
 def normalize_member(text: Column) -> Column:
     """Equality form of a member: without underscores and accents, case kept."""
-    return strip_accents(F.regexp_replace(text, "_", ""))
+    return strip_accents(F.translate(text, "_", ""))
 
 
 # --- leakage and keywords --------------------------------------------------
@@ -161,11 +171,11 @@ def content_words(text: Column, stopwords) -> Column:
 
 
 def bigrams(tokens: Column) -> Column:
-    n = F.greatest(F.size(tokens) - 1, F.lit(0))
-    pairs = F.arrays_zip(
-        F.slice(tokens, F.lit(1), n).alias("a"), F.slice(tokens, F.lit(2), n).alias("b")
+    """Neighbouring pairs of a token column."""
+    following = F.slice(tokens, F.lit(2), F.size(tokens))
+    return F.transform(
+        following, lambda w, i: F.concat_ws(" ", F.get(tokens, i), w)
     )
-    return F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"]))
 
 
 # --- assets and context ----------------------------------------------------

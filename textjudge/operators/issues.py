@@ -15,6 +15,7 @@ from textjudge import fixed
 from textjudge.functions import categories as C
 from textjudge.functions.columns import percent
 from textjudge.functions.terms import bigrams, content_words, leaked_predicates
+from textjudge.operators.lineage import fan_out
 from textjudge.operators.scores import grouping_sets
 
 PREDICTED = ("FA", "FI", "CFA")
@@ -200,10 +201,13 @@ def keywords(
     df: DataFrame, group: Sequence[str], text: str, stopwords, size: int, n: int = fixed.TOP_KEYWORDS
 ) -> DataFrame:
     """Top words (size 1) or word pairs (size 2) per group, over the whole texts."""
-    tokens = content_words(F.col(text), stopwords)
-    grams = tokens if size == 1 else bigrams(tokens)
+    # the token list is a column of its own, so that it is computed once per text
+    tokens = fan_out(df.select(*group, text)).select(
+        *group, content_words(F.col(text), stopwords).alias("_tokens")
+    )
+    grams = F.col("_tokens") if size == 1 else bigrams(F.col("_tokens"))
     counted = (
-        df.select(*group, F.explode(grams).alias("term"))
+        tokens.select(*group, F.explode(grams).alias("term"))
         .groupBy(*group, "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )

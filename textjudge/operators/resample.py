@@ -58,7 +58,9 @@ def replicate_sums(
     """(group, rep, cell, sums) for every replicate."""
     rep = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("rep")
     stream = F.lit(str(seed))
-    draws = indexed.select(*group, "idx", "n", rep)
+    # few rows turn into many draws: an explicit width keeps them on all cores
+    width = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = indexed.select(*group, "idx", "n").repartition(width, *group, "idx").select("*", rep)
     position = hash_number(stream, F.lit("block"), F.col("rep"), *group, F.col("idx")) % F.col("n")
     hits = (
         draws.select(*group, "rep", F.floor(position / block).alias("block"))
@@ -68,7 +70,8 @@ def replicate_sums(
     blocks = indexed.groupBy(*group, F.floor(F.col("idx") / block).alias("block")).agg(
         F.array_sort(F.collect_list(F.struct("idx", "cells"))).alias("members")
     )
-    each = hits.join(blocks, [*group, "block"]).select(
+    spread = hits.repartition(width, *group, "rep", "block")
+    each = spread.join(blocks, [*group, "block"]).select(
         *group, "rep", "block", "members",
         F.explode(F.sequence(F.lit(1), F.col("hits").cast("int"))).alias("draw"),
     )

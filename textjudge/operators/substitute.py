@@ -142,7 +142,7 @@ def counterfactual(
     own = tagged_members(triples)
     if types is not None:
         own = own.filter(F.col("type").isin(*types))
-    numbered = materialize(number_pool(own, ["eid"]))
+    numbered = materialize(number_pool(materialize(own), ["eid"]))
     chosen = draw_replacements(numbered, numbered, max_changes, seed)
     return apply_replacements(triples, chosen)
 
@@ -154,7 +154,7 @@ def fictional(
     """Replace members by invented assets of the same type."""
     pool = assets if types is None else assets.filter(F.col("type").isin(*types))
     listed = pool.select("type", "value", normalize_member(F.col("value")).alias("norm")).distinct()
-    numbered = materialize(number_pool(listed, ["value"]))
+    numbered = materialize(number_pool(materialize(listed), ["value"]))
     forms, sizes = own_blocks(numbered)
     typed = tagged_members(triples).join(sizes, "type").join(forms, ["type", "norm"], "left")
     none = F.lit(0).cast("long")

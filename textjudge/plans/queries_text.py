@@ -12,6 +12,7 @@ from textjudge.functions import verdicts as J
 from textjudge.functions.keys import KEY
 from textjudge.operators import construct as N
 from textjudge.operators import issues as I
+from textjudge.operators.lineage import fan_out
 from textjudge.plans.registry import HELPERS, helper, query
 from textjudge.plans.views import Tables
 
@@ -58,7 +59,7 @@ _DOC_LINES = f"""(SELECT doc_id, content, array_to_string(list_filter(list_trans
     ) + " z",
 )
 def clean_generated(t: Tables):
-    return t.v_chatter.select("doc_id", G.clean_generated(F.col("content")).alias("sentence"))
+    return fan_out(t.v_chatter).select("doc_id", G.clean_generated(F.col("content")).alias("sentence"))
 
 
 @query("strip_quotes", "SELECT doc_id, txt FROM " + _layers(
@@ -202,7 +203,7 @@ helper("o_explained", """SELECT event_id, item_index, replace(comment, '_', ' ')
     f"WHEN regexp_matches(explanation, '(?i){p}') THEN '{name}'" for name, p in fixed.ISSUE_PATTERNS)
     + " ELSE '' END AS issue FROM o_explained")
 def classify_issue(t: Tables):
-    rows = t.sql(HELPERS["o_explained"])
+    rows = fan_out(t.sql(HELPERS["o_explained"]))
     return rows.select(
         "event_id", "item_index", C.classify_issue(F.lit(""), F.col("explanation")).alias("issue")
     )
