@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from textjudge import fixed
 from textjudge.functions.columns import share
 from textjudge.functions.keys import CLUSTER, expected_label
-from textjudge.operators.index import chunked_index, hash_bucket, hash_number
+from textjudge.operators.index import chunked_index, hash_bucket, hash_number, scatter
 from textjudge.operators.lineage import materialize
 from textjudge.operators.votes import vote_unit
 
@@ -70,15 +70,14 @@ def replicate_sums(
     blocks = indexed.groupBy(*group, F.floor(F.col("idx") / block).alias("block")).agg(
         F.array_sort(F.collect_list(F.struct("idx", "cells"))).alias("members")
     )
-    spread = hits.repartition(width, *group, "rep", "block")
-    each = spread.join(blocks, [*group, "block"]).select(
-        *group, "rep", "block", "members",
-        F.explode(F.sequence(F.lit(1), F.col("hits").cast("int"))).alias("draw"),
+    key = hash_number(stream, F.lit("item"), "rep", *group, "block").alias("key")
+    spread = hits.select("*", key).repartition(width, "key")
+    # all draws of a block are made inside its row, so the packed block is never copied
+    places = scatter(F.col("key"), F.sequence(F.lit(1).cast("long"), F.col("hits")))
+    cells = F.flatten(
+        F.transform(places, lambda x: F.get("members", (x % F.size("members")).cast("int"))["cells"])
     )
-    place = hash_number(
-        stream, F.lit("item"), F.col("rep"), *group, F.col("block"), F.col("draw")
-    ) % F.size("members")
-    picked = each.select(*group, "rep", F.inline(F.get("members", place.cast("int"))["cells"]))
+    picked = spread.join(blocks, [*group, "block"]).select(*group, "rep", F.inline(cells))
     return picked.groupBy(*group, "rep", "cell").agg(*[F.sum(m).alias(m) for m in measures])
 
 

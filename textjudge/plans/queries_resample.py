@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textjudge import fixed
 from textjudge.operators import resample as R
+from textjudge.operators.index import INCREMENT, MASK, MULTIPLIER
 from textjudge.plans.queries_scores import latest_faith, latest_fluency, with_size
 from textjudge.plans.queries_votes import scored_votes
 from textjudge.plans.registry import helper, query
@@ -31,9 +32,11 @@ def _draws(name: str, source: str, group: list[str], measures: list[str], cell:
     helper(f"{name}_hits", f"""SELECT {g}, rep, blk, n, count(*) AS hits FROM (SELECT {g}, rep, n,
         (@DRAW(concat_ws('|', '{SEED}', 'block', rep, {texts}, idx)) % n) // {BLOCK} AS blk
         FROM {name}_idx, range(0, {SAMPLES}) r(rep)) b GROUP BY {g}, rep, blk, n""")
-    helper(f"{name}_picks", f"""SELECT {g}, rep, blk * {BLOCK} + @DRAW(concat_ws('|', '{SEED}', 'item', rep, {texts}, blk, draw))
-        % least({BLOCK}, n - blk * {BLOCK}) AS idx
-      FROM (SELECT *, unnest(range(1, hits + 1)) AS draw FROM {name}_hits) h""")
+    helper(f"{name}_picks", f"""SELECT {g}, rep, blk * {BLOCK} + xor(x2, x2 >> 16) % least({BLOCK}, n - blk * {BLOCK}) AS idx FROM (
+      SELECT *, (xor(x1, x1 >> 16) * {MULTIPLIER}) & {MASK} AS x2 FROM (
+        SELECT *, (xor(x0, x0 >> 16) * {MULTIPLIER}) & {MASK} AS x1 FROM (
+          SELECT *, (@DRAW(concat_ws('|', '{SEED}', 'item', rep, {texts}, blk)) + draw * {INCREMENT}) % {MASK + 1} AS x0
+          FROM (SELECT *, unnest(range(1, hits + 1)) AS draw FROM {name}_hits) h) a) b) c""")
     helper(f"{name}_reps", f"""SELECT {", ".join(f"c.{x}" for x in group)}, rep, c.cell, {", ".join(f"sum(c.{m}) AS {m}" for m in measures)}
       FROM {name}_picks p JOIN {name}_idx i ON p.idx = i.idx AND {same.replace("c.", "i.")}
       JOIN {name}_cells c ON {same} AND c.dataset = i.dataset AND c.variant = i.variant AND c.eid = i.eid
