@@ -251,17 +251,23 @@ def keyword_context(rows: DataFrame, context: DataFrame, member: str = "member")
     return joined.withColumn("context", F.coalesce("context", F.lit(fixed.CONTEXT_DEFAULT)))
 
 
-def enrich_judged(rows: DataFrame, entry_rows: DataFrame) -> DataFrame:
-    """Judged rows with the text, predicates and meta data of their source entry."""
+def entry_text(entry_rows: DataFrame, keys: Sequence[str] = ("eid",)) -> DataFrame:
+    """Meta data, triple text and predicates of each entry as flat columns."""
     text = F.transform(
         "triples", lambda x: T.format_triple(x["subject"], x["predicate"], x["object"])
     )
-    source = entry_rows.select(
-        "eid",
+    predicates = F.transform("triples", lambda x: x["predicate"])
+    return entry_rows.select(
+        *keys,
         *META,
         F.col("kind").alias("triple_kind"),
         "triple_count",
         F.array_join(text, "; ").alias("triples"),
-        F.array_join(F.transform("triples", lambda x: x["predicate"]), "; ").alias("predicates"),
+        predicates.alias("predicate_list"),
+        F.array_join(predicates, "; ").alias("predicates"),
     )
-    return rows.join(source, "eid", "left")
+
+
+def enrich_judged(rows: DataFrame, entry_rows: DataFrame) -> DataFrame:
+    """Judged rows with the text, predicates and meta data of their source entry."""
+    return rows.join(entry_text(entry_rows), "eid", "left")

@@ -50,3 +50,22 @@ def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
+
+
+def join_by_model_alias(
+    judged: DataFrame, summary: DataFrame, keys: Sequence[str] = KEY
+) -> DataFrame:
+    """Left join on the record key where model names may differ by one dot or underscore.
+
+    Only the summary side is unfolded, to at most three names per row; an exact name
+    wins over a derived one.
+    """
+    from textjudge.functions.keys import model_candidates
+
+    names = summary.select(
+        F.posexplode(model_candidates(F.col("model"))).alias("_rank", "_name"), "*"
+    )
+    named = names.drop("model").withColumnRenamed("_name", "model")
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy("_rank"))
+    single = named.withColumn("_best", best).filter("_best = 1").drop("_best", "_rank")
+    return judged.join(single, list(keys), "left")

@@ -268,6 +268,15 @@ def leakage_predicates(t: Tables):
     return I.leakage_predicates(leak_rows(t))
 
 
+@query("leakage_examples", """SELECT source_id, eid, string_agg(predicate, '; ' ORDER BY predicate) AS leaks, count(*)::INT AS leak_count
+  FROM o_leaks GROUP BY source_id, eid""")
+def leakage_examples(t: Tables):
+    rows = leak_rows(t).withColumn("leak_count", F.size("leaks")).filter("leak_count > 0")
+    return rows.orderBy(F.desc("leak_count"), "source_id", "eid").select(
+        "source_id", "eid", F.array_join("leaks", "; ").alias("leaks"), "leak_count"
+    )
+
+
 # --- judged rows with their source entry -----------------------------------
 
 

@@ -413,3 +413,16 @@ def keyword_unigrams(t: Tables):
 @query("keyword_bigrams", keyword_oracle("documents", "lang", "text", fixed.ERROR_STOPWORDS, 2))
 def keyword_bigrams(t: Tables):
     return I.keywords(t.documents, ["lang"], "text", fixed.ERROR_STOPWORDS, 2)
+
+
+@query("compact_payload", """SELECT doc_id, CASE WHEN length(text) > 4000 THEN length(text) END AS original_length,
+  CASE WHEN length(text) > 4000 THEN left(text, 4000) ELSE text END AS kept FROM documents""")
+def compact_payload(t: Tables):
+    rows = t.documents.select("doc_id", "text", G.compact_payload(F.col("text")).alias("p"))
+    cut = F.from_json("p", "_truncated_json string, _original_length int")
+    long = F.length("text") > fixed.PAYLOAD_LIMIT
+    return rows.select(
+        "doc_id",
+        F.when(long, cut["_original_length"]).alias("original_length"),
+        F.when(long, cut["_truncated_json"]).otherwise(F.col("p")).alias("kept"),
+    )

@@ -365,3 +365,13 @@ def classification_format_examples(t: Tables):
         *KEY, "expected_label", "vote_label", "answers", "exact", "recovered", "multiple",
         "unparsed", "non_exact", "raw_examples",
     )
+
+
+# the two trees name models differently: one writes a dot where the other has an underscore
+@query("judged_with_votes", f"""SELECT event_id, vote_label_order FROM v_latest_faith LEFT JOIN o_votes USING ({_KEYS})""")
+def judged_with_votes(t: Tables):
+    from textjudge.operators.joins import join_by_model_alias
+
+    judged = latest_faith(t).withColumn("model", F.concat(F.lit("a_"), "model"))
+    summary = votes(t).withColumn("model", F.concat(F.lit("a."), "model"))
+    return join_by_model_alias(judged, summary).select("event_id", "vote_label_order")

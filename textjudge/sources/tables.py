@@ -83,7 +83,7 @@ def read_classified(spark: SparkSession, root: str, width: int | None = None) ->
     used = F.when(F.size(repeats) > 0, repeats).otherwise(bare)
     number = F.coalesce(F.nullif(F.regexp_extract("name", r"(\d+)$", 1), F.lit("")).cast("int"), F.lit(1))
     return rows.select(*K.KEY, "cells", F.explode(used).alias("name")).select(
-        *K.KEY, number.alias("repeat_idx"), F.element_at("cells", F.col("name")).alias("answer")
+        *K.KEY, number.alias("repeat_idx"), F.coalesce(F.element_at("cells", F.col("name")), F.lit("")).alias("answer")
     )
 
 
