@@ -111,9 +111,9 @@ def entry_prompts(entry_rows: DataFrame, templates: DataFrame) -> DataFrame:
         ),
     )
     # a handful of templates (one per language), carried as an array on every entry
-    listed = templates.agg(F.collect_list(F.struct("language", "template")).alias("_t"))
-    each = entry_rows.join(F.broadcast(listed)).select(
-        "eid", "category", "size", rows.alias("_rows"), F.inline("_t")
+    listed = templates.agg(F.collect_list(F.struct("language", "template"))).scalar()
+    each = entry_rows.select("eid", "category", "size", rows.alias("_rows"), listed.alias("_t")).select(
+        "eid", "category", "size", "_rows", F.inline("_t")
     )
     prompt = fill(
         F.col("template"),

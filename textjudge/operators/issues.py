@@ -15,7 +15,6 @@ from textjudge import fixed
 from textjudge.functions import categories as C
 from textjudge.functions.columns import percent
 from textjudge.functions.terms import bigrams, content_words, leaked_predicates
-from textjudge.operators.lineage import fan_out
 from textjudge.operators.scores import grouping_sets
 
 PREDICTED = ("FA", "FI", "CFA")
@@ -202,7 +201,7 @@ def keywords(
 ) -> DataFrame:
     """Top words (size 1) or word pairs (size 2) per group, over the whole texts."""
     # the token list is a column of its own, so that it is computed once per text
-    tokens = fan_out(df.select(*group, text)).select(
+    tokens = df.select(
         *group, content_words(F.col(text), stopwords).alias("_tokens")
     )
     grams = F.col("_tokens") if size == 1 else bigrams(F.col("_tokens"))

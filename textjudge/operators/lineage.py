@@ -15,7 +15,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -23,6 +23,7 @@ def materialize(df: DataFrame) -> DataFrame:
 def fan_out(df: DataFrame) -> DataFrame:
     """Spread the rows of a small scan over all cores before costly per-row work.
 
+    For scans only: counting the partitions of a plan with shuffles would run them.
     A scan with fewer partitions than cores is small (one file or row group each); any
     larger scan is already parallel and stays where it is, without a shuffle.
     """

@@ -196,13 +196,10 @@ def pending_prefix(rows: DataFrame, pending: Column, limit: int, order: Sequence
         return rows
     marked = rows.withColumn("_pending", pending)
     key = F.struct(*order)
-    last = (
-        marked.filter("_pending").select(key.alias("_key")).orderBy("_key").limit(limit)
-        .agg(F.max("_key").alias("_end"), F.count(F.lit(1)).alias("_n"))
-    )
-    # one row: the last key of the prefix, or nothing to cut when fewer are pending
-    cut = marked.join(F.broadcast(last))
-    return cut.filter((F.col("_n") < limit) | (key <= F.col("_end"))).drop("_pending", "_end", "_n")
+    first = marked.filter("_pending").select(key.alias("_key")).orderBy("_key").limit(limit)
+    # scalar sub-query: the last key of the prefix, null when fewer rows are pending
+    end = first.agg(F.when(F.count(F.lit(1)) == limit, F.max("_key"))).scalar()
+    return marked.filter(end.isNull() | (key <= end)).drop("_pending")
 
 
 def pending_counts(rows: DataFrame, annotations: DataFrame, keys: Sequence[str]) -> DataFrame:

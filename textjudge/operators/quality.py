@@ -19,9 +19,9 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], check: str) -> DataFrame:
 def unbalanced(df: DataFrame, key: str, check: str) -> DataFrame:
     """All group sizes when they are not equal."""
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    # one row per group of a fixed condition set
-    bounds = sizes.agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"))
-    return sizes.join(F.broadcast(bounds)).filter("_lo <> _hi").select(
+    # scalar sub-queries over one row per group of a fixed condition set
+    smallest, largest = sizes.agg(F.min("n")).scalar(), sizes.agg(F.max("n")).scalar()
+    return sizes.filter(smallest != largest).select(
         F.lit(check).alias("check"), F.col(key).alias("detail"), "n"
     )
 

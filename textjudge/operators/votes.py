@@ -339,24 +339,17 @@ def classification_metrics(votes: DataFrame, keys: Sequence[str] = ("model",)) -
             percent(F.col("_bad"), F.col("_answers")).alias("invalid"),
         )
     )
-    # one row per model: the extremes are taken over an already tiny table
-    best = grouped.agg(
-        F.max("accuracy").alias("_a"), F.max("unanimity").alias("_u"), F.min("invalid").alias("_i")
-    )
-
-    def same(value: str, extreme: str) -> Column:
-        return F.bround(F.col(value), 2) == F.bround(F.col(extreme), 2)
+    def is_best(value: str, extreme) -> Column:
+        # scalar sub-query over the table of one row per model
+        best = grouped.agg(extreme(value)).scalar()
+        return F.bround(F.col(value), 2) == F.bround(best, 2)
 
-    return (
-        grouped.join(F.broadcast(best))
-        .withColumns(
-            {
-                "best_accuracy": same("accuracy", "_a"),
-                "best_unanimity": same("unanimity", "_u"),
-                "best_invalid": same("invalid", "_i"),
-            }
-        )
-        .drop("_a", "_u", "_i")
+    return grouped.withColumns(
+        {
+            "best_accuracy": is_best("accuracy", F.max),
+            "best_unanimity": is_best("unanimity", F.max),
+            "best_invalid": is_best("invalid", F.min),
+        }
     )
 
 

@@ -407,12 +407,12 @@ def keyword_oracle(source: str, group: str, text: str, stop, size: int) -> str:
 
 @query("keyword_unigrams", keyword_oracle("documents", "lang", "text", fixed.ERROR_STOPWORDS, 1))
 def keyword_unigrams(t: Tables):
-    return I.keywords(t.documents, ["lang"], "text", fixed.ERROR_STOPWORDS, 1)
+    return I.keywords(fan_out(t.documents), ["lang"], "text", fixed.ERROR_STOPWORDS, 1)
 
 
 @query("keyword_bigrams", keyword_oracle("documents", "lang", "text", fixed.ERROR_STOPWORDS, 2))
 def keyword_bigrams(t: Tables):
-    return I.keywords(t.documents, ["lang"], "text", fixed.ERROR_STOPWORDS, 2)
+    return I.keywords(fan_out(t.documents), ["lang"], "text", fixed.ERROR_STOPWORDS, 2)
 
 
 @query("compact_payload", """SELECT doc_id, CASE WHEN length(text) > 4000 THEN length(text) END AS original_length,

@@ -16,7 +16,7 @@ REPORT_KEYS = ["generator_model", "dataset", "variant"]
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared folder of the session (a temporary one in tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     return f"{base or tempfile.mkdtemp(prefix='scratch-')}/{uuid.uuid4().hex}"
 
 
