@@ -115,7 +115,7 @@ def scan_generated(t: Tables):
     return back.select(*KEY, F.col("size").try_cast("int").alias("triple_count"))
 
 
-@query("scan_triples", """SELECT eid, pos, category, NULL AS shape, subject, predicate, object FROM v_triples""")
+@query("scan_triples", """SELECT eid, pos, category, NULL::VARCHAR AS shape, subject, predicate, object FROM v_triples""")
 def scan_triples(t: Tables):
     path = K.scratch(t.spark)
     rows = t.v_triples.select(*S.TRIPLE_COLUMNS, "pos").repartition("eid").sortWithinPartitions("eid", "pos")
