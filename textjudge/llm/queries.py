@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textjudge.llm import compression, exact_dedup, histogram_sort, secret_scan
+from textjudge.llm import bpe, compression, exact_dedup, histogram_sort, secret_scan
 from textjudge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +56,18 @@ def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """Counts and digests of encoded documents with their decoded texts."""
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op8_forced_boundary_bpe")
+def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), decoded=True))
