@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textjudge.llm import bpe, compression, exact_dedup, histogram_sort, secret_scan
+from textjudge.llm import bpe, compression, exact_dedup, histogram_sort, mixing, packing, rules, secret_scan
 from textjudge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,18 @@ def digests(encoded: DataFrame) -> DataFrame:
 @query("op8_forced_boundary_bpe")
 def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), decoded=True))
+
+
+@query("op3_temperature_mix")
+def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.placements(documents(spark, sf_dir))
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_rule_ensemble")
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
