@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textjudge.llm import bpe, compression, exact_dedup, histogram_sort, mixing, packing, rules, secret_scan
+from textjudge.llm import bpe, compression, exact_dedup, histogram_sort, mixing, ngram_join, packing, rules, secret_scan
 from textjudge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_rule_ensemble")
 def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op10_heavy_light_join")
+def op10_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_components(documents(spark, sf_dir))
