@@ -72,12 +72,14 @@ def width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, doc_id, text): rows dealt by a hash into blocks of about ``block_bytes``.
+def in_blocks(docs: DataFrame, block_bytes: int, *more: str) -> tuple[DataFrame, int]:
+    """(block, doc_id, text and ``more``) and the number of blocks.
 
-    The number of blocks follows the bytes of all texts, so a block fits in one task at
-    any size. Which block a row is in depends on the row alone.
+    Rows are dealt by a hash into blocks of about ``block_bytes``. The number of blocks
+    follows the bytes of all texts, so a block fits in one task at any size. Which block a
+    row is in depends on the row alone.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(width(docs), math.ceil(total / block_bytes))
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    return docs.select(block.alias("block"), "doc_id", "text", *more), blocks

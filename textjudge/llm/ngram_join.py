@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from textjudge.llm.common import id_and_text, in_blocks, width
 from textjudge.llm.components import components
+from textjudge.llm.packed import pack_sorted, unpack_sorted
 from textjudge.llm.shingles import mixed, shingle_sets
 from textjudge.operators.lineage import materialize
 
@@ -52,21 +53,6 @@ def partners(n: int) -> range:
     return range(-(-3 * n // 4), 4 * n // 3 + 1)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Sorted numbers as differences of the least whole number of bytes that holds them."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    size = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-    return bytes([size]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    size = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, size)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :size] = raw
-    return np.cumsum(wide.view("<u8").reshape(-1).astype(np.uint64))
-
-
 def block_sets(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Sets of the documents of a block; its distinct prefixes and how many sets have each."""
     sets = shingle_sets([(t.as_py() or "").encode() for t in table.column("text")])
@@ -80,20 +66,19 @@ def shared_sets(docs: DataFrame, block_bytes: int) -> DataFrame:
     ``tokens`` is null for documents that cannot have a link.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = in_blocks(docs, block_bytes)
-    count = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(width(docs), math.ceil(count / block_bytes / BLOCKS_PER_RANGE))
+    blocks, n_blocks = in_blocks(docs, block_bytes)
+    ranges = max(width(docs), math.ceil(n_blocks / BLOCKS_PER_RANGE))
     edges = np.array([(k << PREFIX_BITS) // ranges for k in range(ranges + 1)], np.uint64)
 
     def send(table: pa.Table) -> pa.Table:
         _, distinct, _ = block_sets(table)
         cuts = np.searchsorted(distinct, edges).tolist()
-        rows = [(k, packed(distinct[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        rows = [(k, pack_sorted(distinct[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         block = table.column("block")[0].as_py()
         return pa.table({"range": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "values": pa.array([r[1] for r in rows], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        parts = [unpacked(v.as_py()) for v in table.column("values")]
+        parts = [unpack_sorted(v.as_py()) for v in table.column("values")]
         distinct, index, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         levels = np.minimum(counts, 255).astype(np.uint8)[index]
         cuts = np.cumsum([0, *map(len, parts)]).tolist()

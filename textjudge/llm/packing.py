@@ -134,5 +134,5 @@ def pack_documents(
         "block int, row int, n_tokens int, ids binary, positions binary, cumulative_lengths array<int>, "
         f"segments array<struct<doc_id: {kind}, start: bigint, length: int>>"
     )
-    blocks = in_blocks(id_and_text(docs, id_col, text_col), block_bytes)
+    blocks, _ = in_blocks(id_and_text(docs, id_col, text_col), block_bytes)
     return blocks.groupBy("block").applyInArrow(pack_block, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textjudge.llm import bpe, compression, exact_dedup, histogram_sort, mixing, ngram_join, packing, rules, secret_scan
+from textjudge.llm import bpe, compression, ctw, exact_dedup, histogram_sort, mixing, ngram_join, packing, rules, secret_scan
 from textjudge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_heavy_light_join")
 def op10_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_components(documents(spark, sf_dir))
+
+
+@query("op1_context_tree")
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(documents(spark, sf_dir))
