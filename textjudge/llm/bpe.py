@@ -31,7 +31,7 @@ PRETOKEN = regex.compile(
 )
 BLANK = b" \t\n\x0b\x0c\r"
 #: encoded fragments a worker remembers, and the longest fragment among them
-REMEMBERED, LONGEST = 250_000, 48
+REMEMBERED, LONGEST = 700_000, 48
 
 
 def byte_letters() -> dict[int, str]:
@@ -136,7 +136,7 @@ class Vocabulary:
             ids = [self.single[b] for b in data]
             whole = self._merged_long(ids) if len(ids) > 40 else self._merged(ids)
             if len(data) <= LONGEST:
-                if len(self.short) >= REMEMBERED:
+                if len(self.short) >= REMEMBERED // 4:
                     self.short.clear()
                 self.short[data] = whole
         out += whole
