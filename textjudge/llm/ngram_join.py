@@ -260,3 +260,15 @@ def near_duplicate_components(docs: DataFrame, block_bytes: int = 8 << 20, id_co
     named = labels.where("node <> label")
     out = found.join(named, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id names their component, with all their columns.
+
+    Rows without an id and rows without words are linked with nothing and stay.
+    """
+    found = near_duplicate_components(docs, block_bytes, id_col, text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.join(gone, F.col(f"c{names.index(id_col)}") == F.col("_gone"), "left_anti").toDF(*names)

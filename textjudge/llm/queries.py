@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textjudge.llm import bpe, compression, ctw, exact_dedup, histogram_sort, mixing, ngram_join, packing, rules, secret_scan
@@ -58,10 +58,11 @@ def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, *more: Column) -> DataFrame:
     """Counts and digests of encoded documents with their decoded texts."""
     return encoded.select(
         "doc_id",
+        *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
