@@ -25,11 +25,11 @@ class Bands:
 
     #: (bytes below, least whole ratio, most whole ratio); the last band is open
     whole: tuple[tuple[float, float, float], ...] = (
-        (256, 0.75, 3.5),
-        (1024, 1.15, 4.0),
-        (4096, 1.35, 4.5),
-        (16384, 1.55, 5.5),
-        (float("inf"), 1.65, 8.0),
+        (256, 0.70, 3.5),
+        (1024, 1.08, 4.0),
+        (4096, 1.25, 4.5),
+        (16384, 1.38, 5.5),
+        (float("inf"), 1.40, 8.0),
     )
     chunk_bytes: int = 2048
     #: limits for one full chunk, and the share of bad full chunks that rejects a text
