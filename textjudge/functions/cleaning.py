@@ -116,8 +116,10 @@ def truncate_sentence(text: Column, limit: int = fixed.SENTENCE_LIMIT) -> Column
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
-def compact_payload(payload: Column, limit: int = fixed.PAYLOAD_LIMIT) -> Column:
-    """Payload text, or its head and original length when it is too long to store."""
+def compact_payload(payload: Column, limit: int | None = None) -> Column:
+    """Payload text, or its head and original length when it exceeds a given limit."""
+    if limit is None:
+        return payload
     cut = F.to_json(
         F.struct(
             F.left(payload, F.lit(limit)).alias("_truncated_json"),

@@ -126,15 +126,18 @@ def entry_prompts(entry_rows: DataFrame, templates: DataFrame) -> DataFrame:
     return each.select("eid", "language", prompt.alias("prompt"))
 
 
-def judge_prompt(template: str, language: Column) -> Column:
-    """Faithfulness prompt of an enriched sentence row."""
+def judge_prompt(template: str, language: Column, sentence_limit: int | None = None) -> Column:
+    """Faithfulness prompt of an enriched sentence row; the sentence is whole unless limited."""
+    sentence = T.display(F.col("sentence"))
+    if sentence_limit is not None:
+        sentence = truncate_sentence(sentence, sentence_limit)
     return fill(
         F.lit(template),
         {
             "eid": F.col("eid"),
             "category": F.col("category"),
             "target_language": language,
-            "sentence": truncate_sentence(T.display(F.col("sentence"))),
+            "sentence": sentence,
             "modified_triples": T.display(F.col("modified_triples")),
         },
     )

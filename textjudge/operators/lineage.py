@@ -28,14 +28,3 @@ def materialize(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def fan_out(df: DataFrame) -> DataFrame:
-    """Spread the rows of a small scan over all cores before costly per-row work.
-
-    For scans only: counting the partitions of a plan with shuffles would run them.
-    A scan with fewer partitions than cores is small (one file or row group each); any
-    larger scan is already parallel and stays where it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textjudge.functions.columns import null_if_empty, strip, text_or_empty
 from textjudge.functions.keys import KEY, endpoint, judge_name
+from textjudge.operators.lineage import materialize
 
 RECORD_KEY = ["eid", "source_id", "judge", "at"]
 
@@ -186,6 +187,23 @@ def browse_order(df: DataFrame, score: str | None = None, descending: bool = Fal
     return [by, F.col("eid")]
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with the place (from 1) of each row in the given total order.
+
+    Rows are dealt by ranges of the order and numbered inside their range; the sizes of
+    the ranges before it are added. The ranges come from a sample, so they are kept.
+    """
+    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = materialize(dealt)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = dealt.withColumn("_rank", rank).join(starts, "_range")
+    return placed.withColumn(name, F.col("_start") + F.col("_rank")).drop("_range", "_rank", "_start")
+
+
 def pending_prefix(rows: DataFrame, pending: Column, limit: int, order: Sequence[str]) -> DataFrame:
     """Rows in order up to and including the ``limit``-th pending one.
 

@@ -26,7 +26,7 @@ from textjudge.functions.columns import share
 from textjudge.functions.keys import CLUSTER, expected_label
 from textjudge.operators.index import chunked_index, hash_bucket, hash_number, scatter
 from textjudge.operators.lineage import materialize
-from textjudge.operators.votes import vote_unit
+from textjudge.operators.votes import VOTE_UNIT
 
 BLOCK = 1024
 CI_95 = (0.025, 0.975)
@@ -164,10 +164,9 @@ class PerceivedBootstrap:
     def __init__(
         self, rows: DataFrame, group: Sequence[str] = ("size_group",),
         samples: int = fixed.BOOTSTRAP_SAMPLES, seed: int = fixed.BOOTSTRAP_SEED,
-        block: int = BLOCK, repeats: int = 5,
+        block: int = BLOCK,
     ):
         self.group = list(group)
-        self.unit = vote_unit(repeats)
         indexed = clusters(_weighted(rows, self.group), self.group, MEASURES)
         drawn = replicate_sums(indexed, self.group, MEASURES, samples, seed, block)
         self.replicates = drawn.select(*self.group, "rep", *_ratios())
@@ -192,7 +191,7 @@ class PerceivedBootstrap:
             *base, "predicted_label",
             F.col("value").alias("mean_score"),
             "ci_95_low", "ci_95_high",
-            share(F.col("den"), F.lit(self.unit)).alias("effective_count"),
+            share(F.col("den"), F.lit(VOTE_UNIT)).alias("effective_count"),
         )
 
     def contrasts(self, base: str = "CFA", others: Sequence[str] = ("FA", "FI")) -> DataFrame:

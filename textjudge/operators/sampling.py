@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +14,6 @@ from textjudge.operators.index import hash_number
 SPLIT = ["variant", "size_bucket", "language"]
 CELL = [*SPLIT, "stratum", "model", "dataset", "fluency"]
 QUOTA = fixed.ROWS_PER_STRATUM * len(fixed.STRATA)
-# fixed values: columns of the blind sheet and of the key sheet
-BLIND = (
-    "uid prompt_language triples sentence human_faithfulness_score human_faithfulness_reason "
-    "human_fluency_score human_fluency_reason"
-).split()
-KEY_SHEET = (
-    "uid model params_b size_bucket dataset variant prompt_language eid faithfulness_stratum "
-    "triples sentence judge_faithfulness_score judge_incorrect_information "
-    "judge_fluency_score judge_fluency_comment"
-).split()
 
 
 def candidates(faith: DataFrame, fluency: DataFrame, params: DataFrame) -> DataFrame:
@@ -46,45 +35,35 @@ def _draw(seed: int):
     return hash_number(F.lit(str(seed)), "uid")
 
 
-def _balanced_pick(pool: pd.DataFrame, quota: int) -> pd.DataFrame:
-    """Repeatedly take the row whose stratum, model, data set and fluency are rarest so far."""
-    order = pool.sort_values(["draw", "uid"], kind="stable").reset_index(drop=True)
-    fields = ["stratum", "model", "dataset", "fluency"]
-    codes = [pd.factorize(order[f])[0] for f in fields]
-    used = [[0] * (int(c.max()) + 1) for c in codes]
-    open_rows, picked = list(range(len(order))), []
-    while open_rows and len(picked) < quota:
-        best = min(open_rows, key=lambda i: [u[c[i]] for u, c in zip(used, codes)])
-        open_rows.remove(best)
-        picked.append(best)
-        for u, c in zip(used, codes):
-            u[c[best]] += 1
-    return order.iloc[picked]
+def _ranked(rows: DataFrame, steps, quota: int) -> DataFrame:
+    """Apply ranks (name, group, order) one after the other, each cut at ``quota``.
+
+    The rows behind the first ``quota`` of a group can never enter a larger group's
+    first ``quota``, so every step sees bounded groups.
+    """
+    for name, group, order in steps:
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        rows = rows.withColumn(name, rank).filter(F.col(name) <= quota)
+    return rows
 
 
 def stratified(rows: DataFrame, quota: int = QUOTA, seed: int = fixed.SAMPLE_SEED) -> DataFrame:
-    """``quota`` rows per split, balanced step by step.
+    """``quota`` rows per split by nested turns.
 
-    Rows of one cell are interchangeable, so a cell is first cut to ``quota`` rows by
-    its hash order; this cannot change which cells are picked. The sequential choice
-    then works on a bounded remainder per split. Fluency balance is kept per split.
+    Fluency scores take turns inside a data set, data sets inside a model, models inside a
+    stratum and strata inside a split; rows of one cell come in hash order.
     """
-    columns = ["uid", *CELL, "draw"]
-    drawn = rows.withColumn("draw", _draw(seed)).select(*columns)
-    turn = F.row_number().over(Window.partitionBy(*CELL).orderBy("draw", "uid"))
-    bounded = drawn.withColumn("_turn", turn).filter(F.col("_turn") <= quota).drop("_turn")
-
-    def pick(pool: pd.DataFrame) -> pd.DataFrame:
-        return _balanced_pick(pool, quota)
-
-    chosen = bounded.groupBy(*SPLIT).applyInPandas(pick, schema=bounded.schema)
-    return chosen.drop("draw")
+    groups = [CELL, [*SPLIT, "stratum", "model", "dataset"], [*SPLIT, "stratum", "model"], [*SPLIT, "stratum"], SPLIT]
+    turns = ["_fluency", "_dataset", "_model", "_stratum", "_split"]
+    last = [["draw", "uid"]] + [[turn, "draw", "uid"] for turn in turns[:3]] + [["_stratum", "stratum", "uid"]]
+    ranked = _ranked(rows.withColumn("draw", _draw(seed)), zip(turns, groups, last), quota)
+    return ranked.drop("draw", *turns)
 
 
 def round_robin(rows: DataFrame, quota: int = QUOTA, seed: int = fixed.SAMPLE_SEED) -> DataFrame:
     """The declarative variant: turns by model inside a stratum, by stratum inside a split.
 
-    Every rank is cut at ``quota`` before the next one, so each step sees bounded groups.
+    Model and data set are not balanced beyond that; ``stratified`` does it.
     """
     drawn = rows.withColumn("draw", _draw(seed))
     steps = [
@@ -92,10 +71,7 @@ def round_robin(rows: DataFrame, quota: int = QUOTA, seed: int = fixed.SAMPLE_SE
         ("_b", [*SPLIT, "stratum"], ["_a", "draw", "uid"]),
         ("_c", SPLIT, ["_b", "stratum", "uid"]),
     ]
-    for name, group, order in steps:
-        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-        drawn = drawn.withColumn(name, rank).filter(F.col(name) <= quota)
-    return drawn.drop("draw", "_a", "_b", "_c")
+    return _ranked(drawn, steps, quota).drop("draw", "_a", "_b", "_c")
 
 
 def sheets(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +81,7 @@ def sheets(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
         have = set(sample.columns)
         return sample.select(*[F.col(n) if n in have else F.lit("").alias(n) for n in names])
 
-    return project(BLIND), project(KEY_SHEET)
+    return project(fixed.BLIND_COLUMNS), project(fixed.KEY_SHEET_COLUMNS)
 
 
 def cell_counts(sample: DataFrame) -> DataFrame:

@@ -20,6 +20,11 @@ from textjudge.functions.columns import percent, share, strip, text_or_empty
 from textjudge.functions.keys import KEY, expected_label, soft_accepts
 from textjudge.functions.labels import parse_answer, parse_label
 
+#: Vote shares are whole multiples of one part in VOTE_UNIT, so that weighted sums do not
+#: depend on partitioning. Exact for up to twenty parsed answers of a record; with more, a
+#: share is off by less than one part in four hundred million.
+VOTE_UNIT = math.lcm(*range(1, 21))
+
 REPEAT_COLUMN = re.compile(r"sentence_\d+")
 
 
@@ -34,7 +39,7 @@ def unpivot_repeats(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     columns = answer_columns(df.columns)
     long = df.unpivot(list(keys), columns, "_column", "answer")
     number = F.coalesce(
-        F.try_to_number(F.regexp_extract("_column", r"(\d+)$", 1), F.lit("999999")).cast("int"),
+        F.regexp_extract("_column", r"(\d+)$", 1).try_cast("int"),
         F.lit(1),
     )
     return long.select(*keys, number.alias("repeat_idx"), "answer")
@@ -46,7 +51,8 @@ def pivot_repeats(
     """Long repeats to one wide row per key.
 
     The first repeat doubles as the bare column. Keys without a successful
-    (non-empty) answer are omitted.
+    (non-empty) answer are omitted. A repeat outside 1..``repeats`` is an error, as it
+    would have no column.
     """
     stems = {"answer": "sentence"}
     cells = []
@@ -56,6 +62,11 @@ def pivot_repeats(
             cell = F.max(F.when(F.col("repeat_idx") == i, F.col(value)))
             cells.append(F.coalesce(cell, F.lit("")).alias(f"{stem}_{i}"))
     good = F.count_if(strip(text_or_empty(F.col(values[0]))) != "").alias("_good")
+    inside = F.col("repeat_idx").between(1, repeats)
+    known = F.when(inside, F.col("repeat_idx")).otherwise(
+        F.raise_error(F.concat(F.lit(f"repeat outside 1..{repeats}: "), F.col("repeat_idx").cast("string")))
+    )
+    df = df.withColumn("repeat_idx", known)
     wide = df.groupBy(*keys).agg(good, *cells).filter("_good > 0").drop("_good")
     for value in values:
         stem = stems.get(value, value)
@@ -73,12 +84,10 @@ def _winner(n: dict[str, Column], tie: dict[str, Column]) -> Column:
     return F.when(_sum(list(n.values())) > 0, best["label"]).otherwise("")
 
 
-def _vote_columns(
-    n: dict[str, Column], first: dict[str, Column], answers: Column, repeats: int
-) -> list[Column]:
+def _vote_columns(n: dict[str, Column], first: dict[str, Column], answers: Column) -> list[Column]:
     parsed = _sum(list(n.values()))
     order = {x: F.lit(i) for i, x in enumerate(fixed.LABELS)}
-    unit = F.try_divide(F.lit(vote_unit(repeats)), parsed).cast("long")
+    # nearest whole number of units, in integers; exact for up to twenty parsed answers
     distinct = _sum([(n[x] > 0).cast("int") for x in n])
     out = [n[x].cast("int").alias(f"votes_{x}") for x in n]
     # a label that was never seen cannot win, so its position is irrelevant
@@ -92,17 +101,17 @@ def _vote_columns(
         share(answers - parsed, answers).alias("invalid_rate"),
     ]
     out += [F.coalesce(share(n[x], parsed), F.lit(0.0)).alias(f"vote_share_{x}") for x in n]
-    # shares as whole multiples of 1/unit, so that weighted sums stay exact
-    out += [F.coalesce(n[x] * unit, F.lit(0)).cast("long").alias(f"units_{x}") for x in n]
+    out += [F.coalesce(_units(n[x], parsed), F.lit(0)).cast("long").alias(f"units_{x}") for x in n]
     return out
 
 
-def vote_unit(repeats: int) -> int:
-    """Common denominator of all vote shares over up to ``repeats`` answers."""
-    return math.lcm(*range(1, repeats + 1))
+def _units(votes: Column, parsed: Column) -> Column:
+    """votes / parsed in whole units, rounded to the nearest one without leaving integers."""
+    twice = votes.cast("long") * (2 * VOTE_UNIT) + parsed
+    return (twice - F.pmod(twice, F.nullif(2 * parsed, F.lit(0).cast("long")))) / (2 * parsed)
 
 
-def vote_long(df: DataFrame, keys: Sequence[str] = KEY, repeats: int = 5, parser=parse_label) -> DataFrame:
+def vote_long(df: DataFrame, keys: Sequence[str] = KEY, parser=parse_label) -> DataFrame:
     """Votes, unanimity and shares from long answers: one aggregation on the key."""
     labelled = df.withColumn("_label", parser(F.col("answer")))
     counts = [F.count(F.lit(1)).alias("_answers")]
@@ -113,7 +122,7 @@ def vote_long(df: DataFrame, keys: Sequence[str] = KEY, repeats: int = 5, parser
     grouped = labelled.groupBy(*keys).agg(*counts)
     n = {x: F.col(f"_n_{x}") for x in fixed.LABELS}
     first = {x: F.col(f"_first_{x}") for x in fixed.LABELS}
-    return grouped.select(*keys, *_vote_columns(n, first, F.col("_answers"), repeats))
+    return grouped.select(*keys, *_vote_columns(n, first, F.col("_answers")))
 
 
 def vote_wide(df: DataFrame, keys: Sequence[str] = KEY, parser=parse_label) -> DataFrame:
@@ -125,14 +134,16 @@ def vote_wide(df: DataFrame, keys: Sequence[str] = KEY, parser=parse_label) -> D
     first = {
         x: F.coalesce(*[F.when(m == x, F.lit(i)) for i, m in enumerate(marks)]) for x in fixed.LABELS
     }
-    out = _vote_columns(n, first, F.lit(len(columns)), len(columns))
+    out = _vote_columns(n, first, F.lit(len(columns)))
     return labelled.select(*keys, *out)
 
 
-def answer_format(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+def answer_format(
+    df: DataFrame, keys: Sequence[str] = KEY, examples: int | None = None, example_chars: int | None = None
+) -> DataFrame:
     """Per key: counts by parse status, vote, raw unanimity and correctness.
 
-    ``multiple`` also counts as recovered and ``empty`` also as unparsed.
+    All non-exact answers are listed whole unless the caller limits them. ``multiple`` also counts as recovered and ``empty`` also as unparsed.
     """
     read = df.withColumn("_a", parse_answer(F.col("answer"))).withColumn(
         "_raw", strip(text_or_empty(F.col("answer")))
@@ -148,7 +159,7 @@ def answer_format(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
         (F.min("_raw") == F.max("_raw")).alias("raw_unanimous"),
     ]
     aggs += [F.count_if(F.col("_a.label") == x).alias(f"_n_{x}") for x in fixed.LABELS]
-    grouped = df_examples(read, keys, aggs)
+    grouped = _with_examples(read, keys, aggs, examples, example_chars)
     n = {x: F.col(f"_n_{x}") for x in fixed.LABELS}
     order = {x: F.lit(i) for i, x in enumerate(fixed.LABELS)}
     parsed, distinct = _sum(list(n.values())), _sum([(n[x] > 0).cast("int") for x in n])
@@ -165,15 +176,18 @@ def answer_format(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     ).drop(*[f"_n_{x}" for x in n])
 
 
-def df_examples(read: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
-    """Add the first few non-exact answers of each key, shortened for display."""
+def _with_examples(
+    read: DataFrame, keys: Sequence[str], aggs: Sequence[Column], most: int | None, chars: int | None
+) -> DataFrame:
+    """Add the non-exact answers of each key in repeat order; a key has one per repeat."""
+    text = F.col("_raw") if chars is None else F.left("_raw", F.lit(chars))
     example = F.when(
-        (F.col("_a.status") != "exact") & (F.col("_raw") != ""),
-        F.struct("repeat_idx", F.left("_raw", F.lit(fixed.EXAMPLE_LIMIT)).alias("text")),
+        (F.col("_a.status") != "exact") & (F.col("_raw") != ""), F.struct("repeat_idx", text.alias("text"))
     )
     listed = F.sort_array(F.collect_list(example))
-    few = F.transform(F.slice(listed, 1, fixed.EXAMPLES_PER_ENTRY), lambda e: e["text"])
-    return read.groupBy(*keys).agg(*aggs, F.array_join(few, " || ").alias("raw_examples"))
+    shown = listed if most is None else F.slice(listed, 1, most)
+    texts = F.transform(shown, lambda e: e["text"])
+    return read.groupBy(*keys).agg(*aggs, F.array_join(texts, " || ").alias("raw_examples"))
 
 
 def format_summary(per_key: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
@@ -339,10 +353,11 @@ def classification_metrics(votes: DataFrame, keys: Sequence[str] = ("model",)) -
             percent(F.col("_bad"), F.col("_answers")).alias("invalid"),
         )
     )
+    # the table has one row per model: the extremes are taken over it, not over the votes
+    table = Window.partitionBy(F.lit(0))
+
     def is_best(value: str, extreme) -> Column:
-        # scalar sub-query over the table of one row per model
-        best = grouped.agg(extreme(value)).scalar()
-        return F.bround(F.col(value), 2) == F.bround(best, 2)
+        return F.bround(F.col(value), 2) == F.bround(extreme(value).over(table), 2)
 
     return grouped.withColumns(
         {
@@ -353,10 +368,6 @@ def classification_metrics(votes: DataFrame, keys: Sequence[str] = ("model",)) -
     )
 
 
-def unit_columns() -> list[str]:
-    return [f"units_{x}" for x in fixed.LABELS]
-
-
 def soft_sums(rows: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
     """Exact weighted sums per group: numerators and weights in vote units."""
     aggs = []
@@ -366,11 +377,9 @@ def soft_sums(rows: DataFrame, keys: Sequence[str], score: str = "score") -> Dat
     return rows.groupBy(*keys).agg(*aggs)
 
 
-def soft_long(
-    sums: DataFrame, keys: Sequence[str], repeats: int = 5, weights: bool = False
-) -> DataFrame:
+def soft_long(sums: DataFrame, keys: Sequence[str], weights: bool = False) -> DataFrame:
     """Weighted mean and effective count per label from weighted sums."""
-    unit = F.lit(vote_unit(repeats))
+    unit = F.lit(VOTE_UNIT)
     cells = F.array(
         *[
             F.struct(
@@ -386,18 +395,18 @@ def soft_long(
     return out if weights else out.drop("weight")
 
 
-def soft_means(rows: DataFrame, keys: Sequence[str], repeats: int = 5) -> DataFrame:
-    return soft_long(soft_sums(rows, keys), keys, repeats)
+def soft_means(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return soft_long(soft_sums(rows, keys), keys)
 
 
-def macro_means(rows: DataFrame, repeats: int = 5) -> DataFrame:
+def macro_means(rows: DataFrame) -> DataFrame:
     """True x perceived class: ratio per model, then the mean over models.
 
     Ratios are added in model order, so the result does not depend on partitioning.
     """
     keys = ["true_label", "model"]
     sums = soft_sums(rows.withColumn("true_label", expected_label(F.col("variant"))), keys)
-    cells = soft_long(sums, keys, repeats, weights=True)
+    cells = soft_long(sums, keys, weights=True)
     # at most one ratio per model in each cell
     listed = F.array_sort(
         F.collect_list(F.when(F.col("mean_score").isNotNull(), F.struct("model", "mean_score")))
@@ -405,6 +414,6 @@ def macro_means(rows: DataFrame, repeats: int = 5) -> DataFrame:
     total = F.aggregate(listed, F.lit(0.0), lambda acc, e: acc + e["mean_score"])
     return cells.groupBy("true_label", "predicted_label").agg(
         F.try_divide(total, F.size(listed)).alias("mean_score"),
-        share(F.sum("weight"), F.lit(vote_unit(repeats))).alias("effective_count"),
+        share(F.sum("weight"), F.lit(VOTE_UNIT)).alias("effective_count"),
         F.count("mean_score").alias("models"),
     )

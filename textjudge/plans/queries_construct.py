@@ -97,21 +97,56 @@ def sample_rows(t: Tables):
     return A.candidates(latest_faith(t).select(*KEY, "score"), latest_fluency(t), params)
 
 
-@query("stratified_sample")
+helper("o_candidates", f"""SELECT {_KEYS}, params_b, f.score AS faithfulness, u.score AS fluency,
+    concat(f.model, '__', f.dataset, '_', f.variant, '_', f.language, '__', f.eid) AS uid,
+    CASE WHEN params_b < 10 THEN 'small' WHEN params_b < 100 THEN 'medium' ELSE 'large' END AS size_bucket,
+    CASE f.score WHEN 1 THEN '1' WHEN 5 THEN '5' ELSE '2-4' END AS stratum
+  FROM v_latest_faith f JOIN v_latest_fluency u USING ({_KEYS}) JOIN o_params USING (model)""")
+
+
+_TURNS = [
+    ("f", "variant, size_bucket, language, stratum, model, dataset, fluency", "draw, uid"),
+    ("d", "variant, size_bucket, language, stratum, model, dataset", "f, draw, uid"),
+    ("m", "variant, size_bucket, language, stratum, model", "d, draw, uid"),
+    ("s", "variant, size_bucket, language, stratum", "m, draw, uid"),
+    ("q", "variant, size_bucket, language", "s, stratum, uid"),
+]
+_turned = "SELECT *, @DRAW(concat_ws('|', '140', uid)) AS draw FROM o_candidates"
+for _name, _group, _order in _TURNS:
+    _turned = f"SELECT *, row_number() OVER (PARTITION BY {_group} ORDER BY {_order}) AS {_name} FROM ({_turned}) x{_name}"
+helper("o_sampled", f"SELECT * FROM ({_turned}) y WHERE q <= 15")
+
+
+@query("stratified_sample", "SELECT uid, variant, size_bucket, language, stratum, model, dataset, fluency FROM o_sampled")
 def stratified_sample(t: Tables):
-    return A.stratified(sample_rows(t))
+    return A.stratified(sample_rows(t)).select("uid", *A.CELL)
 
 
-@query("sample_cell_counts")
+@query("sample_cell_counts", "SELECT variant, size_bucket, language, stratum, count(*) AS n FROM o_sampled GROUP BY ALL")
 def sample_cell_counts(t: Tables):
     return A.cell_counts(A.stratified(sample_rows(t)))
 
 
-helper("o_candidates", f"""SELECT {_KEYS}, f.score AS faithfulness, u.score AS fluency,
-    concat(f.model, '__', f.dataset, '_', f.variant, '_', f.language, '__', f.eid) AS uid,
-    CASE WHEN params_b < 10 THEN 'small' WHEN params_b < 100 THEN 'medium' ELSE 'large' END AS size_bucket,
-    CASE f.score WHEN 1 THEN '1' WHEN 5 THEN '5' ELSE '2-4' END AS stratum
-  FROM v_latest_faith f JOIN v_latest_fluency u USING ({_KEYS}) JOIN o_params USING (model)""")
+def sheet_rows(t: Tables):
+    """Sampled rows under the column names of the sheets."""
+    return A.stratified(sample_rows(t)).select(
+        "uid", "model", "params_b", "size_bucket", "dataset", "variant", F.col("language").alias("prompt_language"), "eid",
+        F.col("stratum").alias("faithfulness_stratum"), F.col("faithfulness").alias("judge_faithfulness_score"),
+        F.col("fluency").alias("judge_fluency_score"),
+    )
+
+
+@query("blind_sheet", """SELECT uid, language AS prompt_language, '' AS triples, '' AS sentence, '' AS human_faithfulness_score,
+  '' AS human_faithfulness_reason, '' AS human_fluency_score, '' AS human_fluency_reason FROM o_sampled""")
+def blind_sheet(t: Tables):
+    return A.sheets(sheet_rows(t))[0]
+
+
+@query("key_sheet", """SELECT uid, model, params_b, size_bucket, dataset, variant, language AS prompt_language, eid, stratum AS faithfulness_stratum,
+  '' AS triples, '' AS sentence, faithfulness AS judge_faithfulness_score, '' AS judge_incorrect_information,
+  fluency AS judge_fluency_score, '' AS judge_fluency_comment FROM o_sampled""")
+def key_sheet(t: Tables):
+    return A.sheets(sheet_rows(t))[1]
 
 
 @query("stratified_round_robin", """SELECT uid, variant, size_bucket, language, stratum FROM (

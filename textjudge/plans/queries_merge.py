@@ -191,16 +191,11 @@ def browse_scope(t: Tables):
 
 @query("browse_sorted", """SELECT eid, annotation_score, row_number() OVER (ORDER BY annotation_score DESC NULLS LAST, eid) AS place
   FROM (SELECT DISTINCT eid FROM v_triples) e LEFT JOIN (SELECT eid, avg(score) AS annotation_score FROM o_latest_ann
-    WHERE source_id IN ('src0', 'src1') GROUP BY eid) s USING (eid) ORDER BY place LIMIT 500""")
+    WHERE source_id IN ('src0', 'src1') GROUP BY eid) s USING (eid)""")
 def browse_sorted(t: Tables):
-    # the browser shows one page of the ordered entries
     scores = M.entry_scores(latest_ann(t), ["src0", "src1"])
     rows = t.v_triples.select("eid").distinct().join(scores, "eid", "left")
-    page = rows.orderBy(*M.browse_order(rows, "annotation_score", descending=True)).limit(500)
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy(*M.browse_order(page, "annotation_score", True)))
-    return page.withColumn("place", place)
+    return M.numbered(rows, M.browse_order(rows, "annotation_score", descending=True), "place")
 
 
 @query("entry_scores", """SELECT eid, avg(score) AS annotation_score FROM o_latest_ann
@@ -299,7 +294,7 @@ def capability_means(t: Tables):
     from textjudge.operators.scores import mean_by
 
     means = mean_by(latest_faith(t), ["dataset", "language", "model"])
-    return means.join(F.broadcast(capability(t)), "model").orderBy("dataset", "language", "aaii", "model")
+    return means.join(capability(t), "model").orderBy("dataset", "language", "aaii", "model")
 
 
 @query("capability_unmatched", "SELECT DISTINCT model FROM v_latest_faith WHERE model NOT IN (SELECT model FROM o_capability)")

@@ -70,24 +70,19 @@ def failures_by_type(t: Tables):
     return J.failures_by_type(J.read_failures(t.spark, path, glob="*.txt"))
 
 
-def _output_tree(t: Tables, df, columns) -> str:
-    """CSV files below folders that end in ``<model>/<stem>.csv``."""
-    path = K.scratch(t.spark)
-    named = df.withColumns({"_m": F.col("model"), "_f": F.concat(_stem(), F.lit(".csv"))})
-    named.select("_m", "_f", *columns).repartition("_m", "_f").write.partitionBy("_m", "_f").option(
-        "header", "true"
-    ).option("escape", '"').csv(path)
-    return path
-
-
-def _from_folders(df):
+def _place(path):
     """Partition folders of a test tree stand for the model folder and file name."""
-    from textjudge.functions.keys import parse_combo
+    return F.regexp_extract(path, "_m=([^/]*)", 1), F.regexp_extract(path, "_f=([^/]*)", 1)
 
-    path = F.col("_metadata.file_path")
-    model = F.regexp_extract(path, "_m=([^/]*)", 1)
-    combo = parse_combo(F.regexp_extract(path, "_f=([^/]*)", 1))
-    return df.select(model.alias("model"), combo.alias("_c"), *df.columns).select("model", "_c.*", *df.columns)
+
+def _mixed_tree(t: Tables, df, columns: list[str]) -> str:
+    """Output files with three column orders in one tree, by variant."""
+    path = K.scratch(t.spark)
+    orders = {"fa": columns, "cf": columns[::-1], "fi": [*columns[1:], columns[0]]}
+    for variant, order in orders.items():
+        part = df.where(F.col("variant") == variant).select(*order, F.col("model").alias("_m"), _stem().alias("_f"))
+        part.write.mode("append").partitionBy("_m", "_f").option("header", "true").option("escape", '"').csv(path)
+    return path
 
 
 _WIDE = ["eid", "sentence", *[f"sentence_{i}" for i in range(1, 6)]]
@@ -98,9 +93,8 @@ _WIDE = ["eid", "sentence", *[f"sentence_{i}" for i in range(1, 6)]]
 def scan_classified(t: Tables):
     from textjudge.functions.labels import parse_label
 
-    path = _output_tree(t, V.pivot_repeats(t.v_answers), _WIDE)
-    wide = _from_folders(S._reader(t.spark).schema(S._strings(_WIDE)).csv(path))
-    long = V.unpivot_repeats(wide)
+    path = _mixed_tree(t, V.pivot_repeats(t.v_answers), _WIDE)
+    long = S.read_classified(t.spark, path, place=_place)
     return long.groupBy("model", parse_label(F.col("answer")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -109,10 +103,17 @@ def scan_generated(t: Tables):
     rows = t.sql(HELPERS["o_generated"]).select(
         *KEY, F.col("triple_count").alias("size"), F.lit("one, \"two\"\nthree").alias("sentence")
     )
-    columns = ["eid", "size", "sentence"]
-    path = _output_tree(t, rows, columns)
-    back = _from_folders(S._reader(t.spark).schema(S._strings(columns)).csv(path))
-    return back.select(*KEY, F.col("size").try_cast("int").alias("triple_count"))
+    path = _mixed_tree(t, rows, ["eid", "size", "sentence"])
+    return S.read_generated(t.spark, path, place=_place).select(*KEY, "triple_count")
+
+
+@query("scan_sentences", f"SELECT {_KEYS}, sentence, NULL::VARCHAR AS shape, size FROM (SELECT {_KEYS}, 'a, \"b\"' AS sentence, triple_count AS size FROM o_generated) x")
+def scan_sentences(t: Tables):
+    rows = t.sql(HELPERS["o_generated"]).select(
+        *KEY, F.col("triple_count").alias("size"), F.lit("NA").alias("shape"), F.lit('a, "b"').alias("sentence")
+    )
+    path = _mixed_tree(t, rows, ["shape", "eid", "size", "sentence"])
+    return S.read_sentences(t.spark, path, place=_place).select(*KEY, "sentence", "shape", "size")
 
 
 @query("scan_triples", """SELECT eid, pos, category, NULL::VARCHAR AS shape, subject, predicate, object FROM v_triples""")

@@ -12,7 +12,6 @@ from textjudge.functions import verdicts as J
 from textjudge.functions.keys import KEY
 from textjudge.operators import construct as N
 from textjudge.operators import issues as I
-from textjudge.operators.lineage import fan_out
 from textjudge.plans.registry import HELPERS, helper, query
 from textjudge.plans.views import Tables
 
@@ -59,7 +58,7 @@ _DOC_LINES = f"""(SELECT doc_id, content, array_to_string(list_filter(list_trans
     ) + " z",
 )
 def clean_generated(t: Tables):
-    return fan_out(t.v_chatter).select("doc_id", G.clean_generated(F.col("content")).alias("sentence"))
+    return t.v_chatter.select("doc_id", G.clean_generated(F.col("content")).alias("sentence"))
 
 
 @query("strip_quotes", "SELECT doc_id, txt FROM " + _layers(
@@ -203,7 +202,7 @@ helper("o_explained", """SELECT event_id, item_index, replace(comment, '_', ' ')
     f"WHEN regexp_matches(explanation, '(?i){p}') THEN '{name}'" for name, p in fixed.ISSUE_PATTERNS)
     + " ELSE '' END AS issue FROM o_explained")
 def classify_issue(t: Tables):
-    rows = fan_out(t.sql(HELPERS["o_explained"]))
+    rows = t.sql(HELPERS["o_explained"])
     return rows.select(
         "event_id", "item_index", C.classify_issue(F.lit(""), F.col("explanation")).alias("issue")
     )
@@ -333,8 +332,7 @@ def build_prompts(t: Tables):
 _JUDGE_TEMPLATE = "Judge {eid} in {target_language}: {sentence}\nFacts:\n{modified_triples}"
 
 
-@query("judge_prompts", """SELECT source_id, eid, concat('Judge ', eid, ' in Czech (cs): ',
-    CASE WHEN length(s) > 500 THEN concat(left(s, 500), ' ... [sentence truncated]') ELSE s END, chr(10), 'Facts:', chr(10), triples) AS prompt
+@query("judge_prompts", """SELECT source_id, eid, concat('Judge ', eid, ' in Czech (cs): ', s, chr(10), 'Facts:', chr(10), triples) AS prompt
   FROM (SELECT source_id, eid, replace(sentence, '_', ' ') AS s FROM v_outputs WHERE trim(sentence) <> '') o
   JOIN (SELECT eid, string_agg(concat('- ', replace(subject, '_', ' '), ' | ', predicate, ' | ', replace(object, '_', ' ')),
     chr(10) ORDER BY pos) AS triples FROM v_triples GROUP BY eid) e USING (eid)""")
@@ -344,6 +342,17 @@ def judge_prompts(t: Tables):
     return rows.select("source_id", "eid", prompt.alias("prompt"))
 
 
+_FLUENCY_TEMPLATE = "Rate this {language} sentence about {entity_language} facts ({lexical_terms}): {sentence}"
+
+
+@query("fluency_prompts", """SELECT source_id, eid, concat('Rate this Czech sentence about English facts (- ', sj, chr(10), '- ', sp, '): ', replace(sentence, '_', ' ')) AS prompt
+  FROM (SELECT source_id, eid, sentence, 'a b' AS sj, 'c' AS sp FROM v_outputs) o""")
+def fluency_prompts(t: Tables):
+    terms = F.array(F.lit("a b"), F.lit("c"))
+    prompt = N.fluency_prompt(_FLUENCY_TEMPLATE, F.lit("Czech"), F.lit("English"), terms)
+    return t.v_outputs.select("source_id", "eid", prompt.alias("prompt"))
+
+
 helper("o_verdict_json", """SELECT event_id, CASE k % 5
     WHEN 0 THEN concat('{"eid":"', eid, '","parsed":{"faithfulness_score":3,"incorrect_information":[{"info_used":"a","correct_info":"x | p | y","comment":"omission: k"},{"comment":"reverse","info_used":" b "}],"style_comment":" fine "}}')
     WHEN 1 THEN concat('{"eid":"', eid, '","request_cost":0.25,"parsed":{"score":2,"unsupported_facts":["f1","f2"],"rationale":"since"}}')
@@ -407,18 +416,18 @@ def keyword_oracle(source: str, group: str, text: str, stop, size: int) -> str:
 
 @query("keyword_unigrams", keyword_oracle("documents", "lang", "text", fixed.ERROR_STOPWORDS, 1))
 def keyword_unigrams(t: Tables):
-    return I.keywords(fan_out(t.documents), ["lang"], "text", fixed.ERROR_STOPWORDS, 1)
+    return I.keywords(t.documents, ["lang"], "text", fixed.ERROR_STOPWORDS, 1)
 
 
 @query("keyword_bigrams", keyword_oracle("documents", "lang", "text", fixed.ERROR_STOPWORDS, 2))
 def keyword_bigrams(t: Tables):
-    return I.keywords(fan_out(t.documents), ["lang"], "text", fixed.ERROR_STOPWORDS, 2)
+    return I.keywords(t.documents, ["lang"], "text", fixed.ERROR_STOPWORDS, 2)
 
 
 @query("compact_payload", """SELECT doc_id, CASE WHEN length(text) > 4000 THEN length(text) END AS original_length,
   CASE WHEN length(text) > 4000 THEN left(text, 4000) ELSE text END AS kept FROM documents""")
 def compact_payload(t: Tables):
-    rows = t.documents.select("doc_id", "text", G.compact_payload(F.col("text")).alias("p"))
+    rows = t.documents.select("doc_id", "text", G.compact_payload(F.col("text"), fixed.PAYLOAD_LIMIT).alias("p"))
     cut = F.from_json("p", "_truncated_json string, _original_length int")
     long = F.length("text") > fixed.PAYLOAD_LIMIT
     return rows.select(

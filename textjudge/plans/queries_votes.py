@@ -107,6 +107,22 @@ def scored_votes(t: Tables):
     return join_one_to_one(latest_faith(t).select(*KEY, "score", "event_id"), votes(t))
 
 
+# up to nine answers per key; shares as plain fractions over the least common denominator
+_MANY = f"""SELECT {_KEYS}, repeat_idx, answer FROM v_answers
+  UNION ALL SELECT {_KEYS}, repeat_idx + 5 AS repeat_idx, answer FROM v_answers WHERE repeat_idx <= 4"""
+
+
+@query("soft_means_many_answers", f"""SELECT model, x AS predicted_label, sum(score * n * (2520 // parsed))::DOUBLE / nullif(sum(n * (2520 // parsed)), 0) AS mean_score,
+    sum(n * (2520 // parsed))::DOUBLE / 2520 AS effective_count
+  FROM (SELECT {_KEYS}, x, count(*) FILTER (label = x) AS n, count(*) FILTER (label <> '') AS parsed
+    FROM (SELECT {_KEYS}, label FROM o_labels UNION ALL SELECT {_KEYS}, label FROM o_labels WHERE repeat_idx <= 4) a,
+      (VALUES ('CFA'), ('FA'), ('FI')) l(x) GROUP BY ALL HAVING parsed > 0) v
+  JOIN v_latest_faith f USING ({_KEYS}) GROUP BY model, x""")
+def soft_means_many_answers(t: Tables):
+    voted = V.vote_long(t.sql(_MANY))
+    return V.soft_means(join_one_to_one(latest_faith(t).select(*KEY, "score"), voted), ["model"])
+
+
 @query("sanitize_label", f"""
 SELECT {_KEYS}, repeat_idx, CASE WHEN answer = '' THEN answer WHEN len(edge) = 1 THEN edge[1]
     WHEN len(edge) > 1 THEN 'INVALID' WHEN len(named) = 1 THEN named[1] WHEN len(named) > 1 THEN 'INVALID'
@@ -329,7 +345,7 @@ helper("o_format", f"""SELECT {_KEYS}, count(*) AS answers, count(*) FILTER (sta
   count(*) FILTER (status IN ('unparsed', 'empty')) AS unparsed, count(*) FILTER (status <> 'exact') AS non_exact,
   min(txt) = max(txt) AS raw_unanimous, count(*) FILTER (label <> '') = count(*) AND
   count(DISTINCT label) FILTER (label <> '') = 1 AS unanimous,
-  coalesce(array_to_string(list(left(txt, 400) ORDER BY repeat_idx) FILTER (status <> 'exact' AND txt <> '')[1:3], ' || '), '') AS raw_examples,
+  coalesce(array_to_string(list(txt ORDER BY repeat_idx) FILTER (status <> 'exact' AND txt <> ''), ' || '), '') AS raw_examples,
   count(*) FILTER (label = 'CFA') AS c, count(*) FILTER (label = 'FA') AS f, count(*) FILTER (label = 'FI') AS i
   FROM o_status GROUP BY ALL""")
 helper("o_format_votes", """SELECT *, CASE WHEN c + f + i = 0 THEN '' WHEN c >= f AND c >= i THEN 'CFA'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,54 +30,88 @@ def _reader(spark: SparkSession):
     )
 
 
+def file_place(path: Column) -> tuple[Column, Column]:
+    """Model folder and file stem of ``<model>/<stem>.csv``."""
+    return K.parent_name(path), K.file_stem(path)
+
+
+def _records(spark: SparkSession, root: str, columns: Sequence[str]) -> DataFrame:
+    """All records below ``root`` without header rules: path, order in the file, cells.
+
+    A file with quoted line breaks is one task, so the running number follows the file.
+    """
+    read = _reader(spark).option("header", "false").option("pathGlobFilter", "*.csv")
+    return read.schema(_strings(columns)).csv(root).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.monotonically_increasing_id().alias("record_no"),
+        *columns,
+    )
+
+
 def _width(spark: SparkSession, root: str) -> int:
-    """Number of columns of the widest header below ``root``; one number reaches the driver."""
-    line = F.ltrim("value", F.lit(BOM))
-    header = F.rlike(line, F.lit('^"?eid"?,'))
-    sizes = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root)
-        .select(F.max(F.when(header, F.size(F.split(line, ",")))).alias("n"))
+    """No fewer cells than the widest first record has; one number reaches the driver."""
+    # a record with more cells than the schema has is given whole in the second column
+    whole = (
+        _reader(spark).option("header", "false").option("pathGlobFilter", "*.csv").option("columnNameOfCorruptRecord", "_whole")
+        .schema(_strings(["_c0", "_whole"])).csv(root)
+        .select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("record_no"), "_c0", "_whole")
     )
-    return sizes.first()["n"] or 1
+    first = whole.groupBy("path").agg(F.min_by(F.coalesce("_whole", "_c0"), "record_no").alias("header"))
+    return first.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
 
 
-def read_outputs(spark: SparkSession, root: str, width: int | None = None) -> DataFrame:
-    """Output rows of a ``<model>/<stem>.csv`` tree with their cells as a map by header name.
+def read_headers(spark: SparkSession, root: str, width: int | None = None, place=file_place) -> DataFrame:
+    """One row per file: path, first_no, names (of its first record), model, combo and problem.
 
-    Files of one tree may have different headers. All of them are read in one scan
-    without header, and every row meets the header row of its own file again through a
-    join on the path; nothing about single files passes through the driver.
+    ``problem`` says why no row of the file can be used: its header names no ``eid``, or
+    its name is no combination. It is null for good files.
     """
     columns = [f"_c{i}" for i in range(width or _width(spark, root))]
-    raw = (
-        _reader(spark).option("header", "false").option("pathGlobFilter", "*.csv")
-        .schema(_strings(columns)).csv(root)
-        .select(F.col("_metadata.file_path").alias("path"), F.array(*columns).alias("cells"))
-    )
-    first = F.ltrim(F.get("cells", F.lit(0)), F.lit(BOM))
-    headers = raw.filter(first == "eid").select(
-        "path", F.transform(F.array_compact("cells"), lambda c: F.ltrim(c, F.lit(BOM))).alias("names")
+    records = _records(spark, root, columns)
+    first = records.groupBy("path").agg(F.min("record_no").alias("first_no"), F.min_by(F.array(*columns), "record_no").alias("cells"))
+    clean = F.transform("cells", lambda c: F.trim(F.ltrim(F.coalesce(c, F.lit("")), F.lit(BOM))))
+    folder, stem = place(F.col("path"))
+    named = first.select("path", "first_no", clean.alias("names"), K.canonical_model(folder).alias("model"), K.parse_combo(stem).alias("combo"))
+    problem = (
+        F.when(~F.array_contains("names", "eid"), F.lit("header without eid"))
+        .when(F.col("combo.dataset").isNull(), F.lit("file name is no combination"))
     )
-    rows = raw.filter(first != "eid").join(headers, "path")
-    values = F.slice("cells", F.lit(1), F.size("names"))
-    table = rows.select("path", "names", F.map_from_arrays("names", values).alias("cells"))
-    combo = K.parse_combo(K.file_stem(F.col("path")))
+    return named.withColumn("problem", problem)
+
+
+def bad_files(spark: SparkSession, root: str, width: int | None = None, place=file_place) -> DataFrame:
+    """(path, problem) of the files that ``read_outputs`` cannot use."""
+    return read_headers(spark, root, width, place).where("problem IS NOT NULL").select("path", "problem")
+
+
+def read_outputs(spark: SparkSession, root: str, width: int | None = None, place=file_place) -> DataFrame:
+    """Output rows of a ``<model>/<stem>.csv`` tree with their cells as a map by header name.
+
+    Files of one tree may have different headers, in any column order. Every row meets
+    the first record of its own file through a join with one row per file, which Spark
+    broadcasts while it is small. Of columns with the same name the first counts.
+    """
+    width = width or _width(spark, root)
+    columns = [f"_c{i}" for i in range(width)]
+    headers = read_headers(spark, root, width, place).where("problem IS NULL").drop("problem")
+    rows = _records(spark, root, columns).join(headers, "path").where("record_no > first_no")
+    cell = F.transform("names", lambda n, i: F.struct(n.alias("name"), F.get(F.array(*columns), i).alias("value"), i.alias("i")))
+    used = F.filter(cell, lambda e: (e["name"] != "") & (F.array_position("names", e["name"]) == e["i"] + 1))
+    pairs = F.transform(used, lambda e: F.struct(e["name"], e["value"]))
+    table = rows.select("model", "combo.*", F.map_from_entries(pairs).alias("cells"))
     return table.select(
-        K.canonical_model(K.parent_name(F.col("path"))).alias("model"),
-        combo.alias("_c"),
-        F.element_at("cells", "eid").alias("eid"),
-        "names",
-        "cells",
-    ).select("model", "_c.*", "eid", "names", "cells").filter(F.col("dataset").isNotNull())
+        *[c for c in table.columns if c != "cells"],
+        F.element_at("cells", "eid").alias("eid"), F.map_keys("cells").alias("names"), "cells",
+    )
 
 
-def read_classified(spark: SparkSession, root: str, width: int | None = None) -> DataFrame:
+def read_classified(spark: SparkSession, root: str, width: int | None = None, place=file_place) -> DataFrame:
     """Classification answers in long form (key, repeat_idx, answer).
 
     Repeat columns are ``sentence_<n>``; the bare ``sentence`` counts only in files
     without repeats. Empty answers stay, as they count as unparsed.
     """
-    rows = read_outputs(spark, root, width)
+    rows = read_outputs(spark, root, width, place)
     repeats = F.filter("names", lambda n: F.rlike(n, F.lit(r"^sentence_\d+$")))
     bare = F.filter("names", lambda n: n == "sentence")
     used = F.when(F.size(repeats) > 0, repeats).otherwise(bare)
@@ -87,17 +121,17 @@ def read_classified(spark: SparkSession, root: str, width: int | None = None) ->
     )
 
 
-def read_generated(spark: SparkSession, root: str, width: int | None = None) -> DataFrame:
-    """(key, triple_count) of every generated sentence."""
-    size = F.element_at("cells", "size").try_cast("int").alias("triple_count")
-    return read_outputs(spark, root, width).select(*K.KEY, size)
+def read_generated(spark: SparkSession, root: str, width: int | None = None, place=file_place) -> DataFrame:
+    """(key, triple_count) of every generated sentence; null where a file has no size."""
+    size = F.try_element_at("cells", F.lit("size")).try_cast("int").alias("triple_count")
+    return read_outputs(spark, root, width, place).select(*K.KEY, size)
 
 
-def read_sentences(spark: SparkSession, root: str, width: int | None = None) -> DataFrame:
+def read_sentences(spark: SparkSession, root: str, width: int | None = None, place=file_place) -> DataFrame:
     """Sentences with their entry meta data; NA and empty shapes become null."""
     cell = lambda n: F.try_element_at("cells", F.lit(n))
     blank = lambda n: F.nullif(F.nullif(cell(n), F.lit("NA")), F.lit("")).alias(n)
-    return read_outputs(spark, root, width).select(
+    return read_outputs(spark, root, width, place).select(
         *K.KEY, cell("category").alias("category"), blank("shape"), blank("shape_type"),
         cell("size").try_cast("int").alias("size"), cell("sentence").alias("sentence"),
     )
