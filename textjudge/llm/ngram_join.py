@@ -171,12 +171,15 @@ def _signed(x: int) -> int:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets overlap enough."""
+    """The rows of ``pairs`` (u, v, ...) whose sets overlap enough.
+
+    ``sets`` lies partitioned by id: only the pairs move, the second time with one set.
+    """
     left = sets.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("tokens").alias("tokens_u"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("n_v"), F.col("tokens").alias("tokens_v"))
     joined = pairs.join(left, "u").join(right, "v")
     overlap = F.size(F.array_intersect("tokens_u", "tokens_v"))
-    return joined.where(7 * overlap >= 3 * (F.col("n_u") + F.col("n_v"))).select("u", "v")
+    return joined.where(7 * overlap >= 3 * (F.col("n_u") + F.col("n_v"))).select(*pairs.columns)
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -193,11 +196,9 @@ def fits(a: str, b: str):
 def heavy_links(sets: DataFrame, labels: DataFrame, light: int) -> DataFrame:
     """``labels`` (node, label) with all links merged that involve a heavy set."""
     lists = sets.where(F.col("n") >= -(-3 * (light + 1) // 4)).select("doc_id", "n", F.explode(F.slice("tokens", 1, F.col("needed"))).alias("token"))
-    shared = lists.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
-    lists = materialize(lists.join(shared, "token"))
-    order = [F.col("doc_id"), F.xxhash64("doc_id"), -F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))]
+    order = [F.col("doc_id"), F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))]
     for key in order:
-        named = lists.join(labels, F.col("doc_id") == F.col("node")).drop("node")
+        named = with_labels(lists, labels)
         pivots = named.groupBy("token").agg(
             F.min_by(F.struct("doc_id", "n", "label"), key).alias("p"), F.min("label").alias("least"), F.max("label").alias("most")
         ).where("least < most")
@@ -206,19 +207,34 @@ def heavy_links(sets: DataFrame, labels: DataFrame, light: int) -> DataFrame:
         # each set is compared with the pivot it meets most often
         often = met.groupBy("doc_id", "label", "pivot", "label_p").agg(F.count(F.lit(1)).alias("times"))
         best = often.groupBy("doc_id", "label").agg(F.max_by(F.struct("pivot", "label_p"), F.struct("times", "pivot")).alias("p"))
-        pairs = materialize(best.select(F.col("doc_id").alias("u"), F.col("p.pivot").alias("v"), F.col("label").alias("label_u"), F.col("p.label_p").alias("label_v")))
-        ok = materialize(verified(pairs.select("u", "v"), sets).join(pairs, ["u", "v"]).select(F.col("label_u").alias("u"), F.col("label_v").alias("v")))
+        pairs = best.select(F.col("doc_id").alias("u"), F.col("p.pivot").alias("v"), F.col("label").alias("label_u"), F.col("p.label_p").alias("label_v"))
+        ok = links_of(pairs, sets)
         if ok.isEmpty():
             break
         labels = merged(labels, ok)
-    rest = materialize(open_pairs(lists, labels, light))
-    ok = materialize(verified(rest.select("u", "v"), sets).join(rest, ["u", "v"]).select(F.col("label_u").alias("u"), F.col("label_v").alias("v")))
+        lists = materialize(open_lists(lists, labels))
+    ok = links_of(materialize(open_pairs(lists, labels, light)), sets)
     return labels if ok.isEmpty() else merged(labels, ok)
 
 
+def with_labels(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    return lists.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id")
+
+
+def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): the labels of the pairs whose sets overlap enough."""
+    return materialize(verified(pairs, sets).select(F.col("label_u").alias("u"), F.col("label_v").alias("v")).distinct())
+
+
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists whose members are not yet in one component."""
+    found = with_labels(lists, labels).groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    return lists.join(found.where("least < most").select("token"), "token")
+
+
 def open_pairs(lists: DataFrame, labels: DataFrame, light: int) -> DataFrame:
     """All pairs of a list whose components differ; pairs inside a component never arise."""
-    named = lists.join(labels, F.col("doc_id") == F.col("node")).drop("node")
+    named = with_labels(lists, labels)
     groups = named.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     mixed_ = groups.groupBy("token").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token")
     groups = groups.join(mixed_, "token")
@@ -242,23 +258,23 @@ def near_duplicate_components(docs: DataFrame, block_bytes: int = 8 << 20, id_co
     empty table gives an empty result; other columns are not read.
     """
     rows = id_and_text(docs, id_col, text_col)
-    found = materialize(shared_sets(rows, block_bytes))
+    found = materialize(shared_sets(rows, block_bytes).repartition(width(rows), "doc_id"))
     able = found.where("tokens is not null and doc_id is not null")
     same = ["n", "digest", "digest2"]
     first = able.groupBy(*same).agg(F.min("doc_id").alias("v"))
-    copies = able.select("doc_id", *same).join(first, same).select(F.col("doc_id").alias("u"), "v").where("u > v")
-    # the first of equal sets stands for them all
-    named = first.select(*[F.col(c).alias(f"_{c}") for c in same], F.col("v").alias("_v"))
-    meets = [F.col(c) == F.col(f"_{c}") for c in same] + [F.col("doc_id") == F.col("_v")]
-    sets = materialize(able.join(named, meets, "left_semi").dropDuplicates(["doc_id", *same]).select("doc_id", "n", "tokens", "needed"))
+    copies = materialize(able.select("doc_id", *same).join(first, same).select(F.col("doc_id").alias("u"), "v", *same))
+    # the first of equal sets stands for them all; rows that repeat an id stand for each other
+    chosen = copies.where("u = v").select(F.col("v").alias("doc_id"), F.col("digest").alias("_digest"), F.col("digest2").alias("_digest2")).distinct()
+    sets = able.join(chosen, "doc_id").where("(digest ^ _digest) = 0 and (digest2 ^ _digest2) = 0")
+    sets = sets.select("doc_id", "n", "tokens", "needed")
     light = light_boundary(sets)
-    edges = copies.union(subset_links(sets, light))
+    edges = copies.select("u", "v").where("u > v").union(subset_links(sets, light))
     start = components(edges)
     nodes = able.select(F.col("doc_id").alias("node")).distinct()
     labels = materialize(nodes.join(start, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     labels = heavy_links(sets, labels, light)
     named = labels.where("node <> label")
-    out = found.join(named, F.col("doc_id") == F.col("node"), "left")
+    out = found.select("doc_id", "n").join(named, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 

@@ -21,9 +21,12 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Non-decreasing numbers as packed differences."""
-    return pack(np.diff(values, prepend=np.uint64(0)))
+    """Non-decreasing numbers: the first one, then packed differences."""
+    values = np.asarray(values, np.uint64)
+    return values[:1].astype("<u8").tobytes() + pack(np.diff(values)) if len(values) else b""
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
+    if not data:
+        return np.empty(0, np.uint64)
+    return np.cumsum(np.concatenate((np.frombuffer(data[:8], "<u8"), unpack(data[8:]))), dtype=np.uint64)
