@@ -19,6 +19,7 @@ collected or broadcast.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from textjudge.llm.common import id_and_text, in_blocks, width
 from textjudge.llm.packed import pack, pack_sorted, unpack, unpack_sorted
-from textjudge.llm.shingles import mixed, word_hashes
+from textjudge.llm.shingles import batches, mixed, word_hashes
 from textjudge.operators.lineage import materialize
 
 #: bytes of context; contexts and the byte itself are one number of DEPTH + 1 bytes
@@ -203,12 +204,10 @@ def counted(values: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.nd
     return summed([seen, other], [n, np.zeros(len(other))])
 
 
-class Block:
-    """Words and byte grams of the documents of one block."""
+class Part:
+    """Words and byte grams of some documents of a block, about a megabyte of text."""
 
-    def __init__(self, table: pa.Table, depth: int):
-        texts = [canonical(t.as_py().encode()) for t in table.column("text")]
-        train = np.array(table.column("train").to_pylist(), bool)
+    def __init__(self, texts: list[bytes], train: np.ndarray, depth: int):
         data = np.frombuffer(b"\n".join(texts), np.uint8)
         starts, self.words = word_hashes(data)
         bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
@@ -220,6 +219,14 @@ class Block:
         return counted(self.words if kind == WORDS else self.grams, self.training[kind])
 
 
+def parts(table: pa.Table, depth: int) -> Iterator[Part]:
+    train = np.array(table.column("train").to_pylist(), bool)
+    done = 0
+    for texts in batches(canonical(t.as_py().encode()) for t in table.column("text")):
+        yield Part(texts, train[done : done + len(texts)], depth)
+        done += len(texts)
+
+
 def range_of(kind: int, values: np.ndarray, ranges: int, depth: int) -> np.ndarray:
     """Words by their hash; grams by the two nearest bytes, so that subtrees stay whole."""
     key = values if kind == WORDS else mixed(values >> np.uint64(8 * (depth - 1)))
@@ -303,9 +310,13 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 8 << 20,
     ranges = max(width(docs), math.ceil(n_blocks / BLOCKS_PER_RANGE))
 
     def send(table: pa.Table) -> pa.Table:
-        block, out = Block(table, depth), []
+        found: tuple[list, list] = ([], [])
+        for part in parts(table, depth):
+            for kind in (WORDS, GRAMS):
+                found[kind].append(part.keys(kind))
+        out = []
         for kind in (WORDS, GRAMS):
-            values, counts = block.keys(kind)
+            values, counts = summed([v for v, _ in found[kind]], [c for _, c in found[kind]])
             place = range_of(kind, values, ranges, depth)
             order = np.argsort(place, kind="stable")
             cuts = np.searchsorted(place[order], np.arange(ranges + 1)).tolist()
@@ -327,12 +338,12 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 8 << 20,
         size = len(found)
         first = [True] + [False] * (size - 1)
         return pa.table({
-            "block": table.column("block"), "kind": pa.array([WORDS] * size, pa.int32()), "range": table.column("range"), "answer": pa.array(found, pa.binary()),
+            "block": table.column("block"), "kind": pa.array([WORDS] * size, pa.int32()), "values": table.column("values"), "answer": pa.array(found, pa.binary()),
             "known": pa.array([int((total > 0).sum()) * f for f in first], pa.int64()), "seen": pa.array([int(total.sum()) * f for f in first], pa.int64()),
         })
 
     words = sent.where(F.col("kind") == WORDS).select("block", "range", "values", "counts")
-    words = materialize(words.groupBy("range").applyInArrow(answer_words, "block int, kind int, range int, answer binary, known long, seen long"))
+    words = materialize(words.groupBy("range").applyInArrow(answer_words, "block int, kind int, values binary, answer binary, known long, seen long"))
     known, seen = words.agg(F.sum("known"), F.sum("seen")).first()
     ends = rows.where("train").count()
     total, distinct = (seen or 0) + ends, (known or 0) + (ends > 0)
@@ -345,38 +356,32 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 8 << 20,
         logs = np.frombuffer(right.column("logs")[0].as_py(), "<f8")
         found = [logs[np.searchsorted(values, unpack_sorted(v.as_py()))].tobytes() for v in left.column("values")]
         return pa.table({
-            "block": left.column("block"), "kind": pa.array([GRAMS] * len(found), pa.int32()), "range": left.column("range"), "answer": pa.array(found, pa.binary()),
+            "block": left.column("block"), "kind": pa.array([GRAMS] * len(found), pa.int32()), "values": left.column("values"), "answer": pa.array(found, pa.binary()),
         })
 
     part = F.floor(F.col("block") / FAN_OUT).cast("int")
     asking = asked.select("block", "range", "values", part.alias("part")).groupBy("range", "part")
     copies = model.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((n_blocks - 1) // FAN_OUT)))).groupBy("range", "part")
-    byte_answers = asking.cogroup(copies).applyInArrow(_when_asked(answer_grams), "block int, kind int, range int, answer binary")
-    answers = words.select("block", "kind", "range", "answer").union(byte_answers)
+    byte_answers = asking.cogroup(copies).applyInArrow(_when_asked(answer_grams), "block int, kind int, values binary, answer binary")
+    answers = words.select("block", "kind", "values", "answer").union(byte_answers)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left, depth)
-        answers = {(k, r): a.as_py() for k, r, a in zip(right.column("kind").to_pylist(), right.column("range").to_pylist(), right.column("answer"))}
-        found = []
-        for kind, tokens in ((WORDS, block.words), (GRAMS, block.grams)):
-            values = np.unique(tokens)
-            place = range_of(kind, values, ranges, depth)
-            result = np.zeros(len(values))
-            for k in np.unique(place).tolist():
-                data = answers[kind, k]
-                result[place == k] = unpack(data) if kind == WORDS else np.frombuffer(data, "<f8")
-            found.append(result[np.searchsorted(values, tokens)])
-        counts, logs = found
-        n_tokens = block.n_words + 1
+        tables = [lookup(right, kind) for kind in (WORDS, GRAMS)]
         scale = math.log10(total + distinct + 1)
-        base = sums(np.log10(counts + 1), block.n_words) + math.log10(ends + 1) - n_tokens * scale
-        n_known = sums((counts > 0).astype(float), block.n_words).round().astype(np.int64) + (ends > 0)
-        score = sums(logs, block.n_grams)
-        size = len(score)
+        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        for part in parts(left, depth):
+            counts = tables[WORDS][1][np.searchsorted(tables[WORDS][0], part.words)]
+            logs = tables[GRAMS][1][np.searchsorted(tables[GRAMS][0], part.grams)]
+            n_tokens = part.n_words + 1
+            base = sums(np.log10(counts + 1), part.n_words) + math.log10(ends + 1) - n_tokens * scale
+            n_known = sums((counts > 0).astype(float), part.n_words).round().astype(np.int64) + (ends > 0)
+            for c, x in zip(columns, (n_tokens, n_known, base, sums(logs, part.n_grams), part.n_grams)):
+                c.append(x)
+        n_tokens, n_known, base, score, n_bytes = map(np.concatenate, columns)
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": pa.array([not t for t in left.column("train").to_pylist()], pa.bool_()),
-            "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * size, pa.int64()),
-            "base_score": base, "score": score, "n_bytes": pa.array(block.n_grams, pa.int64()), "bits_per_byte": -score / math.log10(2) / block.n_grams,
+            "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(score), pa.int64()),
+            "base_score": base, "score": score, "n_bytes": pa.array(n_bytes, pa.int64()), "bits_per_byte": -score / math.log10(2) / n_bytes,
         })
 
     schema = (
@@ -386,6 +391,15 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 8 << 20,
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 
 
+def lookup(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of a block and what was answered for them."""
+    rows = [(v.as_py(), a.as_py()) for k, v, a in zip(answers.column("kind").to_pylist(), answers.column("values"), answers.column("answer")) if k == kind]
+    keys = np.concatenate([np.empty(0, np.uint64), *(unpack_sorted(v) for v, _ in rows)])
+    found = np.concatenate([np.empty(0), *(unpack(a).astype(float) if kind == WORDS else np.frombuffer(a, "<f8") for _, a in rows)])
+    order = np.argsort(keys)
+    return keys[order], found[order]
+
+
 def _when_asked(function):
     """A part of the blocks that has no row for a range asks nothing."""
 
@@ -393,6 +407,7 @@ def _when_asked(function):
         if left.num_rows:
             return function(left, right)
         empty = pa.array([], pa.int32())
-        return pa.table({"block": empty, "kind": empty, "range": empty, "answer": pa.array([], pa.binary())})
+        nothing = pa.array([], pa.binary())
+        return pa.table({"block": empty, "kind": empty, "values": nothing, "answer": nothing})
 
     return run

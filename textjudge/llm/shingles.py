@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -43,7 +43,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mixed(words + (ends - starts).astype(np.uint64) * PLACES[0])
 
 
-def batches(texts: list[bytes]) -> Iterator[list[bytes]]:
+def batches(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     part, size = [], 0
     for t in texts:
         if part and size + len(t) > BATCH:
