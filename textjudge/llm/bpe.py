@@ -30,8 +30,11 @@ PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE_CLASS}\p{{L}}\p{{N}}]+|[{SPACE_CLASS}]+(?![^{SPACE_CLASS}])|[{SPACE_CLASS}]+"
 )
 BLANK = b" \t\n\x0b\x0c\r"
+#: a whole run of ASCII and Latin-1 letters, with the one space before it that belongs to it
+WORD = rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])"
+PLAIN = re.compile(WORD).fullmatch
 #: encoded fragments a worker remembers, and the longest fragment among them
-REMEMBERED, LONGEST = 700_000, 48
+REMEMBERED, LONGEST = 600_000, 48
 
 
 def byte_letters() -> dict[int, str]:
@@ -73,7 +76,9 @@ class Vocabulary:
         # bytes after which white space may go on in the same token: no cut there
         open_ = [b for b in range(256) if b not in BLANK and not self.forced[b, list(BLANK)].all()]
         further = b"(?:(?<=[%s])[ \\t-\\r]+[^ \\t-\\r]*)*" % b"".join(b"\\x%02x" % b for b in open_) if open_ else b""
-        self.pieces = re.compile(rb"[ \t-\r]*[^ \t-\r]+%s|[ \t-\r]+" % further)
+        # plain words, line breaks and marks are pre-tokens as they stand; other pieces
+        # reach to the next white space and go through the pre-tokenizer
+        self.pieces = re.compile(WORD + rb"|\n(?=[!-~])|[!-/:-@\[-`{-~]++(?=[ \n]|\Z)|[ \t-\r]*[^ \t-\r]+%s|[ \t-\r]+" % further)
         self.marks = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.memory: dict[bytes, bytes] = {}
         self.short: dict[bytes, list[int]] = {}
@@ -102,23 +107,26 @@ class Vocabulary:
 
     def _plain(self, text: str) -> bytes:
         data = text.encode()
-        memory, parts = self.memory, []
-        for piece in self.pieces.findall(data):
-            ids = memory.get(piece)
-            if ids is None:
-                ids = self._piece(piece)
-                if len(piece) <= LONGEST:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[piece] = ids
-            parts.append(ids)
+        memory = self.memory
+        pieces = self.pieces.findall(data)
+        parts = list(map(memory.get, pieces))
+        if None in parts:
+            for k, piece in enumerate(pieces):
+                if parts[k] is None:
+                    ids = memory.get(piece)
+                    if ids is None:
+                        ids = self._piece(piece)
+                        if len(piece) <= LONGEST:
+                            if len(memory) >= REMEMBERED:
+                                memory.clear()
+                            memory[piece] = ids
+                    parts[k] = ids
         return b"".join(parts)
 
     def _piece(self, piece: bytes) -> bytes:
         out: list[int] = []
         forced = self.forced_flags
-        for m in PRETOKEN.finditer(piece.decode()):
-            data = m[0].encode()
+        for data in (piece,) if PLAIN(piece) else (m.encode() for m in PRETOKEN.findall(piece.decode())):
             start = 0
             for k in range(1, len(data)):
                 if forced[data[k - 1] << 8 | data[k]]:
