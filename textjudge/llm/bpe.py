@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ BLANK = b" \t\n\x0b\x0c\r"
 #: a whole run of ASCII and Latin-1 letters, with the one space before it that belongs to it
 WORD = rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])"
 PLAIN = re.compile(WORD).fullmatch
+#: a byte as the first of a pair
+HIGH = [b << 8 for b in range(256)]
 #: encoded fragments a worker remembers, and the longest fragment among them
 REMEMBERED, LONGEST = 600_000, 48
 
@@ -124,30 +127,36 @@ class Vocabulary:
         return b"".join(parts)
 
     def _piece(self, piece: bytes) -> bytes:
+        if PLAIN(piece):
+            return array("i", self._cut(piece)).tobytes()
         out: list[int] = []
-        forced = self.forced_flags
-        for data in (piece,) if PLAIN(piece) else (m.encode() for m in PRETOKEN.findall(piece.decode())):
-            start = 0
-            for k in range(1, len(data)):
-                if forced[data[k - 1] << 8 | data[k]]:
-                    self._fragment(data[start:k], out)
-                    start = k
-            self._fragment(data[start:], out)
+        for token in PRETOKEN.findall(piece.decode()):
+            data = token.encode()
+            ids = self.short.get(data)
+            if ids is None:
+                ids = self._cut(data)
+                if len(data) <= LONGEST:
+                    if len(self.short) >= REMEMBERED // 4:
+                        self.short.clear()
+                    self.short[data] = ids
+            out += ids
         return array("i", out).tobytes()
 
-    def _fragment(self, data: bytes, out: list[int]) -> None:
-        if len(data) == 1:
-            out.append(self.single[data[0]])
-            return
-        whole = self.short.get(data)
-        if whole is None:
-            ids = [self.single[b] for b in data]
-            whole = self._merged_long(ids) if len(ids) > 40 else self._merged(ids)
-            if len(data) <= LONGEST:
-                if len(self.short) >= REMEMBERED // 4:
-                    self.short.clear()
-                self.short[data] = whole
-        out += whole
+    def _cut(self, data: bytes) -> list[int]:
+        """Encode a pre-token fragment by fragment, cut at its forced pairs."""
+        forced, out, start = self.forced_flags, [], 0
+        for k, pair in enumerate(map(add, map(HIGH.__getitem__, data), data[1:]), 1):
+            if forced[pair]:
+                out += self._fragment(data[start:k])
+                start = k
+        last = self._fragment(data[start:])
+        return out + last if out else last
+
+    def _fragment(self, data: bytes) -> list[int]:
+        ids = list(map(self.single.__getitem__, data))
+        if len(ids) < 2:
+            return ids
+        return self._merged_long(ids) if len(ids) > 40 else self._merged(ids)
 
     def _merged(self, ids: list[int]) -> list[int]:
         """Merge the pair of lowest rank, leftmost first, until none is left."""
@@ -155,12 +164,12 @@ class Vocabulary:
         found = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
         while found and (best := min(found)) != none:
             k = found.index(best)
-            ids[k : k + 2] = [best & 0xFFFFF]
-            del found[k]
+            new = ids[k] = best & 0xFFFFF
+            del ids[k + 1], found[k]
             if k:
-                found[k - 1] = get(ids[k - 1] << 20 | ids[k], none)
+                found[k - 1] = get(ids[k - 1] << 20 | new, none)
             if k < len(found):
-                found[k] = get(ids[k] << 20 | ids[k + 1], none)
+                found[k] = get(new << 20 | ids[k + 1], none)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
