@@ -155,7 +155,7 @@ def boot_rows(spark, clusters):
 
 def test_bootstrap_interval_is_plausible(spark):
     rows = boot_rows(spark, 150)
-    r = R.model_intervals(rows, samples=300, block=32).first()
+    r = R.model_intervals(rows, samples=300).first()
     assert r["source_item_clusters"] == 150 and r["judged_rows"] == 600
     assert r["ci_95_low"] < r["mean_score"] < r["ci_95_high"]
     sums = defaultdict(list)
@@ -167,12 +167,23 @@ def test_bootstrap_interval_is_plausible(spark):
     assert math.isclose(r["ci_95_high"] - r["ci_95_low"], 2 * 1.96 * error, rel_tol=0.2)
 
 
-def test_every_replicate_draws_all_clusters(spark):
-    rows = boot_rows(spark, 77).select("model", "dataset", "variant", "eid", F.lit(1).alias("num"), F.lit(1).alias("den"))
+def test_replicate_weights_are_poisson(spark):
+    rows = boot_rows(spark, 400).select("model", "dataset", "variant", "eid", F.lit(1).alias("num"), F.lit(1).alias("den"))
     one = rows.dropDuplicates()
-    indexed = R.clusters(one, ["model"], ["num", "den"])
-    reps = R.replicate_sums(indexed, ["model"], ["num", "den"], 25, 9, block=16).collect()
-    assert len(reps) == 25 and {r["den"] for r in reps} == {77}
+    reps = R.replicate_sums(one, ["model"], ["num", "den"], 50, 9).collect()
+    totals = [r["den"] for r in reps]
+    assert len(reps) == 50 and abs(sum(totals) / 50 - 400) < 12
+    spread = sum((x - 400) ** 2 for x in totals) / 50
+    assert 200 < spread < 700
+    # rows of a cluster share its weight, whatever the partitioning
+    again = R.replicate_sums(rows.repartition(7), ["model"], ["num", "den"], 50, 9).collect()
+    assert {(r["rep"], r["den"]) for r in again} == {(r["rep"], 4 * r["den"]) for r in reps}
+
+
+def test_poisson_limits_are_the_distribution_function():
+    limits = R.poisson_limits()
+    assert math.isclose(limits[0] / 2**32, math.exp(-1), rel_tol=1e-8)
+    assert limits == sorted(limits) and limits[-1] > 2**32 - 8
 
 
 def test_counterfactual_never_keeps_the_member(spark):
@@ -287,3 +298,52 @@ def test_study_from_disk_to_reports(spark, tmp_path):
     assert sizes["model_summary"] == 3 and sizes["confusion_matrix"] == 27
     assert sizes["predicted_class_contrasts"] == 6 and sizes["model_intervals"] == 6
     assert sizes["issues_by_model"] == 24
+
+
+def test_csv_trees_with_other_headers(spark, tmp_path):
+    from textjudge.sources import tables as T
+
+    folder = tmp_path / "out" / "gemma"
+    folder.mkdir(parents=True)
+    write = lambda name, text: (folder / name).write_text(text, encoding="utf-8")
+    write("cs-qa_fa_en.csv", "\ufeffcategory,eid,size,sentence\nc,Id1,2,\"a, \"\"b\"\"\nc\"\n")
+    write("cs-qa_cf_en.csv", 'size,"sen\ntence",eid,sentence,eid\n3,x,eid,FA,other\n')
+    write("cs-qa_fi_en.csv", "name,sentence\nId9,lost\n")
+    write("notes.csv", "eid,sentence\nId8,lost\n")
+    root = str(tmp_path / "out")
+    rows = {r["variant"]: r for r in T.read_sentences(spark, root).collect()}
+    assert set(rows) == {"fa", "cf"}
+    assert (rows["fa"]["eid"], rows["fa"]["category"], rows["fa"]["size"], rows["fa"]["sentence"]) == ("Id1", "c", 2, 'a, "b"\nc')
+    # a row may hold the text of a header; of two columns with one name the first counts
+    assert (rows["cf"]["eid"], rows["cf"]["size"], rows["cf"]["sentence"]) == ("eid", 3, "FA")
+    bad = {r["path"].rsplit("/", 1)[1]: r["problem"] for r in T.bad_files(spark, root).collect()}
+    assert bad == {"cs-qa_fi_en.csv": "header without eid", "notes.csv": "file name is no combination"}
+
+
+def test_more_repeats_than_columns_is_an_error(spark):
+    from textjudge.operators import votes as V
+
+    df = spark.createDataFrame([("k", 1, "FA"), ("k", 6, "FI")], "key string, repeat_idx int, answer string")
+    with pytest.raises(Exception, match="repeat outside 1..5: 6"):
+        V.pivot_repeats(df, ["key"]).collect()
+    assert V.pivot_repeats(df, ["key"], repeats=6).first()["sentence_6"] == "FI"
+
+
+def test_vote_shares_of_many_answers(spark):
+    from textjudge.operators import votes as V
+
+    rows = [("k", i, "FA" if i <= 4 else "FI") for i in range(1, 8)]
+    df = spark.createDataFrame(rows, "key string, repeat_idx int, answer string")
+    got = V.vote_long(df, ["key"]).first()
+    assert got["units_FA"] + got["units_FI"] == V.VOTE_UNIT
+    assert got["units_FA"] * 7 == 4 * V.VOTE_UNIT
+
+
+def test_a_cluster_needs_its_shared_folder():
+    from types import SimpleNamespace
+
+    from textjudge.operators.lineage import shared_folder
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn")))

@@ -34,8 +34,9 @@ def entries(
     """One row per entry with its triples in file order."""
     rows = preferred_kind(triples, keys) if kind is None else triples.filter(F.col("kind") == kind)
     listed = F.array_sort(F.collect_list(F.struct("pos", "subject", "predicate", "object")))
-    meta = [F.first(c).alias(c) for c in META]
-    grouped = rows.groupBy(*keys).agg(F.first("kind").alias("kind"), *meta, listed.alias("triples"))
+    # meta data of the first row in file order
+    meta = [F.min_by(c, "pos").alias(c) for c in ("kind", *META)]
+    grouped = rows.groupBy(*keys).agg(*meta, listed.alias("triples"))
     return grouped.withColumn("triple_count", F.size("triples"))
 
 
@@ -110,11 +111,8 @@ def entry_prompts(entry_rows: DataFrame, templates: DataFrame) -> DataFrame:
             F.lit("  - "), T.format_triple(x["subject"], x["predicate"], x["object"], True)
         ),
     )
-    # a handful of templates (one per language), carried as an array on every entry
-    listed = templates.agg(F.collect_list(F.struct("language", "template"))).scalar()
-    each = entry_rows.select("eid", "category", "size", rows.alias("_rows"), listed.alias("_t")).select(
-        "eid", "category", "size", "_rows", F.inline("_t")
-    )
+    # every pair is wanted; the small side is broadcast by its size
+    each = entry_rows.select("eid", "category", "size", rows.alias("_rows")).crossJoin(templates.select("language", "template"))
     prompt = fill(
         F.col("template"),
         {

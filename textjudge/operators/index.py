@@ -21,25 +21,6 @@ def hash_number(*parts: Column | str, digits: int = 15) -> Column:
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
 
 
-# fixed values of the 32-bit mixing steps (golden-ratio increment, multiplier, mask)
-INCREMENT, MULTIPLIER, MASK = 2654435769, 73244475, 4294967295
-
-
-def scatter(key: Column, counters: Column) -> Column:
-    """A 32-bit pseudo-random number per counter of an array, from one integer key.
-
-    Plain integer steps: much cheaper per draw than a digest, and exact in any engine
-    with 64-bit integers.
-    """
-    x = F.transform(counters, lambda d: (key + d * F.lit(INCREMENT)) % F.lit(MASK + 1))
-    for _ in range(2):
-        x = F.transform(
-            x,
-            lambda v: (v.bitwiseXOR(F.shiftright(v, 16)) * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK)),
-        )
-    return F.transform(x, lambda v: v.bitwiseXOR(F.shiftright(v, 16)))
-
-
 def hash_bucket(*parts: Column | str, buckets: int = BUCKETS) -> Column:
     return hash_number(*parts) % buckets
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textjudge.operators.index import chunked_index, hash_bucket
@@ -19,11 +19,10 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], check: str) -> DataFrame:
 def unbalanced(df: DataFrame, key: str, check: str) -> DataFrame:
     """All group sizes when they are not equal."""
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    # scalar sub-queries over one row per group of a fixed condition set
-    smallest, largest = sizes.agg(F.min("n")).scalar(), sizes.agg(F.max("n")).scalar()
-    return sizes.filter(smallest != largest).select(
-        F.lit(check).alias("check"), F.col(key).alias("detail"), "n"
-    )
+    # one row per group of a fixed condition set
+    all_ = Window.partitionBy(F.lit(0))
+    spread = sizes.withColumn("_spread", F.max("n").over(all_) - F.min("n").over(all_))
+    return spread.filter("_spread > 0").select(F.lit(check).alias("check"), F.col(key).alias("detail"), "n")
 
 
 def empty_input(df: DataFrame, check: str) -> DataFrame:

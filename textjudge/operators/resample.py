@@ -1,21 +1,17 @@
-"""Cluster bootstrap at cluster scale.
-
-A replicate draws as many clusters as there are, with replacement. Shuffling every
-draw to its cluster would move ``samples x clusters`` rows. Instead clusters are
-packed in blocks of fixed size and drawn in two exact steps:
-
-1. every draw picks a uniform position; only the number of draws per
-   (group, replicate, block) is kept, which is summed up before the shuffle;
-2. a block that received m draws makes m uniform draws among its own clusters, next
-   to the packed block.
-
-Both steps together are a multinomial draw over all clusters. What moves between
-tasks are the packed blocks and one counter per (group, replicate, block). All sums
-are integers, so intervals do not depend on partitioning.
+"""Cluster bootstrap with Poisson weights.
+
+In a replicate each cluster counts w times, w drawn from a Poisson distribution with mean
+one, independently for every (cluster, replicate): the bootstrap for data whose size is
+not counted first. A row draws its weights itself, from integer mixing of its cluster's
+hash and the replicate number, so clusters need no numbering, no join and no grouping.
+Sums per (group, replicate) are formed inside the tasks; what is shuffled is one partial
+row per group, replicate and task, however many clusters there are. All sums are
+integers, so intervals do not depend on partitioning.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,61 +20,69 @@ from pyspark.sql import functions as F
 from textjudge import fixed
 from textjudge.functions.columns import share
 from textjudge.functions.keys import CLUSTER, expected_label
-from textjudge.operators.index import chunked_index, hash_bucket, hash_number, scatter
-from textjudge.operators.lineage import materialize
+from textjudge.operators.index import hash_number
 from textjudge.operators.votes import VOTE_UNIT
 
-BLOCK = 1024
 CI_95 = (0.025, 0.975)
 
+# fixed values of the 32-bit mixing steps (golden-ratio increment, multiplier, mask)
+INCREMENT, MULTIPLIER, MASK = 2654435769, 73244475, 4294967295
 
-def clusters(
-    rows: DataFrame, group: Sequence[str], measures: Sequence[str], cell: str | None = None,
-    cluster: Sequence[str] = CLUSTER,
-) -> DataFrame:
-    """One row per cluster: its dense index and its cells with integer sums.
 
-    ``cell`` splits a cluster further (one cell per model); without it there is one cell.
+def poisson_limits(most: int = 12) -> list[int]:
+    """A 32-bit draw has as many counts as there are limits it reaches.
+
+    Limits are the distribution function of Poisson(1) in units of 2**-32; weights above
+    ``most`` have a probability below one in a thousand million.
     """
-    name = F.lit("").alias("cell") if cell is None else F.col(cell).alias("cell")
-    sums = (
-        rows.select(*group, *cluster, name, *measures)
-        .groupBy(*group, *cluster, "cell")
-        .agg(*[F.sum(m).alias(m) for m in measures])
-    )
-    packed = F.array_sort(F.collect_list(F.struct("cell", *measures))).alias("cells")
-    per_cluster = materialize(sums.groupBy(*group, *cluster).agg(packed))
-    return chunked_index(per_cluster, group, list(cluster), hash_bucket(*cluster), "idx", total="n")
+    limits, term, total = [], math.exp(-1), 0.0
+    for k in range(most):
+        total += term
+        limits.append(min(MASK + 1, round(total * (MASK + 1))))
+        term /= k + 1
+    return limits
+
+
+def draw(key: Column, rep: Column) -> Column:
+    """A 32-bit pseudo-random number of a cluster in a replicate, by plain integer steps."""
+    x = (key + (rep + 1) * F.lit(INCREMENT)) % F.lit(MASK + 1)
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK))
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def poisson(key: Column, rep: Column) -> Column:
+    x = draw(key, rep)
+    weight = F.lit(0).cast("long")
+    for limit in poisson_limits():
+        weight = weight + (x >= limit).cast("long")
+    return weight
+
+
+def cluster_key(seed: int, cluster: Sequence[str] = CLUSTER) -> Column:
+    return hash_number(F.lit(str(seed)), *[F.col(c) for c in cluster])
 
 
 def replicate_sums(
-    indexed: DataFrame, group: Sequence[str], measures: Sequence[str], samples: int, seed: int,
-    block: int = BLOCK,
+    rows: DataFrame, group: Sequence[str], measures: Sequence[str], samples: int, seed: int,
+    cell: str | None = None, cluster: Sequence[str] = CLUSTER,
 ) -> DataFrame:
-    """(group, rep, cell, sums) for every replicate."""
-    rep = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("rep")
-    stream = F.lit(str(seed))
-    # few rows turn into many draws: an explicit width keeps them on all cores
-    width = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    draws = indexed.select(*group, "idx", "n").repartition(width, *group, "idx").select("*", rep)
-    position = hash_number(stream, F.lit("block"), F.col("rep"), *group, F.col("idx")) % F.col("n")
-    hits = (
-        draws.select(*group, "rep", F.floor(position / block).alias("block"))
-        .groupBy(*group, "rep", "block")
-        .agg(F.count(F.lit(1)).alias("hits"))
-    )
-    blocks = indexed.groupBy(*group, F.floor(F.col("idx") / block).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("idx", "cells"))).alias("members")
-    )
-    key = hash_number(stream, F.lit("item"), "rep", *group, "block").alias("key")
-    spread = hits.select("*", key).repartition(width, "key")
-    # all draws of a block are made inside its row, so the packed block is never copied
-    places = scatter(F.col("key"), F.sequence(F.lit(1).cast("long"), F.col("hits")))
-    cells = F.flatten(
-        F.transform(places, lambda x: F.get("members", (x % F.size("members")).cast("int"))["cells"])
-    )
-    picked = spread.join(blocks, [*group, "block"]).select(*group, "rep", F.inline(cells))
-    return picked.groupBy(*group, "rep", "cell").agg(*[F.sum(m).alias(m) for m in measures])
+    """(group, rep, cell, sums) for every replicate.
+
+    The replicates of a row are made in the task that has it and summed there. All rows of
+    a cluster have its key, so they get the same weight wherever they are.
+    """
+    name = F.lit("").alias("cell") if cell is None else F.col(cell).alias("cell")
+    keyed = rows.select(*group, name, cluster_key(seed, cluster).alias("_key"), *measures)
+    opened = keyed.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("rep"))
+    drawn = opened.withColumn("_w", poisson(F.col("_key"), F.col("rep").cast("long")))
+    return drawn.where("_w > 0").groupBy(*group, "rep", "cell").agg(*[F.sum(F.col(m) * F.col("_w")).alias(m) for m in measures])
+
+
+def cluster_counts(rows: DataFrame, group: Sequence[str], cluster: Sequence[str] = CLUSTER) -> DataFrame:
+    """(group, source_item_clusters)."""
+    distinct = rows.select(*group, *cluster).distinct()
+    return distinct.groupBy(*group).agg(F.count(F.lit(1)).alias("source_item_clusters"))
 
 
 def quantile(sorted_values: Column, q: float) -> Column:
@@ -93,7 +97,10 @@ def quantile(sorted_values: Column, q: float) -> Column:
 def intervals(
     replicates: DataFrame, group: Sequence[str], value: str, names: dict[str, float]
 ) -> DataFrame:
-    """Percentile intervals per group; a group holds one number per replicate."""
+    """Percentile intervals per group; a group holds one number per replicate.
+
+    A replicate that drew nothing of a group has no number and is left out.
+    """
     listed = F.array_sort(F.collect_list(value)).alias("_v")
     packed = replicates.groupBy(*group).agg(listed)
     return packed.select(*group, *[quantile(F.col("_v"), q).alias(n) for n, q in names.items()])
@@ -101,28 +108,25 @@ def intervals(
 
 def model_intervals(
     rows: DataFrame, group: Sequence[str] = ("model",), score: str = "score",
-    samples: int = fixed.BOOTSTRAP_SAMPLES, seed: int = fixed.BOOTSTRAP_SEED, block: int = BLOCK,
+    samples: int = fixed.BOOTSTRAP_SAMPLES, seed: int = fixed.BOOTSTRAP_SEED,
 ) -> DataFrame:
     """Mean score per group with its 95 percent cluster interval."""
     group = list(group)
     measured = rows.select(
         *group, *CLUSTER, F.col(score).cast("long").alias("num"), F.lit(1).cast("long").alias("den")
     )
-    indexed = clusters(measured, group, ["num", "den"])
-    cells = F.col("cells")[0]
-    observed = indexed.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("source_item_clusters"),
-        F.sum(cells["den"]).alias("judged_rows"),
-        share(F.sum(cells["num"]), F.sum(cells["den"])).alias("mean_score"),
+    observed = measured.groupBy(*group).agg(
+        F.sum("den").alias("judged_rows"), share(F.sum("num"), F.sum("den")).alias("mean_score")
     )
-    drawn = replicate_sums(indexed, group, ["num", "den"], samples, seed, block).withColumn(
+    drawn = replicate_sums(measured, group, ["num", "den"], samples, seed).withColumn(
         "value", share(F.col("num"), F.col("den"))
     )
     bounds = intervals(drawn, group, "value", dict(zip(("ci_95_low", "ci_95_high"), CI_95)))
     half = F.greatest(
         F.col("mean_score") - F.col("ci_95_low"), F.col("ci_95_high") - F.col("mean_score")
     )
-    return observed.join(bounds, group).withColumn("ci_95_half_width", half)
+    joined = cluster_counts(measured, group).join(observed, group).join(bounds, group)
+    return joined.withColumn("ci_95_half_width", half)
 
 
 MEASURES = [f"{kind}_{x}" for x in fixed.LABELS for kind in ("num", "den")]
@@ -164,18 +168,13 @@ class PerceivedBootstrap:
     def __init__(
         self, rows: DataFrame, group: Sequence[str] = ("size_group",),
         samples: int = fixed.BOOTSTRAP_SAMPLES, seed: int = fixed.BOOTSTRAP_SEED,
-        block: int = BLOCK,
     ):
         self.group = list(group)
-        indexed = clusters(_weighted(rows, self.group), self.group, MEASURES)
-        drawn = replicate_sums(indexed, self.group, MEASURES, samples, seed, block)
+        weighted = _weighted(rows, self.group)
+        drawn = replicate_sums(weighted, self.group, MEASURES, samples, seed)
         self.replicates = drawn.select(*self.group, "rep", *_ratios())
-        cells = F.col("cells")[0]
-        sums = indexed.groupBy(*self.group).agg(
-            F.count(F.lit(1)).alias("source_item_clusters"),
-            *[F.sum(cells[m]).alias(m) for m in MEASURES],
-        )
-        self.observed = sums.select("*", *_ratios())
+        sums = weighted.groupBy(*self.group).agg(*[F.sum(m).alias(m) for m in MEASURES])
+        self.observed = cluster_counts(weighted, self.group).join(sums, self.group).select("*", *_ratios())
 
     def means(self) -> DataFrame:
         """Mean, 95 percent interval and effective count per group and class."""
@@ -228,13 +227,12 @@ class PerceivedBootstrap:
 
 def macro_intervals(
     rows: DataFrame, samples: int = fixed.BOOTSTRAP_SAMPLES, seed: int = fixed.BOOTSTRAP_SEED,
-    block: int = BLOCK,
 ) -> DataFrame:
     """True x perceived class: interval of the mean over models of per-model ratios."""
     group = ["true_label"]
     labelled = rows.withColumn("true_label", expected_label(F.col("variant")))
-    indexed = clusters(_weighted(labelled, group, ["model"]), group, MEASURES, cell="model")
-    drawn = replicate_sums(indexed, group, MEASURES, samples, seed, block)
+    weighted = _weighted(labelled, group, ["model"])
+    drawn = replicate_sums(weighted, group, MEASURES, samples, seed, cell="model")
     per_label = _label_rows(drawn.select(*group, "rep", "cell", *_ratios()), [*group, "rep", "cell"], ["value"])
     keys = [*group, "predicted_label"]
     # one ratio per model; added in model order
@@ -247,5 +245,4 @@ def macro_intervals(
     )
     usable = macro.filter(F.col("value").isNotNull())
     bounds = intervals(usable, keys, "value", dict(zip(("ci_95_low", "ci_95_high"), CI_95)))
-    count = indexed.groupBy(*group).agg(F.count(F.lit(1)).alias("source_item_clusters"))
-    return bounds.join(count, group)
+    return bounds.join(cluster_counts(weighted, group), group)

@@ -51,13 +51,25 @@ def stratified(rows: DataFrame, quota: int = QUOTA, seed: int = fixed.SAMPLE_SEE
     """``quota`` rows per split by nested turns.
 
     Fluency scores take turns inside a data set, data sets inside a model, models inside a
-    stratum and strata inside a split; rows of one cell come in hash order.
+    stratum and strata inside a split; rows of one cell come in hash order. The model that
+    begins moves on from stratum to stratum by as many places as a stratum has rows, so the
+    turns left over in one stratum are made up in the next.
     """
-    groups = [CELL, [*SPLIT, "stratum", "model", "dataset"], [*SPLIT, "stratum", "model"], [*SPLIT, "stratum"], SPLIT]
-    turns = ["_fluency", "_dataset", "_model", "_stratum", "_split"]
-    last = [["draw", "uid"]] + [[turn, "draw", "uid"] for turn in turns[:3]] + [["_stratum", "stratum", "uid"]]
-    ranked = _ranked(rows.withColumn("draw", _draw(seed)), zip(turns, groups, last), quota)
-    return ranked.drop("draw", *turns)
+    inner = [
+        ("_fluency", CELL, ["draw", "uid"]),
+        ("_dataset", [*SPLIT, "stratum", "model", "dataset"], ["_fluency", "draw", "uid"]),
+        ("_model", [*SPLIT, "stratum", "model"], ["_dataset", "draw", "uid"]),
+    ]
+    drawn = _ranked(rows.withColumn("draw", _draw(seed)), inner, quota)
+    split = Window.partitionBy(*SPLIT)
+    numbered = drawn.withColumns({
+        "_model_no": F.dense_rank().over(split.orderBy("model")) - 1,
+        "_stratum_no": F.dense_rank().over(split.orderBy("stratum")) - 1,
+    })
+    first = F.col("_stratum_no") * (quota // len(fixed.STRATA))
+    turned = numbered.withColumn("_place", F.pmod(F.col("_model_no") - first, F.max("_model_no").over(split) + 1))
+    outer = [("_turn", [*SPLIT, "stratum"], ["_model", "_place"]), ("_split", SPLIT, ["_turn", "stratum"])]
+    return _ranked(turned, outer, quota).select(*rows.columns)
 
 
 def round_robin(rows: DataFrame, quota: int = QUOTA, seed: int = fixed.SAMPLE_SEED) -> DataFrame:

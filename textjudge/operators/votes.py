@@ -291,45 +291,48 @@ def confusion_matrix(
     return counted.select(*keys, F.inline(rows))
 
 
+DISPLAY = ("FA", "FI", "CFA")
+
+
+def _whole_percents(counts: dict[str, Column]) -> dict[str, Column]:
+    """Whole percents of integer counts that add up to 100 (largest remainder).
+
+    Works on integer remainders of ``100 * n / total``; equal remainders favour the
+    earlier label.
+    """
+    total = _sum(list(counts.values()))
+    rest = {x: F.pmod(n * 100, F.nullif(total, F.lit(0).cast("long"))) for x, n in counts.items()}
+    base = {x: ((counts[x] * 100 - rest[x]) / total).cast("int") for x in counts}
+    spare = F.lit(100) - _sum(list(base.values()))
+    names = list(counts)
+    out = {}
+    for i, x in enumerate(names):
+        ahead = [(rest[y] >= rest[x] if j < i else rest[y] > rest[x]).cast("int") for j, y in enumerate(names) if y != x]
+        out[x] = base[x] + F.when(_sum(ahead) < spare, 1).otherwise(0)
+    return out
+
+
 def label_distribution(
     votes: DataFrame, keys: Sequence[str] = ("model",), vote: str = "vote_first_seen"
 ) -> DataFrame:
-    """Whole percents per label that add up to 100 (largest remainder).
+    """Whole percents per label that add up to 100, by largest remainder."""
+    counted = votes.groupBy(*keys).agg(*[F.count_if(F.col(vote) == x).alias(x) for x in DISPLAY])
+    whole = _whole_percents({x: F.col(x) for x in DISPLAY})
+    rows = F.array(*[F.struct(F.lit(x).alias("label"), F.col(x).alias("n"), whole[x].alias("pct")) for x in DISPLAY])
+    return counted.filter(_sum([F.col(x) for x in DISPLAY]) > 0).select(*keys, F.inline(rows))
 
-    Works on integer remainders of ``100 * n / total``; equal remainders favour the
-    earlier label of the display order FA, FI, CFA.
-    """
-    display = ("FA", "FI", "CFA")
+
+def model_summary(votes: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
+    """Accuracy, unanimity and whole label percents, all from one aggregation of the votes."""
+    hit = F.col("vote_first_seen") == expected_label(F.col("variant"))
     counted = votes.groupBy(*keys).agg(
-        *[F.count_if(F.col(vote) == x).alias(x) for x in display]
-    )
-    total = _sum([F.col(x) for x in display])
-    long = counted.filter(total > 0).select(
-        *keys,
-        total.alias("total"),
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(x).alias("label"), F.lit(i).alias("label_no"), F.col(x).alias("n")
-                    )
-                    for i, x in enumerate(display)
-                ]
-            )
-        ),
-    )
-    hundred = F.col("n") * 100
-    parts = long.withColumns(
-        {"base": F.expr("(n * 100) div total"), "rest": hundred % F.col("total")}
+        F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("_hit"), F.count_if("unanimous").alias("_una"),
+        *[F.count_if(F.col("vote_first_seen") == x).alias(x) for x in DISPLAY],
     )
-    group = Window.partitionBy(*keys)
-    rank = F.row_number().over(group.orderBy(F.desc("rest"), "label_no"))
-    spare = F.lit(100) - F.sum("base").over(group)
-    return parts.select(
-        *keys,
-        "label",
-        "n",
-        (F.col("base") + F.when(rank <= spare, 1).otherwise(0)).cast("int").alias("pct"),
+    whole = _whole_percents({x: F.col(x) for x in DISPLAY})
+    return counted.filter(_sum([F.col(x) for x in DISPLAY]) > 0).select(
+        *keys, "n", percent(F.col("_hit"), F.col("n")).alias("accuracy"), percent(F.col("_una"), F.col("n")).alias("unanimity"),
+        *[whole[x].alias(f"pct_{x.lower()}") for x in DISPLAY],
     )
 
 

@@ -104,17 +104,15 @@ helper("o_candidates", f"""SELECT {_KEYS}, params_b, f.score AS faithfulness, u.
   FROM v_latest_faith f JOIN v_latest_fluency u USING ({_KEYS}) JOIN o_params USING (model)""")
 
 
-_TURNS = [
-    ("f", "variant, size_bucket, language, stratum, model, dataset, fluency", "draw, uid"),
-    ("d", "variant, size_bucket, language, stratum, model, dataset", "f, draw, uid"),
-    ("m", "variant, size_bucket, language, stratum, model", "d, draw, uid"),
-    ("s", "variant, size_bucket, language, stratum", "m, draw, uid"),
-    ("q", "variant, size_bucket, language", "s, stratum, uid"),
-]
-_turned = "SELECT *, @DRAW(concat_ws('|', '140', uid)) AS draw FROM o_candidates"
-for _name, _group, _order in _TURNS:
-    _turned = f"SELECT *, row_number() OVER (PARTITION BY {_group} ORDER BY {_order}) AS {_name} FROM ({_turned}) x{_name}"
-helper("o_sampled", f"SELECT * FROM ({_turned}) y WHERE q <= 15")
+_S = "variant, size_bucket, language"
+helper("o_sampled", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_S} ORDER BY s, stratum) AS q FROM (
+  SELECT *, row_number() OVER (PARTITION BY {_S}, stratum ORDER BY m, (mno - sno * 5 + 1000 * (mmax + 1)) % (mmax + 1)) AS s FROM (
+    SELECT *, max(mno) OVER (PARTITION BY {_S}) AS mmax FROM (
+      SELECT *, row_number() OVER (PARTITION BY {_S}, stratum, model ORDER BY d, draw, uid) AS m,
+        dense_rank() OVER (PARTITION BY {_S} ORDER BY model) - 1 AS mno, dense_rank() OVER (PARTITION BY {_S} ORDER BY stratum) - 1 AS sno FROM (
+        SELECT *, row_number() OVER (PARTITION BY {_S}, stratum, model, dataset ORDER BY f, draw, uid) AS d FROM (
+          SELECT *, row_number() OVER (PARTITION BY {_S}, stratum, model, dataset, fluency ORDER BY draw, uid) AS f FROM (
+            SELECT *, @DRAW(concat_ws('|', '140', uid)) AS draw FROM o_candidates) a) b) c) d0) e) g) h WHERE q <= 15""")
 
 
 @query("stratified_sample", "SELECT uid, variant, size_bucket, language, stratum, model, dataset, fluency FROM o_sampled")

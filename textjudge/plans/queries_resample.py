@@ -1,4 +1,4 @@
-"""Bootstrap queries (I1-I4) with oracles that repeat the same hash draws."""
+"""Bootstrap queries (I1-I4) with oracles that repeat the same weights in SQL."""
 
 from __future__ import annotations
 
@@ -6,41 +6,32 @@ from pyspark.sql import functions as F
 
 from textjudge import fixed
 from textjudge.operators import resample as R
-from textjudge.operators.index import INCREMENT, MASK, MULTIPLIER
+from textjudge.operators.resample import INCREMENT, MASK, MULTIPLIER
 from textjudge.plans.queries_scores import latest_faith, latest_fluency, with_size
 from textjudge.plans.queries_votes import scored_votes
 from textjudge.plans.registry import helper, query
 from textjudge.plans.views import Tables
 
-# the study default of 10,000 resamples is a parameter; the checked queries use fewer
-SAMPLES = 40
-BLOCK = 64
+# the study default of 10,000 resamples is a parameter
+SAMPLES = 200
 SEED = fixed.BOOTSTRAP_SEED
 _M = [f"{k}_{x.lower()}" for x in fixed.LABELS for k in ("num", "den")]
 
 
 def _draws(name: str, source: str, group: list[str], measures: list[str], cell: str = "''") -> None:
-    """Register the oracle relations of one bootstrap: <name>_idx and <name>_reps."""
+    """Register the oracle relations of one bootstrap: <name>_n and <name>_reps."""
     g = ", ".join(group)
     sums = ", ".join(f"sum({m}) AS {m}" for m in measures)
-    same = " AND ".join(f"p.{x} = c.{x}" for x in group)
-    texts = ", ".join(group)
+    weights = " + ".join(f"(x >= {limit})::BIGINT" for limit in R.poisson_limits())
     helper(f"{name}_cells", f"SELECT {g}, dataset, variant, eid, {cell} AS cell, {sums} FROM {source} GROUP BY ALL")
-    helper(f"{name}_idx", f"""SELECT *, count(*) OVER (PARTITION BY {g}) AS n, row_number() OVER (PARTITION BY {g}
-        ORDER BY @DRAW(concat_ws('|', dataset, variant, eid)) % 256, dataset, variant, eid) - 1 AS idx
-      FROM (SELECT DISTINCT {g}, dataset, variant, eid FROM {name}_cells) d""")
-    helper(f"{name}_hits", f"""SELECT {g}, rep, blk, n, count(*) AS hits FROM (SELECT {g}, rep, n,
-        (@DRAW(concat_ws('|', '{SEED}', 'block', rep, {texts}, idx)) % n) // {BLOCK} AS blk
-        FROM {name}_idx, range(0, {SAMPLES}) r(rep)) b GROUP BY {g}, rep, blk, n""")
-    helper(f"{name}_picks", f"""SELECT {g}, rep, blk * {BLOCK} + xor(x2, x2 >> 16) % least({BLOCK}, n - blk * {BLOCK}) AS idx FROM (
+    helper(f"{name}_n", f"SELECT {g}, count(DISTINCT (dataset, variant, eid)) AS n FROM {name}_cells GROUP BY ALL")
+    helper(f"{name}_w", f"""SELECT dataset, variant, eid, rep, {weights} AS w FROM (SELECT *, xor(x2, x2 >> 16) AS x FROM (
       SELECT *, (xor(x1, x1 >> 16) * {MULTIPLIER}) & {MASK} AS x2 FROM (
         SELECT *, (xor(x0, x0 >> 16) * {MULTIPLIER}) & {MASK} AS x1 FROM (
-          SELECT *, (@DRAW(concat_ws('|', '{SEED}', 'item', rep, {texts}, blk)) + draw * {INCREMENT}) % {MASK + 1} AS x0
-          FROM (SELECT *, unnest(range(1, hits + 1)) AS draw FROM {name}_hits) h) a) b) c""")
-    helper(f"{name}_reps", f"""SELECT {", ".join(f"c.{x}" for x in group)}, rep, c.cell, {", ".join(f"sum(c.{m}) AS {m}" for m in measures)}
-      FROM {name}_picks p JOIN {name}_idx i ON p.idx = i.idx AND {same.replace("c.", "i.")}
-      JOIN {name}_cells c ON {same} AND c.dataset = i.dataset AND c.variant = i.variant AND c.eid = i.eid
-      GROUP BY {", ".join(f"c.{x}" for x in group)}, rep, c.cell""")
+          SELECT *, (@DRAW(concat_ws('|', '{SEED}', dataset, variant, eid)) + (rep + 1) * {INCREMENT}) % {MASK + 1} AS x0
+          FROM (SELECT DISTINCT dataset, variant, eid FROM {name}_cells) k, range(0, {SAMPLES}) r(rep)) a) b) c) d""")
+    helper(f"{name}_reps", f"""SELECT {g}, rep, cell, {", ".join(f"sum({m} * w) AS {m}" for m in measures)}
+      FROM {name}_cells JOIN {name}_w USING (dataset, variant, eid) WHERE w > 0 GROUP BY {g}, rep, cell""")
 
 
 def _q(values: str, q: str) -> str:
@@ -66,7 +57,7 @@ def bootstrap_model_ci(t: Tables):
         latest_faith(t).select(F.lit("faithfulness").alias("metric"), *cols)
         .unionByName(latest_fluency(t).select(F.lit("fluency").alias("metric"), *cols))
     )
-    return R.model_intervals(both, ["metric", "model"], samples=SAMPLES, block=BLOCK)
+    return R.model_intervals(both, ["metric", "model"], samples=SAMPLES)
 
 
 _UNITS = ", ".join(f"score * u_{x.lower()} AS num_{x.lower()}, u_{x.lower()} AS den_{x.lower()}" for x in fixed.LABELS)
@@ -77,7 +68,7 @@ helper("o_size_obs", f"""SELECT size_group, count(DISTINCT (dataset, variant, ei
 
 
 def perceived(t: Tables):
-    return R.PerceivedBootstrap(with_size(scored_votes(t)), samples=SAMPLES, block=BLOCK)
+    return R.PerceivedBootstrap(with_size(scored_votes(t)), samples=SAMPLES)
 
 
 @query("bootstrap_perceived_ci", " UNION ALL ".join(f"""SELECT size_group, source_item_clusters, '{x}' AS predicted_label,
@@ -117,6 +108,6 @@ _draws("o_true_boot", "o_true_rows", ["true_label"], _M, cell="model")
       SELECT true_label, rep, list_reduce(list_prepend(0.0::DOUBLE, list(r ORDER BY cell)), lambda a, b: a + b) / count(*) AS v
       FROM (SELECT true_label, rep, cell, num_{x.lower()}::DOUBLE / nullif(den_{x.lower()}, 0) AS r FROM o_true_boot_reps) q
       WHERE r IS NOT NULL GROUP BY true_label, rep) a GROUP BY true_label) b
-  JOIN (SELECT true_label, max(n) AS source_item_clusters FROM o_true_boot_idx GROUP BY true_label) c USING (true_label)""" for x in fixed.LABELS))
+  JOIN (SELECT true_label, n AS source_item_clusters FROM o_true_boot_n) c USING (true_label)""" for x in fixed.LABELS))
 def bootstrap_true_perceived(t: Tables):
-    return R.macro_intervals(scored_votes(t), samples=SAMPLES, block=BLOCK)
+    return R.macro_intervals(scored_votes(t), samples=SAMPLES)

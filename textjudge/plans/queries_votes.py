@@ -329,15 +329,9 @@ def true_perceived_macro(t: Tables):
   JOIN (SELECT model, avg(score) AS mean_faith FROM v_latest_faith GROUP BY model) f USING (model)
   JOIN (SELECT model, avg(score) AS mean_fluency FROM v_latest_fluency GROUP BY model) u USING (model)""")
 def model_summary(t: Tables):
-    v = votes(t)
-    shares = V.label_distribution(v).groupBy("model").agg(
-        *[F.max(F.when(F.col("label") == x, F.col("pct"))).alias(f"pct_{x.lower()}")
-          for x in ("FA", "FI", "CFA")]
-    )
-    metrics = V.classification_metrics(v).select("model", "n", "accuracy", "unanimity")
     faith = S.mean_by(latest_faith(t), ["model"], name="mean_faith").drop("n")
     fluency = S.mean_by(latest_fluency(t), ["model"], name="mean_fluency").drop("n")
-    return metrics.join(shares, "model").join(faith, "model").join(fluency, "model")
+    return V.model_summary(votes(t)).join(faith, "model").join(fluency, "model")
 
 
 helper("o_format", f"""SELECT {_KEYS}, count(*) AS answers, count(*) FILTER (status = 'exact') AS exact,

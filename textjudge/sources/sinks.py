@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textjudge.operators.lineage import shared_folder
 from textjudge.sources.tables import BOM
 
 REPORT_KEYS = ["generator_model", "dataset", "variant"]
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder of the session (a temporary one in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='scratch-')}/{uuid.uuid4().hex}"
+    """A new folder below the shared folder of the session."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def write_report(df: DataFrame, path: str, by: Sequence[str] = (), fmt: str = "csv") -> None:

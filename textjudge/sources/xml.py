@@ -65,7 +65,7 @@ def entry_records(triples: DataFrame, eid: Column, keys: Sequence[str] = ("eid",
     text = F.concat_ws(" | ", "subject", "predicate", "object")
     listed = F.array_sort(F.collect_list(F.struct("pos", text.alias("text"))))
     grouped = triples.groupBy(*keys).agg(
-        F.first("category").alias("category"), F.transform(listed, lambda x: x["text"]).alias("t")
+        F.min_by("category", "pos").alias("category"), F.transform(listed, lambda x: x["text"]).alias("t")
     )
     return grouped.select(
         F.struct(
