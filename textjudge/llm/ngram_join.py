@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textjudge.llm.common import id_and_text, in_blocks, width
@@ -188,22 +188,36 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
-def fits(a: str, b: str):
-    """Sizes that allow a link."""
-    return (4 * F.least(a, b) >= 3 * F.greatest(a, b))
+def inverted(sets: DataFrame) -> DataFrame:
+    """(doc_id, n, token, room): the inverted lists of the needed shingles.
+
+    ``room`` is the number of shingles of the set from this one on, in the common order.
+    """
+    tokens = sets.select("doc_id", "n", F.size("tokens").alias("shared"), F.posexplode(F.slice("tokens", 1, F.col("needed"))).alias("place", "token"))
+    return tokens.select("doc_id", "n", "token", (F.col("shared") - F.col("place")).alias("room"))
+
+
+def reachable(n_u: str, room_u: str, n_v: str, room_v: str, light: int) -> Column:
+    """Whether two sets of a list can be linked with its shingle as the first they share.
+
+    The first common shingle leaves no more common ones than the shorter rest; every
+    linked pair passes at its first common shingle, so nothing is lost.
+    """
+    enough = 7 * F.least(room_u, room_v) >= 3 * (F.col(n_u) + F.col(n_v))
+    return enough & (F.greatest(n_u, n_v) > light)
 
 
 def heavy_links(sets: DataFrame, labels: DataFrame, light: int) -> DataFrame:
     """``labels`` (node, label) with all links merged that involve a heavy set."""
-    lists = sets.where(F.col("n") >= -(-3 * (light + 1) // 4)).select("doc_id", "n", F.explode(F.slice("tokens", 1, F.col("needed"))).alias("token"))
+    lists = inverted(sets.where(F.col("n") >= -(-3 * (light + 1) // 4)))
     order = [F.col("doc_id"), F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))]
     for key in order:
         named = with_labels(lists, labels)
         pivots = named.groupBy("token").agg(
-            F.min_by(F.struct("doc_id", "n", "label"), key).alias("p"), F.min("label").alias("least"), F.max("label").alias("most")
+            F.min_by(F.struct("doc_id", "n", "room", "label"), key).alias("p"), F.min("label").alias("least"), F.max("label").alias("most")
         ).where("least < most")
-        met = named.join(pivots.select("token", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.label").alias("label_p")), "token")
-        met = met.where((F.col("label") != F.col("label_p")) & fits("n", "n_p") & (F.greatest("n", "n_p") > light))
+        pivots = pivots.select("token", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.room").alias("room_p"), F.col("p.label").alias("label_p"))
+        met = named.join(pivots, "token").where((F.col("label") != F.col("label_p")) & reachable("n", "room", "n_p", "room_p", light))
         # each set is compared with the pivot it meets most often
         often = met.groupBy("doc_id", "label", "pivot", "label_p").agg(F.count(F.lit(1)).alias("times"))
         best = often.groupBy("doc_id", "label").agg(F.max_by(F.struct("pivot", "label_p"), F.struct("times", "pivot")).alias("p"))
@@ -235,16 +249,17 @@ def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
 def open_pairs(lists: DataFrame, labels: DataFrame, light: int) -> DataFrame:
     """All pairs of a list whose components differ; pairs inside a component never arise."""
     named = with_labels(lists, labels)
-    groups = named.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # nothing of a label can meet what needs more room than its best member has
+    groups = named.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("room").alias("room"))
     mixed_ = groups.groupBy("token").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token")
     groups = groups.join(mixed_, "token")
-    other = groups.select("token", F.col("label").alias("label_v"), F.col("low").alias("low_v"), F.col("high").alias("high_v"))
-    near = (F.col("label") > F.col("label_v")) & (4 * F.col("high_v") >= 3 * F.col("low")) & (4 * F.col("high") >= 3 * F.col("low_v"))
+    other = groups.select("token", F.col("label").alias("label_v"), F.col("low").alias("low_v"), F.col("room").alias("room_v"))
+    near = (F.col("label") > F.col("label_v")) & reachable("low", "room", "low_v", "room_v", 0)
     crossed = groups.join(other, "token").where(near).select("token", "label", "label_v")
-    left = named.select("token", "label", F.col("doc_id").alias("u"), F.col("n").alias("n_u"))
-    right = named.select("token", F.col("label").alias("label_v"), F.col("doc_id").alias("v"), F.col("n").alias("n_v"))
+    left = named.select("token", "label", F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("room").alias("room_u"))
+    right = named.select("token", F.col("label").alias("label_v"), F.col("doc_id").alias("v"), F.col("n").alias("n_v"), F.col("room").alias("room_v"))
     pairs = crossed.join(left, ["token", "label"]).join(right, ["token", "label_v"])
-    pairs = pairs.where(fits("n_u", "n_v") & (F.greatest("n_u", "n_v") > light))
+    pairs = pairs.where(reachable("n_u", "room_u", "n_v", "room_v", light))
     return pairs.select("u", "v", F.col("label").alias("label_u"), "label_v").distinct()
 
 
