@@ -210,7 +210,7 @@ def reachable(n_u: str, room_u: str, n_v: str, room_v: str, light: int) -> Colum
 def heavy_links(sets: DataFrame, labels: DataFrame, light: int) -> DataFrame:
     """``labels`` (node, label) with all links merged that involve a heavy set."""
     lists = inverted(sets.where(F.col("n") >= -(-3 * (light + 1) // 4)))
-    order = [F.col("doc_id"), F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))]
+    order = [F.col("doc_id"), F.xxhash64("doc_id")]
     for key in order:
         named = with_labels(lists, labels)
         pivots = named.groupBy("token").agg(
