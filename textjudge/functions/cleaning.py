@@ -18,10 +18,8 @@ from textjudge.functions.columns import (
 )
 
 _LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
-_META_LINE = rf"^\s*{fixed.META_LINE_WORDS}\s*[:：]"
-_TRAILING_META = (
-    rf"(?:\s*\({fixed.META_WORDS}[^)]*\)|\s+{fixed.META_WORDS}\s*[:：].*$)"
-)
+_META_LINE = fixed.META_LINE_PATTERN
+_TRAILING_META = fixed.TRAILING_META_PATTERN
 # every round of the fixpoints below removes at least one of these characters
 _ROUND_CHARS = "[^\"'`“„(:：]"
 _THINK = r"(?is)<think>(.*?)</think>"

@@ -241,7 +241,3 @@ def annotation_by_judge(
         return by_model
     at = F.when(text_or_empty(url) == "", F.lit(current)).otherwise(endpoint(url))
     return by_model & (at == current)
-
-
-def key_columns() -> list[Column]:
-    return [col(k) for k in KEY]

@@ -214,7 +214,3 @@ def tag_pairs(answer: Column) -> Column:
             strip(F.get(p, F.lit(1))).alias("tag"),
         ),
     )
-
-
-def plain_text(text: Column) -> Column:
-    return null_if_empty(collapse(text))

@@ -127,22 +127,6 @@ def mean_sets(df: DataFrame, sets, score: str = "score", name: str = "mean_score
     return out.withColumn(name, share(F.col("_sum"), F.col("n"))).drop("_sum")
 
 
-def pivot_mean(
-    df: DataFrame, keys: Sequence[str], over: str, values: Sequence[str], score: str = "score"
-) -> DataFrame:
-    """One mean column per value of ``over`` plus the overall mean, in one aggregation."""
-    cells = []
-    for v in values:
-        hit = F.col(over) == v
-        cells.append(
-            share(F.sum(F.when(hit, F.col(score))), F.count(F.when(hit, F.col(score)))).alias(
-                f"mean_{v}"
-            )
-        )
-    overall = share(F.sum(score), F.count(score)).alias("mean_overall")
-    return df.groupBy(*keys).agg(*cells, overall)
-
-
 def worst_combos(stats: DataFrame, keys: Sequence[str], n: int = fixed.TOP_COMBOS) -> DataFrame:
     order = [F.col("failure_pct").desc(), F.col("records").desc(), *[F.col(k) for k in keys]]
     return stats.orderBy(*order).limit(n)

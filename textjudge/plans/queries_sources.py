@@ -141,6 +141,32 @@ def export_entries_xml(t: Tables):
     )
 
 
+@query("export_numbered_xml", "SELECT concat('Id', eid) AS eid, category, size::INT AS size, pos::INT AS pos, subject, predicate, object FROM v_triples")
+def export_numbered_xml(t: Tables):
+    path = K.scratch(t.spark)
+    X.write_benchmark_xml(t.v_triples.withColumnRenamed("eid", "id"), path)
+    return X.read_benchmark_xml(t.spark, path).select("eid", "category", "size", "pos", "subject", "predicate", "object")
+
+
+@query("scan_context_lines", "SELECT p_name AS keyword, concat('about ', p_brand) AS context FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1")
+def scan_context_lines(t: Tables):
+    from pyspark.sql import Window
+
+    path = K.scratch(t.spark)
+    first = t.part.withColumn("n", F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey"))).where("n = 1")
+    first.select(F.concat("p_name", F.lit("===about "), "p_brand").alias("value")).write.text(path)
+    return S.read_context_lines(t.spark, path)
+
+
+@query("bronze_tree", f"SELECT {_KEYS}, score FROM v_latest_faith")
+def bronze_tree(t: Tables):
+    from textjudge.plans.queries_scores import latest_faith
+
+    path = K.scratch(t.spark)
+    K.write_bronze(latest_faith(t).select(*KEY, "score"), path)
+    return t.spark.read.parquet(path).select(*KEY, "score")
+
+
 _TYPED = """SELECT l_orderkey AS id, 'c' AS category, concat('About ', CAST(l_orderkey AS @STR)) AS phrase,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,
   concat('Order ', CAST(l_orderkey AS @STR)) AS subject, CASE WHEN l_linenumber = 1 THEN 'jmeno' ELSE 'unknown' END AS subject_type,

@@ -40,8 +40,8 @@ def _layers(source: str, column: str, steps: list, rounds: int) -> str:
     return sql
 
 
-_META_TAIL = rf"(?i)(?:\s*\({fixed.META_WORDS}[^)]*\)|\s+{fixed.META_WORDS}\s*[:：].*$)"
-_META_LINE = rf"(?i)^\s*{fixed.META_LINE_WORDS}\s*[:：]"
+_META_TAIL = "(?i)" + fixed.TRAILING_META_PATTERN
+_META_LINE = rf"(?i){fixed.META_LINE_PATTERN}"
 _DOC_LINES = f"""(SELECT doc_id, content, array_to_string(list_filter(list_transform(list_filter(
     list_transform(string_split_regex(content, '{_BREAK}'), lambda x: {_strip('x')}),
     lambda x: x <> '' AND NOT regexp_matches(x, '^\\s*```') AND NOT regexp_matches(x, '{_META_LINE}')),
@@ -76,6 +76,18 @@ def split_reasoning(t: Tables):
     )
 
 
+@query("merged_reasoning", """SELECT doc_id, nullif(concat_ws(chr(10) || chr(10), nullif(trim(source), ''), nullif(trim(lang), '')), '') AS reasoning FROM documents""")
+def merged_reasoning(t: Tables):
+    return t.documents.select("doc_id", G.merge_reasoning(F.col("source"), F.col("lang")).alias("reasoning"))
+
+
+@query("file_names", """SELECT page_id, regexp_replace(coalesce(nullif(trim(url), ''), 'unknown'), '[^A-Za-z0-9_.-]+', '_', 'g') AS name FROM pages""")
+def file_names(t: Tables):
+    from textjudge.functions.keys import sanitize_file_name
+
+    return t.spark.read.parquet(f"{t.sf_dir}/pages.parquet").select("page_id", sanitize_file_name(F.col("url")).alias("name"))
+
+
 @query("raw_if_different", f"""SELECT doc_id, CASE WHEN lower(raw) = lower({_strip('text')}) THEN '' ELSE raw END AS raw_response
   FROM (SELECT c.doc_id, text, {_strip("regexp_replace(content, '\\s+', ' ', 'g')")} AS raw
     FROM v_chatter c JOIN documents d ON c.doc_id = d.doc_id) x""")
