@@ -95,13 +95,22 @@ def lexical_terms(triples: Column) -> Column:
     return F.array_distinct(F.filter(both, lambda x: x != ""))
 
 
+def _triple_item(item: Column) -> Column:
+    parts = F.from_json(item, "array<string>")
+    listed = F.struct(*[F.get(parts, i).alias(c) for i, c in enumerate(("subject", "predicate", "object"))])
+    return F.when(F.startswith(F.ltrim(item), F.lit("[")) & (F.size(parts) == 3), listed).otherwise(parse_formatted_triple(item))
+
+
 _TRIPLES = "array<struct<subject:string,predicate:string,object:string>>"
 
 
 def row_triples(triples_json: Column, formatted: Column) -> Column:
-    """Triples of a record: its JSON list, else its formatted text."""
+    """Triples of a record: its JSON list, else its formatted text.
+
+    An item of the list is a formatted triple or itself a list of its three parts.
+    """
     from_json = F.from_json(triples_json, "array<string>")
-    parsed = F.array_compact(F.transform(from_json, parse_formatted_triple))
+    parsed = F.array_compact(F.transform(from_json, _triple_item))
     from_text = F.array_compact(F.transform(lines(formatted), parse_formatted_triple))
     none = F.array().cast(_TRIPLES)
     return let(

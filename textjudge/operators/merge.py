@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textjudge.functions.columns import null_if_empty, strip, text_or_empty
-from textjudge.functions.keys import KEY, endpoint, judge_name
+from textjudge.functions.keys import KEY, endpoint, judge_name, model_candidates
 from textjudge.operators.lineage import materialize
 
 RECORD_KEY = ["eid", "source_id", "judge", "at"]
@@ -142,6 +142,20 @@ def missing_repeats(
 
 def coverage(expected: DataFrame, judged: DataFrame, keys: Sequence[str] = KEY[:4]) -> DataFrame:
     """Expected, judged and missing entries per combo."""
+    return _coverage(expected, judged, keys)
+
+
+def coverage_by_alias(expected: DataFrame, judged: DataFrame, keys: Sequence[str] = KEY[:4]) -> DataFrame:
+    """The same where model names of the two trees may differ by one dot or underscore.
+
+    A judged entry counts for every name its model may have; names of expected models are
+    taken as they are.
+    """
+    names = judged.select(*[k for k in keys if k != "model"], "eid", F.explode(model_candidates(F.col("model"))).alias("model"))
+    return _coverage(expected, names, keys)
+
+
+def _coverage(expected: DataFrame, judged: DataFrame, keys: Sequence[str]) -> DataFrame:
     by_entry = [*keys, "eid"]
     done = judged.select(*by_entry).distinct().withColumn("_judged", F.lit(True))
     joined = expected.select(*by_entry).distinct().join(done, by_entry, "left")

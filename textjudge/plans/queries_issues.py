@@ -195,6 +195,13 @@ def error_keywords(t: Tables):
     return I.keywords(items, ["category"], "comment_detail", fixed.ERROR_STOPWORDS, 1)
 
 
+@query("error_bigrams", keyword_oracle(
+    "(SELECT * FROM o_below_items WHERE category <> '')", "category", "comment_detail", fixed.ERROR_STOPWORDS, 2))
+def error_bigrams(t: Tables):
+    items = item_rows(t).filter(F.col("category") != "")
+    return I.keywords(items, ["category"], "comment_detail", fixed.ERROR_STOPWORDS, 2)
+
+
 helper("o_fluency", f"""SELECT j.event_id, j.model, j.language, j.comment, coalesce(vote_label_order, '') AS predicted_label, """
        + ", ".join(f"regexp_matches(comment, '(?i){p}')::INT AS has_{n}" for n, p in fixed.FLUENCY_PATTERNS)
        + f""" FROM v_judged_fluency j LEFT JOIN o_votes v USING ({_KEYS}) WHERE j.score < 5""")
@@ -233,6 +240,23 @@ def fluency_keywords(t: Tables):
     return I.keywords(rows, ["language"], "comment", fixed.FLUENCY_STOPWORDS, 2)
 
 
+_FLU_LONG = "(" + " UNION ALL ".join(f"SELECT '{n}' AS category, comment FROM o_fluency WHERE has_{n} = 1" for n in _FLU) + ")"
+
+
+def fluency_by_category(t: Tables):
+    return I.fluency_rows(t.v_judged_fluency).select(F.explode("categories").alias("category"), "comment")
+
+
+@query("fluency_category_keywords", keyword_oracle(_FLU_LONG, "category", "comment", fixed.FLUENCY_STOPWORDS, 1))
+def fluency_category_keywords(t: Tables):
+    return I.keywords(fluency_by_category(t), ["category"], "comment", fixed.FLUENCY_STOPWORDS, 1)
+
+
+@query("fluency_category_bigrams", keyword_oracle(_FLU_LONG, "category", "comment", fixed.FLUENCY_STOPWORDS, 2))
+def fluency_category_bigrams(t: Tables):
+    return I.keywords(fluency_by_category(t), ["category"], "comment", fixed.FLUENCY_STOPWORDS, 2)
+
+
 # --- leakage ---------------------------------------------------------------
 
 helper("o_leaks", """SELECT source_id, o.eid, p.predicate FROM v_outputs o

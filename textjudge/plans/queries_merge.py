@@ -119,6 +119,15 @@ def coverage(t: Tables):
     return M.coverage(t.v_judged_faith, t.v_judged_fluency.filter("score >= 3"))
 
 
+@query("coverage_by_alias", f"""SELECT {_COMBO}, count(*) AS expected_rows, count(hit) AS judged_rows, count(*) - count(hit) AS missing_rows
+  FROM (SELECT DISTINCT concat('a_', model) AS model, dataset, variant, language, eid FROM v_judged_faith) e
+  LEFT JOIN (SELECT DISTINCT concat('a_', model) AS model, dataset, variant, language, eid, 1 AS hit FROM v_judged_fluency) f
+  USING ({_KEYS}) GROUP BY {_COMBO}""")
+def coverage_by_alias(t: Tables):
+    expected = t.v_judged_faith.withColumn("model", F.concat(F.lit("a_"), "model"))
+    return M.coverage_by_alias(expected, t.v_judged_fluency.withColumn("model", F.concat(F.lit("a."), "model")))
+
+
 _DONE = """SELECT CASE WHEN k % 2 = 0 THEN 'generated' ELSE 'classified' END AS task, model, dataset, variant, language
   FROM v_judged_faith GROUP BY 1, 2, 3, 4, 5 HAVING avg(score) > 2.9"""
 

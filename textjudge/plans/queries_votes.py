@@ -286,6 +286,16 @@ def split_rows(t: Tables):
     return first.join(latest_faith(t).select(*KEY, "score"), KEY)
 
 
+@query("split_rows_by_alias", f"""SELECT concat('a.', model) AS model, dataset, variant, language, eid, label AS predicted_label, score
+  FROM o_labels JOIN v_latest_faith USING ({_KEYS}) WHERE repeat_idx = 1""")
+def split_rows_by_alias(t: Tables):
+    from textjudge.operators.joins import join_by_model_alias
+
+    first = t.v_answers.filter("repeat_idx = 1").select(*KEY, L.parse_label(F.col("answer")).alias("predicted_label"))
+    scores = latest_faith(t).select(*KEY, "score").withColumn("model", F.concat(F.lit("a_"), "model"))
+    return join_by_model_alias(first.withColumn("model", F.concat(F.lit("a."), "model")), scores).where("score IS NOT NULL")
+
+
 @query("faith_by_classification_split", """SELECT model, dataset, vote_first_seen AS predicted_label, language,
   avg(score) AS mean_score, count(*) AS n FROM o_soft GROUP BY ALL""")
 def faith_by_classification_split(t: Tables):
