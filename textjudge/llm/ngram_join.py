@@ -17,7 +17,7 @@ in different components are compared exactly. No pair is dropped, and a large gr
 near copies is linked through its pivots.
 
 The boundary between light and heavy is the size with the least total cost, the number of
-enumerated subsets against the length of the lists to scan.
+enumerated subsets against the lists to scan and the sets to compare.
 """
 
 from __future__ import annotations
@@ -119,7 +119,8 @@ def shared_sets(docs: DataFrame, block_bytes: int) -> DataFrame:
 def light_boundary(sets: DataFrame) -> int:
     """The size up to which sets enumerate subsets, by total cost.
 
-    At most ``MOST_LIGHT`` rows reach the driver.
+    A subset costs one row; an entry of a list costs one row and a comparison of two sets,
+    which reads as many shingles as a set has. At most ``MOST_LIGHT`` rows reach the driver.
     """
     small = sets.where(F.col("n") <= MOST_LIGHT)
     lists = small.select("n", F.explode(F.slice("tokens", 1, F.col("needed"))).alias("token"))
@@ -129,7 +130,7 @@ def light_boundary(sets: DataFrame) -> int:
     subsets = dict.fromkeys(range(1, MOST_LIGHT + 1), 0)
     for r in shared:
         subsets[r["n"]] += r["sets"] * sum(math.comb(r["m"], required(r["n"], b)) for b in partners(r["n"]))
-    costs = [sum(subsets[k] for k in range(1, x + 1)) + sum(scan[f"s{k}"] or 0 for k in range(x + 1, MOST_LIGHT + 1)) for x in range(MOST_LIGHT + 1)]
+    costs = [sum(subsets[k] for k in range(1, x + 1)) + sum((k + 1) * (scan[f"s{k}"] or 0) for k in range(x + 1, MOST_LIGHT + 1)) for x in range(MOST_LIGHT + 1)]
     return costs.index(min(costs))
 
 
