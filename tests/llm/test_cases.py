@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
+import base64
 import random
 
 import numpy as np
@@ -125,6 +126,38 @@ def test_repeats_and_bands_by_hand():
     assert compression.band_verdict(half, compression.Bands(), packer)[3] > 0.3
 
 
+def base64_words(seed, n):
+    r = random.Random(seed)
+    text = base64.b64encode(r.randbytes(n))
+    return b" ".join(text[k : k + 9] for k in range(0, len(text), 9))[:n]
+
+
+@pytest.mark.parametrize("n", [112, 160, 255, 256, 511, 512, 1023, 1024, 2048, 3000, 4095, 4096, 9000, 16383, 16384, 60_000])
+def test_bands_reject_base64_junk(n):
+    bands, packer = compression.Bands(), compression.zstandard.ZstdCompressor(level=3)
+    for seed in range(20):
+        assert not compression.band_verdict(base64_words(seed, n), bands, packer)[-1]
+        clean = prose(seed, n)[:n].encode()
+        assert compression.band_verdict(clean, bands, packer)[-1]
+        if n >= 255:
+            mixed = clean[: n * 3 // 10] + base64_words(seed, n - n * 3 // 10)
+            assert not compression.band_verdict(mixed, bands, packer)[-1]
+
+
+def test_the_last_part_chunk_counts():
+    bands, packer = compression.Bands(), compression.zstandard.ZstdCompressor(level=3)
+    rest = prose(1, 3000)[:4096].encode() + base64_words(1, 1900)
+    assert compression.band_verdict(rest, bands, packer)[3:] == (1900 / len(rest), False)
+    short = prose(1, 3000)[:4096].encode() + base64_words(1, 100)
+    assert compression.band_verdict(short, bands, packer)[3:] == (0.0, True)
+
+
+def test_dense_scripts_have_limits_of_their_own():
+    bands = compression.Bands()
+    assert compression.least_ratio("漢".encode() * 1000, bands) == 1.25
+    assert compression.least_ratio(b"x" * 3000, bands) == compression.least_ratio("é".encode() * 1500, bands) == 1.5
+
+
 def test_secret_base_spans(spark, ugly):
     got = {r.doc_id: r for r in secret_scan.scan_secrets(ugly).collect()}
     assert got[13].n_assign == 1 and got[13].n_access == 1 and got[13].spans.startswith("assign:0:26")

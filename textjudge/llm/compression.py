@@ -21,21 +21,34 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of bytes / compressed bytes. A text belongs to the first band it fits in."""
+    """Limits of bytes / compressed bytes. A text belongs to the first band it fits in.
+
+    Low limits lie between random base64 words and clean text of that length. Below 112
+    bytes the two have the same ratios, so nothing but the old floor is asked for there.
+    """
 
     #: (bytes below, least whole ratio, most whole ratio); the last band is open
     whole: tuple[tuple[float, float, float], ...] = (
-        (256, 0.70, 3.5),
-        (1024, 1.08, 4.0),
-        (4096, 1.25, 4.5),
-        (16384, 1.38, 5.5),
-        (float("inf"), 1.40, 8.0),
+        (112, 0.70, 3.5),
+        (160, 1.05, 3.5),
+        (256, 1.15, 3.5),
+        (512, 1.25, 4.0),
+        (1024, 1.35, 4.0),
+        (4096, 1.50, 4.5),
+        (16384, 1.58, 5.5),
+        (float("inf"), 1.58, 8.0),
     )
+    #: (bytes below, least ratio) where three-byte characters make up more than dense_share
+    #: of the bytes: such scripts leave fewer repeats to find
+    dense: tuple[tuple[float, float], ...] = ((256, 0.70), (1024, 1.08), (4096, 1.25), (16384, 1.38), (float("inf"), 1.40))
+    dense_share: float = 0.5
     chunk_bytes: int = 2048
-    #: limits for one full chunk, and the share of bad full chunks that rejects a text
-    chunk_low: float = 1.25
+    #: limits for one full chunk, and the share of bytes in bad chunks that rejects a text
+    chunk_low: float = 1.50
     chunk_high: float = 5.0
-    chunk_share: float = 0.5
+    chunk_share: float = 0.25
+    #: a shorter rest is part of the chunk before it
+    rest_bytes: int = 112
     level: int = 3
 
 
@@ -43,19 +56,36 @@ def ratio(data: bytes, packer: zstandard.ZstdCompressor) -> float:
     return len(data) / len(packer.compress(data)) if data else 0.0
 
 
+def least_ratio(data: bytes, bands: Bands) -> float:
+    """Low limit for a text or chunk of this length and script."""
+    dense = 3 * np.count_nonzero(np.frombuffer(data, np.uint8) >= 0xE0) > bands.dense_share * len(data)
+    return next(b[1] for b in (bands.dense if dense else bands.whole) if len(data) < b[0])
+
+
+def chunks(data: bytes, step: int, rest: int) -> list[bytes]:
+    """Full chunks and the rest; a rest below ``rest`` bytes lengthens the last full one."""
+    if len(data) < step:
+        return []
+    starts = list(range(0, len(data), step))
+    if len(data) - starts[-1] < rest:
+        starts.pop()
+    return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]
+
+
 def band_verdict(data: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple[float, float, float, float, bool]:
-    """Whole ratio, least and most chunk ratio, share of bad chunks, pass or not.
+    """Whole ratio, least and most chunk ratio, share of bytes in bad chunks, pass or not.
 
-    Only full chunks count: a short rest has another ratio and is part of the whole.
+    A chunk is held against ``chunk_low`` or, if that is less, the low limit of its length;
+    a text below one chunk is judged as a whole only.
     """
     whole = ratio(data, packer)
-    low, high = next((lo, hi) for most, lo, hi in bands.whole if len(data) < most)
-    step = bands.chunk_bytes
-    parts = [ratio(data[k : k + step], packer) for k in range(0, len(data) - step + 1, step)]
-    bad = sum(not bands.chunk_low <= r <= bands.chunk_high for r in parts)
-    share = bad / len(parts) if parts else 0.0
-    good = bool(low <= whole <= high and share < bands.chunk_share)
-    return whole, min(parts, default=whole), max(parts, default=whole), share, good
+    high = next(hi for most, _, hi in bands.whole if len(data) < most)
+    parts = chunks(data, bands.chunk_bytes, bands.rest_bytes)
+    ratios = [ratio(p, packer) for p in parts]
+    bad = sum(len(p) for p, r in zip(parts, ratios) if not min(bands.chunk_low, least_ratio(p, bands)) <= r <= bands.chunk_high)
+    share = bad / len(data) if parts else 0.0
+    good = bool(least_ratio(data, bands) <= whole <= high and share < bands.chunk_share)
+    return whole, min(ratios, default=whole), max(ratios, default=whole), share, good
 
 
 def repeated_words(words: list[bytes], size: int = 5) -> int:
