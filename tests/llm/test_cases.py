@@ -73,6 +73,26 @@ def test_context_tree_equals_explicit_trees(spark, ugly):
         assert a[4:] == pytest.approx(b[4:], rel=1e-9)
 
 
+@pytest.mark.parametrize("block_bytes", [24 << 20, 64])
+def test_context_tree_has_six_bytes_of_context(spark, block_bytes):
+    rows = [(i, f"{c}bcdef{'xyz'[k]} ") for k, c in enumerate("pqr") for i in range(k, 60, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ctw.score_texts(docs, block_bytes=block_bytes).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+    for a, b in zip(sorted(got), sorted(brute.context_trees(rows, 6)), strict=True):
+        assert tuple(a[:4]) == b[:4]
+        assert a[4:] == pytest.approx(b[4:], rel=1e-9)
+
+
+def test_context_tree_sums_in_steps():
+    lists = [np.unique(np.random.default_rng(k).integers(0, 1 << 22, 400_000).astype(np.uint64)) for k in range(8)]
+    total = ctw.Sums()
+    for values in lists:
+        total.add(values, np.ones(len(values)))
+    want = np.unique(np.concatenate(lists), return_counts=True)
+    assert all((a == b).all() for a, b in zip(total.total(), want))
+    assert len(ctw.Sums().total()[0]) == 0
+
+
 def test_context_tree_scores_long_texts(spark, ugly):
     got = {r.doc_id: r for r in ctw.score_texts(ugly).collect()}
     assert got[9].n_tokens == 2 and got[9].n_bytes == 150_001

@@ -32,7 +32,7 @@ from textjudge.llm.shingles import batches, mixed, word_hashes
 from textjudge.operators.lineage import materialize
 
 #: bytes of context; contexts and the byte itself are one number of DEPTH + 1 bytes
-DEPTH = 4
+DEPTH = 6
 #: begin and end of a text: no byte of UTF-8
 MARK = 0xFF
 #: packed lists that one aggregation task sums, and blocks that one lookup task answers
@@ -204,6 +204,26 @@ def counted(values: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.nd
     return summed([seen, other], [n, np.zeros(len(other))])
 
 
+class Sums:
+    """Counts of sorted lists, summed whenever what waits outgrows the sum."""
+
+    def __init__(self):
+        self.lists: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, values: np.ndarray, counts: np.ndarray) -> None:
+        self.lists.append((values, counts))
+        self.waiting += len(values)
+        if self.waiting > max(1 << 20, len(self.lists[0][0])):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.empty(0, np.uint64), np.empty(0)
+        self.lists = [summed(*zip(*self.lists or [none]))]
+        self.waiting = 0
+        return self.lists[0]
+
+
 class Part:
     """Words and byte grams of some documents of a block, about a megabyte of text."""
 
@@ -233,6 +253,14 @@ def range_of(kind: int, values: np.ndarray, ranges: int, depth: int) -> np.ndarr
     return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+def by_range(kind: int, values: np.ndarray, ranges: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(range, places of its values) of sorted values; ranges without values are left out."""
+    place = range_of(kind, values, ranges, depth)
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(ranges + 1)).tolist()
+    return ((k, order[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a)
+
+
 def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sum of the values of each text."""
     total = np.concatenate(([0.0], np.cumsum(values)))
@@ -240,6 +268,17 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df``; then the shuffle files that only it needed can leave the disk.
+
+    Spark deletes them when the driver's collector finds them unused, which a driver with
+    little to do may not look for until the end.
+    """
+    out = materialize(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def held_out(id_col: Column) -> Column:
     """Rows that are not learnt from: rest two by seven, or no id."""
     return F.coalesce(F.crc32(id_col.cast("string")) % 7 == 2, F.lit(True))
@@ -293,7 +332,7 @@ def gram_model(model: DataFrame, depth: int) -> DataFrame:
     return model.groupBy("range").applyInArrow(logs, "range int, values binary, logs binary")
 
 
-def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the unigram baseline and the context-tree score.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and
@@ -310,26 +349,22 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 8 << 20,
     ranges = max(width(docs), math.ceil(n_blocks / BLOCKS_PER_RANGE))
 
     def send(table: pa.Table) -> pa.Table:
-        found: tuple[list, list] = ([], [])
+        found = [Sums() for _ in (WORDS, GRAMS)]
         for part in parts(table, depth):
             for kind in (WORDS, GRAMS):
-                found[kind].append(part.keys(kind))
+                found[kind].add(*part.keys(kind))
         out = []
         for kind in (WORDS, GRAMS):
-            values, counts = summed([v for v, _ in found[kind]], [c for _, c in found[kind]])
-            place = range_of(kind, values, ranges, depth)
-            order = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[order], np.arange(ranges + 1)).tolist()
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if b > a:
-                    out.append((kind, k, pack_sorted(values[order[a:b]]), pack(counts[order[a:b]])))
+            values, counts = found[kind].total()
+            for k, at in by_range(kind, values, ranges, depth):
+                out.append((kind, k, pack_sorted(values[at]), pack(counts[at])))
         number = table.column("block")[0].as_py()
         return pa.table({
             "block": pa.array([number] * len(out), pa.int32()), "kind": pa.array([r[0] for r in out], pa.int32()), "range": pa.array([r[1] for r in out], pa.int32()),
             "values": pa.array([r[2] for r in out], pa.binary()), "counts": pa.array([r[3] for r in out], pa.binary()),
         })
 
-    sent = materialize(blocks.groupBy("block").applyInArrow(send, "block int, kind int, range int, values binary, counts binary"))
+    sent = stored(blocks.groupBy("block").applyInArrow(send, "block int, kind int, range int, values binary, counts binary"))
 
     def answer_words(table: pa.Table) -> pa.Table:
         values = [unpack_sorted(v.as_py()) for v in table.column("values")]
@@ -343,30 +378,37 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 8 << 20,
         })
 
     words = sent.where(F.col("kind") == WORDS).select("block", "range", "values", "counts")
-    words = materialize(words.groupBy("range").applyInArrow(answer_words, "block int, kind int, values binary, answer binary, known long, seen long"))
+    words = stored(words.groupBy("range").applyInArrow(answer_words, "block int, kind int, values binary, answer binary, known long, seen long"))
     known, seen = words.agg(F.sum("known"), F.sum("seen")).first()
     ends = rows.where("train").count()
     total, distinct = (seen or 0) + ends, (known or 0) + (ends > 0)
 
     asked = sent.where(F.col("kind") == GRAMS).select("block", "range", "values", "counts")
-    model = materialize(gram_model(materialize(merged_counts(asked, n_blocks)), depth))
+    model = stored(gram_model(stored(merged_counts(asked, n_blocks)), depth))
 
     def answer_grams(left: pa.Table, right: pa.Table) -> pa.Table:
         values = unpack_sorted(right.column("values")[0].as_py())
         logs = np.frombuffer(right.column("logs")[0].as_py(), "<f8")
         found = [logs[np.searchsorted(values, unpack_sorted(v.as_py()))].tobytes() for v in left.column("values")]
         return pa.table({
-            "block": left.column("block"), "kind": pa.array([GRAMS] * len(found), pa.int32()), "values": left.column("values"), "answer": pa.array(found, pa.binary()),
+            "block": left.column("block"), "kind": pa.array([GRAMS] * len(found), pa.int32()), "range": left.column("range"),
+            "values": pa.array([None] * len(found), pa.binary()), "answer": pa.array(found, pa.binary()),
         })
 
     part = F.floor(F.col("block") / FAN_OUT).cast("int")
     asking = asked.select("block", "range", "values", part.alias("part")).groupBy("range", "part")
     copies = model.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((n_blocks - 1) // FAN_OUT)))).groupBy("range", "part")
-    byte_answers = asking.cogroup(copies).applyInArrow(_when_asked(answer_grams), "block int, kind int, values binary, answer binary")
-    answers = words.select("block", "kind", "values", "answer").union(byte_answers)
+    byte_answers = asking.cogroup(copies).applyInArrow(_when_asked(answer_grams), "block int, kind int, range int, values binary, answer binary")
+    answers = words.select("block", "kind", F.lit(0).alias("range"), "values", "answer").union(byte_answers)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        tables = [lookup(right, kind) for kind in (WORDS, GRAMS)]
+        # the block knows which grams it asked for, in order
+        asked_for = Sums()
+        for part in parts(left, depth):
+            own = np.unique(part.grams)
+            asked_for.add(own, np.ones(len(own)))
+        grams_of_block, _ = asked_for.total()
+        tables = [lookup(right), (grams_of_block, gram_logs(right, grams_of_block, ranges, depth))]
         scale = math.log10(total + distinct + 1)
         columns: list[list[np.ndarray]] = [[] for _ in range(5)]
         for part in parts(left, depth):
@@ -391,15 +433,25 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 8 << 20,
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 
 
-def lookup(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of a block and what was answered for them."""
-    rows = [(v.as_py(), a.as_py()) for k, v, a in zip(answers.column("kind").to_pylist(), answers.column("values"), answers.column("answer")) if k == kind]
+def lookup(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted words of a block and the counts that were answered for them."""
+    rows = [(v.as_py(), a.as_py()) for k, v, a in zip(answers.column("kind").to_pylist(), answers.column("values"), answers.column("answer")) if k == WORDS]
     keys = np.concatenate([np.empty(0, np.uint64), *(unpack_sorted(v) for v, _ in rows)])
-    found = np.concatenate([np.empty(0), *(unpack(a).astype(float) if kind == WORDS else np.frombuffer(a, "<f8") for _, a in rows)])
+    found = np.concatenate([np.empty(0), *(unpack(a).astype(float) for _, a in rows)])
     order = np.argsort(keys)
     return keys[order], found[order]
 
 
+def gram_logs(answers: pa.Table, values: np.ndarray, ranges: int, depth: int) -> np.ndarray:
+    """What was answered for the sorted grams of a block; each range in their order."""
+    columns = answers.column("kind").to_pylist(), answers.column("range").to_pylist(), answers.column("answer")
+    rows = {k: a for kind, k, a in zip(*columns) if kind == GRAMS}
+    logs = np.empty(len(values))
+    for k, at in by_range(GRAMS, values, ranges, depth):
+        logs[at] = np.frombuffer(rows[k].as_py(), "<f8")
+    return logs
+
+
 def _when_asked(function):
     """A part of the blocks that has no row for a range asks nothing."""
 
@@ -408,6 +460,6 @@ def _when_asked(function):
             return function(left, right)
         empty = pa.array([], pa.int32())
         nothing = pa.array([], pa.binary())
-        return pa.table({"block": empty, "kind": empty, "values": nothing, "answer": nothing})
+        return pa.table({"block": empty, "kind": empty, "range": empty, "values": nothing, "answer": nothing})
 
     return run
