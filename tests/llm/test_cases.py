@@ -207,6 +207,42 @@ def test_allow_list_suppresses_only_entropy_spans():
     assert secret_scan.base_spans("token=EXAMPLEEXAMPLE")
 
 
+def share_found(characters, n, before="", after=""):
+    r = random.Random(7)
+    windows = secret_scan.Windows()
+    allow = [secret_scan.re.compile(p) for p in windows.allow]
+    texts = [f"x {before}{''.join(r.choice(characters) for _ in range(n))}{after} y" for _ in range(1000)]
+    return sum(bool(secret_scan.entropy_spans(t, windows, allow)) for t in texts) / len(texts)
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@pytest.mark.parametrize("before", ["", "A=", "Auth=", "Auth_", "example_", "A/"])
+def test_a_name_before_a_key_does_not_decide(before):
+    assert share_found("0123456789abcdef", 24, before) > 0.97
+    assert share_found(LETTERS + "0123456789+/", 40, before) > 0.99
+
+
+def test_keys_of_letters_only():
+    assert share_found(LETTERS, 20) > 0.85 and share_found(LETTERS, 40) > 0.99
+    assert share_found(LETTERS + "0123456789", 20) > 0.95
+    assert share_found(LETTERS + "0123456789", 18, after="==") > 0.85
+    windows = secret_scan.Windows()
+    for name in ("getElementByIdFromDocument", "AuthenticationTokenValue=", "src/main/java/Application/Settings", "a" * 30, "123456789012345678901234567890"):
+        assert not secret_scan.entropy_spans(name, windows, [])
+
+
+def test_the_allow_list_takes_parts():
+    windows = secret_scan.Windows()
+    allow = [secret_scan.re.compile(p) for p in windows.allow]
+    key_ = "Zx81kQ0pLm3vB7nC2rT9yW4"
+    assert secret_scan.entropy_spans(f"example_{key_}", windows, allow) == [(7, 8 + len(key_), "entropy")]
+    assert secret_scan.entropy_spans(f"{key_}-EXAMPLE", windows, allow)
+    assert not secret_scan.entropy_spans("id=123e4567-e89b-12d3-a456-426614174000", windows, allow)
+    assert not secret_scan.entropy_spans("id_123e4567-e89b-12d3-a456-426614174000", windows, allow)
+
+
 def test_rules_learn_and_compile(spark):
     rows = [(i, prose(i, 40) if i % 3 else " | ".join(prose(i, 20).split()) + " ###") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

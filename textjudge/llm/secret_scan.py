@@ -2,9 +2,10 @@
 
 A candidate is a long run of key characters. Windows slide over it; the sum of c*log2(c)
 over character counts is updated by the character that leaves and the one that enters, so
-a run of any length costs constant work per character. Windows above the limit of the
-candidate's character class are joined to spans. An allow-list suppresses spans that are
-known to be no secrets; what the fixed patterns find is never suppressed.
+a run of any length costs constant work per character. Windows above the limit of their
+own characters' class are joined to spans, so a name glued to a secret does not decide how
+the secret is judged. An allow-list takes parts out that are known to be no secrets; what
+the fixed patterns find is never suppressed.
 """
 
 from __future__ import annotations
@@ -12,23 +13,28 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
 from textjudge.llm.common import id_and_text, id_type, map_texts
 
+DIGITS, LOWER, UPPER, HEX_DIGITS = string.digits, string.ascii_lowercase, string.ascii_uppercase, string.hexdigits
+PART = re.compile(r"[A-Za-z0-9]+")
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: '=' ends a candidate, and belongs to it only as padding at its end
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?|[A-Za-z0-9+/_-]{18,19}={1,2}(?![A-Za-z0-9+/_=-])")
 
 
 @dataclass(frozen=True)
 class Windows:
-    """Window length and least bits per character for each class of candidates."""
+    """Window length and least bits per character for each class of windows."""
 
     size: int = 20
     hex_bits: float = 3.0
@@ -36,30 +42,75 @@ class Windows:
     alnum_bits: float = 3.4
     #: letters of both cases with digits
     mixed_bits: float = 3.7
-    #: whole candidates that are no secrets: identifiers, counted values, placeholders
+    #: letters of both cases without digits, with at least so many of either case: names in
+    #: mixed case have few capitals
+    letter_bits: float = 3.7
+    each_case: int = 6
+    #: candidates, or parts of them between joints, that are no secrets: identifiers,
+    #: counted values, placeholders
     allow: tuple[str, ...] = (
         r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}",
         r"[0-9._/=+-]+",
-        r"(?i).*(example|placeholder|changeme|xxxx).*",
+        r"(?i)[a-z0-9]*(example|placeholder|changeme|xxxx)[a-z0-9]*",
     )
 
 
-def character_class(run: str) -> str | None:
-    """hex, alnum or mixed; None for runs without digits or without letters."""
-    digit = any("0" <= c <= "9" for c in run)
-    lower = any("a" <= c <= "z" for c in run)
-    upper = any("A" <= c <= "Z" for c in run)
-    if not digit or not (lower or upper):
-        return None
-    if lower and upper:
-        return "mixed"
-    return "hex" if not re.search(r"[^0-9a-fA-F]", run) else "alnum"
+def window_limits(run: str, windows: Windows) -> list[float]:
+    """Least bits of each window by the characters in it.
+
+    Infinite for windows without letters, for letters of one case without digits, and for
+    letters of both cases without digits where one case is rare.
+    """
+
+    def inside(chars: str) -> list[int]:
+        sums = [0, *accumulate(c in chars for c in run)]
+        return [b - a for a, b in zip(sums, sums[windows.size :])]
+
+    limits = []
+    for digit, lower, upper, hexa in zip(inside(DIGITS), inside(LOWER), inside(UPPER), inside(HEX_DIGITS)):
+        if lower and upper:
+            limit = windows.mixed_bits if digit else windows.letter_bits if min(lower, upper) >= windows.each_case else math.inf
+        elif digit and (lower or upper):
+            limit = windows.hex_bits if hexa == windows.size else windows.alnum_bits
+        else:
+            limit = math.inf
+        limits.append(limit)
+    return limits
 
 
-def entropy_windows(run: str, size: int, least: float) -> list[tuple[int, int]]:
-    """Joined (start, end) of the windows with at least ``least`` bits per character."""
+def unlisted(run: str, allow: Sequence[re.Pattern]) -> list[tuple[int, int]]:
+    """(start, end) of what is left of a candidate without what the allow-list matches.
+
+    A pattern takes the whole candidate, or a part with letters that begins and ends at a
+    joint; the rest is still scanned.
+    """
+    if any(p.fullmatch(run) for p in allow):
+        return []
+    gone = []
+    starts = [m.start() for m in PART.finditer(run)]
+    for p in allow:
+        done = 0
+        for start in starts:
+            if start >= done and (m := p.match(run, start)) and m.end() > start:
+                done = m.end()
+                if not run[done : done + 1].isalnum() and any(c.isalpha() for c in m[0]):
+                    gone.append((start, done))
+    left, at = [], 0
+    for start, end in [*sorted(gone), (len(run), len(run))]:
+        if start > at:
+            left.append((at, start))
+        at = max(at, end)
+    return left
+
+
+def entropy_windows(run: str, size: int, least: float | Sequence[float]) -> list[tuple[int, int]]:
+    """Joined (start, end) of the windows with at least ``least`` bits per character.
+
+    ``least`` is one limit or one for each window.
+    """
     if len(run) < size:
         return []
+    limits = [least] * (len(run) - size + 1) if isinstance(least, float) else least
     log = [0.0] + [c * math.log2(c) for c in range(1, size + 1)]
     counts: dict[str, int] = {}
     total = 0.0
@@ -74,7 +125,7 @@ def entropy_windows(run: str, size: int, least: float) -> list[tuple[int, int]]:
             total += log[c - 1] - log[c] if c <= size else 0.0
             counts[gone] = c - 1
         start = k - size + 1
-        if start >= 0 and math.log2(size) - total / size >= least - 1e-9:
+        if start >= 0 and math.log2(size) - total / size >= limits[start] - 1e-9:
             if spans and start <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], k + 1)
             else:
@@ -90,13 +141,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def entropy_spans(text: str, windows: Windows, allow: Sequence[re.Pattern]) -> list[tuple[int, int, str]]:
-    least = {"hex": windows.hex_bits, "alnum": windows.alnum_bits, "mixed": windows.mixed_bits}
     found = []
     for m in CANDIDATE.finditer(text):
-        kind = character_class(m[0])
-        if kind is None or any(p.fullmatch(m[0]) for p in allow):
-            continue
-        found += [(m.start() + a, m.start() + b, "entropy") for a, b in entropy_windows(m[0], windows.size, least[kind])]
+        for a, b in unlisted(m[0], allow):
+            run, start = m[0][a:b], m.start() + a
+            spans = entropy_windows(run, windows.size, window_limits(run, windows))
+            found += [(start + first, start + last, "entropy") for first, last in spans]
     return found
 
 
