@@ -174,3 +174,35 @@ def manifest_proofs(rows, fields=("doc_id", "source", "lang", "n_chars", "text")
             proof = sha_hex([d for left, right in siblings for d in left + right])
             out.append((row["doc_id"], digest, towers[s][-1][0], top[-1][0], proof, folded))
     return out
+
+
+def conversation_trie(rows, group=100, limit=6, tie=lambda role, text: (role, text)):
+    """One tuple per node of the trie, from (conv_id, turn, role, text) rows, by plain dictionaries."""
+    original = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            original.setdefault(c, []).append((turn is not None, turn or 0, tie(role or "", text or ""), role or "", text or ""))
+    original = {c: [x[3:] for x in sorted(v)] for c, v in original.items()}
+    rebuilt = {}
+    for c, own in original.items():
+        h = zlib.crc32(str(c).encode()) % limit
+        rebuilt[c] = tuple(original.get(c - c % group, [])[:h] + own[h:])
+    members = {}
+    for c, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(turns[:d], []).append(c)
+    children = {}
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        below = children.get(node, [])
+        leaves[node] = sum(leaves[x] for x in below) if below else 1
+        saved[node] = sum(saved[x] for x in below) + ((len(members[node]) - 1) * len(node[-1][1]) if node else 0)
+    out = []
+    for node, convs in members.items():
+        ends = sorted(c for c in convs if len(rebuilt[c]) == len(node))
+        parent = min(members[node[:-1]]) if node else None
+        out.append((min(convs), len(node), parent, len(convs), len(children.get(node, [])), leaves[node], saved[node], sha_hex([",".join(map(str, ends))])))
+    return out
