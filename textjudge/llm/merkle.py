@@ -8,9 +8,11 @@ node row holds the digests of its children and where its own digest stands one l
 
 A recursive query then climbs from every leaf to the root, one level in each step. A step
 is an equi join of the climbers with the node rows: it appends the siblings to the proof
-and folds the (tampered) digest with them. Everybody meets at the top, so the node rows
-above ``PIECE`` leaves exist once per piece of that many leaves: no key of the join has
-more climbers than that, whatever the size of a source.
+and folds the (tampered) digest with them. Leaves with one parent share all siblings above
+it, so they climb as one row, with a folded digest for each. Everybody meets at the top, so
+the node rows above ``PIECE`` climbers exist once per piece of that many: no key of the
+join has more climbers than that, whatever the size of a source. Node rows are dealt by
+piece once, before the climb, so its steps exchange the climbers only.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textjudge.llm.common import range_parts
+from textjudge.llm.common import range_parts, width
 from textjudge.operators.index import chunked_index
 from textjudge.operators.lineage import materialize
 
 #: children of a node
 ARITY = 16
-#: leaves that share one copy of the nodes above them, and the lowest level of such copies
-PIECE_LEVEL = 3
+#: climbers that share one copy of the nodes above them, and the highest level without copies
+PIECE_LEVEL = 2
 PIECE = ARITY**PIECE_LEVEL
 #: the tree of the subroots: its levels count from here, its rows belong to no source
 UPPER = 1000
@@ -108,7 +110,7 @@ def above(level: Column, idx: Column, more: Column, upper: Column) -> list[Colum
 
 
 def manifest(leaves: DataFrame, rows_per_part: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
-    """Climbers and node rows of ``leaves`` (tree, order columns, digest, idx, n).
+    """Climbers and node rows above ``leaves`` (tree, idx, n, digest and more).
 
     A node row: tree, level, idx, piece, children, digest, subroot (is it one), and the
     address and place one level up (null for the root).
@@ -158,17 +160,23 @@ def manifest(leaves: DataFrame, rows_per_part: int = 1 << 18) -> tuple[DataFrame
     climbers = many.unionByName(alone.select(*many.columns))
     more = F.col("n") > 1
     climbers = climbers.select("*", *above(F.lit(0), F.col("idx"), more, F.col("upper")))
-    return climbers, materialize(stacked(steps)) if steps else None
+    return climbers, stacked(steps) if steps else None
+
+
+#: recursive queries without a limit on rows (levels are logarithmic in the rows), and joins
+#: that make use of a partitioning by some of their keys; adaptive plans would not show theirs
+CLIMBING = {
+    "spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": "-1",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.enabled": "false",
+}
 
 
 @contextmanager
-def endless(spark: SparkSession) -> Iterator[None]:
-    """Recursive queries without a limit on rows; levels are logarithmic in the rows."""
-    names = ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit")
-    before = {n: spark.conf.get(n, None) for n in names}
+def climbing(spark: SparkSession) -> Iterator[None]:
+    before = {n: spark.conf.get(n, None) for n in CLIMBING}
     try:
-        for n in names:
-            spark.conf.set(n, "-1")
+        for n, value in CLIMBING.items():
+            spark.conf.set(n, value)
         yield
     finally:
         for n, value in before.items():
@@ -176,19 +184,38 @@ def endless(spark: SparkSession) -> Iterator[None]:
 
 
 CLIMB = f"""
-WITH RECURSIVE climb (doc_id, leaf, tree, piece, level, idx, pos, folded, proof, subroot, root) AS (
-    SELECT doc_id, digest, tree, piece, next_level, next_idx, next_pos, coalesce(tampered, digest), X'', digest, digest FROM {{climbers}}
+WITH RECURSIVE climb (tree, run, piece, level, idx, pos, folded, proof, subroot, root) AS (
+    SELECT tree, idx, piece, next_level, next_idx, next_pos, folded, X'', digest, digest FROM {{climbers}}
     UNION ALL
-    SELECT c.doc_id, c.leaf, c.tree, c.piece, s.next_level, s.next_idx, s.next_pos,
-           unhex(sha2(lower(hex(overlay(s.children PLACING c.folded FROM 32 * c.pos + 1))), 256)),
+    SELECT c.tree, c.run, c.piece, s.next_level, s.next_idx, s.next_pos,
+           transform(c.folded, f -> unhex(sha2(lower(hex(overlay(s.children PLACING f FROM 32 * c.pos + 1))), 256))),
            concat(c.proof, overlay(s.children PLACING X'' FROM 32 * c.pos + 1 FOR 32)),
            CASE WHEN s.level < {UPPER} THEN s.digest ELSE c.subroot END, s.digest
     FROM climb c JOIN {{steps}} s ON c.tree = s.tree AND c.piece = s.piece AND c.level = s.level AND c.idx = s.idx
 )
-SELECT doc_id, leaf, subroot, root, sha2(lower(hex(proof)), 256) AS proof_sha256, folded FROM climb WHERE level IS NULL
+SELECT tree, run, folded, proof, subroot, root FROM climb WHERE level IS NULL
 """
 
 
+def runs(leaves: DataFrame) -> DataFrame:
+    """The leaves of each node of the first level: tree, idx, n, members, digest and folded.
+
+    ``digest`` is that of the node, or the leaf's own if the tree has no other; ``folded``
+    has the same for each member, with that member tampered.
+    """
+    member = F.struct("idx", "doc_id", "digest", "tampered")
+    grouped = leaves.groupBy("tree", F.floor(F.col("idx") / ARITY).alias("idx")).agg(F.array_sort(F.collect_list(member)).alias("members"), F.first("n").alias("leaves"))
+    whole = F.aggregate("members", F.lit(b""), lambda found, m: F.concat(found, m["digest"]))
+    held = grouped.withColumn("children", whole)
+    alone = F.col("leaves") == 1
+    other = lambda m: F.coalesce(m["tampered"], m["digest"])
+    fold = lambda m, k: F.when(alone, other(m)).otherwise(hashed(F.overlay("children", other(m), 32 * k + 1)))
+    return held.select(
+        "tree", "idx", F.ceil(F.col("leaves") / ARITY).alias("n"), "members", "children",
+        F.when(alone, F.col("children")).otherwise(hashed(F.col("children"))).alias("digest"), F.transform("members", fold).alias("folded"),
+    )
+
+
 def prove(
     docs: DataFrame, tampering=small_letters, tampered=every_fifth, fields: Sequence[str] = FIELDS,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rows_per_part: int = 1 << 18,
@@ -209,13 +236,23 @@ def prove(
         F.col(f"`{id_col}`").alias("doc_id"), F.when(source.isNull(), "0").otherwise(F.concat(F.lit("1"), source)).alias("tree"),
         leaf(list(values.values())).alias("digest"), F.when(tampered(F.col(f"`{id_col}`")), leaf(changed)).alias("tampered"),
     )
-    climbers, steps = manifest(numbered(rows, "tree", ["doc_id", "digest"], rows_per_part), rows_per_part)
+    climbers, steps = manifest(runs(numbered(rows, "tree", ["doc_id", "digest"], rows_per_part)), rows_per_part)
     spark = docs.sparkSession
+    parts = max(width(docs), math.ceil(climbers.count() * ARITY / rows_per_part))
+    slim = climbers.select("tree", "idx", "piece", "next_level", "next_idx", "next_pos", "folded", "digest")
     if steps is None:
-        found = climbers.select("doc_id", F.col("digest").alias("leaf"), F.col("digest").alias("subroot"), F.col("digest").alias("root"), F.sha2(F.lit(b""), 256).alias("proof_sha256"), F.coalesce("tampered", "digest").alias("folded"))
+        climbed = slim.select("tree", F.col("idx").alias("run"), "folded", F.lit(b"").alias("proof"), F.col("digest").alias("subroot"), F.col("digest").alias("root"))
     else:
-        with endless(spark):
-            found = materialize(spark.sql(CLIMB, climbers=climbers, steps=steps))
+        with climbing(spark):
+            dealt = [materialize(x.repartition(parts, "tree", "piece")) for x in (slim, steps)]
+            climbed = materialize(spark.sql(CLIMB, climbers=dealt[0], steps=dealt[1]))
+    met = climbers.alias("r").join(climbed.alias("c"), (F.col("r.tree") == F.col("c.tree")) & (F.col("r.idx") == F.col("c.run")))
+    opened = met.select("r.children", "c.proof", "c.subroot", "c.root", F.posexplode(F.arrays_zip("r.members", "c.folded")).alias("pos", "m"))
+    siblings = F.overlay("children", F.lit(b""), 32 * F.col("pos") + 1, F.lit(32))
+    found = opened.select(
+        F.col("m.members.doc_id").alias("doc_id"), F.col("m.members.digest").alias("leaf"), "subroot", "root",
+        F.sha2(F.lower(F.hex(F.concat(siblings, "proof"))), 256).alias("proof_sha256"), F.col("m.folded").alias("folded"),
+    )
     text = lambda c: F.lower(F.hex(c)).alias(c)
     return found.select(
         "doc_id", text("leaf"), text("subroot"), text("root"), "proof_sha256", F.lower(F.hex("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),

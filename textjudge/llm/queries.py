@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textjudge.llm import bpe, compression, concat_cut, ctw, exact_dedup, histogram_sort, merkle, mixing, ngram_join, packing, rules, secret_scan, trie
+from textjudge.llm import bpe, compression, concat_cut, ctw, exact_dedup, histogram_sort, merkle, mixing, ngram_join, oracles, packing, rules, secret_scan, trie
 from textjudge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,11 +105,11 @@ def op12_concatenate_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-@query("op11_merkle_climb")
+@query("op11_merkle_climb", oracles.MERKLE)
 def op11_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(documents(spark, sf_dir))
 
 
-@query("op13_prefix_trie")
+@query("op13_prefix_trie", oracles.TRIE)
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), borrow=trie.Borrow(group=100, limit=6))
