@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,23 +168,62 @@ def test_bootstrap_interval_is_plausible(spark):
     assert math.isclose(r["ci_95_high"] - r["ci_95_low"], 2 * 1.96 * error, rel_tol=0.2)
 
 
-def test_replicate_weights_are_poisson(spark):
-    rows = boot_rows(spark, 400).select("model", "dataset", "variant", "eid", F.lit(1).alias("num"), F.lit(1).alias("den"))
-    one = rows.dropDuplicates()
-    reps = R.replicate_sums(one, ["model"], ["num", "den"], 50, 9).collect()
-    totals = [r["den"] for r in reps]
-    assert len(reps) == 50 and abs(sum(totals) / 50 - 400) < 12
-    spread = sum((x - 400) ** 2 for x in totals) / 50
-    assert 200 < spread < 700
-    # rows of a cluster share its weight, whatever the partitioning
-    again = R.replicate_sums(rows.repartition(7), ["model"], ["num", "den"], 50, 9).collect()
-    assert {(r["rep"], r["den"]) for r in again} == {(r["rep"], 4 * r["den"]) for r in reps}
+def single_clusters(spark, clusters):
+    rows = boot_rows(spark, clusters).select("model", "dataset", "variant", "eid", F.lit(1).alias("num"), F.lit(1).alias("den"))
+    return rows.dropDuplicates()
 
 
-def test_poisson_limits_are_the_distribution_function():
-    limits = R.poisson_limits()
-    assert math.isclose(limits[0] / 2**32, math.exp(-1), rel_tol=1e-8)
-    assert limits == sorted(limits) and limits[-1] > 2**32 - 8
+@pytest.mark.parametrize("bucket", [R.BUCKET, 30])
+def test_replicates_have_exactly_n_draws(spark, bucket):
+    one = single_clusters(spark, 400)
+    reps = R.replicate_sums(one, ["model"], ["num", "den"], 50, 9, bucket=bucket).collect()
+    assert [(r["num"], r["den"]) for r in reps] == [(400, 400)] * 50
+    # rows of a cluster share its weight, whatever the partitioning
+    cells = one.withColumn("part", F.concat(F.lit("c"), F.abs(F.xxhash64("eid")) % 3))
+    again = [R.replicate_sums(x, ["model"], ["den"], 50, 9, cell="part", bucket=bucket).collect() for x in (cells, cells.union(cells).repartition(7))]
+    assert {(r["rep"], r["cell"], 2 * r["den"]) for r in again[0]} == {(r["rep"], r["cell"], r["den"]) for r in again[1]}
+    assert len({r["den"] for r in again[0] if r["cell"] == "c1"}) > 10
+
+
+def test_weights_are_multinomial():
+    """Mean and variance one, replicates uncorrelated, with and without a tree above the bucket."""
+    sizes = np.array([40, 10, 0, 30, 25, 25, 60, 10])
+    samples = 4000
+    draws = np.array([R.draws_of(b, sizes, 77, samples) for b in range(len(sizes))])
+    assert (draws.sum(0) == 200).all() and (draws[2] == 0).all()
+    whole = [np.concatenate([w for _, w in R.weights(1000 + b, draws[b], n)]) for b, n in enumerate(sizes) if n]
+    for w in (np.concatenate(whole, axis=1), np.concatenate([x for _, x in R.weights(5, np.full(samples, 200), 200)])):
+        assert w.shape == (samples, 200) and (w.sum(1) == 200).all()
+        assert abs(w.mean(0) - 1).max() < 0.1 and abs(w.var(0) - 0.995).max() < 0.16
+        # the covariance of two clusters is -1/n, of two replicates 0
+        assert abs(np.cov(w.T)[~np.eye(200, dtype=bool)].mean() + 1 / 200) < 2e-4
+        between = np.corrcoef(w[:300])[~np.eye(300, dtype=bool)]
+        assert abs(between.mean()) < 0.005 and between.max() < 0.45
+
+
+def test_products_are_exact():
+    w, big = np.array([[3, 1], [0, 4]]), np.array([[2**55 + 1], [5]])
+    assert R.product(w, big).tolist() == [[3 * (2**55 + 1) + 5], [20]]
+    assert R.product(w, big % 1000).tolist() == (w @ (big % 1000)).tolist()
+
+
+@pytest.mark.parametrize("listed", [1024, 3])
+def test_intervals_equal_sorted_interpolation(spark, listed):
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=3000), "b": np.repeat([1.0, 2.0], [2500, 7]), "c": np.array([5.5]), "d": rng.integers(0, 5, 900) / 3, None: 10.0 ** rng.integers(-9, 9, 2000)}
+    rows = spark.createDataFrame([(g, float(v)) for g, x in values.items() for v in x] + [("a", None)], "g string, v double")
+    names = {"low": 0.025, "tail": 0.05 / 12, "high": 0.975}
+    got = {r["g"]: r for r in R.intervals(rows, ["g"], "v", names, listed=listed).collect()}
+    assert set(got) == set(values)
+    for g, x in values.items():
+        for name, q in names.items():
+            assert math.isclose(got[g][name], float(np.quantile(x, q)), rel_tol=1e-12)
+
+
+def test_bootstrap_plan_draws_nothing_per_row(spark):
+    """Draws are made inside the buckets: no mixing step is left in the plan."""
+    plan = R.model_intervals(boot_rows(spark, 20), samples=20)._jdf.queryExecution().toString()
+    assert plan.count(str(R.MULTIPLIER)) <= 3
 
 
 def test_counterfactual_never_keeps_the_member(spark):

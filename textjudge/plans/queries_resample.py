@@ -1,4 +1,4 @@
-"""Bootstrap queries (I1-I4) with oracles that repeat the same weights in SQL."""
+"""Bootstrap queries (I1-I4) with oracles that repeat the same draws in SQL, one row per draw."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textjudge import fixed
 from textjudge.operators import resample as R
-from textjudge.operators.resample import INCREMENT, MASK, MULTIPLIER
+from textjudge.operators.resample import INCREMENT, MASK, MULTIPLIER, SECOND
 from textjudge.plans.queries_scores import latest_faith, latest_fluency, with_size
 from textjudge.plans.queries_votes import scored_votes
 from textjudge.plans.registry import helper, query
@@ -18,20 +18,31 @@ SEED = fixed.BOOTSTRAP_SEED
 _M = [f"{k}_{x.lower()}" for x in fixed.LABELS for k in ("num", "den")]
 
 
+def _mixed(x: str) -> str:
+    """The mixing steps of one 32-bit number, over a column name."""
+    for _ in range(2):
+        x = f"((xor({x}, {x} >> 16) * {MULTIPLIER}) & {MASK})"
+    return f"xor({x}, {x} >> 16)"
+
+
 def _draws(name: str, source: str, group: list[str], measures: list[str], cell: str = "''") -> None:
-    """Register the oracle relations of one bootstrap: <name>_n and <name>_reps."""
-    g = ", ".join(group)
-    sums = ", ".join(f"sum({m}) AS {m}" for m in measures)
-    weights = " + ".join(f"(x >= {limit})::BIGINT" for limit in R.poisson_limits())
-    helper(f"{name}_cells", f"SELECT {g}, dataset, variant, eid, {cell} AS cell, {sums} FROM {source} GROUP BY ALL")
-    helper(f"{name}_n", f"SELECT {g}, count(DISTINCT (dataset, variant, eid)) AS n FROM {name}_cells GROUP BY ALL")
-    helper(f"{name}_w", f"""SELECT dataset, variant, eid, rep, {weights} AS w FROM (SELECT *, xor(x2, x2 >> 16) AS x FROM (
-      SELECT *, (xor(x1, x1 >> 16) * {MULTIPLIER}) & {MASK} AS x2 FROM (
-        SELECT *, (xor(x0, x0 >> 16) * {MULTIPLIER}) & {MASK} AS x1 FROM (
-          SELECT *, (@DRAW(concat_ws('|', '{SEED}', dataset, variant, eid)) + (rep + 1) * {INCREMENT}) % {MASK + 1} AS x0
-          FROM (SELECT DISTINCT dataset, variant, eid FROM {name}_cells) k, range(0, {SAMPLES}) r(rep)) a) b) c) d""")
+    """Register the oracle relations of one bootstrap: <name>_n and <name>_reps.
+
+    One row per draw, for groups that fit one bucket; tests cover the tree above buckets.
+    """
+    g, item = ", ".join(group), "dataset, variant, eid"
+    helper(f"{name}_cells", f"SELECT {g}, {item}, {cell} AS cell, {', '.join(f'sum({m}) AS {m}' for m in measures)} FROM {source} GROUP BY ALL")
+    helper(f"{name}_k", f"""SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY @DRAW(concat_ws('|', '{SEED}', {item})), {item}) - 1 AS place
+      FROM (SELECT DISTINCT {g}, {item} FROM {name}_cells) k""")
+    helper(f"{name}_n", f"SELECT {g}, count(*) AS n FROM {name}_k GROUP BY ALL")
+    helper(f"{name}_s", f"""SELECT {g}, n, rep, {_mixed('a')} AS s, {_mixed('b')} AS t FROM (
+      SELECT *, ((key & {MASK}) + (rep + 1) * {INCREMENT}) & {MASK} AS a, ((key >> 28) + (rep + 1) * {SECOND}) & {MASK} AS b
+      FROM (SELECT *, @DRAW(concat_ws('|', '{SEED}', {g}, '0')) AS key FROM {name}_n) k, range(0, {SAMPLES}) r(rep)) x""")
+    helper(f"{name}_w", f"""SELECT {g}, rep, (z * n) >> 32 AS place, count(*) AS w FROM (SELECT *, {_mixed('y')} AS z FROM (
+      SELECT *, ({_mixed('x')} + t) & {MASK} AS y FROM (
+        SELECT *, (s + (j + 1) * {INCREMENT}) & {MASK} AS x FROM (SELECT *, unnest(range(0, n)) AS j FROM {name}_s) a) b) c) d GROUP BY ALL""")
     helper(f"{name}_reps", f"""SELECT {g}, rep, cell, {", ".join(f"sum({m} * w) AS {m}" for m in measures)}
-      FROM {name}_cells JOIN {name}_w USING (dataset, variant, eid) WHERE w > 0 GROUP BY {g}, rep, cell""")
+      FROM {name}_w JOIN {name}_k USING ({g}, place) JOIN {name}_cells USING ({g}, {item}) GROUP BY {g}, rep, cell""")
 
 
 def _q(values: str, q: str) -> str:
