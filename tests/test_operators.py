@@ -282,9 +282,68 @@ def test_real_layout_trees(spark, tmp_path):
     good = rows.filter("score IS NOT NULL").collect()
     assert [(r["model"], r["dataset"], r["variant"], r["language"], r["eid"], r["score"]) for r in good] == [
         ("gemma", "sk-qa", "fi", "hsb", "Id1", 4)]
-    assert [r["problem"] for r in J.bad_lines(rows).collect()] == ["malformed JSON"]
+    lost = spark.createDataFrame([("x.csv", "header without eid")], "path string, problem string")
+    bad = sorted((r["problem"], r["line_no"]) for r in J.bad_lines(rows, lost).collect())
+    assert bad == [("header without eid", None), ("malformed JSON", 3)]
     assert J.failures_by_type(J.read_failures(spark, str(tmp_path / "judged"))).first()["n"] == 1
-    assert J.line_numbers(spark, str(tmp_path / "judged"), "*x.jsonl").filter("line_no = 3").first()["line"] == "{broken"
+
+
+def test_lines_of_split_files_are_numbered(spark, tmp_path):
+    from textjudge.sources import files
+
+    rng = random.Random(8)
+    texts = {f"f{k}.txt": [f"{k}.{i} " + "x" * rng.randint(0, 40) if i % 7 else "" for i in range(n)] for k, n in enumerate((300, 0, 1, 700, 5))}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + ("\n" if lines else ""), encoding="utf-8")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c, v in zip(before, ("700", "1")):
+            spark.conf.set(c, v)
+        got = files.numbered_lines(spark, str(tmp_path))
+        assert got.select("path", F.input_file_name()).rdd.getNumPartitions() > 20
+        rows = sorted((r["place"], r["path"].rsplit("/", 1)[1], r["line_no"], r["line"]) for r in got.collect())
+        want = [(name, i, line) for name in sorted(texts) for i, line in enumerate(texts[name], 1)]
+        assert rows == [(place, *x) for place, x in enumerate(want)]
+        for n in (0, 1, 299, 302, 2000):
+            first = sorted((r["place"], r["line"]) for r in files.first_lines(spark, str(tmp_path), n).collect())
+            assert first == [(place, x[2]) for place, x in enumerate(want[:n])]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_first_rows_open_no_later_file(spark, tmp_path):
+    from textjudge.sources import files
+    from textjudge.sources import tables as T
+
+    for k in range(8):
+        (tmp_path / f"f{k}.csv").write_text("eid,sentence\n" + "".join(f"{k}-{i},\"two\nlines\"\n" for i in range(3)), encoding="utf-8")
+    opened = []
+
+    def read(paths):
+        opened.append(len(paths))
+        return files.split_lines(spark, paths)
+
+    assert files.first_rows(spark, str(tmp_path), 10, read).count() == 10
+    # seven lines a file: the first one, then two more; the rest is never read
+    assert opened == [1, 2, 3]
+    rows = sorted((r["place"], r["eid"], r["sentence"]) for r in T.first_sentences(spark, str(tmp_path), 4).collect())
+    assert rows == [(0, "0-0", "two\nlines"), (1, "0-1", "two\nlines"), (2, "0-2", "two\nlines"), (3, "1-0", "two\nlines")]
+
+
+def test_one_pruned_scan_per_header(spark, tmp_path):
+    from textjudge.sources import tables as T
+
+    for k, header in enumerate(["eid,size,sentence", "sentence,eid,size", "eid,size,sentence"]):
+        folder = tmp_path / f"m{k}"
+        folder.mkdir()
+        cells = {"eid": f"Id{k}", "size": "4", "sentence": "text"}
+        (folder / "cs-qa_fa_en.csv").write_text(header + "\n" + ",".join(cells[c] for c in header.split(",")) + "\n", encoding="utf-8")
+    got = T.read_generated(spark, str(tmp_path))
+    assert sorted((r["model"], r["eid"], r["triple_count"]) for r in got.collect()) == [(f"m{k}", f"Id{k}", 4) for k in range(3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scan = [x for x in plan.splitlines() if "FileScan csv" in x]
+    assert len(scan) == 2 and "Join" not in plan and all(x.split("ReadSchema: struct<")[1].count(":") == 2 for x in scan)
 
 
 def study_tree(root):

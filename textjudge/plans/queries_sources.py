@@ -13,6 +13,7 @@ from textjudge.sources import judged as J
 from textjudge.sources import sinks as K
 from textjudge.sources import tables as S
 from textjudge.sources import xml as X
+from textjudge.sources.files import first_lines as first_lines_of
 
 _KEYS = ", ".join(KEY)
 
@@ -21,41 +22,62 @@ def _stem():
     return F.concat_ws("_", "dataset", "variant", "language")
 
 
-def _judged_tree(t: Tables) -> str:
-    """JSON-lines tree of the raw judgments, some lines cut short."""
+def _judged_tree(t: Tables, stamp: str = "lpad(event_id, 12, '0')") -> str:
+    """JSON-lines tree of the raw judgments, a file per model by event, some lines cut short."""
     path = K.scratch(t.spark)
     record = F.to_json(
         F.struct(
             "eid",
             _stem().alias("source_label"),
             F.concat_ws("__", "model", _stem()).alias("source_id"),
-            F.lpad(F.col("event_id").cast("string"), 12, "0").alias("timestamp"),
+            F.expr(stamp).alias("timestamp"),
             F.concat(F.lit("sentence "), F.col("event_id")).alias("sentence"),
             F.struct(F.col("score").alias("faithfulness_score"), F.col("items").alias("incorrect_information")).alias("parsed"),
         )
     )
     broken = F.when(F.col("k") == 31, F.substring(record, 1, 40)).otherwise(record)
-    rows = judged_records(t).select(broken.alias("value"), F.col("model").alias("_m"))
-    rows.write.partitionBy("_m").text(path)
+    rows = judged_records(t).select(broken.alias("value"), F.col("model").alias("_m"), "event_id")
+    rows.repartition("_m").sortWithinPartitions("_m", "event_id").drop("event_id").write.partitionBy("_m").text(path)
     return path
 
 
-@query("scan_judged", f"""SELECT {_KEYS}, score FROM v_judged_faith WHERE score BETWEEN 1 AND 5 AND k <> 31
-  QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY event_id DESC) = 1""")
+_LINES = "row_number() OVER (PARTITION BY model ORDER BY event_id) AS line_no"
+
+
+@query("scan_judged", f"""SELECT {_KEYS}, score, line_no FROM (SELECT *, {_LINES} FROM v_judged_faith) x
+  WHERE score BETWEEN 1 AND 5 AND k <> 31 QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY event_id DESC) = 1""")
 def scan_judged(t: Tables):
+    """Time stamps are equal for all judgments of a key: the last line of the file wins."""
     from textjudge.operators.merge import newest
 
-    judged = J.read_judged(t.spark, _judged_tree(t), glob="*.txt")
+    judged = J.read_judged(t.spark, _judged_tree(t, "cast(event_id div 400 as string)"), glob="*.txt")
     valid = judged.filter(F.col("score").isNotNull())
-    return newest(valid, KEY, J.latest_order()).select(*KEY, "score")
+    return newest(valid, KEY, J.latest_order()).select(*KEY, "score", "line_no")
 
 
-@query("scan_bad_lines", """SELECT problem, count(*) AS n FROM (SELECT CASE WHEN k = 31 THEN 'malformed JSON'
+@query("scan_bad_lines", f"""SELECT model, line_no, problem FROM (SELECT model, {_LINES}, CASE WHEN k = 31 THEN 'malformed JSON'
   WHEN score IS NULL OR score NOT BETWEEN 1 AND 5 THEN 'invalid or missing score' END AS problem FROM v_judged_faith) x
-  WHERE problem IS NOT NULL GROUP BY problem""")
+  WHERE problem IS NOT NULL UNION ALL SELECT DISTINCT model, NULL, 'header without eid' FROM v_judged_faith""")
 def scan_bad_lines(t: Tables):
-    bad = J.bad_lines(J.read_judged(t.spark, _judged_tree(t), glob="*.txt"))
-    return bad.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    """Quarantine of a judged tree together with the bad files of an output tree."""
+    path = K.scratch(t.spark)
+    lost = t.v_judged_faith.select(F.lit("x").alias("name"), F.col("model").alias("_m"), F.lit("cs-qa_fa_en").alias("_f")).distinct()
+    lost.coalesce(1).write.partitionBy("_m", "_f").option("header", "true").csv(path)
+    judged = J.read_judged(t.spark, _judged_tree(t), glob="*.txt")
+    bad = J.bad_lines(judged, S.bad_files(t.spark, path, place=_place))
+    return bad.select(_place(F.col("path"))[0].alias("model"), "line_no", "problem")
+
+
+@query("first_lines", """SELECT model, line_no, event_id, place FROM (SELECT model, event_id,
+  row_number() OVER (PARTITION BY model ORDER BY event_id) AS line_no, row_number() OVER (ORDER BY model, event_id) - 1 AS place
+  FROM v_judged_faith) x WHERE place < 1500""")
+def first_lines(t: Tables):
+    """The first lines of a tree of one file per model, in the order of the files."""
+    path = K.scratch(t.spark)
+    rows = t.v_judged_faith.select(F.concat(F.lit("event "), F.col("event_id")).alias("value"), F.col("model").alias("_m"), "event_id")
+    rows.repartition("_m").sortWithinPartitions("_m", "event_id").drop("event_id").write.partitionBy("_m").text(path)
+    found = first_lines_of(t.spark, path, 1500, "*.txt")
+    return found.select(_place(F.col("path"))[0].alias("model"), "line_no", F.substring("line", 7, 20).cast("long").alias("event_id"), "place")
 
 
 @query("failures_by_type", """SELECT concat('Error', CAST(user_id % 4 AS VARCHAR)) AS error_type, count(*) AS n FROM v_judged_faith

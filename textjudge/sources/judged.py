@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textjudge import fixed
 from textjudge.functions import keys as K
 from textjudge.functions import verdicts as J
+from textjudge.sources.files import numbered_lines, split_lines
 
 FAILURES = ".failures.jsonl"
 
@@ -33,15 +34,9 @@ def quarantine(df: DataFrame, raw: str, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def _json_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """Non-blank lines with their file path; files are split, nothing is read whole."""
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(root)
-        .select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path"))
-    )
-    return lines.filter(F.col("line") != "")
+def _filled(lines: DataFrame) -> DataFrame:
+    """Lines that are not blank, without the space around them."""
+    return lines.withColumn("line", F.trim("line")).where("line <> ''")
 
 
 def read_judged(
@@ -50,9 +45,9 @@ def read_judged(
     """All judgment records below ``root`` with their key and the raw record as VARIANT.
 
     Sidecars with failed calls are skipped; malformed lines stay with a null record so
-    that ``bad_lines`` can report them.
+    that ``bad_lines`` can report them. ``line_no`` counts all lines of a file, from 1.
     """
-    lines = _json_lines(spark, root, glob).filter(~F.endswith("path", F.lit(FAILURES)))
+    lines = _filled(numbered_lines(spark, root, glob)).where(~F.endswith("path", F.lit(FAILURES)))
     rows = lines.withColumn("record", F.try_parse_json("line"))
     text = lambda name: F.try_variant_get("record", f"$.{name}", "string")
     label = F.coalesce(F.nullif(text("source_label"), F.lit("")), K.file_stem(F.col("path")))
@@ -70,41 +65,33 @@ def read_judged(
         "record",
         "line",
         "path",
+        "line_no",
     )
 
 
 def latest_order() -> list[Column]:
-    """Newest first; equal time stamps fall back to file and record text."""
-    return [F.desc("timestamp"), F.desc("path"), F.desc("line")]
-
+    """Newest first; of equal time stamps the later line of the later file."""
+    return [F.desc("timestamp"), F.desc("path"), F.desc("line_no")]
 
-def bad_lines(judged: DataFrame) -> DataFrame:
-    """Quarantine table: malformed lines and records without a valid score."""
-    why = F.when(F.col("record").isNull(), F.lit("malformed JSON")).when(
-        F.col("score").isNull(), F.lit("invalid or missing score")
-    )
-    return judged.select("path", "line", why.alias("problem")).filter("problem IS NOT NULL")
 
+def bad_lines(judged: DataFrame, bad_files: DataFrame | None = None) -> DataFrame:
+    """Quarantine table (path, line_no, line, problem).
 
-def line_numbers(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
-    """(path, line_no, line) with the number of each line inside its own file.
-
-    A file is read whole here, so this is for reports that must cite lines.
+    Malformed lines and records without a valid score; ``bad_files`` (path, problem) of
+    other trees are added without a line.
     """
-    whole = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-    )
-    return whole.select("path", F.posexplode(F.split("value", "\n")).alias("_i", "line")).select(
-        "path", (F.col("_i") + 1).alias("line_no"), "line"
+    why = F.when(F.col("record").isNull(), F.lit("malformed JSON")).when(
+        F.col("score").isNull(), F.lit("invalid or missing score")
     )
+    lines = judged.select("path", "line_no", "line", why.alias("problem")).filter("problem IS NOT NULL")
+    if bad_files is None:
+        return lines
+    return lines.unionByName(bad_files.select("path", "problem"), allowMissingColumns=True)
 
 
 def read_failures(spark: SparkSession, root: str, glob: str = "*" + FAILURES) -> DataFrame:
     """Failure sidecars as a table; ``details`` stays loose JSON."""
-    rows = _json_lines(spark, root, glob).withColumn("r", F.try_parse_json("line"))
+    rows = _filled(split_lines(spark, root, glob)).withColumn("r", F.try_parse_json("line"))
     names = (
         "timestamp eid source_label source_id requested_judge_model error_type error"
     ).split()
