@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textjudge.llm.bpe import vocabulary
 from textjudge.llm.common import id_and_text, id_type, in_blocks
+from textjudge.llm.ids import encoder
 
 
 class FreeSpace:
@@ -89,12 +89,15 @@ def pack_documents(
     if not 0 < capacity <= 65535:
         raise ValueError("positions are 16-bit")
     with open(vocabulary_path, encoding="utf-8") as f:
-        source = docs.sparkSession.sparkContext.broadcast(f.read())
+        text = f.read()
+    if max(encoder(text).size - 1, end_id, pad_id) > 65535:
+        raise ValueError("ids are 16-bit")
+    source = docs.sparkSession.sparkContext.broadcast(text)
 
     def pack_block(table: pa.Table) -> pa.Table:
-        vocab = vocabulary(source.value)
+        encode = encoder(source.value).encode
         table = table.sort_by([("doc_id", "ascending")])
-        ids = [np.append(vocab.encode(t.as_py()), end_id).astype(np.uint16) for t in table.column("text")]
+        ids = [np.append(encode(t.as_py()), end_id).astype(np.uint16) for t in table.column("text")]
         parts = [(d, s, n) for d, x in enumerate(ids) for s, n in pieces(len(x), capacity)]
         ramp = np.arange(capacity, dtype=np.uint16)
         out: dict[str, list] = {c: [] for c in ("n", "ids", "positions", "ends", "docs", "starts", "lengths", "segments")}
