@@ -399,6 +399,58 @@ def test_study_from_disk_to_reports(spark, tmp_path):
     assert sizes["issues_by_model"] == 24
 
 
+def test_a_key_with_many_copies_fails_small(spark):
+    many = spark.range(400_000).selectExpr("IF(id % 2 = 0, 'hot', cast(id AS string)) AS k", "id AS v", "repeat('x', 50) AS t")
+    checked = O.assert_unique(many, ["k"])
+    with pytest.raises(Exception, match="is not unique"):
+        checked.count()
+    # copies meet inside the tasks: no window, and counts are partial before the exchange
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_count" in plan
+    good = spark.createDataFrame([("a", 1, None), (None, 2, "x")], "k string, v int, t string")
+    assert sorted(map(tuple, O.assert_unique(good, ["k"]).collect()), key=str) == sorted([("a", 1, None), (None, 2, "x")], key=str)
+    assert O.assert_unique(good.select("k"), ["k"]).count() == 2
+
+
+def test_stored_upsert_survives_a_killed_write(spark, tmp_path):
+    path = str(tmp_path / "table")
+    columns = "eid string, source_id string, judge string, at string, n int, sentence string"
+    old = spark.createDataFrame([("e1", "s1", "j", "u", 1, "one"), ("e2", "s1", "j", "u", 2, ""), ("e1", "s2", "j", "u", 3, "three")], columns)
+    old.write.partitionBy("source_id").parquet(path)
+    batch = spark.createDataFrame([("e2", "s1", "j", "u", 5, "five"), ("e9", "s3", "j", "u", 6, "six"), ("e1", "s1", "j", "u", 7, "seven")], columns)
+    rows = lambda: sorted((r["eid"], r["source_id"], r["n"]) for r in spark.read.parquet(path).collect())
+    before = rows()
+    untouched = {p.name for p in (tmp_path / "table" / "source_id=s2").iterdir()}
+    dies = batch.withColumn("sentence", F.when(F.col("eid") == "e9", F.raise_error(F.lit("killed"))).otherwise(F.col("sentence")))
+    with pytest.raises(Exception, match="killed"):
+        M.upsert_stored(dies, path, "replace_empty", [F.desc("n")], ["source_id"])
+    assert rows() == before
+    M.upsert_stored(batch, path, "replace_empty", [F.desc("n")], ["source_id"])
+    assert rows() == [("e1", "s1", 1), ("e1", "s2", 3), ("e2", "s1", 5), ("e9", "s3", 6)]
+    assert {p.name for p in (tmp_path / "table" / "source_id=s2").iterdir()} == untouched and (tmp_path / "table" / "_SUCCESS").exists()
+    M.upsert_stored(batch, path, "replace_empty", [F.desc("n")], ["source_id"])
+    assert rows() == [("e1", "s1", 1), ("e1", "s2", 3), ("e2", "s1", 5), ("e9", "s3", 6)]
+    with pytest.raises(ValueError):
+        M.upsert_stored(batch, path, "append", [F.desc("n")], ["n"])
+
+
+def test_label_counts_keep_an_exact_rest(spark):
+    rows = [("s", f"l{i % 30}") for i in range(1000)] + [("t", "only")] * 3 + [("t", None)]
+    got = M.label_counts(spark.createDataFrame(rows, "source_id string, label string"), most=4).collect()
+    assert sum(r["n"] for r in got if r["source_id"] == "s") == 1000 and sum(r["rest"] for r in got) == 1
+    assert sorted((r["label"], r["n"]) for r in got if r["source_id"] == "s" and not r["rest"]) == [(f"l{i}", 34) for i in range(4)]
+    assert {(r["label"], r["n"]) for r in got if r["source_id"] == "t"} == {("only", 3), (None, 1)}
+
+
+def test_prompts_are_no_cross_join(spark):
+    from textjudge.operators import construct as N
+
+    entries = spark.createDataFrame([("e", "c", 1, [("s", "p", "o")])], "eid string, category string, size int, triples array<struct<subject:string,predicate:string,object:string>>")
+    got = N.entry_prompts(entries, [("en", "{size}"), ("cs", "{category}")])
+    assert {(r["language"], r["prompt"]) for r in got.collect()} == {("en", "1"), ("cs", "c")}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_csv_trees_with_other_headers(spark, tmp_path):
     from textjudge.sources import tables as T
 

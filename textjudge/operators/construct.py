@@ -103,16 +103,16 @@ def fill(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
-def entry_prompts(entry_rows: DataFrame, templates: DataFrame) -> DataFrame:
-    """Generation prompts: every entry with every template of a small language table."""
+def entry_prompts(entry_rows: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFrame:
+    """Generation prompts: every entry with every (language, template) of a short list."""
     rows = F.transform(
         "triples",
         lambda x: F.concat(
             F.lit("  - "), T.format_triple(x["subject"], x["predicate"], x["object"], True)
         ),
     )
-    # every pair is wanted; the small side is broadcast by its size
-    each = entry_rows.select("eid", "category", "size", rows.alias("_rows")).crossJoin(templates.select("language", "template"))
+    listed = F.array(*[F.struct(F.lit(name).alias("language"), F.lit(text).alias("template")) for name, text in templates])
+    each = entry_rows.select("eid", "category", "size", rows.alias("_rows"), F.inline(listed))
     prompt = fill(
         F.col("template"),
         {

@@ -13,13 +13,16 @@ from textjudge.functions.keys import KEY
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "input") -> DataFrame:
     """Fail the job when a key occurs twice.
 
-    The count is a window on the join key, so the following join on the same key
-    reuses its partitioning and no extra job or shuffle is needed.
+    Copies are counted by an aggregation on the join key, one row of each key kept: a key
+    with any number of copies is one row per task before the shuffle, and the following
+    join on the same key reuses the partitioning.
     """
-    copies = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    rest = [c for c in df.columns if c not in keys]
+    kept = [F.any_value(F.struct(*rest)).alias("_row")] if rest else []
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), *kept)
     message = F.lit(f"{what}: key ({', '.join(keys)}) is not unique")
     good = F.when(F.col("_copies") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
-    return df.withColumn("_copies", copies).filter(good).drop("_copies")
+    return counted.filter(good).select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
 
 
 def join_one_to_one(

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textjudge.functions.columns import null_if_empty, strip, text_or_empty
+from textjudge.functions.columns import strip, text_or_empty
 from textjudge.functions.keys import KEY, endpoint, judge_name, model_candidates
+from textjudge.operators.joins import join_left_default
 from textjudge.operators.lineage import materialize
 
 RECORD_KEY = ["eid", "source_id", "judge", "at"]
@@ -226,7 +227,8 @@ def pending_prefix(rows: DataFrame, pending: Column, limit: int, order: Sequence
     """
     if limit <= 0:
         return rows
-    marked = rows.withColumn("_pending", pending)
+    # both uses of the marked rows read what is written here
+    marked = materialize(rows.withColumn("_pending", pending))
     key = F.struct(*order)
     first = marked.filter("_pending").select(key.alias("_key")).orderBy("_key").limit(limit)
     # scalar sub-query: the last key of the prefix, null when fewer rows are pending
@@ -245,8 +247,46 @@ def pending_counts(rows: DataFrame, annotations: DataFrame, keys: Sequence[str])
     )
 
 
-def annotation_summary(outputs: DataFrame, latest: DataFrame) -> DataFrame:
-    """Per source: outputs, judged rows, mean score and issues, label counts."""
+def top_labels(counted: DataFrame, most: int) -> DataFrame:
+    """(source_id, label, n, rest): the ``most`` most frequent labels of a source, and one row for all others.
+
+    Ranks beyond ``most`` are cut inside the tasks; the rest is the exact difference of sums.
+    """
+    best = Window.partitionBy("source_id").orderBy(F.desc("n"), "label")
+    top = counted.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= most).drop("_rank")
+    signed = counted.select("source_id", "n").unionByName(top.select("source_id", (-F.col("n")).alias("n")))
+    rest = signed.groupBy("source_id").agg(F.sum("n").alias("n")).where("n > 0")
+    none = F.lit(None).cast("string")
+    return top.withColumn("rest", F.lit(False)).unionByName(rest.select("source_id", none.alias("label"), "n", F.lit(True).alias("rest")))
+
+
+def label_counts(rows: DataFrame, most: int = 50) -> DataFrame:
+    """Label counts of each source in long form; the vocabulary may be open."""
+    counted = materialize(rows.groupBy("source_id", "label").agg(F.count(F.lit(1)).alias("n")))
+    return top_labels(counted, most)
+
+
+def upsert_stored(
+    new: DataFrame, path: str, mode: str, order: Sequence[Column], partition_by: Sequence[str],
+    keys: Sequence[str] = RECORD_KEY, text: str = "sentence",
+) -> None:
+    """Merge a batch into the Parquet table at ``path``, which is partitioned by some of the keys.
+
+    Only partitions that the batch touches are read and rewritten. Their files are written
+    in a staging folder and moved when the whole job commits, which leaves the marker
+    ``_SUCCESS``; a write that dies before leaves the old table as it was.
+    """
+    if not set(partition_by) <= set(keys):
+        raise ValueError("the table has to be partitioned by keys")
+    stored = new.sparkSession.read.parquet(path)
+    touched = new.select(*partition_by).distinct()
+    old = stored.join(touched, list(partition_by), "left_semi")
+    merged = upsert(old, new, mode, order, keys, text).select(*stored.columns)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def annotation_summary(outputs: DataFrame, latest: DataFrame, most: int = 50) -> DataFrame:
+    """Per source: outputs, judged rows, mean score and issues, counts of its ``most`` most frequent labels."""
     joined = outputs.select("source_id", "eid").join(
         latest.select("eid", "source_id", "score", "n_items", "label", F.lit(True).alias("_hit")),
         ["eid", "source_id"],
@@ -260,20 +300,22 @@ def annotation_summary(outputs: DataFrame, latest: DataFrame) -> DataFrame:
         F.count("score").alias("_scored"),
         F.sum("n_items").alias("_items"),
     )
-    shown = F.when(
-        nonempty(F.col("label")),
-        F.concat(F.col("label"), F.lit(":"), F.col("_rows").cast("string")),
-    )
-    listed = F.array_join(F.array_sort(F.collect_list(shown)), ", ")
-    return by_label.groupBy("source_id").agg(
+    by_label = materialize(by_label)
+    counted = by_label.where(nonempty(F.col("label"))).select("source_id", "label", F.col("_rows").alias("n"))
+    # at most ``most`` labels and the rest of a source come together
+    shown = F.concat(F.coalesce("label", F.lit("other labels")), F.lit(":"), F.col("n").cast("string"))
+    entry = F.struct("rest", "label", shown.alias("shown"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["shown"]), ", ")
+    labels = top_labels(counted, most).groupBy("source_id").agg(listed.alias("label_counts"))
+    sums = by_label.groupBy("source_id").agg(
         F.sum("_rows").alias("rows"),
         F.sum("_judged").alias("judged"),
         F.try_divide(F.sum("_sum").cast("double"), F.sum("_scored")).alias("avg_score"),
         F.try_divide(
             F.coalesce(F.sum("_items"), F.lit(0)).cast("double"), F.sum("_judged")
         ).alias("avg_issues"),
-        F.coalesce(null_if_empty(listed), F.lit("None")).alias("label_counts"),
     )
+    return join_left_default(sums, labels, ["source_id"], {"label_counts": F.lit("None")})
 
 
 def entry_scores(latest: DataFrame, visible: Sequence[str]) -> DataFrame:

@@ -74,7 +74,7 @@ def substitute_entities(t: Tables):
 
 
 _ASSETS = """SELECT p_type AS type, concat('Fictional_', p_brand, '_', CAST(p_size AS @STR)) AS value FROM part
-  UNION ALL SELECT p_type, concat(replace(p_name, ' ', '_'), '_', CAST(p_partkey AS @STR)) FROM part WHERE p_size < 5"""
+  UNION ALL SELECT p_type, concat(replace(p_name, ' ', '_'), '_', CAST(p_partkey AS @STR)) FROM part"""
 helper("o_assets", f"SELECT DISTINCT type, value, strip_accents(replace(value, '_', '')) AS norm FROM ({_ASSETS}) x")
 helper("o_fi_pool", """SELECT *, row_number() OVER (PARTITION BY type ORDER BY bucket, norm, salt, value) - 1 AS idx
   FROM (SELECT *, @DRAW(norm) % 256 AS bucket, @DRAW(value) % 64 AS salt FROM o_assets) a""")

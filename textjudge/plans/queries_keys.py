@@ -13,6 +13,7 @@ from textjudge.functions.columns import lookup
 from textjudge.functions.keys import KEY
 from textjudge.operators import construct as N
 from textjudge.operators import scores as S
+from textjudge.operators.joins import assert_unique
 from textjudge.plans.queries_scores import LANG_GROUP_SQL, grouping_name, latest_faith
 from textjudge.plans.registry import helper, query
 from textjudge.plans.views import Tables
@@ -167,18 +168,16 @@ def score_policies(t: Tables):
     )
 
 
-_GENERATED = "SELECT model, dataset, variant, language, eid, k % 11 AS triple_count FROM v_latest_faith WHERE k <> 50"
-helper("o_generated", _GENERATED)
 _BUCKET = "CASE WHEN triple_count = 1 THEN '1' WHEN triple_count IN (2, 3) THEN '2--3' WHEN triple_count BETWEEN 4 AND 9 THEN '4--9' END"
 
 
 @query("triple_bucket", f"""
 SELECT model, bucket, grp AS "grouping", mean_score, n FROM (
   SELECT model, bucket, {grouping_name(['model', 'bucket'])} AS grp, grouping(bucket) AS gb, avg(score) AS mean_score, count(*) AS n
-  FROM (SELECT f.model, f.score, {_BUCKET} AS bucket FROM v_latest_faith f LEFT JOIN o_generated g USING ({_KEYS})) j
+  FROM (SELECT f.model, f.score, {_BUCKET} AS bucket FROM v_latest_faith f LEFT JOIN v_generated g USING ({_KEYS})) j
   GROUP BY GROUPING SETS ((model, bucket), (model), (bucket), ())) s WHERE bucket IS NOT NULL OR gb = 1""")
 def triple_bucket(t: Tables):
-    generated = t.sql(_GENERATED)
+    generated = assert_unique(t.v_generated, KEY, "generated rows")
     joined = latest_faith(t).select(*KEY, "score").join(generated, KEY, "left")
     rows = joined.withColumn("bucket", K.triple_bucket(F.col("triple_count")))
     out = S.mean_sets(rows, [["model", "bucket"], ["model"], ["bucket"], []])

@@ -64,10 +64,10 @@ def upsert_overwrite(t: Tables):
     return _upsert(t, "overwrite")
 
 
-helper("o_wide_old", """SELECT eid, max(sentence) FILTER (WHERE source_id = 'src0') AS s0, max(sentence) FILTER (WHERE source_id = 'src1') AS s1
-  FROM v_outputs GROUP BY eid HAVING right(eid, 1) <> '3'""")
-helper("o_wide_new", """SELECT eid, max(sentence) FILTER (WHERE source_id = 'src2') AS s1, min(sentence) AS s2
-  FROM v_outputs GROUP BY eid HAVING right(eid, 1) <> '4'""")
+helper("o_wide_old", """SELECT CASE WHEN right(eid, 1) = '3' THEN concat(eid, '-old') ELSE eid END AS eid, max(sentence) FILTER (WHERE source_id = 'src0') AS s0, max(sentence) FILTER (WHERE source_id = 'src1') AS s1
+  FROM v_outputs GROUP BY v_outputs.eid""")
+helper("o_wide_new", """SELECT CASE WHEN right(eid, 1) = '4' THEN concat(eid, '-new') ELSE eid END AS eid, max(sentence) FILTER (WHERE source_id = 'src2') AS s1, min(sentence) AS s2
+  FROM v_outputs GROUP BY v_outputs.eid""")
 
 
 @query("resume_merge", """SELECT coalesce(n.eid, o.eid) AS eid, s0,
@@ -113,10 +113,10 @@ _COMBO = "model, dataset, variant, language"
 
 
 @query("coverage", f"""SELECT {_COMBO}, count(*) AS expected_rows, count(f.eid) AS judged_rows, count(*) - count(f.eid) AS missing_rows
-  FROM (SELECT DISTINCT {_KEYS} FROM v_judged_faith) e LEFT JOIN (SELECT DISTINCT {_KEYS}, 1 AS hit FROM v_judged_fluency WHERE score >= 3) f
+  FROM (SELECT DISTINCT {_KEYS} FROM v_judged_faith) e LEFT JOIN (SELECT DISTINCT {_KEYS}, 1 AS hit FROM v_fluency_elsewhere) f
   USING ({_KEYS}) GROUP BY {_COMBO}""".replace("count(f.eid)", "count(hit)"))
 def coverage(t: Tables):
-    return M.coverage(t.v_judged_faith, t.v_judged_fluency.filter("score >= 3"))
+    return M.coverage(t.v_judged_faith, t.v_fluency_elsewhere)
 
 
 @query("coverage_by_alias", f"""SELECT {_COMBO}, count(*) AS expected_rows, count(hit) AS judged_rows, count(*) - count(hit) AS missing_rows
@@ -262,6 +262,36 @@ def seeded_sample(t: Tables):
     )
 
 
+@query("seeded_sample_all", """SELECT event_id, item_index FROM v_issue_items
+  ORDER BY @DRAW(concat_ws('|', '7', CAST(event_id AS VARCHAR), CAST(item_index AS VARCHAR))), event_id, item_index LIMIT 400""")
+def seeded_sample_all(t: Tables):
+    return M.seeded_sample(t.v_issue_items, 400, ["event_id", "item_index"], 7).select("event_id", "item_index")
+
+
+_OPEN = """SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n DESC, label) AS place FROM (
+  SELECT source_id, label, count(*) AS n FROM o_open_labels GROUP BY source_id, label) l"""
+helper("o_open_labels", "SELECT source_id, concat('label ', CAST(CAST(regexp_extract(eid, '[0-9]+') AS INT) % 97 AS @STR)) AS label FROM v_outputs")
+
+
+@query("label_counts", f"""SELECT source_id, label, n, false AS rest FROM ({_OPEN}) a WHERE place <= 20
+  UNION ALL SELECT source_id, NULL, sum(n)::BIGINT, true FROM ({_OPEN}) b WHERE place > 20 GROUP BY source_id""")
+def label_counts(t: Tables):
+    labels = t.v_outputs.select("source_id", F.concat(F.lit("label "), F.regexp_extract("eid", "[0-9]+", 0).cast("int") % 97).alias("label"))
+    return M.label_counts(labels, most=20)
+
+
+@query("upsert_stored", f"SELECT {_OUT} FROM o_old_keyed UNION ALL SELECT {_OUT} FROM o_added")
+def upsert_stored(t: Tables):
+    """The later batch is merged into a stored table; only partitions it touches are rewritten."""
+    from textjudge.sources.sinks import scratch
+
+    path = scratch(t.spark)
+    old, new = runs(t)
+    old.write.partitionBy("source_id").parquet(path)
+    M.upsert_stored(new, path, "append", [F.desc("event_id")], ["source_id"])
+    return t.spark.read.parquet(path).select("event_id", *M.RECORD_KEY, "sentence")
+
+
 @query("category_top_eids", "SELECT category, count(DISTINCT eid) AS eids FROM v_triples GROUP BY category ORDER BY eids DESC, category LIMIT 5")
 def category_top_eids(t: Tables):
     # the entry size is unique per entry, so distinct pairs come first and stay small
@@ -314,16 +344,11 @@ def capability_unmatched(t: Tables):
 
 
 @query("keyword_context", """SELECT DISTINCT member, replace(member, '_', ' ') AS keyword, coalesce(context, 'none') AS context
-  FROM (SELECT object AS member FROM v_triples) m LEFT JOIN (SELECT concat(p_name, ' ', CAST(p_partkey AS VARCHAR)) AS kw,
-    concat('about ', p_brand) AS context FROM part WHERE p_size > 10) c ON kw = replace(member, '_', ' ')""")
+  FROM (SELECT object AS member FROM v_triples) m LEFT JOIN (SELECT replace(member, '_', ' ') AS kw, context FROM v_context) c
+    ON kw = replace(member, '_', ' ')""")
 def keyword_context(t: Tables):
     from textjudge.operators import construct as N
 
-    text = t.part.filter("p_size > 10").select(
-        F.concat(
-            F.translate("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string"),
-            F.lit("===about "), "p_brand",
-        ).alias("value")
-    )
+    text = t.v_context.select(F.concat("member", F.lit("==="), "context").alias("value"))
     members = t.v_triples.select(F.col("object").alias("member")).distinct()
     return N.keyword_context(members, N.read_context(text))

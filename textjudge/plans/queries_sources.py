@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textjudge.functions.keys import KEY
 from textjudge.operators import votes as V
-from textjudge.plans.registry import HELPERS, query
+from textjudge.plans.registry import query
 from textjudge.plans.queries_text import judged_records
 from textjudge.plans.views import Tables
 from textjudge.sources import judged as J
@@ -120,18 +120,18 @@ def scan_classified(t: Tables):
     return long.groupBy("model", parse_label(F.col("answer")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scan_generated", f"SELECT {_KEYS}, triple_count FROM o_generated")
+@query("scan_generated", f"SELECT {_KEYS}, triple_count FROM v_generated")
 def scan_generated(t: Tables):
-    rows = t.sql(HELPERS["o_generated"]).select(
+    rows = t.v_generated.select(
         *KEY, F.col("triple_count").alias("size"), F.lit("one, \"two\"\nthree").alias("sentence")
     )
     path = _mixed_tree(t, rows, ["eid", "size", "sentence"])
     return S.read_generated(t.spark, path, place=_place).select(*KEY, "triple_count")
 
 
-@query("scan_sentences", f"SELECT {_KEYS}, sentence, NULL::VARCHAR AS shape, size FROM (SELECT {_KEYS}, 'a, \"b\"' AS sentence, triple_count AS size FROM o_generated) x")
+@query("scan_sentences", f"SELECT {_KEYS}, sentence, NULL::VARCHAR AS shape, size FROM (SELECT {_KEYS}, 'a, \"b\"' AS sentence, triple_count AS size FROM v_generated) x")
 def scan_sentences(t: Tables):
-    rows = t.sql(HELPERS["o_generated"]).select(
+    rows = t.v_generated.select(
         *KEY, F.col("triple_count").alias("size"), F.lit("NA").alias("shape"), F.lit('a, "b"').alias("sentence")
     )
     path = _mixed_tree(t, rows, ["shape", "eid", "size", "sentence"])

@@ -204,19 +204,22 @@ def issue_categories(t: Tables):
     return rows.select("event_id", F.array_join("issue_categories", "; ").alias("issue_categories"))
 
 
-helper("o_explained", """SELECT event_id, item_index, replace(comment, '_', ' ') AS explanation FROM v_issue_items
-  UNION ALL SELECT event_id, -1, comment FROM v_judged_fluency
-  UNION ALL SELECT doc_id, -2, text FROM documents""")
+# refusals in the sentence, in the explanation, in both and in none; issues of a sentence do not count
+helper("o_explained", """SELECT event_id, item_index, replace(comment, '_', ' ') AS explanation, CASE event_id % 5
+    WHEN 0 THEN 'It is not possible to describe this.' WHEN 1 THEN 'Vztah obrácen, nelze popsat' WHEN 2 THEN 'omits the date, wrong direction'
+    WHEN 3 THEN NULL ELSE 'The order contains a part.' END AS sentence FROM v_issue_items
+  UNION ALL SELECT event_id, -1, concat(comment, CASE event_id % 3 WHEN 0 THEN ' unable to say' ELSE '' END), concat('sentence ', CAST(event_id AS @STR)) FROM v_judged_fluency
+  UNION ALL SELECT doc_id, -2, text, CASE doc_id % 4 WHEN 0 THEN 'nonsense' ELSE lang END FROM documents""")
 
 
 @query("classify_issue", f"""SELECT event_id, item_index,
-  CASE WHEN regexp_matches(explanation, '(?i){fixed.REFUSAL_PATTERN.replace("'", "''")}') THEN 'refusal' """ + " ".join(
+  CASE WHEN regexp_matches(concat(coalesce(sentence, ''), ' ', coalesce(explanation, '')), '(?i){fixed.REFUSAL_PATTERN.replace("'", "''")}') THEN 'refusal' """ + " ".join(
     f"WHEN regexp_matches(explanation, '(?i){p}') THEN '{name}'" for name, p in fixed.ISSUE_PATTERNS)
     + " ELSE '' END AS issue FROM o_explained")
 def classify_issue(t: Tables):
     rows = t.sql(HELPERS["o_explained"])
     return rows.select(
-        "event_id", "item_index", C.classify_issue(F.lit(""), F.col("explanation")).alias("issue")
+        "event_id", "item_index", C.classify_issue(F.col("sentence"), F.col("explanation")).alias("issue")
     )
 
 
@@ -333,11 +336,10 @@ _TEMPLATES = "(VALUES ('en', 'Describe {size} facts about {category}:'), ('cs',
     predicate, ' | ', replace(object, '_', ' ')), chr(10) ORDER BY pos) AS triples FROM v_triples GROUP BY eid) e,
   {_TEMPLATES} t(language, template)""")
 def build_prompts(t: Tables):
-    templates = t.spark.createDataFrame(
-        [("en", "Describe {size} facts about {category}:\n{triples_str}"),
-         ("cs", "Popis {size} faktu, tema {category}:\n{triples_str}")],
-        "language string, template string",
-    )
+    templates = [
+        ("en", "Describe {size} facts about {category}:\n{triples_str}"),
+        ("cs", "Popis {size} faktu, tema {category}:\n{triples_str}"),
+    ]
     return N.entry_prompts(N.entries(t.v_triples), templates)
 
 
@@ -357,12 +359,20 @@ def judge_prompts(t: Tables):
 _FLUENCY_TEMPLATE = "Rate this {language} sentence about {entity_language} facts ({lexical_terms}): {sentence}"
 
 
-@query("fluency_prompts", """SELECT source_id, eid, concat('Rate this Czech sentence about English facts (- ', sj, chr(10), '- ', sp, '): ', replace(sentence, '_', ' ')) AS prompt
-  FROM (SELECT source_id, eid, sentence, 'a b' AS sj, 'c' AS sp FROM v_outputs) o""")
+helper("o_terms", """SELECT eid, string_agg(concat('- ', term), chr(10) ORDER BY nth) AS terms FROM (
+  SELECT eid, term, min(nth) AS nth FROM (
+    SELECT eid, replace(subject, '_', ' ') AS term, pos * 2 AS nth FROM v_triples
+    UNION ALL SELECT eid, replace(object, '_', ' '), pos * 2 + 1 FROM v_triples) a GROUP BY eid, term) b GROUP BY eid""")
+
+
+@query("fluency_prompts", """SELECT source_id, eid, concat('Rate this Czech sentence about English facts (', terms, '): ', replace(sentence, '_', ' ')) AS prompt
+  FROM v_outputs JOIN o_terms USING (eid) WHERE trim(sentence) <> ''""")
 def fluency_prompts(t: Tables):
-    terms = F.array(F.lit("a b"), F.lit("c"))
+    rows = N.enrich_sentences(t.v_outputs, N.entries(t.v_triples))
+    listed = F.to_json("modified_triples_json")
+    terms = T.lexical_terms(T.row_triples(listed, F.col("modified_triples")))
     prompt = N.fluency_prompt(_FLUENCY_TEMPLATE, F.lit("Czech"), F.lit("English"), terms)
-    return t.v_outputs.select("source_id", "eid", prompt.alias("prompt"))
+    return rows.select("source_id", "eid", prompt.alias("prompt"))
 
 
 helper("o_verdict_json", """SELECT event_id, CASE k % 5

@@ -87,6 +87,15 @@ SELECT eid, concat('<entry category="', min(category), '" eid="', eid, '" shape=
   @LISTAGG(concat('<otriple>', subject, ' | ', predicate, ' | ', object, '</otriple>'),'',pos),
   '</originaltripleset></entry>') AS xml
 FROM v_triples GROUP BY eid""",
+    # keys changed on purpose: joins meet misses although every row is read
+    "v_generated": """
+SELECT model, dataset, variant, language, CASE WHEN k = 50 THEN concat(eid, '-other') ELSE eid END AS eid, k % 11 AS triple_count
+FROM v_latest_faith""",
+    "v_fluency_elsewhere": """
+SELECT model, dataset, variant, language, CASE WHEN score >= 3 THEN eid ELSE concat(eid, '-other') END AS eid FROM v_judged_fluency""",
+    "v_context": """
+SELECT concat(replace(p_name, ' ', '_'), '_', CAST(p_partkey AS @STR), CASE WHEN p_size > 10 THEN '' ELSE '-other' END) AS member,
+  concat('about ', p_brand) AS context FROM part""",
     "v_raw_responses": """
 SELECT event_id, CASE WHEN k = 13 THEN 'no verdict here' WHEN k = 14 THEN '{"faithfulness_score": 4, "incorrect'
   ELSE concat('Verdict follows. {"faithfulness_score": ', CAST(coalesce(score, 0) AS @STR),
