@@ -100,19 +100,34 @@ def product(w: np.ndarray, values: np.ndarray) -> np.ndarray:
     return w @ values
 
 
+def cluster_sums(
+    rows: DataFrame, group: Sequence[str], measures: Sequence[str], seed: int,
+    cell: str | None = None, cluster: Sequence[str] = CLUSTER,
+) -> DataFrame:
+    """Sums of each cluster of a group, per cell, written once for all that follows.
+
+    A frequent cluster is one row per cell from here on.
+    """
+    name = F.lit("").alias("cell") if cell is None else F.col(cell).alias("cell")
+    summed = rows.groupBy(*group, *cluster, name).agg(*[F.sum(m).cast("long").alias(m) for m in measures])
+    of_group = F.concat_ws("|", F.lit(str(seed)), *group)
+    return materialize(summed.withColumns({"_group": of_group, "_key": hash_number(F.lit(str(seed)), *cluster)}))
+
+
 def replicate_sums(
     rows: DataFrame, group: Sequence[str], measures: Sequence[str], samples: int, seed: int,
     cell: str | None = None, cluster: Sequence[str] = CLUSTER, bucket: int = BUCKET,
 ) -> DataFrame:
-    """(group, rep, cell, sums) for every replicate; each group draws from its own clusters.
+    """(group, rep, cell, sums) for every replicate; each group draws from its own clusters."""
+    return drawn_sums(cluster_sums(rows, group, measures, seed, cell, cluster), group, measures, samples, cluster, bucket)
 
-    Rows of a cluster are summed before anything else, so a frequent cluster is one row
-    per cell. A task holds the clusters of one bucket.
-    """
+
+def drawn_sums(
+    keyed: DataFrame, group: Sequence[str], measures: Sequence[str], samples: int,
+    cluster: Sequence[str] = CLUSTER, bucket: int = BUCKET,
+) -> DataFrame:
+    """The replicates of ``cluster_sums``. A task holds the clusters of one bucket."""
     group, cluster, measures = list(group), list(cluster), list(measures)
-    name = F.lit("").alias("cell") if cell is None else F.col(cell).alias("cell")
-    summed = rows.groupBy(*group, *cluster, name).agg(*[F.sum(m).cast("long").alias(m) for m in measures])
-    keyed = materialize(summed.withColumn("_group", F.concat_ws("|", F.lit(str(seed)), *group)).withColumn("_key", hash_number(F.lit(str(seed)), *cluster)))
     known = keyed.select("_group", "_key", *cluster).distinct()
     most = known.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
     largest, groups = most[0] or 0, most[1]
@@ -122,7 +137,7 @@ def replicate_sums(
     if bits:
         for g, b, n in known.groupBy("_group", place.alias("b")).count().collect():
             sizes.setdefault(g, np.zeros(1 << bits, np.int64))[b] = n
-    shared = rows.sparkSession.sparkContext.broadcast(sizes)
+    shared = keyed.sparkSession.sparkContext.broadcast(sizes)
 
     def spread(table: pa.Table) -> pa.Table:
         frame = table.select(["_key", "_hash", "_root", *cluster, "cell", *measures]).to_pandas()
@@ -148,7 +163,7 @@ def replicate_sums(
         columns |= {"rep": pa.array(rep.astype(np.int32)), "cell": pa.array(names.astype(object)).cast(pa.string()).take(pa.array(which))}
         return pa.table(columns | {m: pa.array(np.ascontiguousarray(sums[:, k])) for k, m in enumerate(measures)})
 
-    kinds = dict(rows.dtypes)
+    kinds = dict(keyed.dtypes)
     schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in group], "rep int", "cell string", *[f"`{m}` long" for m in measures]])
     text = [F.col("_group"), F.col("_bucket")]
     dealt = keyed.withColumn("_bucket", place).withColumn("_hash", hash_number(*text)).withColumn("_root", hash_number("_group"))
@@ -175,7 +190,7 @@ def quantile(sorted_values: Column, q: float) -> Column:
 
 
 def intervals(
-    replicates: DataFrame, group: Sequence[str], value: str, names: dict[str, float], listed: int = LISTED
+    replicates: DataFrame, group: Sequence[str], value: str, names: dict[str, float], most: int | None = None, listed: int = LISTED,
 ) -> DataFrame:
     """Percentile intervals per group, equal to sorting the values of a group.
 
@@ -183,8 +198,12 @@ def intervals(
     ``listed`` values are sorted in a row. In larger ones the two values around a position
     are found by counting: bins of equal width between least and greatest value, then bins
     inside the bin that holds the wanted rank, until a bin is small or holds one value.
+    ``most`` values of a group are known to exist at most (the resamples), if given.
     """
     group = list(group)
+    if most is not None and most <= listed:
+        packed = replicates.where(F.col(value).isNotNull()).groupBy(*group).agg(F.array_sort(F.collect_list(value)).alias("_v"))
+        return packed.select(*group, *[quantile(F.col("_v"), q).alias(n) for n, q in names.items()])
     values = materialize(replicates.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_x")))
     spans = values.groupBy(*group).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("_x").alias("n"))
     ends = [f(F.lit(q) * (F.col("n") - 1)).cast("long") for q in names.values() for f in (F.floor, F.ceil)]
@@ -236,17 +255,16 @@ def model_intervals(
     measured = rows.select(
         *group, *CLUSTER, F.col(score).cast("long").alias("num"), F.lit(1).cast("long").alias("den")
     )
-    observed = measured.groupBy(*group).agg(
+    keyed = cluster_sums(measured, group, ["num", "den"], seed)
+    observed = keyed.groupBy(*group).agg(
         F.sum("den").alias("judged_rows"), share(F.sum("num"), F.sum("den")).alias("mean_score")
     )
-    drawn = replicate_sums(measured, group, ["num", "den"], samples, seed).withColumn(
-        "value", share(F.col("num"), F.col("den"))
-    )
-    bounds = intervals(drawn, group, "value", dict(zip(("ci_95_low", "ci_95_high"), CI_95)))
+    drawn = drawn_sums(keyed, group, ["num", "den"], samples).withColumn("value", share(F.col("num"), F.col("den")))
+    bounds = intervals(drawn, group, "value", dict(zip(("ci_95_low", "ci_95_high"), CI_95)), samples)
     half = F.greatest(
         F.col("mean_score") - F.col("ci_95_low"), F.col("ci_95_high") - F.col("mean_score")
     )
-    joined = cluster_counts(measured, group).join(observed, group).join(bounds, group)
+    joined = cluster_counts(keyed, group).join(observed, group).join(bounds, group)
     return joined.withColumn("ci_95_half_width", half)
 
 
@@ -291,8 +309,9 @@ class PerceivedBootstrap:
         samples: int = fixed.BOOTSTRAP_SAMPLES, seed: int = fixed.BOOTSTRAP_SEED,
     ):
         self.group = list(group)
-        weighted = _weighted(rows, self.group)
-        drawn = replicate_sums(weighted, self.group, MEASURES, samples, seed)
+        self.samples = samples
+        weighted = cluster_sums(_weighted(rows, self.group), self.group, MEASURES, seed)
+        drawn = drawn_sums(weighted, self.group, MEASURES, samples)
         self.replicates = drawn.select(*self.group, "rep", *_ratios())
         sums = weighted.groupBy(*self.group).agg(*[F.sum(m).alias(m) for m in MEASURES])
         self.observed = cluster_counts(weighted, self.group).join(sums, self.group).select("*", *_ratios())
@@ -303,7 +322,7 @@ class PerceivedBootstrap:
         # an empty class has no ratio in a replicate and is skipped there
         usable = per_label.filter(F.col("value").isNotNull())
         keys = [*self.group, "predicted_label"]
-        bounds = intervals(usable, keys, "value", dict(zip(("ci_95_low", "ci_95_high"), CI_95)))
+        bounds = intervals(usable, keys, "value", dict(zip(("ci_95_low", "ci_95_high"), CI_95)), self.samples)
         base = [*self.group, "source_item_clusters"]
         shown = _label_rows(self.observed, base, ["value", "den"])
         joined = shown.join(bounds, keys, "left")
@@ -336,7 +355,7 @@ class PerceivedBootstrap:
             "familywise_low": tail,
             "familywise_high": 1 - tail,
         }
-        bounds = intervals(drawn, keys, "difference", names)
+        bounds = intervals(drawn, keys, "difference", names, self.samples)
         shown = self.observed.select(*self.group, "source_item_clusters", F.inline(pairs))
         clear = (F.col("familywise_low") > 0) | (F.col("familywise_high") < 0)
         return (
@@ -352,8 +371,8 @@ def macro_intervals(
     """True x perceived class: interval of the mean over models of per-model ratios."""
     group = ["true_label"]
     labelled = rows.withColumn("true_label", expected_label(F.col("variant")))
-    weighted = _weighted(labelled, group, ["model"])
-    drawn = replicate_sums(weighted, group, MEASURES, samples, seed, cell="model")
+    weighted = cluster_sums(_weighted(labelled, group, ["model"]), group, MEASURES, seed, cell="model")
+    drawn = drawn_sums(weighted, group, MEASURES, samples)
     per_label = _label_rows(drawn.select(*group, "rep", "cell", *_ratios()), [*group, "rep", "cell"], ["value"])
     keys = [*group, "predicted_label"]
     # one ratio per model; added in model order
@@ -365,5 +384,5 @@ def macro_intervals(
         F.try_divide(total, F.size(listed)).alias("value")
     )
     usable = macro.filter(F.col("value").isNotNull())
-    bounds = intervals(usable, keys, "value", dict(zip(("ci_95_low", "ci_95_high"), CI_95)))
+    bounds = intervals(usable, keys, "value", dict(zip(("ci_95_low", "ci_95_high"), CI_95)), samples)
     return bounds.join(cluster_counts(weighted, group), group)
