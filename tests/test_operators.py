@@ -371,6 +371,7 @@ def study_tree(root):
                 rows = [head]
                 for i in range(12):
                     labels = [rng.choice(["FA", "CFA", "FI"]) for _ in range(5)]
+                    labels[4] = f"**{labels[4]}**" if i == 0 else labels[4]
                     rows.append(f"Id{i},{1 + i % 4}," + ",".join([labels[0], *labels] if kind == "classified" else ["text"]))
                 (folder / f"{stem}.csv").write_text("\n".join(rows) + "\n", encoding="utf-8")
     folder = root / "triples" / "cs-qa"
@@ -386,12 +387,31 @@ def test_study_from_disk_to_reports(spark, tmp_path):
 
     study_tree(tmp_path)
     at = lambda name: str(tmp_path / name)
-    build_report(spark, at("judged"), at("out"), at("triples"), at("classified"))
+    build_report(spark, at("judged"), at("out"), at("triples"), at("classified"), at("generated"), sample_size=3)
     overall = spark.read.option("header", "true").csv(at("out/score_stats_overall")).first()
     assert int(overall["records"]) == 108 and int(overall["valid_scored_records"]) == 108
     leaks = spark.read.option("header", "true").csv(at("out/predicate_leakage_predicates")).first()
     assert (leaks["predicate"], int(leaks["mentions"])) == ("hasPart", 108)
-    assert spark.read.option("header", "true").csv(at("out/warnings")).count() == 9
+    table = lambda name: spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(at(f"out/{name}"))
+    assert table("warnings").where("line_no IS NOT NULL").count() == 9
+    cases = [r.asDict() for r in table("score_cases").collect()]
+    assert len(cases) == 108
+    place = lambda r: (r["generator_model"], r["dataset"], r["eid"], r["variant"], r["language"], r["path"], int(r["line_no"]))
+    for name, scope in (("overall", ()), ("model", ("generator_model",)), ("variant", ("generator_model", "dataset", "variant"))):
+        groups = defaultdict(list)
+        for r in cases:
+            groups[(*(r[c] for c in scope), r["score"])].append(place(r))
+        assert sorted(map(place, table(f"score_samples_{name}").collect())) == sorted(p for g in groups.values() for p in sorted(g)[:3])
+    issues = Counter(r["issue"] for r in table("issue_examples").collect())
+    assert issues == Counter({r["category"]: int(r["n"]) for r in table("issue_counts").select(*[F.col(a).alias(b) for a, b in zip(table("issue_counts").columns[:2], ("category", "n"))]).collect()})
+    assert Counter(r["issue"] for r in table("issue_samples").collect()) == Counter({k: min(3, n) for k, n in issues.items()})
+    assert sum(int(r["leak_count"]) for r in table("predicate_leakage_examples").collect()) == 108
+    assert table("predicate_leakage_samples").count() == 3
+    covered = table("coverage").collect()
+    assert len(covered) == 9 and all(int(r["expected_rows"]) >= int(r["judged_rows"]) > 0 for r in covered)
+    odd = table("classification_format_examples").collect()
+    assert {r["eid"] for r in odd} == {"Id0"} and all(int(r["non_exact"]) == 1 for r in odd)
+    assert table("classification_format_samples").count() == 9
     tables = results_tables(spark, at("judged"), at("fluency"), at("classified"), at("generated"), samples=20)
     sizes = {name: df.count() for name, df in tables.items()}
     assert sizes["model_summary"] == 3 and sizes["confusion_matrix"] == 27

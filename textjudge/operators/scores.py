@@ -141,11 +141,13 @@ def best_combos(stats: DataFrame, keys: Sequence[str], n: int = fixed.TOP_COMBOS
     return stats.orderBy(*order).limit(n)
 
 
-def score_cases(df: DataFrame, n: int, order: Sequence[Column], score: str = "score") -> DataFrame:
-    """The first ``n`` cases of every score value in a total order."""
+def score_cases(
+    df: DataFrame, n: int, order: Sequence[Column], score: str = "score", group: Sequence[str] = ()
+) -> DataFrame:
+    """The first ``n`` cases of every score value (of every group) in a total order."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy(score).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(*group, score).orderBy(*order))
     return df.filter(valid_score(F.col(score))).withColumn("case_no", rank).filter(
         F.col("case_no") <= n
     )

@@ -6,7 +6,9 @@ report from it with grouping sets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textjudge import fixed
@@ -23,10 +25,10 @@ from textjudge.operators import votes as V
 from textjudge.operators.construct import entries, entry_text
 from textjudge.operators.joins import join_by_model_alias, join_left_default, join_one_to_one
 from textjudge.operators.lineage import materialize
-from textjudge.operators.merge import newest
+from textjudge.operators.merge import coverage_by_alias, newest
 from textjudge.sources.judged import bad_lines, latest_order, read_judged
 from textjudge.sources.sinks import write_report_tree
-from textjudge.sources.tables import read_classified, read_generated, read_triples
+from textjudge.sources.tables import bad_files, read_classified, read_generated, read_triples
 
 COMBO = ["model", "dataset", "variant", "language"]
 GROUPINGS = [["dataset"], ["variant"], ["language"], ["model"], ["judge_model"], COMBO]
@@ -66,30 +68,72 @@ def enriched(
     return rows.drop("record")
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """Lists of text as one text each, for formats without lists."""
+    lists = [c for c, kind in df.dtypes if kind == "array<string>"]
+    return df.withColumns({c: F.array_join(c, "; ") for c in lists})
+
+
+def first_of(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group in a total order, numbered as case_no."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn("case_no", rank).where(F.col("case_no") <= n)
+
+
+def example_reports(rows: DataFrame, sample_size: int, triples: bool, answers: bool) -> dict[str, DataFrame]:
+    """Cases and examples: all of them by model, dataset and variant, and samples over all and per scope.
+
+    ``rows`` are enriched judgments. A sample is the first rows of its group by model, dataset,
+    entry, variant, language, file and line, so it is the same for every partitioning.
+    """
+    case = [*COMBO, "eid", "score", "sentence", "incorrect_information", "style_comment", "issue_category", "issue_categories", "path", "line_no"]
+    order = [F.col(c) for c in ("model", "dataset", "eid", "variant", "language", "path", "line_no")]
+    cases = rows.select(*case).where(S.valid_score(F.col("score")))
+    out = {"score_cases": cases}
+    for name, scope in {"overall": [], "model": ["model"], "variant": COMBO[:3]}.items():
+        out[f"score_samples_{name}"] = S.score_cases(cases, sample_size, order, group=scope)
+    issues = rows.select(F.explode("issue_categories").alias("issue"), *case)
+    out["issue_examples"] = issues
+    out["issue_samples"] = first_of(issues, ["issue"], [F.col("score"), *order], sample_size)
+    if triples:
+        leaks = rows.select(*case, "leaks", F.size("leaks").alias("leak_count")).where("leak_count > 0")
+        out["predicate_leakage_examples"] = leaks
+        out["predicate_leakage_samples"] = first_of(leaks, ["language"], [F.desc("leak_count"), *order], sample_size)
+    if answers:
+        odd = rows.where("non_exact > 0 OR unparsed > 0")
+        shown = odd.select(*COMBO, "eid", "expected_label", "vote_label", "answers", "exact", "recovered", "multiple", "unparsed", "non_exact", "raw_examples", "path", "line_no")
+        out["classification_format_examples"] = shown
+        out["classification_format_samples"] = first_of(shown, ["model"], [F.desc("unparsed"), F.desc("non_exact"), *order], sample_size)
+    named = {name: df.withColumnRenamed("model", "generator_model") for name, df in out.items()}
+    return {name: flat(df) for name, df in named.items()}
+
+
 def build_report(
     spark: SparkSession, judged_root: str, out: str, triples_root: str | None = None,
-    classified_root: str | None = None,
+    classified_root: str | None = None, generated_root: str | None = None, sample_size: int = 20,
 ) -> None:
-    """Write all report tables below ``out``."""
+    """Write all report tables below ``out``.
+
+    Tables with the columns generator_model, dataset and variant are folders by these.
+    Coverage needs the generated tree: entries that exist, were judged and are missing.
+    """
     judged = read_judged(spark, judged_root)
     triples = read_triples(spark, triples_root) if triples_root else None
     answers = read_classified(spark, classified_root) if classified_root else None
     rows = materialize(enriched(judged, triples, answers))
     stats = S.score_stats(rows, COMBO)
-    named = rows.withColumnRenamed("model", "generator_model").drop("line")
     reports = {
         "score_stats_overall": S.score_stats(rows),
         "score_stats_groupings": S.score_stats_sets(rows, GROUPINGS),
         "worst_combos": S.worst_combos(stats, COMBO),
         "best_combos": S.best_combos(stats, COMBO),
         "issue_counts": I.issue_counts(rows),
-        "score_cases": named.select(
-            "generator_model", "dataset", "variant", "language", "eid", "score", "sentence",
-            "incorrect_information", "style_comment", "issue_category",
-            F.array_join("issue_categories", "; ").alias("issue_categories"), "path",
-        ).filter(S.valid_score(F.col("score"))),
-        "warnings": bad_lines(judged),
     }
+    reports |= example_reports(rows, sample_size, triples is not None, answers is not None)
+    lost = [bad_files(spark, root) for root in (classified_root, generated_root) if root]
+    reports["warnings"] = bad_lines(judged, reduce(DataFrame.unionByName, lost) if lost else None)
+    if generated_root:
+        reports["coverage"] = coverage_by_alias(read_generated(spark, generated_root), judged.where("score IS NOT NULL"))
     if triples is not None:
         sets = [["model"], ["model", "language"], COMBO]
         reports["predicate_leakage_summary"] = I.leakage_summary(rows, sets)
