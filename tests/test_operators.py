@@ -239,6 +239,25 @@ def test_counterfactual_never_keeps_the_member(spark):
     assert U.counterfactual(df.filter("object = 'hot_value'")).count() == 0
 
 
+@pytest.mark.parametrize("rows_per_bucket", [50_000, 40, 7])
+def test_pool_numbers_are_dense_and_forms_contiguous(spark, rows_per_bucket):
+    rng = random.Random(2)
+    rows = [(t, "hot" if i % 3 == 0 else f"n{rng.randint(0, 60)}", f"v{i}", f"e{i:04}") for i in range(900) for t in ("a", "b")[: 1 + (i % 10 == 0)]]
+    pool = spark.createDataFrame(rows, "type string, norm string, value string, eid string")
+    numbered, sizes = U.number_pool(pool, ["eid"], rows_per_bucket)
+    got = numbered.collect()
+    assert {r["type"]: r["pool_size"] for r in sizes.collect()} == Counter(r[0] for r in rows)
+    assert sorted((r["type"], r["norm"], r["value"], r["eid"]) for r in got) == sorted(rows)
+    for t in ("a", "b"):
+        own = [r for r in got if r["type"] == t]
+        assert sorted(r["idx"] for r in own) == list(range(len(own))) and {r["pool_size"] for r in own} == {len(own)}
+        for norm in {r["norm"] for r in own}:
+            form = [r for r in own if r["norm"] == norm]
+            start = min(r["idx"] for r in form)
+            assert sorted(r["idx"] for r in form) == list(range(start, start + len(form)))
+            assert {(r["own_start"], r["own_size"]) for r in form} == {(start, len(form))}
+
+
 def test_stratified_sample_is_balanced(spark):
     rng = random.Random(2)
     rows = [(f"u{i}", "fa", "small", "en", rng.choice(["1", "2-4", "5"]), rng.choice("abc"),

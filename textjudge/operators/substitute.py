@@ -3,13 +3,13 @@
 Each chosen member is replaced by a pool member of the same type with another
 equality form. The pool is numbered per type so that equal forms are contiguous; a
 draw skips the own block by an index shift, and the replacement is found by an equi
-join on (type, number). Pool rows keep their frequency. A form that fills a large
-part of the pool is numbered in salted parts, so no task ever holds a whole form or
-type.
+join on (type, number). Pool rows keep their frequency. Rows are numbered in buckets of
+bounded size, a frequent form in several, so no task ever holds a whole form or type.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -21,7 +21,10 @@ from textjudge.operators.construct import members, unique_members
 from textjudge.operators.index import hash_bucket, hash_number
 from textjudge.operators.lineage import materialize
 
-SALTS = 64
+#: rows of the pool that one task numbers
+ROWS_PER_BUCKET = 50_000
+#: pool sizes of the types are broadcast up to this number of types
+BROADCAST_TYPES = 100_000
 
 
 def tagged_members(triples: DataFrame, keys: Sequence[str] = ("eid",)) -> DataFrame:
@@ -30,63 +33,65 @@ def tagged_members(triples: DataFrame, keys: Sequence[str] = ("eid",)) -> DataFr
     return unique_members(typed, list(keys))
 
 
-def number_pool(pool: DataFrame, row_key: Sequence[str]) -> DataFrame:
-    """Dense number per type with equal forms next to each other.
+def spread(pool: DataFrame, row_key: Sequence[str], rows_per_bucket: int) -> DataFrame:
+    """``pool`` with its bucket inside the type: _heavy, _bucket, _form and _salt.
 
-    ``pool`` has (type, norm, value) plus ``row_key``. Adds ``idx``, the pool size of
-    the type, and where the own form starts and how long it is. Order: hash bucket of
-    the form, form, salt, row.
+    Forms are dealt by hash into as many buckets as the size of the pool asks for. A form
+    that alone is too much for a task has buckets of its own, filled by a hash of the row.
     """
-    keyed = pool.withColumns(
-        {
-            "_bucket": hash_bucket("norm"),
-            "_salt": hash_bucket(*row_key, buckets=SALTS),
-        }
-    )
-    part = ["type", "_bucket", "norm", "_salt"]
-    parts = keyed.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
-    # running totals inside a bucket of a type, then over the few buckets of the type
-    inside = Window.partitionBy("type", "_bucket")
-    earlier = Window.unboundedPreceding, -1
-    form = Window.partitionBy("type", "_bucket", "norm")
-    within = parts.withColumn(
-        "_before", F.coalesce(F.sum("_size").over(inside.orderBy("norm", "_salt").rowsBetween(*earlier)), F.lit(0))
-    ).withColumns(
-        {"_form_before": F.min("_before").over(form), "own_size": F.sum("_size").over(form)}
+    buckets = max(1, math.ceil(pool.count() / rows_per_bucket))
+    dealt = pool.withColumn("_bucket", hash_bucket("norm", buckets=buckets))
+    large = materialize(dealt.groupBy("type", "_bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * rows_per_bucket))
+    plain = {"_heavy": F.lit(False), "_form": F.lit(""), "_salt": F.lit(0).cast("long")}
+    if large.isEmpty():
+        return dealt.withColumns(plain)
+    forms = dealt.join(large.drop("n"), ["type", "_bucket"], "left_semi").groupBy("type", "norm").agg(F.count(F.lit(1)).alias("n"))
+    salts = F.ceil(F.col("n") / rows_per_bucket).alias("_salts")
+    # no more rows than the pool has buckets
+    heavy = materialize(forms.where(F.col("n") > rows_per_bucket).select("type", "norm", salts))
+    joined = dealt.join(F.broadcast(heavy), ["type", "norm"], "left")
+    held = F.col("_salts").isNotNull()
+    return joined.withColumns({
+        "_heavy": held, "_bucket": F.when(~held, F.col("_bucket")).otherwise(0), "_form": F.when(held, F.col("norm")).otherwise(""),
+        "_salt": F.when(held, hash_number(*row_key) % F.col("_salts")).otherwise(0),
+    }).drop("_salts")
+
+
+def number_pool(pool: DataFrame, row_key: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Dense number per type with equal forms next to each other; and (type, pool_size).
+
+    ``pool`` has (type, norm, value) plus ``row_key``. Adds ``idx``, the pool size of the
+    type, and where the own form starts and how long it is. Rows are numbered inside their
+    bucket; only the sizes of the buckets are added up over a type. Order: bucket, form, row.
+    """
+    part = ["type", "_heavy", "_bucket", "_form", "_salt"]
+    keyed = spread(materialize(pool), row_key, rows_per_bucket)
+    inside = Window.partitionBy(*part)
+    form = Window.partitionBy(*part, "norm")
+    local = keyed.withColumn("_local", F.row_number().over(inside.orderBy("norm", *row_key)) - 1).withColumns(
+        {"_first": F.min("_local").over(form), "_size": F.count(F.lit(1)).over(form)}
     )
-    buckets = parts.groupBy("type", "_bucket").agg(F.sum("_size").alias("_all"))
+    sizes = keyed.groupBy(*part).agg(F.count(F.lit(1)).alias("_all"))
+    # one row per bucket
     whole = Window.partitionBy("type")
-    offsets = buckets.select(
-        "type",
-        "_bucket",
-        F.coalesce(
-            F.sum("_all").over(whole.orderBy("_bucket").rowsBetween(*earlier)), F.lit(0)
-        ).alias("_offset"),
-        F.sum("_all").over(whole).alias("pool_size"),
-    )
-    starts = within.join(offsets, ["type", "_bucket"]).select(
-        *part,
-        "pool_size",
-        "own_size",
-        (F.col("_offset") + F.col("_form_before")).alias("own_start"),
-        (F.col("_offset") + F.col("_before")).alias("_start"),
-    )
-    local = F.row_number().over(Window.partitionBy(*part).orderBy("value", *row_key)) - 1
-    return (
-        keyed.withColumn("_local", local)
-        .join(starts, part)
-        .withColumn("idx", F.col("_start") + F.col("_local"))
-        .drop("_bucket", "_salt", "_local", "_start")
+    before = whole.orderBy(*part[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("type", "_heavy", "_form")
+    offsets = sizes.withColumns({
+        "_offset": F.coalesce(F.sum("_all").over(before), F.lit(0)), "pool_size": F.sum("_all").over(whole),
+    }).withColumns({"_form_offset": F.min("_offset").over(own), "_form_size": F.sum("_all").over(own)})
+    offsets = materialize(offsets.drop("_all"))
+    light = ~F.col("_heavy")
+    numbered = local.join(offsets, part).select(
+        *pool.columns, "pool_size", (F.col("_offset") + F.col("_local")).alias("idx"),
+        F.when(light, F.col("_offset") + F.col("_first")).otherwise(F.col("_form_offset")).alias("own_start"),
+        F.when(light, F.col("_size")).otherwise(F.col("_form_size")).alias("own_size"),
     )
+    return materialize(numbered), offsets.groupBy("type").agg(F.max("pool_size").alias("pool_size"))
 
 
-def own_blocks(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Start and length of each form, and the pool size of each type."""
-    forms = numbered.groupBy("type", "norm").agg(
-        F.min("own_start").alias("own_start"), F.max("own_size").alias("own_size")
-    )
-    sizes = numbered.groupBy("type").agg(F.max("pool_size").alias("pool_size"))
-    return forms, sizes
+def own_blocks(numbered: DataFrame) -> DataFrame:
+    """Start and length of each form."""
+    return numbered.groupBy("type", "norm").agg(F.min("own_start").alias("own_start"), F.max("own_size").alias("own_size"))
 
 
 def draw_replacements(
@@ -142,7 +147,7 @@ def counterfactual(
     own = tagged_members(triples)
     if types is not None:
         own = own.filter(F.col("type").isin(*types))
-    numbered = materialize(number_pool(materialize(own), ["eid"]))
+    numbered, _ = number_pool(own, ["eid"])
     chosen = draw_replacements(numbered, numbered, max_changes, seed)
     return apply_replacements(triples, chosen)
 
@@ -154,9 +159,10 @@ def fictional(
     """Replace members by invented assets of the same type."""
     pool = assets if types is None else assets.filter(F.col("type").isin(*types))
     listed = pool.select("type", "value", normalize_member(F.col("value")).alias("norm")).distinct()
-    numbered = materialize(number_pool(materialize(listed), ["value"]))
-    forms, sizes = own_blocks(numbered)
-    typed = tagged_members(triples).join(sizes, "type").join(forms, ["type", "norm"], "left")
+    numbered, sizes = number_pool(listed, ["value"])
+    if sizes.count() <= BROADCAST_TYPES:
+        sizes = F.broadcast(sizes)
+    typed = tagged_members(triples).join(sizes, "type").join(own_blocks(numbered), ["type", "norm"], "left")
     none = F.lit(0).cast("long")
     candidates = typed.withColumns(
         {"own_start": F.coalesce("own_start", none), "own_size": F.coalesce("own_size", none)}

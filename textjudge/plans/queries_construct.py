@@ -42,11 +42,12 @@ _SEED = fixed.CONSTRUCTION_SEED
 helper("o_members", """SELECT eid, norm, min(value) AS value, min(type) AS type FROM (
   SELECT eid, object AS value, object_type AS type, strip_accents(replace(object, '_', '')) AS norm FROM v_triples
   WHERE object_type IS NOT NULL) x GROUP BY eid, norm""")
-helper("o_pool", """SELECT *, row_number() OVER (PARTITION BY type ORDER BY bucket, norm, salt, value, eid) - 1 AS idx,
+_BUCKETS = "greatest(1, ceil((SELECT count(*) FROM {}) / 50000))::BIGINT"
+helper("o_pool", f"""SELECT *, row_number() OVER (PARTITION BY type ORDER BY bucket, norm, eid) - 1 AS idx,
     count(*) OVER (PARTITION BY type) AS pool_size, count(*) OVER (PARTITION BY type, norm) AS own_size,
     min(pos) OVER (PARTITION BY type, norm) AS own_start FROM (
-  SELECT *, row_number() OVER (PARTITION BY type ORDER BY bucket, norm, salt, value, eid) - 1 AS pos FROM (
-    SELECT *, @DRAW(norm) % 256 AS bucket, @DRAW(eid) % 64 AS salt FROM o_members) a) b""")
+  SELECT *, row_number() OVER (PARTITION BY type ORDER BY bucket, norm, eid) - 1 AS pos FROM (
+    SELECT *, @DRAW(norm) % {_BUCKETS.format('o_members')} AS bucket FROM o_members) a) b""")
 
 
 def _chosen(source: str, pool: str) -> str:
@@ -76,8 +77,8 @@ def substitute_entities(t: Tables):
 _ASSETS = """SELECT p_type AS type, concat('Fictional_', p_brand, '_', CAST(p_size AS @STR)) AS value FROM part
   UNION ALL SELECT p_type, concat(replace(p_name, ' ', '_'), '_', CAST(p_partkey AS @STR)) FROM part"""
 helper("o_assets", f"SELECT DISTINCT type, value, strip_accents(replace(value, '_', '')) AS norm FROM ({_ASSETS}) x")
-helper("o_fi_pool", """SELECT *, row_number() OVER (PARTITION BY type ORDER BY bucket, norm, salt, value) - 1 AS idx
-  FROM (SELECT *, @DRAW(norm) % 256 AS bucket, @DRAW(value) % 64 AS salt FROM o_assets) a""")
+helper("o_fi_pool", f"""SELECT *, row_number() OVER (PARTITION BY type ORDER BY bucket, norm, value) - 1 AS idx
+  FROM (SELECT *, @DRAW(norm) % {_BUCKETS.format('o_assets')} AS bucket FROM o_assets) a""")
 helper("o_fi_members", """SELECT m.eid, m.norm, m.type, pool_size, coalesce(own_start, 0) AS own_start, coalesce(own_size, 0) AS own_size
   FROM o_members m JOIN (SELECT type, count(*) AS pool_size FROM o_fi_pool GROUP BY type) s USING (type)
   LEFT JOIN (SELECT type, norm, min(idx) AS own_start, count(*) AS own_size FROM o_fi_pool GROUP BY ALL) f USING (type, norm)""")
