@@ -92,3 +92,28 @@ SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children,
        s.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
 FROM whole w JOIN sums s ON s.node = w.node LEFT JOIN nodes p ON w.depth > 0 AND p.node = w.node[1:w.depth - 1]
 """
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+NEAR = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+    SELECT doc_id, {_WORDS} AS w FROM documents
+), shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM docs WHERE len(w) >= 5
+        UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 4)
+), sizes AS MATERIALIZED (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), pairs AS MATERIALIZED (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+), links AS MATERIALIZED (
+    SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reached AS (
+    SELECT doc_id, doc_id AS root FROM documents
+    UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.doc_id
+)
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
+FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""

@@ -89,7 +89,7 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@query("op10_heavy_light_join")
+@query("op10_heavy_light_join", oracles.NEAR)
 def op10_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_components(documents(spark, sf_dir))
 
