@@ -141,9 +141,9 @@ def test_keys(spark):
     names = {"llama4-scout-openrouter": "llama4-scout", "qwen3.5-122b": "qwen3_5-122b", "a.b.c": "a_b.c"}
     assert values(spark, names, K.classified_model(V)) == list(names.values())
     assert values(spark, ["a_b.c"], K.model_candidates(V)) == [["a_b.c", "a.b.c", "a_b_c"]]
-    urls = {None: K.fixed.DEFAULT_ENDPOINT, " https://x/v1// ": "https://x/v1/chat/completions",
+    urls = {None: "https://d/v1/chat/completions", " https://x/v1// ": "https://x/v1/chat/completions",
             "https://x/chat/completions": "https://x/chat/completions"}
-    assert values(spark, urls, K.endpoint(V)) == list(urls.values())
+    assert values(spark, urls, K.endpoint(V, "https://d/v1/chat/completions")) == list(urls.values())
     assert values(spark, [0, 1, 3, 4, 9, 10], K.triple_bucket(V), "int") == [None, "1", "2--3", "4--9", "4--9", None]
     assert values(spark, ["Ab ", "a b/č!", "__", None], K.sanitize_identifier(V)) == ["Ab", "a_b_č", "source", "source"]
 

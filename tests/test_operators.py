@@ -78,7 +78,7 @@ def records(spark, rows):
         "eid string, source_id string, requested_judge_model string, judge_model string, "
         "requested_judge_api_url string, sentence string, n int",
     )
-    return M.with_record_key(df)
+    return M.with_record_key(df, "https://d/v1/chat/completions")
 
 
 def test_upsert_modes_are_idempotent(spark):
@@ -490,6 +490,20 @@ def test_prompts_are_no_cross_join(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_checks_ride_on_the_job_that_needs_the_rows(spark, tmp_path):
+    from textjudge.operators import quality as Q
+
+    df = spark.createDataFrame([("a", 1), (None, 2), ("c", 9)], "k string, score int")
+    rules = {"null key": F.col("k").isNotNull(), "score out of range": F.col("score").between(1, 5), "negative": F.col("score") >= 0}
+    watched, seen = Q.watched(df, rules)
+    watched.write.parquet(str(tmp_path / "rows"))
+    got = {r["check"]: r["n"] for r in Q.observed(spark, seen).collect()}
+    assert got == {"null key": 1, "score out of range": 1}
+    watched, seen = Q.watched(df.limit(0), rules)
+    watched.write.parquet(str(tmp_path / "none"))
+    assert [tuple(r) for r in Q.observed(spark, seen).collect()] == [("no rows", "empty table", 0)]
+
+
 def test_csv_trees_with_other_headers(spark, tmp_path):
     from textjudge.sources import tables as T
 

@@ -218,11 +218,11 @@ def kind_for_dataset(dataset: Column) -> Column:
     return lookup(dataset, fixed.KIND_BY_DATASET, F.lit(fixed.DEFAULT_KIND))
 
 
-def endpoint(url: Column) -> Column:
-    """Completion endpoint in its full form; the default for a missing one."""
+def endpoint(url: Column, default: str) -> Column:
+    """Completion endpoint in its full form; ``default`` for a missing one."""
     base = F.regexp_replace(strip(text_or_empty(url)), "/+$", "")
     return first_rule(
-        (base == "", F.lit(fixed.DEFAULT_ENDPOINT)),
+        (base == "", F.lit(default)),
         (F.endswith(base, F.lit(fixed.COMPLETIONS_SUFFIX)), base),
         otherwise=F.concat(base, F.lit(fixed.COMPLETIONS_SUFFIX)),
     )
@@ -239,5 +239,5 @@ def annotation_by_judge(
     by_model = judge_name(requested, actual) == judge
     if url is None:
         return by_model
-    at = F.when(text_or_empty(url) == "", F.lit(current)).otherwise(endpoint(url))
+    at = F.when(text_or_empty(url) == "", F.lit(current)).otherwise(endpoint(url, current))
     return by_model & (at == current)

@@ -19,12 +19,15 @@ def nonempty(text: Column) -> Column:
     return strip(text_or_empty(text)) != ""
 
 
-def with_record_key(df: DataFrame) -> DataFrame:
-    """Identity of a judgment record: entry, source, judge and endpoint."""
+def with_record_key(df: DataFrame, default_endpoint: str) -> DataFrame:
+    """Identity of a judgment record: entry, source, judge and endpoint.
+
+    A record without an endpoint was made by ``default_endpoint``.
+    """
     return df.withColumns(
         {
             "judge": judge_name(F.col("requested_judge_model"), F.col("judge_model")),
-            "at": endpoint(F.col("requested_judge_api_url")),
+            "at": endpoint(F.col("requested_judge_api_url"), default_endpoint),
         }
     )
 

@@ -5,17 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textjudge.operators.index import chunked_index, hash_bucket
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str], check: str) -> DataFrame:
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return repeated.select(F.lit(check).alias("check"), F.concat_ws("|", *keys).alias("detail"), "n")
-
-
 def unbalanced(df: DataFrame, key: str, check: str) -> DataFrame:
     """All group sizes when they are not equal."""
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -25,10 +20,22 @@ def unbalanced(df: DataFrame, key: str, check: str) -> DataFrame:
     return spread.filter("_spread > 0").select(F.lit(check).alias("check"), F.col(key).alias("detail"), "n")
 
 
-def empty_input(df: DataFrame, check: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
-        F.lit(check).alias("check"), F.lit("no rows").alias("detail"), "n"
-    )
+def watched(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` with counters of the rows that break a rule.
+
+    The job that uses ``df`` fills them on its way: the checks read nothing themselves.
+    """
+    seen = Observation()
+    broken = [F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *broken), seen
+
+
+def observed(spark: SparkSession, seen: Observation) -> DataFrame:
+    """What a finished job has counted: broken rules, or that there were no rows."""
+    counts = dict(seen.get)
+    rows = counts.pop("rows")
+    found = [(name, "rows", n) for name, n in counts.items() if n] if rows else [("no rows", "empty table", 0)]
+    return spark.createDataFrame(found, "check string, detail string, n long")
 
 
 def missing_columns(df: DataFrame, required: Sequence[str], check: str) -> DataFrame:

@@ -166,14 +166,21 @@ def stratified_round_robin(t: Tables):
     SELECT CASE WHEN language = 'en' THEN 'EN' WHEN language = 'hsb' THEN 'HSB' WHEN language = split_part(dataset, '-', 1) THEN 'Same'
       ELSE 'Other' END AS g, count(*) AS n FROM v_latest_faith GROUP BY 1) a) b WHERE lo <> hi""")
 def dq_violations(t: Tables):
-    faith = latest_faith(t)
+    """One scan: a row per key with its judgments, written once, counts on the way."""
+    from textjudge.operators.lineage import materialize
+    from textjudge.operators.scores import valid_score
+
+    judged = t.v_judged_faith
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if(valid_score(F.col("score"))).alias("valid")]
+    keys, seen = Q.watched(judged.groupBy(*KEY).agg(*counts), {f"{c} is null": F.col(c).isNotNull() for c in KEY})
+    keys = materialize(keys)
+    twice = keys.where("n > 1").select(F.lit("duplicate judgment").alias("check"), F.concat_ws("|", *KEY).alias("detail"), "n")
     return Q.violations(
         [
-            Q.duplicate_keys(t.v_judged_faith, KEY, "duplicate judgment"),
-            Q.duplicate_keys(faith, KEY, "duplicate after latest-wins"),
-            Q.unbalanced(with_group(faith), "lang_group", "language balance"),
-            Q.empty_input(faith, "empty faithfulness table"),
-            Q.missing_columns(faith, [*KEY, "score"], "missing column"),
+            twice,
+            Q.unbalanced(with_group(keys.where("valid > 0").drop("n")), "lang_group", "language balance"),
+            Q.observed(t.spark, seen),
+            Q.missing_columns(judged, [*KEY, "score"], "missing column"),
         ]
     )
 

@@ -14,6 +14,8 @@ from textjudge.plans.views import Tables
 
 _KEYS = ", ".join(KEY)
 
+DEFAULT_ENDPOINT = "https://default.example/v1/chat/completions"
+
 # judgment records of two runs: an existing table and a later batch
 _RECORD = """SELECT event_id, eid, concat(model, '__', dataset) AS source_id,
   CASE WHEN k % 3 = 0 THEN '' ELSE concat('j', CAST(k % 2 AS @STR)) END AS requested_judge_model,
@@ -23,7 +25,7 @@ _RECORD = """SELECT event_id, eid, concat(model, '__', dataset) AS source_id,
   FROM v_judged_faith"""
 helper("o_old", _RECORD + " WHERE user_id < 20")
 helper("o_new", _RECORD + " WHERE user_id >= 20")
-_AT = "CASE WHEN requested_judge_api_url = '' THEN '" + fixed.DEFAULT_ENDPOINT + \
+_AT = "CASE WHEN requested_judge_api_url = '' THEN '" + DEFAULT_ENDPOINT + \
     "' ELSE 'https://judge.example/v1/chat/completions' END"
 for _name in ("old", "new"):
     helper(f"o_{_name}_keyed", f"""SELECT *, coalesce(nullif(requested_judge_model, ''), judge_model) AS judge, {_AT} AS "at" FROM o_{_name}""")
@@ -34,7 +36,7 @@ helper("o_added", f"SELECT * FROM o_batch b WHERE NOT EXISTS (SELECT 1 FROM o_ju
 
 
 def runs(t: Tables):
-    old, new = (M.with_record_key(t.sql(HELPERS[n])) for n in ("o_old", "o_new"))
+    old, new = (M.with_record_key(t.sql(HELPERS[n]), DEFAULT_ENDPOINT) for n in ("o_old", "o_new"))
     return old, new
 
 
