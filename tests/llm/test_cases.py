@@ -2,6 +2,7 @@
 
 import base64
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -498,3 +499,44 @@ def test_pipeline_stages_keep_the_columns_and_good_ugly_rows(spark, ugly):
         assert out.schema.simpleString() == docs.schema.simpleString(), name
         docs = spark.createDataFrame(out.collect(), docs.schema)
         assert {11, None} <= {r.doc_id for r in docs.collect()}
+
+
+WORDS = (
+    "the quick brown fox jumps over lazy dogs article title long some main java company project service impl code remote user data table value index "
+    "order price stock report summary final draft version update release notes server client config local global test build deploy cloud state event"
+).split()
+
+
+def flagged(make, n=1000):
+    windows = secret_scan.Windows()
+    allow = [re.compile(p) for p in windows.allow]
+    return sum(bool(secret_scan.entropy_spans(f"see {make()} here", windows, allow)) for _ in range(n)) / n
+
+
+def test_names_are_no_secrets_and_keys_are():
+    r = random.Random(11)
+    some = lambda a, b: [r.choice(WORDS) for _ in range(r.randint(a, b))]
+    number = lambda: str(r.randint(1, 2024))
+    names = {
+        "slug": lambda: "-".join([*some(4, 8), number()]),
+        "dated": lambda: f"/{r.randint(2000, 2025)}/{r.randint(1, 12):02}/{r.randint(1, 28):02}/" + "-".join([*some(3, 6), "with", number(), *some(1, 2)]),
+        "snake": lambda: "_".join([*some(4, 8), number()]),
+        "path": lambda: "src/" + "/".join(some(3, 6)) + "/" + "".join(w.title() for w in some(2, 3)) + "V2",
+        "camel": lambda: r.choice(WORDS) + "".join(w.title() for w in some(3, 6) if len(w) > 2) + number(),
+    }
+    for name, make in names.items():
+        assert flagged(make) < 0.01, name
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    both = lower + lower.upper() + digits
+    key = lambda letters, k: lambda: "".join(r.choice(letters) for _ in range(k))
+    for letters, k, least in ((both, 20, 0.95), (both, 32, 0.99), (both + "+/", 40, 0.99), (both + "-_", 40, 0.99), (lower + digits, 24, 0.97), ("0123456789abcdef", 24, 0.97), (lower + lower.upper(), 32, 0.97)):
+        assert flagged(key(letters, k)) >= least, (letters, k)
+    named = key(both, 24)
+    assert flagged(lambda: "config_value_" + named()) >= 0.98
+
+
+def test_allow_list_reads_long_runs_once():
+    windows = secret_scan.Windows()
+    allow = [re.compile(p) for p in windows.allow]
+    for run in ("a" * 200_000, "aB" * 100_000, "Ab" * 100_000, "ab-" * 70_000 + "!", "Abc" * 60_000 + "_", "a1" * 100_000, "-" * 200_000, "12-" * 60_000):
+        secret_scan.unlisted(run, allow)

@@ -30,6 +30,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: '=' ends a candidate, and belongs to it only as padding at its end
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?|[A-Za-z0-9+/_-]{18,19}={1,2}(?![A-Za-z0-9+/_=-])")
+#: words of a name, each in one case or with a capital first, and a number at the end; quantifiers
+#: are possessive, so a long run is read once
+NAME = r"(?:(?:[a-z]++|(?:[A-Z][a-z]++|[A-Z]{1,5}+(?![a-z])|[a-z]{2,}+)++)[0-9]{0,4}+|[0-9]{1,8}+)"
 
 
 @dataclass(frozen=True)
@@ -47,11 +50,13 @@ class Windows:
     letter_bits: float = 3.7
     each_case: int = 6
     #: candidates, or parts of them between joints, that are no secrets: identifiers,
-    #: counted values, placeholders
+    #: counted values, placeholders, slugs and paths of words, names in mixed case
     allow: tuple[str, ...] = (
         r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}",
         r"[0-9._/=+-]+",
         r"(?i)[a-z0-9]*(example|placeholder|changeme|xxxx)[a-z0-9]*",
+        rf"[-_/]*+{NAME}(?:[-_/]++{NAME})++[-_/]*+",
+        r"(?:[a-z]++|[A-Z][a-z]{2,}+)(?:[A-Z][a-z]{2,}+){2,}+[0-9]{0,4}+",
     )
 
 
