@@ -376,19 +376,20 @@ def fluency_prompts(t: Tables):
 
 
 helper("o_verdict_json", """SELECT event_id, CASE k % 5
-    WHEN 0 THEN concat('{"eid":"', eid, '","parsed":{"faithfulness_score":3,"incorrect_information":[{"info_used":"a","correct_info":"x | p | y","comment":"omission: k"},{"comment":"reverse","info_used":" b "}],"style_comment":" fine "}}')
-    WHEN 1 THEN concat('{"eid":"', eid, '","request_cost":0.25,"parsed":{"score":2,"unsupported_facts":["f1","f2"],"rationale":"since"}}')
-    WHEN 2 THEN concat('{"eid":"', eid, '","parsed":{"faithfulness_score":4,"incorrect_information":{"comment":"negation","correct_info":"z"}}}')
-    WHEN 3 THEN concat('{"eid":"', eid, '","parsed":{"faithfulness_score":5,"incorrect_information":"none"},"style_comment":"ok"}')
-    ELSE concat('{"eid":"', eid, '","parsed":null,"rationale":["r1","","r2"]}') END AS record, k FROM v_judged_faith""")
+    WHEN 0 THEN concat('{"eid":"', eid, '","parsed":{"faithfulness_score":3,"incorrect_information":[{"info_used":"a ', CAST(event_id AS @STR), '","correct_info":"x | p | ', eid, '","comment":"omission: detail ', CAST(event_id AS @STR), '"},{"comment":"reverse","info_used":" b "}],"style_comment":" fine ', CAST(event_id AS @STR), ' "}}')
+    WHEN 1 THEN concat('{"eid":"', eid, '","request_cost":0.25,"parsed":{"score":2,"unsupported_facts":["f1 ', CAST(event_id AS @STR), '","f2"],"rationale":"since ', eid, '"}}')
+    WHEN 2 THEN concat('{"eid":"', eid, '","parsed":{"faithfulness_score":4,"incorrect_information":{"comment":"negation","correct_info":"z ', CAST(event_id AS @STR), '"}}}')
+    WHEN 3 THEN concat('{"eid":"', eid, '","parsed":{"faithfulness_score":5,"incorrect_information":"none"},"style_comment":"ok ', CAST(event_id AS @STR), '"}')
+    ELSE concat('{"eid":"', eid, '","parsed":null,"rationale":["r1 ', CAST(event_id AS @STR), '","","r2"]}') END AS record, k FROM v_judged_faith""")
 
 
 @query("verdict_text", """SELECT event_id, CASE k % 5
-    WHEN 0 THEN '{"comment":"omission: k","correct_info":"x | p | y","info_used":"a"}; {"comment":"reverse","info_used":" b "}'
-    WHEN 1 THEN 'f1; f2; since' WHEN 2 THEN '{"comment":"negation","correct_info":"z"}' WHEN 3 THEN 'none' ELSE 'r1; r2' END AS incorrect,
-  CASE k % 5 WHEN 0 THEN 'fine' WHEN 3 THEN 'ok' ELSE '' END AS style,
-  CASE k % 5 WHEN 0 THEN 'x | p | y' WHEN 2 THEN 'z' ELSE '' END AS correct_info,
-  CASE k % 5 WHEN 0 THEN 'a; b' ELSE '' END AS info_used FROM v_judged_faith""")
+    WHEN 0 THEN concat('{"comment":"omission: detail ', CAST(event_id AS @STR), '","correct_info":"x | p | ', eid, '","info_used":"a ', CAST(event_id AS @STR), '"}; {"comment":"reverse","info_used":" b "}')
+    WHEN 1 THEN concat('f1 ', CAST(event_id AS @STR), '; f2; since ', eid) WHEN 2 THEN concat('{"comment":"negation","correct_info":"z ', CAST(event_id AS @STR), '"}') WHEN 3 THEN 'none'
+    ELSE concat('r1 ', CAST(event_id AS @STR), '; r2') END AS incorrect,
+  CASE k % 5 WHEN 0 THEN concat('fine ', CAST(event_id AS @STR)) WHEN 3 THEN concat('ok ', CAST(event_id AS @STR)) ELSE '' END AS style,
+  CASE k % 5 WHEN 0 THEN concat('x | p | ', eid) WHEN 2 THEN concat('z ', CAST(event_id AS @STR)) ELSE '' END AS correct_info,
+  CASE k % 5 WHEN 0 THEN concat('a ', CAST(event_id AS @STR), '; b') ELSE '' END AS info_used FROM v_judged_faith""")
 def verdict_text(t: Tables):
     rows = t.sql(HELPERS["o_verdict_json"]).withColumn("r", F.try_parse_json("record"))
     record, items = F.col("r"), J.items(F.col("r"))
@@ -404,8 +405,8 @@ def verdict_text(t: Tables):
 @query("annotation_frame", """SELECT event_id, eid, CASE WHEN k % 5 = 1 THEN 0.25 ELSE 0.0 END::DOUBLE AS request_cost,
   CASE k % 5 WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 WHEN 2 THEN 4.0 WHEN 3 THEN 5.0 END::DOUBLE AS faithfulness_score,
   CASE k % 5 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 END::INT AS n_items,
-  CASE k % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'f1' WHEN 2 THEN '' WHEN 3 THEN '' END AS first_info,
-  CASE k % 5 WHEN 0 THEN ' fine ' WHEN 1 THEN 'since' END AS style_comment FROM v_judged_faith""")
+  CASE k % 5 WHEN 0 THEN concat('a ', CAST(event_id AS @STR)) WHEN 1 THEN concat('f1 ', CAST(event_id AS @STR)) WHEN 2 THEN '' WHEN 3 THEN '' END AS first_info,
+  CASE k % 5 WHEN 0 THEN concat(' fine ', CAST(event_id AS @STR), ' ') WHEN 1 THEN concat('since ', eid) END AS style_comment FROM v_judged_faith""")
 def annotation_frame(t: Tables):
     rows = t.sql(HELPERS["o_verdict_json"]).withColumn("r", F.try_parse_json("record"))
     fields = J.annotation_fields(F.col("r"))
