@@ -8,8 +8,10 @@ taken for equal because of a digest alone:
    id, so a text that a third of all rows hold is spread over many tasks;
 3. global: the few salt winners of a content meet and the smallest id wins.
 
-The number of salts is the square root of the number of rows: no salt group and no
-global group of a text ever holds more than about that many entries.
+The number of salts is the square root of the number of rows: no salt group of a text
+holds more than about that many rows, unless rows share their id as well. The global
+group of a text has one entry per salt, each with the ids of its rows, so a text that
+very many rows hold is one large group there.
 """
 
 from __future__ import annotations
