@@ -119,6 +119,41 @@ def test_exact_dedup(spark, ugly):
     assert {1, 3, 4} <= ids and 2 not in ids
 
 
+def hot_rows(n):
+    """A third of all rows equal in text and id, a sixth in text with a null id, a sixth in text only."""
+    kinds = [(7, "hot  text"), (None, "no id here"), (7, "hot text"), None, None]
+    return [kinds[i % 6] if i % 6 < 2 or i % 6 == 2 else (i, "one more" if i % 6 == 3 else f"text {i}") for i in range(n)]
+
+
+def test_exact_dedup_spreads_hot_rows(spark):
+    rows = hot_rows(6000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = exact_dedup.duplicate_groups(docs).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(brute.sha(brute.normal(t)), []).append(i)
+    assert len(got) == 6000
+    for r in got:
+        ids = groups[r.text_sha256]
+        assert (r.keep_id, r.group_size) == (min((x for x in ids if x is not None), default=None), len(ids))
+    kept = [r.text_sha256 for r in got if r.kept]
+    assert sorted(kept) == sorted(groups)
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+    salts = exact_dedup.salt_groups(docs.withColumnRenamed("text", "content"), exact_dedup.salt_count(docs))
+    assert salts.selectExpr("max(size(members))").first()[0] <= 6000 // 8
+
+
+def test_exact_dedup_exchanges_contents_twice(spark, tmp_path):
+    docs = spark.createDataFrame([(i, prose(i % 50, 20)) for i in range(200)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    found = exact_dedup.duplicate_groups(spark.read.parquet(str(tmp_path / "docs")), salts=3)
+    assert len(found.collect()) == 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    contents = [x for x in final.splitlines() if re.search(r"(?<!Reused)Exchange hashpartitioning\(.*content", x)]
+    assert len(contents) == 2 and "ReusedExchange" in final
+
+
 def test_compression_bands(spark, ugly):
     got = {r.doc_id: r for r in compression.compression_rules(ugly.where("doc_id is not null")).collect()}
     for i, t in TEXTS:

@@ -3,27 +3,31 @@
 Three stages, each grouping by the whole content next to its digest, so texts are never
 taken for equal because of a digest alone:
 
-1. local: the map side of the first aggregation merges the copies inside a task;
-2. salted: copies of a text meet per (digest, content, salt), the salt being a hash of the
-   id, so a text that a third of all rows hold is spread over many tasks;
-3. global: the few salt winners of a content meet and the smallest id wins.
-
-The number of salts is the square root of the number of rows: no salt group of a text
-holds more than about that many rows, unless rows share their id as well. The global
-group of a text has one entry per salt, each with the ids of its rows, so a text that
-very many rows hold is one large group there.
+1. local: the salt follows the input partition, so the map side of the first aggregation
+   merges the copies that a task reads;
+2. salted: copies of a text meet per (digest, content, salt), so a text that a third of all
+   rows hold is spread over many tasks, even if those rows share their id as well;
+3. global: of each salt group only the smallest id and the number of rows meet, and the
+   smallest id wins.
+
+The answer goes back to the salt groups, which still hold the ids of their rows: at no
+time do all ids of a text meet. The number of salts is at most the square root of the number
+of rows, so neither a salt group nor a global group grows faster than that (a salt group
+never holds less than a share of one input partition).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textjudge.llm.common import SPACE, id_and_text, whole_text
 
 KEY = ["text_sha256", "content"]
+#: salts that the copies read by one task may get
+PARTS = 8
 
 
 def normalised(text: Column) -> Column:
@@ -34,6 +38,14 @@ def salt_count(docs: DataFrame) -> int:
     return max(1, math.isqrt(docs.count()))
 
 
+def salt_groups(rows: DataFrame, salts: int) -> DataFrame:
+    """(text_sha256, content, salt, members): the ids of a text that share a salt."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.spark_partition_id(), part), F.lit(salts)))
+    hashed = salted.withColumn("text_sha256", F.sha2("content", 256))
+    return hashed.groupBy(*KEY, "salt").agg(F.collect_list(F.struct("doc_id")).alias("members"))
+
+
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -41,28 +53,41 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts as empty text. The row with the smallest id stays; null ids come last; of rows
     that also share the id exactly one stays. An empty table gives an empty result; other
     columns of ``docs`` are not read.
+
+    The answer finds a salt group by its digest, salt and smallest id. Contents are not sent
+    back; two that differ could only be mixed up if their SHA-256, salt and smallest id were
+    all equal.
     """
     salts = salts or salt_count(docs)
     rows = id_and_text(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("content"))
-    salted = (
-        rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-        .withColumn("text_sha256", F.sha2("content", 256))
-        .groupBy(*KEY, "salt")
-        .agg(
-            F.min("doc_id").alias("salt_keep"),
-            F.collect_list(F.struct("doc_id")).alias("members"),
-        )
+    # both uses need all of members, so the exchange of the contents is one and reused
+    groups = salt_groups(rows, salts).withColumn("ids", F.col("members")["doc_id"])
+    smallest = F.array_min("ids")
+    entry = F.struct(smallest.isNull().alias("none"), smallest.alias("id"), F.col("salt"))
+    winners = (
+        groups.select(*KEY, entry.alias("entry"), F.size("members").cast("long").alias("n"))
+        .groupBy(*KEY)
+        .agg(F.min("entry").alias("best"), F.sum("n").alias("group_size"), F.collect_list("entry").alias("entries"))
+    )
+    answers = winners.select(F.col("text_sha256").alias("digest"), "best", "group_size", F.explode("entries").alias("entry"))
+    held = groups.select("text_sha256", entry.alias("own"), "ids")
+    # null-safe: else a filter on null digests is pushed below one of the two uses only
+    same = (
+        F.col("text_sha256").eqNullSafe(F.col("digest"))
+        & (F.col("own.salt") == F.col("entry.salt"))
+        & F.col("own.id").eqNullSafe(F.col("entry.id"))
     )
-    content = Window.partitionBy(*KEY)
-    merged = salted.select(
+    merged = held.join(answers, same, "left").select(
         "text_sha256",
-        F.min("salt_keep").over(content).alias("keep_id"),
-        F.sum(F.size("members").cast("long")).over(content).alias("group_size"),
-        F.col("members")["doc_id"].alias("ids"),
+        F.col("best.id").alias("keep_id"),
+        # a group without an answer stops the job: none is ever left out
+        F.coalesce("group_size", F.raise_error(F.lit("salt group without answer")).cast("long")).alias("group_size"),
+        (F.col("own.salt") == F.col("best.salt")).alias("here"),
+        "ids",
     )
-    first = F.coalesce(F.array_position("ids", F.col("keep_id")), F.lit(1)) - 1
+    first = F.when(F.col("here"), F.coalesce(F.array_position("ids", F.col("keep_id")), F.lit(1)) - 1)
     opened = merged.select("text_sha256", "keep_id", "group_size", first.alias("first"), F.posexplode("ids").alias("pos", "doc_id"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("pos") == F.col("first"))
+    kept = F.coalesce(F.col("pos") == F.col("first"), F.lit(False))
     return opened.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
