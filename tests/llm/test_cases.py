@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -150,7 +151,7 @@ def test_exact_dedup_exchanges_contents_twice(spark, tmp_path):
     assert len(found.collect()) == 200
     plan = found._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
-    contents = [x for x in final.splitlines() if re.search(r"(?<!Reused)Exchange hashpartitioning\(.*content", x)]
+    contents = [x for x in final.splitlines() if "ReusedExchange" not in x and re.search(r"Exchange hashpartitioning\(.*content", x)]
     assert len(contents) == 2 and "ReusedExchange" in final
 
 
@@ -371,11 +372,26 @@ def test_shards(spark):
     assert sorted(sizes) == list(range(10))
 
 
+@pytest.mark.parametrize("pieces", [1, 8])
+def test_shards_cut_equal_rows_and_equal_a_sorted_list(spark, pieces):
+    rows = hot_rows(6000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    placed = histogram_sort.shard_by_bytes(docs, shards=7, tolerance=0.01, pieces_per_shard=pieces)
+    got = sorted(placed.collect(), key=lambda r: (r.shard, r.slot))
+    assert sorted(((r.doc_id, r["size"]) for r in got), key=key) == sorted(((i, len(t) + 16) for i, t in rows), key=key)
+    # shards and slots in a row are the whole table in the order of checksums
+    assert [r.text_crc32 for r in got] == sorted(zlib.crc32(t.encode()) for _, t in rows)
+    assert [(r.shard, r.slot) for r in got] == [(s, k) for s in range(7) for k in range(sum(r.shard == s for r in got))]
+    # each cut is where the sorted list reaches the share of bytes, within the tolerance and a row
+    total, below = sum(r["size"] for r in got), 0
+    for s in range(6):
+        below += sum(r["size"] for r in got if r.shard == s)
+        assert abs(below - total * (s + 1) / 7) <= 0.01 * total / 7 + 26
+
+
 def test_shards_of_ugly_rows(spark, ugly):
     got = histogram_sort.shard_by_bytes(ugly, shards=4).collect()
     assert sorted(r["size"] for r in got) == sorted(len((t or "").encode()) + 16 for _, t in TEXTS)
-    import zlib
-
     assert sorted(r.text_crc32 for r in got) == sorted(zlib.crc32((t or "").encode()) for _, t in TEXTS)
 
 

@@ -1,7 +1,9 @@
 """Shards of near-equal bytes by histogram sort, with DataFrame functions only.
 
-Rows are ordered by a 63-bit key: the checksum of the text, then a hash of the id, so
-equal texts stand together and a text that a third of all rows hold can still be cut.
+Rows are ordered by a 63-bit key: the checksum of the text, then a hash of the row's place
+in the input, so equal texts stand together, and a text that a third of all rows hold can
+still be cut, even if those rows have one id. Keys are written once, before they are
+counted, so a task that is repeated later finds the same ones.
 Splitters are found by counting: each pass counts the exact bytes and rows in the
 sub-ranges of every range that still holds an unsettled splitter, and narrows that range,
 until what is left in it is below the tolerance or a single row. Then rows are exchanged
@@ -13,7 +15,8 @@ from __future__ import annotations
 import bisect
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textjudge.llm.common import id_and_text
@@ -32,7 +35,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "doc_id",
         (F.octet_length("text").cast("long") + 16).alias("size"),
         crc.alias("text_crc32"),
-        F.shiftleft(crc, 31).bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id"), 33)).alias("key"),
+        F.shiftleft(crc, 31).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 33)).alias("key"),
     )
 
 
@@ -84,6 +87,11 @@ def narrowed(parts: list, bounds: tuple[int, int, int], target: float, allowed:
     return settled, (r["part"], below_bytes, below_rows)
 
 
+def longs(values: list[int]) -> Column:
+    """All values as one literal."""
+    return F.lit(np.array(values, dtype=np.int64))
+
+
 def shard_by_bytes(
     docs: DataFrame, shards: int = 40, tolerance: float = 0.002, pieces_per_shard: int | None = None,
     id_col: str = "doc_id", text_col: str = "text",
@@ -92,8 +100,9 @@ def shard_by_bytes(
 
     Bytes of the shards differ by no more than twice the tolerance and one row. Slots of a
     shard are gapless from 0, in key order. Null text counts 16 bytes and checksum 0; null
-    ids and repeated rows are placed like others (rows equal in both are interchangeable);
-    an empty table gives an empty result; other columns are not read.
+    ids and repeated rows are placed like others; an empty table gives an empty result;
+    other columns are not read. Which rows of one text go to which of its shards depends on
+    their place in the input.
     """
     rows = materialize(keyed(docs, id_col, text_col))
     each = pieces_per_shard or max(8, math.ceil(rows.count() / shards / ROWS_PER_PIECE))
@@ -103,9 +112,9 @@ def shard_by_bytes(
     below = [0, *(n for _, n in cuts)]
     edges = keys[each - 1 :: each]
     shard = sum(((F.col("key") >= e).cast("int") for e in edges), F.lit(0))
-    inner = F.array(*[F.array(*[F.lit(k).cast("long") for k in keys[s * each : s * each + each - 1]]) for s in range(shards)])
+    inner = F.array(*[longs(keys[s * each : s * each + each - 1]) for s in range(shards)])
     place = F.size(F.filter(F.element_at(inner, F.col("shard") + 1), lambda k: k <= F.col("key")))
-    starts = F.array(*[F.lit(below[s * each + p] - below[s * each]).cast("long") for s in range(shards) for p in range(each)])
+    starts = longs([below[s * each + p] - below[s * each] for s in range(shards) for p in range(each)])
     placed = rows.withColumn("shard", shard).withColumn("piece", F.col("shard") * each + place)
     rank = F.row_number().over(Window.partitionBy("piece").orderBy("key", "doc_id", "size"))
     slot = F.element_at(starts, F.col("piece") + 1) + rank - 1
