@@ -4,6 +4,7 @@ import json
 import math
 import random
 from collections import Counter, defaultdict
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -18,6 +19,8 @@ from textjudge.operators import scores as S
 from textjudge.operators import substitute as U
 from textjudge.operators import votes as V
 from textjudge.operators.index import chunked_index, hash_bucket
+from textjudge.sources import assets
+from textjudge.sources.xml import write_benchmark_xml
 
 KEYS = "model string, dataset string, variant string, language string, eid string"
 
@@ -551,3 +554,63 @@ def test_a_cluster_needs_its_shared_folder():
     conf = SimpleNamespace(get=lambda key, default: default)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn")))
+
+
+ASSETS = {
+    "people \\ \"quoted\"": ["Ann \"A\" Lee", "back\\slash\\", "", "\u00e9\u6f22\U0001f600", "a: [b], {c}", "tab\tline\n", "\\\""],
+    "none": [], "null list": None, "plain": [1, -2.5, True, False, None, "x", 3], "last": ["one"], "ends plain": ["y", 4, None],
+}
+
+
+@pytest.mark.parametrize("split", ["64", "1000000"])
+@pytest.mark.parametrize("layout", [{}, {"indent": 2}, {"ensure_ascii": False, "separators": (",", ":")}])
+def test_assets_are_read_in_splits(spark, tmp_path, monkeypatch, split, layout):
+    monkeypatch.setattr(assets, "RANGE", 4 if split == "64" else 1 << 18)
+    more = {f"t{i}": [f"v{i}-{j}" for j in range(i % 7)] for i in range(40)}
+    files = {"a.json": ASSETS, "b.json": more, "c.json": {}, "sub/d.json": {"one": ["z"] * 30}}
+    for name, table in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(table, **layout), encoding="utf8")
+    (tmp_path / "empty.json").write_text("")
+    plain = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+    want = [(t, plain(v)) for table in files.values() for t, values in table.items() for v in values or []]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = [tuple(r) for r in assets.read_assets(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("text", ['{"a": "b"}', '{"a": {"b": ["c"]}}', '{"a": ["b"], "c"}', '["a"]', '{"a": ["b" "c"]}', '{"a": [["b"]]}', '{"a": ["b"', '{"a": ["b"], '])
+def test_other_json_files_stop_the_job(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="no object of lists"):
+        assets.read_assets(spark, str(tmp_path)).collect()
+
+
+def test_benchmark_files_have_one_wrapper(spark, tmp_path):
+    rows = [(i, f"c <{i % 3}> & \"d\"", pos, f"s{i}", "p & <q>", f"o{pos}") for i in range(60) for pos in range(1, i % 4 + 1)]
+    triples = spark.createDataFrame(rows, "id long, category string, pos int, subject string, predicate string, object string")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "2")
+    try:
+        write_benchmark_xml(triples.repartition(5), str(tmp_path / "out"))
+        write_benchmark_xml(triples.where("id < 0"), str(tmp_path / "none"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    found = {}
+    for file in (tmp_path / "out").glob("part-*"):
+        root = ElementTree.parse(file).getroot()
+        assert root.tag == "benchmark" and [e.tag for e in root] == ["entries"]
+        ids = [int(e.get("eid")[2:]) for e in root[0]]
+        assert ids == sorted(ids) and {e.tag for e in root[0]} <= {"entry"}
+        for e in root[0]:
+            assert [x.tag for x in e] == ["originaltripleset"] and (e.get("shape"), e.get("shape_type")) == ("NA", "NA")
+            assert list(e.keys()) == ["category", "eid", "shape", "shape_type", "size"]
+            found[e.get("eid")] = (e.get("category"), int(e.get("size")), [x.text for x in e[0]])
+    want = {}
+    for i, category, _, *triple in rows:
+        want.setdefault(f"Id{i}", (category, i % 4, []))[2].append(" | ".join(triple))
+    assert found == want
+    (none,) = (tmp_path / "none").glob("part-*")
+    assert [len(e) for e in ElementTree.parse(none).getroot()] == [0]

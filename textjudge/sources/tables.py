@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textjudge.functions import keys as K
+from textjudge.sources.assets import read_assets  # noqa: F401
 from textjudge.sources.files import first_rows, in_splits, list_files
 
 BOM = chr(0xFEFF)
@@ -197,14 +198,6 @@ def read_qa(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("id", "category", "question_orig", "answer_orig")
 
 
-def read_assets(spark: SparkSession, path: str) -> DataFrame:
-    """``{type: [value, ...]}`` files as (type, value) rows; one JSON object per file."""
-    whole = spark.read.text(path, wholetext=True)
-    table = F.from_json("value", "map<string,array<string>>")
-    pairs = whole.select(F.explode(table).alias("type", "values"))
-    return pairs.select("type", F.explode("values").alias("value"))
-
-
 def read_context_lines(spark: SparkSession, path: str) -> DataFrame:
     from textjudge.operators.construct import read_context
 

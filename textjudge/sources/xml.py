@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,7 @@ def entry_records(triples: DataFrame, eid: Column, keys: Sequence[str] = ("eid",
         F.min_by("category", "pos").alias("category"), F.transform(listed, lambda x: x["text"]).alias("t")
     )
     return grouped.select(
+        *keys,
         F.struct(
             F.col("category").alias("_category"),
             eid.alias("_eid"),
@@ -79,14 +82,45 @@ def entry_records(triples: DataFrame, eid: Column, keys: Sequence[str] = ("eid",
     )
 
 
+def write_wrapped(lines: DataFrame, path: str, head: Sequence[str], tail: Sequence[str]) -> None:
+    """The one text column of ``lines`` as text files, each between ``head`` and ``tail``.
+
+    One file per task that has rows, committed by Spark's own writer, so a task that is
+    repeated leaves one file. The first task writes a file even without rows.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record = lambda texts: pa.RecordBatch.from_pydict({"value": pa.array(texts, pa.string())})
+        begun = TaskContext.get().partitionId() == 0
+        if begun:
+            yield record(head)
+        for batch in batches:
+            if batch.num_rows and not begun:
+                begun = True
+                yield record(head)
+            yield batch
+        if begun:
+            yield record(tail)
+
+    values = lines.select(F.col(lines.columns[0]).cast("string").alias("value"))
+    # no file may be cut, so a limit of the session on rows per file does not count here
+    write = lambda df: df.write.mode("overwrite").option("maxRecordsPerFile", 0).text(path)
+    write(values.mapInArrow(wrapped, "value string"))
+    spark = lines.sparkSession
+    if spark.read.text(path).isEmpty():  # a table that Spark knows to be empty has no task
+        write(spark.createDataFrame([(x,) for x in (*head, *tail)], "value string").coalesce(1))
+
+
 def write_benchmark_xml(triples: DataFrame, path: str, eid: Column | None = None) -> None:
-    """Entries as ``benchmark/entries/entry`` elements, one file per task."""
+    """One ``benchmark/entries`` element per file with its ``entry`` elements, one file per task.
+
+    Entries of a file are in the order of their ids. Without triples there is one file
+    without entries.
+    """
+    key = "id" if eid is None else "eid"
     name = eid if eid is not None else F.concat(F.lit("Id"), F.col("id").cast("string"))
-    records = entry_records(triples, name, ["id"] if eid is None else ["eid"])
-    (
-        records.write.mode("overwrite").format("xml").options(**OPTIONS)
-        .option("rootTag", "benchmark").option("rowTag", "entries").save(path)
-    )
+    entries = entry_records(triples, name, [key]).sortWithinPartitions(key).select(F.to_xml("entry", {**OPTIONS, "rowTag": "entry"}))
+    write_wrapped(entries, path, ['<?xml version="1.0" encoding="utf-8"?>', "<benchmark>", "<entries>"], ["</entries>", "</benchmark>"])
 
 
 def _known_type(kind: Column, types: Sequence[str]) -> Column:
