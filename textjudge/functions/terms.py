@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import sys
 import unicodedata
 from functools import cache
@@ -175,16 +176,18 @@ def leaked_predicates(sentence: Column, predicates: Column) -> Column:
 
 
 def content_words(text: Column, stopwords) -> Column:
-    lowered = F.transform(words(text), F.lower)
-    return F.filter(lowered, lambda w: ~w.isin(*stopwords))
+    # words are A-Z and a-z only, so the whole text can be lowered first, not word by word
+    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.filter(words(lowered), lambda w: ~w.isin(*stopwords))
 
 
 def bigrams(tokens: Column) -> Column:
-    """Neighbouring pairs of a token column."""
-    following = F.slice(tokens, F.lit(2), F.size(tokens))
-    return F.transform(
-        following, lambda w, i: F.concat_ws(" ", F.get(tokens, i), w)
-    )
+    """Each token with the one after it, as structs (first, second); second is null at the end.
+
+    Without a lambda per pair; meant for ``inline``.
+    """
+    following = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(0)))
+    return F.arrays_zip(tokens.alias("first"), following.alias("second"))
 
 
 # --- assets and context ----------------------------------------------------

@@ -204,12 +204,12 @@ def keywords(
     tokens = df.select(
         *group, content_words(F.col(text), stopwords).alias("_tokens")
     )
-    grams = F.col("_tokens") if size == 1 else bigrams(F.col("_tokens"))
-    counted = (
-        tokens.select(*group, F.explode(grams).alias("term"))
-        .groupBy(*group, "term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    if size == 1:
+        terms = tokens.select(*group, F.explode("_tokens").alias("term"))
+    else:
+        pairs = tokens.select(*group, F.inline(bigrams(F.col("_tokens"))).alias("_first", "_second"))
+        terms = pairs.where("_second IS NOT NULL").select(*group, F.concat("_first", F.lit(" "), "_second").alias("term"))
+    counted = terms.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("n"))
     return top_values(counted, group, "term", n)
 
 
