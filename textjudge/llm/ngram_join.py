@@ -53,6 +53,16 @@ def partners(n: int) -> range:
     return range(-(-3 * n // 4), 4 * n // 3 + 1)
 
 
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """Block counts as one byte: exact up to 128, then seven steps each time they double.
+
+    Never falls as the count grows, up to 36 million blocks. Levels only order shingles,
+    so frequent ones stay apart from less frequent ones at every size of the input.
+    """
+    steps = 128 + np.floor(7 * np.log2(np.maximum(counts, 128) / 128))
+    return np.where(counts <= 128, counts, np.minimum(steps, 255)).astype(np.uint8)
+
+
 def block_sets(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Sets of the documents of a block; its distinct prefixes and how many sets have each."""
     sets = shingle_sets([(t.as_py() or "").encode() for t in table.column("text")])
@@ -80,7 +90,7 @@ def shared_sets(docs: DataFrame, block_bytes: int) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         parts = [unpack_sorted(v.as_py()) for v in table.column("values")]
         distinct, index, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        levels = np.minimum(counts, 255).astype(np.uint8)[index]
+        levels = levels_of(counts)[index]
         cuts = np.cumsum([0, *map(len, parts)]).tolist()
         answers = [levels[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
         return pa.table({"block": table.column("block"), "range": table.column("range"), "levels": pa.array(answers, pa.binary())})
