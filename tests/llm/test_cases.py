@@ -395,14 +395,6 @@ def test_shards_of_ugly_rows(spark, ugly):
     assert sorted(r.text_crc32 for r in got) == sorted(zlib.crc32((t or "").encode()) for _, t in TEXTS)
 
 
-def test_levels_keep_the_order_of_counts():
-    counts = np.unique(np.concatenate([np.arange(1, 5000), np.geomspace(5000, 3e7, 4000).astype(np.int64)]))
-    levels = ngram_join.levels_of(counts).astype(int)
-    assert (np.diff(levels) >= 0).all() and (levels[:128] == counts[:128]).all()
-    # counts that differ by a ninth are told apart
-    assert all(levels[np.searchsorted(counts, c * 10 // 9 + 1)] > level for c, level in zip(counts, levels) if c < 2e7)
-
-
 def test_near_components_of_ugly_rows(spark, ugly):
     rows = [(i, t) for i, t in TEXTS]
     got = ngram_join.near_duplicate_components(ugly).collect()
