@@ -392,7 +392,9 @@ helper("o_verdict_json", """SELECT event_id, CASE k % 5
   CASE k % 5 WHEN 0 THEN concat('a ', CAST(event_id AS @STR), '; b') ELSE '' END AS info_used FROM v_judged_faith""")
 def verdict_text(t: Tables):
     rows = t.sql(HELPERS["o_verdict_json"]).withColumn("r", F.try_parse_json("record"))
-    record, items = F.col("r"), J.items(F.col("r"))
+    # a column of its own, so that the items are read once for both fields
+    rows = rows.withColumn("_items", J.items(F.col("r")))
+    record, items = F.col("r"), F.col("_items")
     return rows.select(
         "event_id",
         J.incorrect_information(record).alias("incorrect"),
