@@ -11,6 +11,7 @@ from textjudge import fixed
 from textjudge.functions.columns import (
     find,
     first_rule,
+    let,
     literal_array,
     lookup,
     matches,
@@ -78,10 +79,12 @@ def classify_issue(sentence: Column, explanation: Column) -> Column:
 
 def fluency_categories(comment: Column) -> Column:
     """All categories whose pattern occurs in a fluency comment."""
-    text = text_or_empty(comment)
-    return F.array_compact(
-        F.array(*[F.when(matches(text, p), F.lit(name)) for name, p in fixed.FLUENCY_PATTERNS])
-    )
+
+    def found(text: Column) -> Column:
+        return F.array(*[F.when(matches(text, p), F.lit(name)) for name, p in fixed.FLUENCY_PATTERNS])
+
+    # bound once: the comment may be an expression itself
+    return F.array_compact(let(text_or_empty(comment), found))
 
 
 def label_text(labels: Column) -> Column:

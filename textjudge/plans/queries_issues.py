@@ -244,7 +244,9 @@ _FLU_LONG = "(" + " UNION ALL ".join(f"SELECT '{n}' AS category, comment FROM o_
 
 
 def fluency_by_category(t: Tables):
-    return I.fluency_rows(t.v_judged_fluency).select(F.explode("categories").alias("category"), "comment")
+    # the outer form gets no filter on the size of the list, so each comment is classified once
+    rows = I.fluency_rows(t.v_judged_fluency).select(F.explode_outer("categories").alias("category"), "comment")
+    return rows.where("category IS NOT NULL")
 
 
 @query("fluency_category_keywords", keyword_oracle(_FLU_LONG, "category", "comment", fixed.FLUENCY_STOPWORDS, 1))
