@@ -39,7 +39,8 @@ def parse_formatted_triple(line: Column) -> Column:
 
 
 def display(text: Column) -> Column:
-    return F.translate(text, "_", " ")
+    # replace works on bytes; translate takes a text apart character by character
+    return F.replace(text, F.lit("_"), F.lit(" "))
 
 
 def format_triple(subject: Column, predicate: Column, obj: Column, prompt: bool = False) -> Column:
@@ -58,16 +59,20 @@ def format_triples(triples: Column, prompt: bool = False) -> Column:
     return F.array_join(rows, "\n")
 
 
-def _response_lines(response: Column) -> Column:
+def response_lines(response: Column) -> Column:
+    """Lines of a response that are not blank; a column of its own where several parts are read."""
     return F.filter(F.transform(lines(strip(response)), strip), lambda x: x != "")
 
 
 def response_triples(response: Column) -> Column:
     """Entry rows of a tagged response: lines after the first that hold a triple."""
+    return line_triples(response_lines(response))
+
+
+def line_triples(listed: Column) -> Column:
+    """The same for the lines of a response, see ``response_lines``."""
     bare = F.transform(
-        F.filter(
-            _response_lines(response), lambda x, i: (i > 0) & F.contains(x, F.lit("|"))
-        ),
+        F.filter(listed, lambda x, i: (i > 0) & F.contains(x, F.lit("|"))),
         lambda x: F.regexp_replace(x, "^<mtriple>|</mtriple>$", ""),
     )
     split = F.filter(F.transform(bare, lambda x: F.split(x, r"\|")), lambda p: F.size(p) == 3)
@@ -82,8 +87,12 @@ def response_triples(response: Column) -> Column:
 
 
 def response_phrase(response: Column) -> Column:
-    second = F.get(_response_lines(response), F.lit(1))
-    return F.regexp_replace(second, "^<phrase>|</phrase>$", "")
+    return line_phrase(response_lines(response))
+
+
+def line_phrase(listed: Column) -> Column:
+    """Phrase of a response, from its lines."""
+    return F.regexp_replace(F.get(listed, F.lit(1)), "^<phrase>|</phrase>$", "")
 
 
 def lexical_terms(triples: Column) -> Column:
@@ -120,8 +129,8 @@ def row_triples(triples_json: Column, formatted: Column) -> Column:
 
 
 def format_terms(terms: Column) -> Column:
-    listed = F.array_join(F.transform(terms, lambda t: F.concat(F.lit("- "), t)), "\n")
-    return F.when(F.size(terms) > 0, listed).otherwise(fixed.NO_TERMS_TEXT)
+    listed = lambda x: F.array_join(F.transform(x, lambda t: F.concat(F.lit("- "), t)), "\n")
+    return let(terms, lambda x: F.when(F.size(x) > 0, listed(x)).otherwise(fixed.NO_TERMS_TEXT))
 
 
 # --- members ---------------------------------------------------------------
@@ -148,12 +157,12 @@ def strip_accents(text: Column) -> Column:
 
 
 def member_value(text: Column) -> Column:
-    return F.translate(text, " ", "_")
+    return F.replace(text, F.lit(" "), F.lit("_"))
 
 
 def normalize_member(text: Column) -> Column:
     """Equality form of a member: without underscores and accents, case kept."""
-    return strip_accents(F.translate(text, "_", ""))
+    return strip_accents(F.replace(text, F.lit("_"), F.lit("")))
 
 
 # --- leakage and keywords --------------------------------------------------

@@ -271,12 +271,15 @@ def responses(t: Tables):
 @query("parse_mtriples", """SELECT eid, concat('About ', eid) AS phrase, (pos - 1)::INT AS pos, subject, predicate, object
   FROM v_triples""")
 def parse_mtriples(t: Tables):
-    rows = responses(t)
-    return rows.select(
+    # the lines are a column of their own and the outer form gets no filter on the size of
+    # the list, so each response is read once
+    rows = responses(t).select("eid", T.response_lines(F.col("response")).alias("_lines"))
+    parsed = rows.select(
         "eid",
-        T.response_phrase(F.col("response")).alias("phrase"),
-        F.posexplode(T.response_triples(F.col("response"))).alias("pos", "t"),
-    ).select("eid", "phrase", "pos", "t.*")
+        T.line_phrase(F.col("_lines")).alias("phrase"),
+        F.posexplode_outer(T.line_triples(F.col("_lines"))).alias("pos", "t"),
+    )
+    return parsed.where("pos IS NOT NULL").select("eid", "phrase", "pos", "t.*")
 
 
 _TAG_SQL = """SELECT eid, concat(replace(min(object), '_', ' '), ': misto', chr(10), 'not a pair', chr(10),
