@@ -82,8 +82,13 @@ def number_repeats(
 # --- entries, sentences, prompts -------------------------------------------
 
 
-def enrich_sentences(sentences: DataFrame, entry_rows: DataFrame) -> DataFrame:
-    """Non-empty sentences with the triples of their entry, in prompt and list form."""
+def enrich_sentences(
+    sentences: DataFrame, entry_rows: DataFrame, per_entry: dict[str, Column] | None = None
+) -> DataFrame:
+    """Non-empty sentences with the triples of their entry, in prompt and list form.
+
+    ``per_entry`` adds columns made from these forms, once per entry.
+    """
     shown = entry_rows.select(
         "eid",
         "category",
@@ -92,7 +97,7 @@ def enrich_sentences(sentences: DataFrame, entry_rows: DataFrame) -> DataFrame:
         F.transform(
             "triples", lambda x: T.format_triple(x["subject"], x["predicate"], x["object"], True)
         ).alias("modified_triples_json"),
-    )
+    ).withColumns(per_entry or {})
     spoken = sentences.filter(strip(text_or_empty(F.col("sentence"))) != "")
     return spoken.join(shown, "eid")
 

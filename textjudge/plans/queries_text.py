@@ -374,7 +374,8 @@ def fluency_prompts(t: Tables):
     rows = N.enrich_sentences(t.v_outputs, N.entries(t.v_triples))
     listed = F.to_json("modified_triples_json")
     terms = T.lexical_terms(T.row_triples(listed, F.col("modified_triples")))
-    prompt = N.fluency_prompt(_FLUENCY_TEMPLATE, F.lit("Czech"), F.lit("English"), terms)
+    rows = N.enrich_sentences(t.v_outputs, N.entries(t.v_triples), {"lexical_terms": terms})
+    prompt = N.fluency_prompt(_FLUENCY_TEMPLATE, F.lit("Czech"), F.lit("English"), F.col("lexical_terms"))
     return rows.select("source_id", "eid", prompt.alias("prompt"))
 
 
