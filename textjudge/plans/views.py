@@ -7,6 +7,7 @@ read the same parquet through the same definition.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -200,6 +201,24 @@ def with_views(sql: str, engine: str, pool: dict[str, str] | None = None) -> str
     return f"WITH {head}\n{body}"
 
 
+#: rows that one task sorts, and texts that one task reads
+ROWS_PER_TASK, TEXTS_PER_TASK = 1_000_000, 20_000
+_WITH_PART = "lineitem LEFT JOIN part ON l_partkey = p_partkey"
+
+
+def spread_lines(sql: str, parts: int) -> str:
+    """Spark text whose line items are grouped by order, with ``parts`` tasks for its sorts.
+
+    Hints only: joins with parts, joins with orders and the windows over an order keep
+    their partitions instead of the fixed number of the session.
+    """
+    by_order = f"SELECT /*+ REPARTITION({parts}, l_orderkey) */ * FROM "
+    by_part = f"(SELECT /*+ REPARTITION({parts}, p_partkey) */ * FROM part)"
+    if f"FROM {_WITH_PART}" in sql:
+        return sql.replace(f"FROM {_WITH_PART}", f"FROM ({by_order}{_WITH_PART.replace('JOIN part', f'JOIN {by_part}')})")
+    return re.sub(r"\bFROM lineitem\b", f"FROM ({by_order}lineitem)", sql)
+
+
 class Tables:
     """Driver tables and evaluation views as lazily built DataFrames."""
 
@@ -217,6 +236,8 @@ class Tables:
     def sql(self, sql: str) -> DataFrame:
         """Run a SQL text that may refer to driver tables and views."""
         text = with_views(sql, "spark")
+        if "PARTITION BY l_orderkey" in text and (parts := self.tasks("lineitem", ROWS_PER_TASK)) > self.width:
+            text = spread_lines(text, parts)
         used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text, re.I)]
         for t in used:
             text = re.sub(
@@ -226,3 +247,16 @@ class Tables:
                 flags=re.I,
             )
         return self.spark.sql(text)
+
+    @property
+    def width(self) -> int:
+        """Number of shuffle partitions the session asks for."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def tasks(self, name: str, rows: int) -> int:
+        """Tasks for a table at ``rows`` rows each; the count comes from the file footers."""
+        return math.ceil(getattr(self, name).count() / rows)
+
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table dealt over tasks, for work that its few row groups would bind to few tasks."""
+        return getattr(self, name).select(*columns).repartition(max(self.width, self.tasks(name, TEXTS_PER_TASK)))
