@@ -24,6 +24,8 @@ TAGGED_SCHEMA = (
 )
 # the member attribute is itself called value, so the text tag needs another name
 OPTIONS = {"attributePrefix": "_", "valueTag": "_text"}
+#: an XML file is read by one task, so files of tagged entries hold no more than these
+ENTRIES_PER_FILE = 50_000
 
 
 def flatten_entries(entries: DataFrame) -> DataFrame:
@@ -159,8 +161,8 @@ def read_tagged_xml(spark: SparkSession, path: str, language: str) -> DataFrame:
     return tagged_triples(raw.load(path), language)
 
 
-def write_tagged_xml(triples: DataFrame, path: str) -> None:
-    """Typed triples (id, category, phrase, pos, members with types) as tagged entries."""
+def write_tagged_xml(triples: DataFrame, path: str, per_file: int = ENTRIES_PER_FILE) -> None:
+    """Typed triples (id, category, phrase, pos, members with types) as tagged entries, ``per_file`` at most in a file."""
 
     def member(name: str) -> Column:
         kind = F.coalesce(F.col(f"{name}_type"), F.lit("null"))
@@ -178,6 +180,6 @@ def write_tagged_xml(triples: DataFrame, path: str) -> None:
         F.struct(F.col("t").alias("triple")).alias("triples"),
     )
     (
-        entries.write.mode("overwrite").format("xml").options(**OPTIONS)
+        entries.write.mode("overwrite").format("xml").options(**OPTIONS).option("maxRecordsPerFile", per_file)
         .option("rootTag", "phrased_triples").option("rowTag", "phrased_triple").save(path)
     )
