@@ -371,7 +371,7 @@ helper("o_terms", """SELECT eid, string_agg(concat('- ', term), chr(10) ORDER BY
 @query("fluency_prompts", """SELECT source_id, eid, concat('Rate this Czech sentence about English facts (', terms, '): ', replace(sentence, '_', ' ')) AS prompt
   FROM v_outputs JOIN o_terms USING (eid) WHERE trim(sentence) <> ''""")
 def fluency_prompts(t: Tables):
-    rows = N.enrich_sentences(t.v_outputs, N.entries(t.v_triples))
+    # terms belong to the entry: they are read once, not for each of its sentences
     listed = F.to_json("modified_triples_json")
     terms = T.lexical_terms(T.row_triples(listed, F.col("modified_triples")))
     rows = N.enrich_sentences(t.v_outputs, N.entries(t.v_triples), {"lexical_terms": terms})
@@ -445,12 +445,12 @@ def keyword_oracle(source: str, group: str, text: str, stop, size: int) -> str:
 
 @query("keyword_unigrams", keyword_oracle("documents", "lang", "text", fixed.ERROR_STOPWORDS, 1))
 def keyword_unigrams(t: Tables):
-    return I.keywords(t.documents, ["lang"], "text", fixed.ERROR_STOPWORDS, 1)
+    return I.keywords(t.spread("documents", "lang", "text"), ["lang"], "text", fixed.ERROR_STOPWORDS, 1)
 
 
 @query("keyword_bigrams", keyword_oracle("documents", "lang", "text", fixed.ERROR_STOPWORDS, 2))
 def keyword_bigrams(t: Tables):
-    return I.keywords(t.documents, ["lang"], "text", fixed.ERROR_STOPWORDS, 2)
+    return I.keywords(t.spread("documents", "lang", "text"), ["lang"], "text", fixed.ERROR_STOPWORDS, 2)
 
 
 @query("compact_payload", """SELECT doc_id, CASE WHEN length(text) > 4000 THEN length(text) END AS original_length,
