@@ -13,6 +13,7 @@ from textjudge.functions.columns import (
     find,
     find_all,
     first_rule,
+    let,
     literal_array,
     lookup,
     matches,
@@ -35,17 +36,26 @@ def _compact(text: Column) -> Column:
 
 def parse_label(answer: Column) -> Column:
     """Conservative reading: one label token wins, several give '', then label words."""
-    text = strip(text_or_empty(answer))
-    tokens = find_all(text, fixed.LABEL_TOKEN_PATTERN, 1)
-    words = [(hit, F.lit(label)) for hit, label in _word_labels(text)]
-    return first_rule(
-        (text == "", F.lit("")),
-        (_known(_compact(text)), _compact(text)),
-        (F.size(tokens) == 1, F.upper(F.get(tokens, F.lit(0)))),
-        (F.size(tokens) > 1, F.lit("")),
-        *words,
-        otherwise=F.lit(""),
-    )
+
+    def label(text: Column) -> Column:
+        words = [(hit, F.lit(label)) for hit, label in _word_labels(text)]
+
+        def named(tokens: Column) -> Column:
+            return first_rule(
+                (F.size(tokens) == 1, F.upper(F.get(tokens, F.lit(0)))),
+                (F.size(tokens) > 1, F.lit("")),
+                *words,
+                otherwise=F.lit(""),
+            )
+
+        return first_rule(
+            (text == "", F.lit("")),
+            (_known(_compact(text)), _compact(text)),
+            otherwise=let(find_all(text, fixed.LABEL_TOKEN_PATTERN, 1), named),
+        )
+
+    # bound once: an answer is stripped and searched for tokens a single time
+    return let(strip(text_or_empty(answer)), label)
 
 
 def parse_answer(answer: Column) -> Column:
