@@ -1,5 +1,7 @@
 """Plans that read a text once, and partitions and files that follow the input."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,13 +63,16 @@ def test_comment_text_reads_its_value_once(spark):
 
 
 def test_comments_are_classified_once(spark):
-    plan = optimized(queries_issues.fluency_by_category(Tables(spark, SF)))
-    assert plan.count("bword order") == 1
+    comments = spark.range(4).selectExpr("1 AS score", "concat('word order, comma ', if(id % 2 = 0, id, null)) AS comment")
+    rows = queries_issues.fluency_by_category(SimpleNamespace(v_judged_fluency=comments))
+    assert optimized(rows).count("bword order") == 1
+    assert sorted(map(tuple, rows.collect())) == [(c, f"word order, comma {i}") for c in ("Punctuation", "WordOrder") for i in (0, 2)]
 
 
 def test_responses_are_read_once(spark):
     plan = optimized(entry.queries()["parse_mtriples"](spark, SF))
     assert plan.count("^<mtriple>") == 1
+    assert plan.count("|[") == 1  # the line breaks
 
 
 def test_terms_are_read_once_per_entry(spark):
