@@ -1,8 +1,11 @@
 """Manifest, packing and trie against plain versions, on hard rows and with small limits."""
 
+import gc
 import hashlib
 import random
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +16,7 @@ from tokenizers import Tokenizer
 from tests.harness import DATA, difference, duck, duck_rows, spark_rows
 from tests.llm import brute
 from tests.llm.test_cases import CLASHING, SCHEMA, TEXTS, VOCABULARY
-from textjudge.llm import concat_cut, ids, merkle, oracles, packing, queries, trie
+from textjudge.llm import components, concat_cut, ids, merkle, oracles, packing, queries, trie
 
 PIECES = {"doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"}
 
@@ -239,3 +242,26 @@ def test_slots_are_a_minimal_perfect_hash():
     pairs = sorted(set(zip(a.tolist(), b.tolist())))
     assert [(int(a[k]), int(b[k])) for k in first] == pairs
     assert all(pairs[k] == (x, y) for k, x, y in zip(rank.tolist(), a.tolist(), b.tolist()))
+
+
+# --- disk ----------------------------------------------------------------------
+
+
+def shuffle_files(spark) -> set:
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+
+
+def test_rounds_of_components_leave_no_shuffle_files(spark):
+    """Only what the last round read may still lie on disk, not the files of every round."""
+    edges = spark.range(1, 600).selectExpr("id AS u", "id - 1 AS v")
+    gc.collect()
+    before = shuffle_files(spark)
+    found = components.components(edges)
+    for _ in range(50):
+        left = len(shuffle_files(spark) - before)
+        if left <= 60:
+            break
+        time.sleep(0.2)
+    assert left <= 60
+    assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(1, 600)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textjudge.operators.lineage import materialize
+from textjudge.operators.lineage import stored
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -34,11 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has the columns u and v; loops and null ends are ignored.
     """
     current = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v and u is not null and v is not null")
-    current = materialize(current.distinct())
+    current = stored(current.distinct())
     before = None
     while True:
         state = current.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return current.select(F.col("u").alias("node"), F.col("v").alias("label"))
         before = state
-        current = materialize(_star(_star(current, both=True), both=False))
+        current = stored(_star(_star(current, both=True), both=False))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from textjudge.llm.common import id_and_text, in_blocks, width
 from textjudge.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 from textjudge.llm.shingles import batches, mixed, word_hashes
-from textjudge.operators.lineage import materialize
+from textjudge.operators.lineage import stored
 
 #: bytes of context; contexts and the byte itself are one number of DEPTH + 1 bytes
 DEPTH = 6
@@ -268,17 +268,6 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df``; then the shuffle files that only it needed can leave the disk.
-
-    Spark deletes them when the driver's collector finds them unused, which a driver with
-    little to do may not look for until the end.
-    """
-    out = materialize(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def held_out(id_col: Column) -> Column:
     """Rows that are not learnt from: rest two by seven, or no id."""
     return F.coalesce(F.crc32(id_col.cast("string")) % 7 == 2, F.lit(True))

@@ -35,7 +35,7 @@ from textjudge.llm.common import id_and_text, in_blocks, width
 from textjudge.llm.components import components
 from textjudge.llm.packed import pack_sorted, unpack_sorted
 from textjudge.llm.shingles import mixed, shingle_sets
-from textjudge.operators.lineage import materialize
+from textjudge.operators.lineage import stored
 
 #: bits of a shingle that are compared between blocks, and blocks answered by one range
 PREFIX_BITS, BLOCKS_PER_RANGE = 40, 16
@@ -186,7 +186,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) after the components at the ends of ``links`` (of labels) became one."""
     moved = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return materialize(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return stored(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
 def inverted(sets: DataFrame) -> DataFrame:
@@ -227,8 +227,8 @@ def heavy_links(sets: DataFrame, labels: DataFrame, light: int) -> DataFrame:
         if ok.isEmpty():
             break
         labels = merged(labels, ok)
-        lists = materialize(open_lists(lists, labels))
-    ok = links_of(materialize(open_pairs(lists, labels, light)), sets)
+        lists = stored(open_lists(lists, labels))
+    ok = links_of(stored(open_pairs(lists, labels, light)), sets)
     return labels if ok.isEmpty() else merged(labels, ok)
 
 
@@ -238,7 +238,7 @@ def with_labels(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): the labels of the pairs whose sets overlap enough."""
-    return materialize(verified(pairs, sets).select(F.col("label_u").alias("u"), F.col("label_v").alias("v")).distinct())
+    return stored(verified(pairs, sets).select(F.col("label_u").alias("u"), F.col("label_v").alias("v")).distinct())
 
 
 def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -274,11 +274,11 @@ def near_duplicate_components(docs: DataFrame, block_bytes: int = 8 << 20, id_co
     empty table gives an empty result; other columns are not read.
     """
     rows = id_and_text(docs, id_col, text_col)
-    found = materialize(shared_sets(rows, block_bytes).repartition(width(rows), "doc_id"))
+    found = stored(shared_sets(rows, block_bytes).repartition(width(rows), "doc_id"))
     able = found.where("tokens is not null and doc_id is not null")
     same = ["n", "digest", "digest2"]
     first = able.groupBy(*same).agg(F.min("doc_id").alias("v"))
-    copies = materialize(able.select("doc_id", *same).join(first, same).select(F.col("doc_id").alias("u"), "v", *same))
+    copies = stored(able.select("doc_id", *same).join(first, same).select(F.col("doc_id").alias("u"), "v", *same))
     # the first of equal sets stands for them all; rows that repeat an id stand for each other
     chosen = copies.where("u = v").select(F.col("v").alias("doc_id"), F.col("digest").alias("_digest"), F.col("digest2").alias("_digest2")).distinct()
     sets = able.join(chosen, "doc_id").where("(digest ^ _digest) = 0 and (digest2 ^ _digest2) = 0")
@@ -287,7 +287,7 @@ def near_duplicate_components(docs: DataFrame, block_bytes: int = 8 << 20, id_co
     edges = copies.select("u", "v").where("u > v").union(subset_links(sets, light))
     start = components(edges)
     nodes = able.select(F.col("doc_id").alias("node")).distinct()
-    labels = materialize(nodes.join(start, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    labels = stored(nodes.join(start, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     labels = heavy_links(sets, labels, light)
     named = labels.where("node <> label")
     out = found.select("doc_id", "n").join(named, F.col("doc_id") == F.col("node"), "left")

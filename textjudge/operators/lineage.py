@@ -28,3 +28,17 @@ def materialize(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df``; then the shuffle files that only it needed can leave the disk.
+
+    Spark deletes them when the driver's collector finds them unused, which a driver with
+    little to do may not look for until the end. Every shuffle costs some small files for
+    each task, so jobs of many rounds fill the disk even where few rows are left.
+    """
+    out = materialize(df)
+    machine = df.sparkSession.sparkContext._jvm
+    del df
+    machine.System.gc()
+    return out
