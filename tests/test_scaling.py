@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from textjudge.functions import terms as T
 from textjudge.functions import verdicts as J
 from textjudge.operators import construct as N
+from textjudge.operators import substitute as U
 from textjudge.operators.lineage import shared_folder
 from textjudge.plans import queries_issues, views
 from textjudge.plans.views import Tables
@@ -140,3 +141,43 @@ def test_an_answer_is_stripped_once(spark):
 
     plan = optimized(spark.createDataFrame([("FA",)], "a string").select(parse_label(F.col("a")).alias("l")))
     assert plan.count("coalesce(a#") == 1
+
+
+TRIPLES = "eid string, subject string, predicate string, object string, object_type string"
+
+
+def triples(spark, rows):
+    return spark.createDataFrame([(e, f"S_{e}", "p", o, t) for e, o, t in rows], TRIPLES)
+
+
+def test_members_and_replacements_are_sorted_once(spark):
+    rows = triples(spark, [(f"Id{i % 9}", f"v_{i % 7}", "t") for i in range(60)])
+    agg = U.tagged_members(rows)._jdf.queryExecution().executedPlan().toString()
+    assert agg.count("Exchange ") == agg.count("Sort [") == 1
+    new = spark.createDataFrame([("Id1", "v1", "x"), ("Id1", "v2", "y"), ("Id3", "v3", "z"), (None, "v1", "n")], "eid string, norm string, new_value string")
+    swapped = U.apply_replacements(rows, new)
+    assert "ObjectHashAggregate" not in swapped._jdf.queryExecution().executedPlan().toString()
+    want = {("Id1", "v_1"): "x", ("Id1", "v_2"): "y", ("Id3", "v_3"): "z"}
+    old = [(f"Id{i % 9}", f"v_{i % 7}") for i in range(60) if i % 9 in (1, 3)]
+    assert sorted((r.eid, r.object) for r in swapped.collect()) == sorted((e, want.get((e, o), o)) for e, o in old)
+
+
+def test_invented_members_are_chosen_before_they_meet_the_pool(spark):
+    rows = triples(spark, [(f"Id{i}", o, t) for i in range(40) for o, t in ((f"v_{i % 3}", "many"), ("only_one", "sole"), ("other", "sole"), ("w", "none"))] + [(None, "v_1", "many")] * 5)
+    assets = spark.createDataFrame([("many", f"v_{k}") for k in range(6)] + [("sole", "only_one"), ("sole", "onlyone"), ("gone", "g")], "type string, value string")
+    out = U.fictional(rows, assets, max_changes=3)
+    # one join of chosen members with forms, one with the pool, one with the triples; no exchange between members and choice
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    chosen, forms = plan.index("_rank#"), plan.index("max(own_size#")
+    assert plan[:forms].count("Window [row_number()") >= 1 and chosen < forms
+    got = {(r.eid, r.object) for r in out.collect()}
+    assert None not in {e for e, _ in got}
+    kept = {o for _, o in got}
+    # the sole form of a type has no alternative; a member of another form takes it, in one of its spellings
+    assert "only_one" in kept and "w" in kept and "g" not in kept
+    changed = U.fictional(rows.filter("object = 'only_one' OR object = 'w'"), assets)
+    assert changed.count() == 0
+    swapped = U.fictional(rows.filter("object = 'other'"), assets).collect()
+    assert len(swapped) == 40 and {r.object for r in swapped} <= {"only_one", "onlyone"}
+    many = U.fictional(rows.filter("object_type = 'many'"), assets).collect()
+    assert len(many) == 40 and all(r.object != f"v_{int(r.eid[2:]) % 3}" for r in many)

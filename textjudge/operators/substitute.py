@@ -23,38 +23,47 @@ from textjudge.operators.lineage import materialize
 
 #: rows of the pool that one task numbers
 ROWS_PER_BUCKET = 50_000
+#: what names a bucket
+PART = ["type", "_heavy", "_bucket", "_form", "_salt"]
 #: pool sizes of the types are broadcast up to this number of types
 BROADCAST_TYPES = 100_000
 
 
-def tagged_members(triples: DataFrame, keys: Sequence[str] = ("eid",)) -> DataFrame:
-    """One row per entry and equality form among the typed members."""
+def tagged_members(triples: DataFrame, keys: Sequence[str] = ("eid",), together: bool = False) -> DataFrame:
+    """One row per entry and equality form among the typed members.
+
+    Members seldom repeat inside an entry, so rows are dealt first and sorted once,
+    instead of once for a partial aggregation and once after the shuffle. ``together``
+    deals whole entries, so that what follows by entry needs no shuffle.
+    """
     typed = members(triples, keys).filter(F.col("type").isNotNull())
-    return unique_members(typed, list(keys))
+    return unique_members(typed.repartition(*keys, *([] if together else ["norm"])), list(keys))
 
 
-def spread(pool: DataFrame, row_key: Sequence[str], rows_per_bucket: int) -> DataFrame:
-    """``pool`` with its bucket inside the type: _heavy, _bucket, _form and _salt.
+def spread(pool: DataFrame, row_key: Sequence[str], rows_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """``pool`` with its bucket inside the type: _heavy, _bucket, _form and _salt; and the rows of each bucket, _all.
 
     Forms are dealt by hash into as many buckets as the size of the pool asks for. A form
     that alone is too much for a task has buckets of its own, filled by a hash of the row.
     """
     buckets = max(1, math.ceil(pool.count() / rows_per_bucket))
     dealt = pool.withColumn("_bucket", hash_bucket("norm", buckets=buckets))
-    large = materialize(dealt.groupBy("type", "_bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * rows_per_bucket))
+    counted = materialize(dealt.groupBy("type", "_bucket").agg(F.count(F.lit(1)).alias("_all")))
+    large = counted.where(F.col("_all") > 4 * rows_per_bucket)
     plain = {"_heavy": F.lit(False), "_form": F.lit(""), "_salt": F.lit(0).cast("long")}
     if large.isEmpty():
-        return dealt.withColumns(plain)
-    forms = dealt.join(large.drop("n"), ["type", "_bucket"], "left_semi").groupBy("type", "norm").agg(F.count(F.lit(1)).alias("n"))
+        return dealt.withColumns(plain), counted.withColumns(plain)
+    forms = dealt.join(large.drop("_all"), ["type", "_bucket"], "left_semi").groupBy("type", "norm").agg(F.count(F.lit(1)).alias("n"))
     salts = F.ceil(F.col("n") / rows_per_bucket).alias("_salts")
     # no more rows than the pool has buckets
     heavy = materialize(forms.where(F.col("n") > rows_per_bucket).select("type", "norm", salts))
     joined = dealt.join(F.broadcast(heavy), ["type", "norm"], "left")
     held = F.col("_salts").isNotNull()
-    return joined.withColumns({
+    keyed = joined.withColumns({
         "_heavy": held, "_bucket": F.when(~held, F.col("_bucket")).otherwise(0), "_form": F.when(held, F.col("norm")).otherwise(""),
         "_salt": F.when(held, hash_number(*row_key) % F.col("_salts")).otherwise(0),
     }).drop("_salts")
+    return keyed, keyed.groupBy(*PART).agg(F.count(F.lit(1)).alias("_all"))
 
 
 def number_pool(pool: DataFrame, row_key: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
@@ -64,24 +73,22 @@ def number_pool(pool: DataFrame, row_key: Sequence[str], rows_per_bucket: int =
     type, and where the own form starts and how long it is. Rows are numbered inside their
     bucket; only the sizes of the buckets are added up over a type. Order: bucket, form, row.
     """
-    part = ["type", "_heavy", "_bucket", "_form", "_salt"]
-    keyed = spread(materialize(pool), row_key, rows_per_bucket)
-    inside = Window.partitionBy(*part)
-    form = Window.partitionBy(*part, "norm")
+    keyed, sizes = spread(materialize(pool), row_key, rows_per_bucket)
+    inside = Window.partitionBy(*PART)
+    form = Window.partitionBy(*PART, "norm")
     local = keyed.withColumn("_local", F.row_number().over(inside.orderBy("norm", *row_key)) - 1).withColumns(
         {"_first": F.min("_local").over(form), "_size": F.count(F.lit(1)).over(form)}
     )
-    sizes = keyed.groupBy(*part).agg(F.count(F.lit(1)).alias("_all"))
     # one row per bucket
     whole = Window.partitionBy("type")
-    before = whole.orderBy(*part[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy(*PART[1:]).rowsBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy("type", "_heavy", "_form")
     offsets = sizes.withColumns({
         "_offset": F.coalesce(F.sum("_all").over(before), F.lit(0)), "pool_size": F.sum("_all").over(whole),
     }).withColumns({"_form_offset": F.min("_offset").over(own), "_form_size": F.sum("_all").over(own)})
     offsets = materialize(offsets.drop("_all"))
     light = ~F.col("_heavy")
-    numbered = local.join(offsets, part).select(
+    numbered = local.join(offsets, PART).select(
         *pool.columns, "pool_size", (F.col("_offset") + F.col("_local")).alias("idx"),
         F.when(light, F.col("_offset") + F.col("_first")).otherwise(F.col("_form_offset")).alias("own_start"),
         F.when(light, F.col("_size")).otherwise(F.col("_form_size")).alias("own_size"),
@@ -94,28 +101,25 @@ def own_blocks(numbered: DataFrame) -> DataFrame:
     return numbered.groupBy("type", "norm").agg(F.min("own_start").alias("own_start"), F.max("own_size").alias("own_size"))
 
 
-def draw_replacements(
-    candidates: DataFrame, pool: DataFrame, max_changes: int, seed: int
-) -> DataFrame:
-    """Chosen members of each entry with their replacement.
-
-    ``candidates`` carries pool_size, own_start and own_size. A member without an
-    alternative cannot be chosen. The number of changes and the choice are hash draws.
-    """
+def choose_members(usable: DataFrame, max_changes: int, seed: int) -> DataFrame:
+    """The members of each entry that change: their number and the choice are hash draws."""
     stream = F.lit(str(seed))
-    options = F.col("pool_size") - F.col("own_size")
-    usable = candidates.filter(options > 0)
     wanted = 1 + hash_number(stream, F.lit("changes"), "eid") % max_changes
     order = hash_number(stream, F.lit("order"), "eid", "norm")
     rank = F.row_number().over(Window.partitionBy("eid").orderBy("_order", "norm"))
-    chosen = (
+    return (
         usable.withColumn("_order", order)
         .withColumn("_rank", rank)
         # the constant bound is applied before the shuffle, the drawn one after it
         .filter(F.col("_rank") <= max_changes)
         .filter(F.col("_rank") <= wanted)
     )
-    draw = hash_number(stream, F.lit("pick"), "eid", "norm") % options
+
+
+def draw_replacements(chosen: DataFrame, pool: DataFrame, seed: int) -> DataFrame:
+    """Replacement of each chosen member, which carries pool_size, own_start and own_size."""
+    options = F.col("pool_size") - F.col("own_size")
+    draw = hash_number(F.lit(str(seed)), F.lit("pick"), "eid", "norm") % options
     shifted = F.when(draw < F.col("own_start"), draw).otherwise(draw + F.col("own_size"))
     new = pool.select("type", "idx", F.col("value").alias("new_value"))
     picked = chosen.select("eid", "norm", "type", shifted.alias("idx"))
@@ -125,11 +129,13 @@ def draw_replacements(
 def apply_replacements(triples: DataFrame, replacements: DataFrame) -> DataFrame:
     """Triples of changed entries with every occurrence of a chosen member replaced.
 
-    An entry has at most ``max_changes`` replacements; they travel as one small map.
+    An entry has at most ``max_changes`` replacements; they travel as one small map. It is
+    made by a window, as its sort also serves the join; a grouping sorts twice before.
     """
-    entry = replacements.groupBy("eid").agg(
-        F.map_from_entries(F.collect_list(F.struct("norm", "new_value"))).alias("_new")
-    )
+    own = Window.partitionBy("eid").orderBy("norm")
+    every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = replacements.select("eid", F.collect_list(F.struct("norm", "new_value")).over(every).alias("_all"), F.row_number().over(own).alias("_rank"))
+    entry = listed.filter(F.col("_rank") == 1).select("eid", F.map_from_entries("_all").alias("_new"))
     joined = triples.join(entry, "eid")
 
     def swap(member: str):
@@ -148,24 +154,32 @@ def counterfactual(
     if types is not None:
         own = own.filter(F.col("type").isin(*types))
     numbered, _ = number_pool(own, ["eid"])
-    chosen = draw_replacements(numbered, numbered, max_changes, seed)
-    return apply_replacements(triples, chosen)
+    # a member without an alternative cannot be chosen
+    chosen = choose_members(numbered.filter(F.col("pool_size") > F.col("own_size")), max_changes, seed)
+    return apply_replacements(triples, draw_replacements(chosen, numbered, seed))
 
 
 def fictional(
     triples: DataFrame, assets: DataFrame, max_changes: int = fixed.MAX_CHANGES,
     types: Sequence[str] | None = None, seed: int = fixed.CONSTRUCTION_SEED,
 ) -> DataFrame:
-    """Replace members by invented assets of the same type."""
+    """Replace members by invented assets of the same type.
+
+    A member has no alternative only where its form is the sole one of its type, so the
+    choice needs one row per type; only chosen members meet the forms of the pool.
+    """
     pool = assets if types is None else assets.filter(F.col("type").isin(*types))
     listed = pool.select("type", "value", normalize_member(F.col("value")).alias("norm")).distinct()
     numbered, sizes = number_pool(listed, ["value"])
-    if sizes.count() <= BROADCAST_TYPES:
-        sizes = F.broadcast(sizes)
-    typed = tagged_members(triples).join(sizes, "type").join(own_blocks(numbered), ["type", "norm"], "left")
+    sole = numbered.filter(F.col("own_size") == F.col("pool_size")).select("type", F.col("norm").alias("_sole")).distinct()
+    known = materialize(sizes.join(sole, "type", "left"))
+    if known.count() <= BROADCAST_TYPES:
+        known = F.broadcast(known)
+    # rows without an entry meet no triple in the end
+    typed = tagged_members(triples.filter(F.col("eid").isNotNull()), together=True).join(known, "type")
+    usable = typed.filter(F.col("_sole").isNull() | F.col("norm").isNull() | (F.col("norm") != F.col("_sole"))).drop("_sole")
     none = F.lit(0).cast("long")
-    candidates = typed.withColumns(
+    chosen = choose_members(usable, max_changes, seed).join(own_blocks(numbered), ["type", "norm"], "left").withColumns(
         {"own_start": F.coalesce("own_start", none), "own_size": F.coalesce("own_size", none)}
     )
-    return apply_replacements(triples, draw_replacements(candidates, numbered, max_changes, seed))
-
+    return apply_replacements(triples, draw_replacements(chosen, numbered, seed))
