@@ -35,7 +35,7 @@ from textjudge.llm.common import id_and_text, in_blocks, width
 from textjudge.llm.components import components
 from textjudge.llm.packed import pack_sorted, unpack_sorted
 from textjudge.llm.shingles import mixed, shingle_sets
-from textjudge.operators.lineage import stored
+from textjudge.operators.lineage import materialize, stored
 
 #: bits of a shingle that are compared between blocks, and blocks answered by one range
 PREFIX_BITS, BLOCKS_PER_RANGE = 40, 16
@@ -228,7 +228,7 @@ def heavy_links(sets: DataFrame, labels: DataFrame, light: int) -> DataFrame:
             break
         labels = merged(labels, ok)
         lists = stored(open_lists(lists, labels))
-    ok = links_of(stored(open_pairs(lists, labels, light)), sets)
+    ok = links_of(materialize(open_pairs(lists, labels, light)), sets)
     return labels if ok.isEmpty() else merged(labels, ok)
 
 
