@@ -16,7 +16,8 @@ from tokenizers import Tokenizer
 from tests.harness import DATA, difference, duck, duck_rows, spark_rows
 from tests.llm import brute
 from tests.llm.test_cases import CLASHING, SCHEMA, TEXTS, VOCABULARY
-from textjudge.llm import components, concat_cut, ids, merkle, oracles, packing, queries, trie
+from textjudge.llm import components, concat_cut, ctw, ids, merkle, oracles, packed, packing, queries, trie
+from textjudge.operators import lineage
 
 PIECES = {"doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"}
 
@@ -265,3 +266,30 @@ def test_rounds_of_components_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert left <= 60
     assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(1, 600)}
+
+
+def test_numbers_are_squeezed_without_loss():
+    r = np.random.default_rng(2)
+    for values in (np.empty(0, np.uint64), np.array([0, 1 << 63, (1 << 64) - 1], np.uint64), np.sort(r.integers(0, 1 << 56, 1000).astype(np.uint64))):
+        assert (packed.unsqueeze(packed.squeeze(values)) == values).all()
+    values = np.concatenate(([0.0, -0.0, 1e-300, -np.inf], r.normal(size=1000)))
+    assert packed.unsqueeze(packed.squeeze(values), "<f8").tobytes() == values.tobytes()
+
+
+def test_context_tree_keeps_small_lists(spark, monkeypatch):
+    """Lists of byte strings, counts and answers lie in the shared folder until the end."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    rows = [(k, " ".join(r.choices(words, k=400))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = []
+
+    def recorded(df):
+        out = lineage.stored(df)
+        kept.append(sum(len(row[c]) for row in out.collect() for c, kind in out.dtypes if kind == "binary"))
+        return out
+
+    monkeypatch.setattr(ctw, "stored", recorded)
+    assert ctw.score_texts(docs).count() == len(rows)
+    # 4 bytes for each byte of these texts; 15 with lists that are only packed
+    assert kept and sum(kept) < 8 * sum(len(t) for _, t in rows)

@@ -8,12 +8,12 @@ A decision is then predicted by the estimates on its path, weighted by what each
 gained in training. Everything is exact; nothing is pruned.
 
 As Spark jobs: blocks of documents send their distinct (context, byte) strings with
-training counts, packed, grouped by the two nearest bytes of the context; groups are
+training counts, compressed, grouped by the two nearest bytes of the context; groups are
 summed in a tree of aggregations of bounded fan-in; each group computes its subtrees, the
 two levels above (at most 256 contexts of 255 decisions) are combined once; log
-probabilities return to the blocks that asked, and blocks score their texts. Word counts
-for the unigram baseline take the same way. Nothing that grows with the corpus is
-collected or broadcast.
+probabilities return to the blocks that asked, in the order of their strings, and blocks
+score their texts. Word counts for the unigram baseline take the same way. Nothing that
+grows with the corpus is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textjudge.llm.common import id_and_text, in_blocks, width
-from textjudge.llm.packed import pack, pack_sorted, unpack, unpack_sorted
+from textjudge.llm.packed import squeeze, unsqueeze
 from textjudge.llm.shingles import batches, mixed, word_hashes
 from textjudge.operators.lineage import stored
 
@@ -105,8 +105,7 @@ class Tree:
         """Node of each entry, first entry of each node, zeros and ones of each node."""
         values, counts = self.entries[d]
         key = values >> np.uint64(8 - level)
-        new = np.ones(len(values), bool)
-        new[1:] = key[1:] != key[:-1]
+        new = changes(key)
         first = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         bit = (values >> np.uint64(7 - level)) & np.uint64(1)
@@ -191,16 +190,32 @@ def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     return codes[place], lengths
 
 
+def changes(ordered: np.ndarray) -> np.ndarray:
+    """Whether a value differs from the one before."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return new
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting; ``np.unique`` hashes them, which takes ten times as long."""
+    ordered = np.sort(values)
+    return ordered[changes(ordered)]
+
+
 def summed(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in order with their summed counts."""
-    distinct, index = np.unique(np.concatenate(values), return_inverse=True)
-    return distinct, np.bincount(index, weights=np.concatenate(counts), minlength=len(distinct))
+    """Distinct values in order with their summed counts; sorted lists are merged."""
+    joined = np.concatenate(values)
+    order = np.argsort(joined, kind="stable")
+    ordered = joined[order]
+    new = changes(ordered)
+    return ordered[new], np.bincount(np.cumsum(new) - 1, weights=np.concatenate(counts)[order], minlength=int(new.sum()))
 
 
 def counted(values: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All distinct values, and how often each occurs in training."""
     seen, n = np.unique(values[training], return_counts=True)
-    other = np.unique(values[~training])
+    other = distinct(values[~training])
     return summed([seen, other], [n, np.zeros(len(other))])
 
 
@@ -274,14 +289,14 @@ def held_out(id_col: Column) -> Column:
 
 
 def merged_counts(sent: DataFrame, blocks: int) -> DataFrame:
-    """range, values, counts: packed lists of all blocks, summed in groups of bounded size."""
+    """range, values, counts: squeezed lists of all blocks, summed in groups of bounded size."""
 
     def add(table: pa.Table) -> pa.Table:
-        values, counts = summed([unpack_sorted(v.as_py()) for v in table.column("values")], [unpack(c.as_py()) for c in table.column("counts")])
+        values, counts = summed([unsqueeze(v.as_py()) for v in table.column("values")], [unsqueeze(c.as_py()) for c in table.column("counts")])
         first = [table.column(c)[0].as_py() for c in ("range", "part")]
         return pa.table({
             "range": pa.array([first[0]], pa.int32()), "part": pa.array([first[1]], pa.int32()),
-            "values": pa.array([pack_sorted(values)], pa.binary()), "counts": pa.array([pack(counts)], pa.binary()),
+            "values": pa.array([squeeze(values)], pa.binary()), "counts": pa.array([squeeze(counts.astype("<u8"))], pa.binary()),
         })
 
     rows = sent.select("range", F.col("block").alias("part"), "values", "counts")
@@ -298,7 +313,7 @@ def gram_model(model: DataFrame, depth: int) -> DataFrame:
     def roots(table: pa.Table) -> pa.Table:
         out = []
         for v, c in zip(table.column("values"), table.column("counts")):
-            for context, number, zeros, ones, total in Tree(unpack_sorted(v.as_py()), unpack(c.as_py()).astype(float), depth).roots():
+            for context, number, zeros, ones, total in Tree(unsqueeze(v.as_py()), unsqueeze(c.as_py()).astype(float), depth).roots():
                 near = (context >> np.uint64(8)) << np.uint64(8) | number
                 keys, index = np.unique(near, return_inverse=True)
                 add = [np.bincount(index, weights=x, minlength=len(keys)) for x in (zeros, ones, total)]
@@ -315,8 +330,8 @@ def gram_model(model: DataFrame, depth: int) -> DataFrame:
     upper = model.sparkSession.sparkContext.broadcast(upper_levels(tops))
 
     def logs(table: pa.Table) -> pa.Table:
-        found = [Tree(unpack_sorted(v.as_py()), unpack(c.as_py()).astype(float), depth).log10(upper.value) for v, c in zip(table.column("values"), table.column("counts"))]
-        return pa.table({"range": table.column("range"), "values": table.column("values"), "logs": pa.array([x.astype("<f8").tobytes() for x in found], pa.binary())})
+        found = [Tree(unsqueeze(v.as_py()), unsqueeze(c.as_py()).astype(float), depth).log10(upper.value) for v, c in zip(table.column("values"), table.column("counts"))]
+        return pa.table({"range": table.column("range"), "values": table.column("values"), "logs": pa.array([squeeze(x.astype("<f8")) for x in found], pa.binary())})
 
     return model.groupBy("range").applyInArrow(logs, "range int, values binary, logs binary")
 
@@ -346,7 +361,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 24 << 20
         for kind in (WORDS, GRAMS):
             values, counts = found[kind].total()
             for k, at in by_range(kind, values, ranges, depth):
-                out.append((kind, k, pack_sorted(values[at]), pack(counts[at])))
+                out.append((kind, k, squeeze(values[at]), squeeze(counts[at].astype("<u8"))))
         number = table.column("block")[0].as_py()
         return pa.table({
             "block": pa.array([number] * len(out), pa.int32()), "kind": pa.array([r[0] for r in out], pa.int32()), "range": pa.array([r[1] for r in out], pa.int32()),
@@ -356,53 +371,52 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 24 << 20
     sent = stored(blocks.groupBy("block").applyInArrow(send, "block int, kind int, range int, values binary, counts binary"))
 
     def answer_words(table: pa.Table) -> pa.Table:
-        values = [unpack_sorted(v.as_py()) for v in table.column("values")]
-        distinct, total = summed(values, [unpack(c.as_py()) for c in table.column("counts")])
-        found = [pack(total[np.searchsorted(distinct, v)]) for v in values]
+        values = [unsqueeze(v.as_py()) for v in table.column("values")]
+        known, total = summed(values, [unsqueeze(c.as_py()) for c in table.column("counts")])
+        found = [squeeze(total[np.searchsorted(known, v)].astype("<f8")) for v in values]
         size = len(found)
         first = [True] + [False] * (size - 1)
         return pa.table({
-            "block": table.column("block"), "kind": pa.array([WORDS] * size, pa.int32()), "values": table.column("values"), "answer": pa.array(found, pa.binary()),
+            "block": table.column("block"), "kind": pa.array([WORDS] * size, pa.int32()), "range": table.column("range"), "answer": pa.array(found, pa.binary()),
             "known": pa.array([int((total > 0).sum()) * f for f in first], pa.int64()), "seen": pa.array([int(total.sum()) * f for f in first], pa.int64()),
         })
 
     words = sent.where(F.col("kind") == WORDS).select("block", "range", "values", "counts")
-    words = stored(words.groupBy("range").applyInArrow(answer_words, "block int, kind int, values binary, answer binary, known long, seen long"))
+    words = stored(words.groupBy("range").applyInArrow(answer_words, "block int, kind int, range int, answer binary, known long, seen long"))
     known, seen = words.agg(F.sum("known"), F.sum("seen")).first()
     ends = rows.where("train").count()
-    total, distinct = (seen or 0) + ends, (known or 0) + (ends > 0)
+    total, kinds = (seen or 0) + ends, (known or 0) + (ends > 0)
 
     asked = sent.where(F.col("kind") == GRAMS).select("block", "range", "values", "counts")
     model = stored(gram_model(stored(merged_counts(asked, n_blocks)), depth))
 
     def answer_grams(left: pa.Table, right: pa.Table) -> pa.Table:
-        values = unpack_sorted(right.column("values")[0].as_py())
-        logs = np.frombuffer(right.column("logs")[0].as_py(), "<f8")
-        found = [logs[np.searchsorted(values, unpack_sorted(v.as_py()))].tobytes() for v in left.column("values")]
+        values = unsqueeze(right.column("values")[0].as_py())
+        logs = unsqueeze(right.column("logs")[0].as_py(), "<f8")
+        found = [squeeze(logs[np.searchsorted(values, unsqueeze(v.as_py()))]) for v in left.column("values")]
         return pa.table({
-            "block": left.column("block"), "kind": pa.array([GRAMS] * len(found), pa.int32()), "range": left.column("range"),
-            "values": pa.array([None] * len(found), pa.binary()), "answer": pa.array(found, pa.binary()),
+            "block": left.column("block"), "kind": pa.array([GRAMS] * len(found), pa.int32()), "range": left.column("range"), "answer": pa.array(found, pa.binary()),
         })
 
     part = F.floor(F.col("block") / FAN_OUT).cast("int")
     asking = asked.select("block", "range", "values", part.alias("part")).groupBy("range", "part")
     copies = model.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((n_blocks - 1) // FAN_OUT)))).groupBy("range", "part")
-    byte_answers = asking.cogroup(copies).applyInArrow(_when_asked(answer_grams), "block int, kind int, range int, values binary, answer binary")
-    answers = words.select("block", "kind", F.lit(0).alias("range"), "values", "answer").union(byte_answers)
+    byte_answers = asking.cogroup(copies).applyInArrow(_when_asked(answer_grams), "block int, kind int, range int, answer binary")
+    answers = words.select("block", "kind", "range", "answer").union(byte_answers)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        # the block knows which grams it asked for, in order
-        asked_for = Sums()
+        # the block knows which words and grams it asked for, in order
+        asked_for = [Sums() for _ in (WORDS, GRAMS)]
         for part in parts(left, depth):
-            own = np.unique(part.grams)
-            asked_for.add(own, np.ones(len(own)))
-        grams_of_block, _ = asked_for.total()
-        tables = [lookup(right), (grams_of_block, gram_logs(right, grams_of_block, ranges, depth))]
-        scale = math.log10(total + distinct + 1)
+            for kind, values in ((WORDS, part.words), (GRAMS, part.grams)):
+                own = distinct(values)
+                asked_for[kind].add(own, np.ones(len(own)))
+        keys = [s.total()[0] for s in asked_for]
+        tables = [(keys[kind], answered(right, kind, keys[kind], ranges, depth)) for kind in (WORDS, GRAMS)]
+        scale = math.log10(total + kinds + 1)
         columns: list[list[np.ndarray]] = [[] for _ in range(5)]
         for part in parts(left, depth):
-            counts = tables[WORDS][1][np.searchsorted(tables[WORDS][0], part.words)]
-            logs = tables[GRAMS][1][np.searchsorted(tables[GRAMS][0], part.grams)]
+            counts, logs = looked_up(*tables[WORDS], part.words), looked_up(*tables[GRAMS], part.grams)
             n_tokens = part.n_words + 1
             base = sums(np.log10(counts + 1), part.n_words) + math.log10(ends + 1) - n_tokens * scale
             n_known = sums((counts > 0).astype(float), part.n_words).round().astype(np.int64) + (ends > 0)
@@ -422,23 +436,20 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 24 << 20
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 
 
-def lookup(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted words of a block and the counts that were answered for them."""
-    rows = [(v.as_py(), a.as_py()) for k, v, a in zip(answers.column("kind").to_pylist(), answers.column("values"), answers.column("answer")) if k == WORDS]
-    keys = np.concatenate([np.empty(0, np.uint64), *(unpack_sorted(v) for v, _ in rows)])
-    found = np.concatenate([np.empty(0), *(unpack(a).astype(float) for _, a in rows)])
-    order = np.argsort(keys)
-    return keys[order], found[order]
+def answered(answers: pa.Table, kind: int, values: np.ndarray, ranges: int, depth: int) -> np.ndarray:
+    """What was answered for the sorted words or grams of a block; each range in their order."""
+    columns = answers.column("kind").to_pylist(), answers.column("range").to_pylist(), answers.column("answer")
+    rows = {k: a for of, k, a in zip(*columns) if of == kind}
+    found = np.empty(len(values))
+    for k, at in by_range(kind, values, ranges, depth):
+        found[at] = unsqueeze(rows[k].as_py(), "<f8")
+    return found
 
 
-def gram_logs(answers: pa.Table, values: np.ndarray, ranges: int, depth: int) -> np.ndarray:
-    """What was answered for the sorted grams of a block; each range in their order."""
-    columns = answers.column("kind").to_pylist(), answers.column("range").to_pylist(), answers.column("answer")
-    rows = {k: a for kind, k, a in zip(*columns) if kind == GRAMS}
-    logs = np.empty(len(values))
-    for k, at in by_range(GRAMS, values, ranges, depth):
-        logs[at] = np.frombuffer(rows[k].as_py(), "<f8")
-    return logs
+def looked_up(keys: np.ndarray, found: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``found`` of each value; sorted ones are searched, as others miss the cache at each step."""
+    own, index = np.unique(values, return_inverse=True)
+    return found[np.searchsorted(keys, own)][index]
 
 
 def _when_asked(function):
@@ -448,7 +459,6 @@ def _when_asked(function):
         if left.num_rows:
             return function(left, right)
         empty = pa.array([], pa.int32())
-        nothing = pa.array([], pa.binary())
-        return pa.table({"block": empty, "kind": empty, "range": empty, "values": nothing, "answer": nothing})
+        return pa.table({"block": empty, "kind": empty, "range": empty, "answer": pa.array([], pa.binary())})
 
     return run
