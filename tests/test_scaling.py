@@ -1,5 +1,6 @@
 """Plans that read a text once, and partitions and files that follow the input."""
 
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -181,3 +182,79 @@ def test_invented_members_are_chosen_before_they_meet_the_pool(spark):
     assert len(swapped) == 40 and {r.object for r in swapped} <= {"only_one", "onlyone"}
     many = U.fictional(rows.filter("object_type = 'many'"), assets).collect()
     assert len(many) == 40 and all(r.object != f"v_{int(r.eid[2:]) % 3}" for r in many)
+
+
+def whole(spark, df, max_changes, types, rows_per_bucket):
+    """Counterfactual entries with all triples and the whole numbered pool at once."""
+    own = U.tagged_members(df)
+    numbered, _ = U.number_pool(own if types is None else own.filter(F.col("type").isin(*types)), ["eid"], rows_per_bucket)
+    chosen = U.choose_members(numbered.filter("pool_size > own_size"), max_changes, 140)
+    return U.apply_replacements(df, U.draw_replacements(chosen, numbered, 140))
+
+
+def member_triples(spark, n):
+    """Spellings of one form, forms that fill most of a type, types of one form, repeated triples, rows without an entry."""
+    rows = []
+    for i in range(n):
+        eid = None if i % 17 == 0 else f"Id{i // 3}"
+        rows.append((eid, ("a_b", "ab", "áb", "c", f"v_{i % 11}")[i % 5], "mixed"))
+        rows.append((eid, "hot_value" if i % 9 else f"rare_{i}", "crowded"))
+        rows.append((eid, ("only_one", "onlyone")[i % 2], "sole"))
+        rows += rows[-3:] if i % 13 == 0 else []
+    return triples(spark, rows)
+
+
+@pytest.mark.parametrize("rows_per_bucket, run, changes, types", [(50_000, 64, 2, None), (9, 4, 3, None), (50_000, 2, 4, ["crowded", "sole"])])
+def test_counterfactual_in_parts_is_the_whole(spark, monkeypatch, rows_per_bucket, run, changes, types):
+    monkeypatch.setattr(U, "ROWS_PER_BUCKET", rows_per_bucket)
+    monkeypatch.setattr(U, "RUN", run)
+    df = member_triples(spark, 300)
+    want = sorted(map(str, whole(spark, df, changes, types, rows_per_bucket).collect()))
+    assert 0 < len(want) < df.count()
+    for n in (1, 3):
+        parts = [df.where(F.pmod(F.hash("eid"), F.lit(n)) == k) for k in range(n)]
+        got = U.counterfactual(df if n == 1 else parts, changes, types, seed=140)
+        assert sorted(map(str, got.collect())) == want
+        assert got.columns == df.columns
+
+
+def test_counterfactual_without_sole_types_and_without_rows(spark):
+    df = member_triples(spark, 90).where("object_type = 'mixed'")
+    want = sorted(map(str, whole(spark, df, 2, None, 50_000).collect()))
+    assert sorted(map(str, U.counterfactual([df.where("subject < 'S_Id2'"), df.where("subject >= 'S_Id2' OR subject IS NULL")], 2, seed=140).collect())) == want
+    assert U.counterfactual([df.limit(0), df.limit(0)]).count() == 0
+
+
+def test_counterfactual_leaves_little_on_the_disk(spark, tmp_path, monkeypatch):
+    """Neither the pool nor its numbers stay behind; only what the last part and the result need does."""
+    monkeypatch.setattr(U, "shared_folder", lambda s: str(tmp_path), raising=False)
+    U.materialize(spark.range(1))
+    kept = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for root in (kept, tmp_path) for p in root.rglob("*") if p.is_file())
+    n = 20_000
+    df = spark.range(n).selectExpr("concat('Id', id div 4) AS eid", "concat('S_', id) AS subject", "'p' AS predicate", "concat('some_name_', id % 700) AS object", "'t' AS object_type")
+    before = size()
+    assert U.counterfactual(df).count() > n / 2
+    assert size() - before < 20 * n
+    U.counterfactual([df.where(F.pmod(F.hash("eid"), F.lit(3)) == k) for k in range(3)])
+    assert {p.name for p in tmp_path.glob("*/*")} == {"numbered", "replacements", "result"}
+
+
+def test_parts_of_orders_are_the_view(spark, tmp_path):
+    lines = [(None if i % 10 == 0 else i // 3, i % 5, 1, i % 7, float(i % 2)) for i in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"n {k}", "t") for k in (0, 1, 2, 2)], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, "1-URGENT") for k in (1, 2, 2, 5)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    for per_task in (views.ROWS_PER_TASK, 4):
+        t = Tables(spark, str(tmp_path))
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(views, "ROWS_PER_TASK", per_task)
+            parts = t.by_orders("v_triples", 10, 4)
+            every = t.v_triples
+        assert len(parts) == 4 and len(t.by_orders("v_triples", 60, 4)) == 1
+        rows = [p.collect() for p in parts]
+        assert sorted(map(str, sum(rows, []))) == sorted(map(str, every.collect()))
+        eids = [{r.eid for r in part} for part in rows]
+        assert sum(map(len, eids)) == len(set().union(*eids))
+        # the part is taken where line items are read
+        assert optimized(parts[1]).rindex("xxhash64") > optimized(parts[1]).rindex("Join")

@@ -163,14 +163,19 @@ def fluency_prompt(template: str, language: Column, entity_language: Column, ter
 
 def members(triples: DataFrame, keys: Sequence[str] = ("eid",)) -> DataFrame:
     """Subjects and objects as rows, with type and equality form."""
-    has_type = "object_type" in triples.columns
-    subject_type = F.col("subject_type") if "subject_type" in triples.columns else F.lit(None)
-    object_type = F.col("object_type") if has_type else F.lit(None)
-    both = F.array(
-        F.struct(F.col("subject").alias("value"), subject_type.cast("string").alias("type")),
-        F.struct(F.col("object").alias("value"), object_type.cast("string").alias("type")),
-    )
-    rows = triples.select(*keys, F.inline(both))
+    return member_rows(triples, keys, ["subject", "object"])
+
+
+def typed_members(triples: DataFrame, keys: Sequence[str] = ("eid",)) -> DataFrame:
+    """The members that have a type; a side without a type column makes no rows."""
+    sides = [s for s in ("subject", "object") if f"{s}_type" in triples.columns]
+    return member_rows(triples, keys, sides or ["object"]).filter(F.col("type").isNotNull())
+
+
+def member_rows(triples: DataFrame, keys: Sequence[str], sides: Sequence[str]) -> DataFrame:
+    types = {s: F.col(f"{s}_type") if f"{s}_type" in triples.columns else F.lit(None) for s in sides}
+    each = F.array(*[F.struct(F.col(s).alias("value"), types[s].cast("string").alias("type")) for s in sides])
+    rows = triples.select(*keys, F.inline(each))
     return rows.withColumn("norm", T.normalize_member(F.col("value")))
 
 

@@ -42,3 +42,21 @@ def stored(df: DataFrame) -> DataFrame:
     del df
     machine.System.gc()
     return out
+
+
+def write_step(df: DataFrame, path: str) -> None:
+    """Add ``df`` to the Parquet files of a step that later ones read.
+
+    Smaller than a checkpoint, which keeps rows as they are in memory. The shuffle files
+    of ``df`` leave the disk as with ``stored``.
+    """
+    machine = df.sparkSession.sparkContext._jvm
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+    del df
+    machine.System.gc()
+
+
+def drop_step(spark: SparkSession, path: str) -> None:
+    """Delete the files of a step that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -71,7 +71,8 @@ def _applied(chosen: str) -> str:
 
 @query("substitute_entities", _applied("o_cf"))
 def substitute_entities(t: Tables):
-    return U.counterfactual(t.v_triples).select("eid", "pos", "subject", "predicate", "object")
+    parts = t.by_orders("v_triples", U.ROWS_PER_PART, U.MOST_PARTS)
+    return U.counterfactual(parts, columns=["eid", "pos", "subject", "predicate", "object"])
 
 
 _ASSETS = """SELECT p_type AS type, concat('Fictional_', p_brand, '_', CAST(p_size AS @STR)) AS value FROM part

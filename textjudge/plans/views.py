@@ -219,6 +219,11 @@ def spread_lines(sql: str, parts: int) -> str:
     return re.sub(r"\bFROM lineitem\b", f"FROM ({by_order}lineitem)", sql)
 
 
+def order_part(sql: str, k: int, parts: int) -> str:
+    """Spark text that reads the line items of part ``k`` of all orders, dealt by a hash of the order."""
+    return re.sub(r"\bFROM lineitem\b", f"FROM (SELECT * FROM lineitem WHERE pmod(xxhash64(l_orderkey), {parts}) = {k})", sql)
+
+
 class Tables:
     """Driver tables and evaluation views as lazily built DataFrames."""
 
@@ -233,11 +238,13 @@ class Tables:
             return self.sql(f"SELECT * FROM {name}")
         raise AttributeError(name)
 
-    def sql(self, sql: str) -> DataFrame:
-        """Run a SQL text that may refer to driver tables and views."""
+    def sql(self, sql: str, part: tuple[int, int] | None = None) -> DataFrame:
+        """Run a SQL text that may refer to driver tables and views; ``part`` as in ``order_part``."""
         text = with_views(sql, "spark")
         if "PARTITION BY l_orderkey" in text and (parts := self.tasks("lineitem", ROWS_PER_TASK)) > self.width:
             text = spread_lines(text, parts)
+        if part is not None:
+            text = order_part(text, *part)
         used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text, re.I)]
         for t in used:
             text = re.sub(
@@ -248,6 +255,11 @@ class Tables:
             )
         return self.spark.sql(text)
 
+    def by_orders(self, view: str, rows: int, most: int) -> list[DataFrame]:
+        """A view of whole orders in parts of about ``rows`` line items, ``most`` parts at most; together they are the view."""
+        parts = min(most, self.tasks("lineitem", rows))
+        return [self.sql(f"SELECT * FROM {view}", (k, parts)) for k in range(parts)] if parts > 1 else [getattr(self, view)]
+
     @property
     def width(self) -> int:
         """Number of shuffle partitions the session asks for."""
